@@ -49,14 +49,18 @@ def pair_delta(df: DataFrame, key: str, pairs: DataFrame, fields: list[str]) ->
 def contained(hay: DataFrame, needles: DataFrame, text: str, needle: str, q: int = 3) -> DataFrame:
     """Pairs where ``needle`` occurs inside ``text``.
 
-    Texts are listed by their substrings of length 1..q and meet needles on the first q characters; the
-    containment is then checked in full, so this is an equi-join instead of all pairs.
+    Needles are keyed by their first ``q`` characters (all of them when shorter); texts list their
+    substrings of just those lengths. The containment is then checked in full, so this is an equi-join
+    instead of all pairs.
     """
-    size = F.length(needle)
-    keyed = needles.filter(size > 0).withColumn("_gram", F.substring(F.col(needle), 1, q))
+    keyed = needles.filter(F.length(needle) > 0).withColumn("_gram", F.substring(F.col(needle), 1, q))
+    sizes = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]  # at most q values
     spots = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(
-        F.sequence(F.lit(1), F.lit(q)), lambda k: F.substring(F.col(text), i, k)))))
+
+    def pieces(size: int) -> Column:
+        return F.transform(spots, lambda i: F.substring(F.col(text), i, F.lit(size)))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(pieces, sizes))))
     listed = hay.withColumn("_gram", F.explode(grams))
     return listed.join(keyed, "_gram").filter(F.contains(F.col(text), F.col(needle))).drop("_gram")
 

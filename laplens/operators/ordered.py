@@ -31,19 +31,19 @@ def group_limit(df: DataFrame, limit: int | None = None) -> int:
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.agg(F.max("_rows")).first()[0] or 0
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return counts.agg(F.max("__rows")).first()[0] or 0
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join on ``keys`` that also pairs null keys; the key columns of ``left`` survive."""
     renamed = right
     for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
+        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+        cond = cond & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def with_group_stats(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
@@ -77,9 +77,9 @@ def slice_by_range(df: DataFrame, keys: list[str], order: list[Column],
     key_cols = [F.col(k) for k in keys]
     ranged = (df.repartitionByRange(*key_cols, *order)
               .sortWithinPartitions(*key_cols, *order)
-              .withColumn("_part", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
-    return Sliced(hold(ranged, "ranged"), keys, ["_pos"], "_part", ["_pos"])
+              .withColumn("__part", F.spark_partition_id())
+              .withColumn("__pos", F.monotonically_increasing_id()))
+    return Sliced(hold(ranged, "ranged"), keys, ["__pos"], "__part", ["__pos"])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -138,39 +138,39 @@ def scan(sl: Sliced, **specs: tuple) -> DataFrame:
             tails[name] = F.min_by(col, place)
         else:
             tails[name] = F.sum(col)
-    summary = sl.df.groupBy(*groups).agg(*[c.alias(f"_t_{n}") for n, c in tails.items()])
+    summary = sl.df.groupBy(*groups).agg(*[c.alias(f"__t_{n}") for n, c in tails.items()])
     wk = Window.partitionBy(*sl.keys).orderBy(sl.slot)
     wk_earlier = wk.rowsBetween(Window.unboundedPreceding, -1)
     carried = {}
     for name, (kind, *_) in specs.items():
-        tail = F.col(f"_t_{name}")
+        tail = F.col(f"__t_{name}")
         if kind == "last":
-            carried[f"_c_{name}"] = F.last(tail, ignorenulls=True).over(wk_earlier)
+            carried[f"__c_{name}"] = F.last(tail, ignorenulls=True).over(wk_earlier)
         elif kind == "lag":
-            carried[f"_c_{name}"] = F.lag(tail).over(wk)
+            carried[f"__c_{name}"] = F.lag(tail).over(wk)
         elif kind == "lead":
-            carried[f"_c_{name}"] = F.lead(tail).over(wk)
+            carried[f"__c_{name}"] = F.lead(tail).over(wk)
         else:
-            carried[f"_c_{name}"] = F.sum(tail).over(wk_earlier)
+            carried[f"__c_{name}"] = F.sum(tail).over(wk_earlier)
     carry = summary.withColumns(carried).select(*groups, *carried)
 
-    rows = sl.df.withColumns({f"_i_{n}": inside(s) for n, s in specs.items()})
-    rows = rows.withColumns({"_head": F.lag(F.lit(1)).over(w).isNull(),
-                             "_tail": F.lead(F.lit(1)).over(w).isNull()})
+    rows = sl.df.withColumns({f"__i_{n}": inside(s) for n, s in specs.items()})
+    rows = rows.withColumns({"__head": F.lag(F.lit(1)).over(w).isNull(),
+                             "__tail": F.lead(F.lit(1)).over(w).isNull()})
     rows = join_on(rows, carry, groups)
     done = {}
     for name, (kind, *_) in specs.items():
-        here, there = F.col(f"_i_{name}"), F.col(f"_c_{name}")
+        here, there = F.col(f"__i_{name}"), F.col(f"__c_{name}")
         if kind == "last":
             done[name] = F.coalesce(here, there)
         elif kind == "lag":
-            done[name] = F.when(F.col("_head"), there).otherwise(here)
+            done[name] = F.when(F.col("__head"), there).otherwise(here)
         elif kind == "lead":
-            done[name] = F.when(F.col("_tail"), there).otherwise(here)
+            done[name] = F.when(F.col("__tail"), there).otherwise(here)
         else:
             done[name] = F.when(there.isNull(), here).when(here.isNull(), there).otherwise(here + there)
-    used = [f"_i_{n}" for n in specs] + [f"_c_{n}" for n in specs]
-    return rows.withColumns(done).drop("_head", "_tail", *used)
+    used = [f"__i_{n}" for n in specs] + [f"__c_{n}" for n in specs]
+    return rows.withColumns(done).drop("__head", "__tail", *used)
 
 
 class Track:
@@ -193,8 +193,8 @@ class Track:
             return cls(df, keys, ts, tie)
         width = max(1, (stats["hi"] - stats["lo"] + 1) * cap // stats["n"])
         while width > 1:
-            slot = F.floor(F.col(ts) / F.lit(width)).alias("_slot")
-            if largest_group(df.select(*keys, slot), [*keys, "_slot"]) <= cap:
+            slot = F.floor(F.col(ts) / F.lit(width)).alias("__slot")
+            if largest_group(df.select(*keys, slot), [*keys, "__slot"]) <= cap:
                 break
             width //= 2
         return cls(df, keys, ts, tie, width)
@@ -212,8 +212,8 @@ class Track:
         order = [self.ts, *self.tie]
         if self.width is None:
             return self._on(scan(Sliced(self.df, self.keys, order), **specs))
-        rows = self.df.withColumn("_slot", F.floor(F.col(self.ts) / F.lit(self.width)))
-        return self._on(scan(Sliced(rows, self.keys, order, "_slot"), **specs).drop("_slot"))
+        rows = self.df.withColumn("__slot", F.floor(F.col(self.ts) / F.lit(self.width)))
+        return self._on(scan(Sliced(rows, self.keys, order, "__slot"), **specs).drop("__slot"))
 
     def frame(self, lo: int, hi: int, **aggs: Column) -> Track:
         """Aggregates over the rows whose clock lies in [ts+lo, ts+hi]. Where groups are sliced, each
@@ -226,10 +226,10 @@ class Track:
         at = F.col(self.ts)
         home = F.floor(at / width)
         reach = F.sequence(F.least(F.floor((at - hi) / width), home), F.greatest(F.floor((at - lo) / width), home))
-        spread = self.df.withColumn("_home", home).withColumn("_slice", F.explode(reach))
-        w = Window.partitionBy(*self.keys, "_slice").orderBy(self.ts).rangeBetween(lo, hi)
+        spread = self.df.withColumn("__home", home).withColumn("__slice", F.explode(reach))
+        w = Window.partitionBy(*self.keys, "__slice").orderBy(self.ts).rangeBetween(lo, hi)
         out = spread.withColumns({n: a.over(w) for n, a in aggs.items()})
-        return self._on(out.filter(F.col("_slice") == F.col("_home")).drop("_slice", "_home"))
+        return self._on(out.filter(F.col("__slice") == F.col("__home")).drop("__slice", "__home"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -247,17 +247,17 @@ def number(df: DataFrame, keys: list[str], order: list[Column], rn: str | None =
         if n:
             adds[n] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
         return df.withColumns(adds)
-    tally = sl.df.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_first"))
+    tally = sl.df.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"), F.min("__pos").alias("__first"))
     w = Window.partitionBy(*keys)
-    seen = w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    tally = tally.withColumns({"_before": F.coalesce(F.sum("_c").over(seen), F.lit(0)),
-                               "_n": F.sum("_c").over(w)})
-    out = join_on(sl.df, tally, [*keys, "_part"])
+    seen = w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    tally = tally.withColumns({"__before": F.coalesce(F.sum("__c").over(seen), F.lit(0)),
+                               "__n": F.sum("__c").over(w)})
+    out = join_on(sl.df, tally, [*keys, "__part"])
     if rn:
-        out = out.withColumn(rn, F.col("_before") + F.col("_pos") - F.col("_first") + 1)
+        out = out.withColumn(rn, F.col("__before") + F.col("__pos") - F.col("__first") + 1)
     if n:
-        out = out.withColumn(n, F.col("_n"))
-    return out.drop("_part", "_pos", "_c", "_first", "_before", "_n")
+        out = out.withColumn(n, F.col("__n"))
+    return out.drop("__part", "__pos", "__c", "__first", "__before", "__n")
 
 
 def neighbours(df: DataFrame, keys: list[str], order: list[Column], limit: int | None = None,
@@ -291,8 +291,8 @@ def keep_one(df: DataFrame, keys: list[str], order: Column, latest: bool = True)
     """One row per key, the one with the largest (smallest) ``order``; partial aggregation only."""
     row = F.struct(*[F.col(c) for c in df.columns])
     pick = F.max_by(row, order) if latest else F.min_by(row, order)
-    return df.groupBy(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)]) \
-             .agg(pick.alias("_row")).select("_row.*")
+    return df.groupBy(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)]) \
+             .agg(pick.alias("__row")).select("__row.*")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
@@ -305,15 +305,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     if largest_group(rows, keys) <= group_limit(df, limit):
         names, points = list(qs), [float(q) for q in qs.values()]
-        out = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("_q"))
-        return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    placed = number(rows, keys, [F.col(value)], "_rn", "_n", limit)
+        out = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("__q"))
+        return out.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    placed = number(rows, keys, [F.col(value)], "__at", "__of", limit)
     aggs = []
     for name, q in qs.items():
-        spot = F.lit(float(q)) * (F.col("_n") - 1)
+        spot = F.lit(float(q)) * (F.col("__of") - 1)
         lo, hi = F.floor(spot), F.ceil(spot)
-        at_lo = F.max(F.when(F.col("_rn") - 1 == lo, F.col(value)))
-        at_hi = F.max(F.when(F.col("_rn") - 1 == hi, F.col(value)))
+        at_lo = F.max(F.when(F.col("__at") - 1 == lo, F.col(value)))
+        at_hi = F.max(F.when(F.col("__at") - 1 == hi, F.col(value)))
         part = F.max(spot - lo)
         aggs.append((at_lo + (at_hi - at_lo) * part).alias(name))
     return placed.groupBy(*keys).agg(*aggs)

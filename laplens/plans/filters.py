@@ -12,7 +12,7 @@ def valid_lap_filter(spark, d):
     return pace.usable_laps(laps(spark, d), "t", F.col("lap_no") == 1, 10_000, 60_000).select("run", "lap_no", "t")
 
 
-@query("""SELECT l_orderkey AS run, count(*) AS n, round(sum(l_extendedprice), 6) AS total FROM lineitem GROUP BY l_orderkey
+@query("""SELECT l_orderkey AS run, count(*) AS n, round(sum(l_extendedprice) + 1e-9, 6) AS total FROM lineitem GROUP BY l_orderkey
   HAVING count(*) >= 4 AND sum(l_extendedprice) >= 60000""")
 def min_duration_filter(spark, d):
     g = raw_laps(spark, d).groupBy("run").agg(F.count("*").alias("n"), r6(F.sum("t")).alias("total"))

@@ -204,7 +204,7 @@ def trim_zero_text(spark, d):
 
 @query(f"""WITH {EV}, a AS (SELECT *, CASE WHEN run % 2 = 0 THEN value * 100 ELSE value / 100 END AS p FROM ev),
   m AS (SELECT run, median(p) FILTER (p > 0) AS med FROM a GROUP BY run)
-  SELECT a.run, event_id, round(CASE WHEN med > 10 THEN p / 100 ELSE p END, 6) AS bar, round(value / 3.6, 6) AS ms FROM a JOIN m ON a.run = m.run""")
+  SELECT a.run, event_id, round(CASE WHEN med > 10 THEN p / 100 ELSE p END + 1e-9, 6) AS bar, round(value / 3.6 + 1e-9, 6) AS ms FROM a JOIN m ON a.run = m.run""")
 def unit_autodetect(spark, d):
     ev = samples(spark, d).withColumn("p", F.when(F.col("run") % 2 == 0, F.col("value") * 100).otherwise(F.col("value") / 100))
     out = unit_scaled(ev, ["run"], "p", out="bar")

@@ -36,7 +36,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def r6(c) -> Column:
-    return F.round(c, 6)
+    """Six decimals; the small shift settles exact ties the same way in every engine."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
 
 
 # --- samples: events as multi-channel telemetry ------------------------------------------------

@@ -19,7 +19,7 @@ def lap_spans(spark, d):
 
 @query(f"""WITH {EV}, e AS (SELECT run, (max(ts_us) FILTER (channel = 'purchase') - 1704067200000000) // 3600000000 AS last_ms FROM ev GROUP BY run),
   n AS (SELECT run, count(*) AS n_samples FROM ev GROUP BY run)
-  SELECT run, n_samples, round(CASE WHEN last_ms > 0 THEN least(greatest(n_samples / (last_ms / 1000.0), 10), 500) ELSE 100 END, 6) AS rate_hz
+  SELECT run, n_samples, round(CASE WHEN last_ms > 0 THEN least(greatest(n_samples / (last_ms / 1000.0), 10), 500) ELSE 100 END + 1e-9, 6) AS rate_hz
   FROM n LEFT JOIN e USING (run)""")
 def sample_rate(spark, d):
     ev = samples(spark, d)
@@ -53,7 +53,7 @@ def asof_channel_value(spark, d):
 
 
 @query(f"""WITH {EV} SELECT run, ts_us // 86400000000 AS bucket, {', '.join(
-    f"round(avg(value) FILTER (channel = '{c}'), 6) AS {n}" for n, c in CHANNELS.items())} FROM ev GROUP BY ALL""")
+    f"round(avg(value) FILTER (channel = '{c}') + 1e-9, 6) AS {n}" for n, c in CHANNELS.items())} FROM ev GROUP BY ALL""")
 def bucket_align(spark, d):
     out = sig.bucket_align(samples(spark, d), ["run"], "ts_us", "channel", "value", CHANNELS, DAY)
     return out.select("run", "bucket", *[r6(c).alias(c) for c in CHANNELS])
@@ -64,13 +64,13 @@ def track(spark, d):
 
 
 @query(f"""WITH {EV} SELECT run, event_id, round(avg(value) OVER (PARTITION BY run ORDER BY ts_us
-  RANGE BETWEEN {12 * HOUR} PRECEDING AND {12 * HOUR} FOLLOWING), 6) AS smooth FROM ev""")
+  RANGE BETWEEN {12 * HOUR} PRECEDING AND {12 * HOUR} FOLLOWING) + 1e-9, 6) AS smooth FROM ev""")
 def moving_average_time(spark, d):
     return sig.smooth_time(track(spark, d), "value", DAY, "smooth").df.select("run", "event_id", r6("smooth").alias("smooth"))
 
 
-@query(f"""WITH {EV} SELECT run, event_id, round(sum(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7, 6) AS odd,
-  round(sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4, 6) AS even FROM ev
+@query(f"""WITH {EV} SELECT run, event_id, round(sum(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7 + 1e-9, 6) AS odd,
+  round(sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 + 1e-9, 6) AS even FROM ev
   WINDOW w AS (PARTITION BY run ORDER BY ts_us, event_id)""")
 def moving_average_rows(spark, d):
     order = [F.col("ts_us"), F.col("event_id")]
@@ -87,7 +87,7 @@ def slope_cte(source, col, out="g", unit=HOUR):
     return f"(SELECT *, CASE WHEN {nt} > {pt} THEN ({nv} - {pv}) / (({nt} - {pt}) / {unit}.0) ELSE 0 END AS {out} FROM {source})"
 
 
-@query(f"WITH {EV}, x AS {slope_cte('ev', 'value')} SELECT run, event_id, round(g, 6) AS slope FROM x")
+@query(f"WITH {EV}, x AS {slope_cte('ev', 'value')} SELECT run, event_id, round(g + 1e-9, 6) AS slope FROM x")
 def central_derivative(spark, d):
     return sig.derivative(track(spark, d), "value", "slope", HOUR).df.select("run", "event_id", r6("slope").alias("slope"))
 
@@ -111,12 +111,12 @@ def load_maxima(spark, d):
     return sig.turning_points(track(spark, d), "value", "max", 48 * HOUR, -0.6, min_level=20.0, smooth=12 * HOUR)
 
 
-@query(f"WITH {SMOOTH} SELECT run, event_id, round(s, 6) AS level, round(depth, 6) AS depth FROM mins")
+@query(f"WITH {SMOOTH} SELECT run, event_id, round(s + 1e-9, 6) AS level, round(depth + 1e-9, 6) AS depth FROM mins")
 def local_minima_prominent(spark, d):
     return speed_minima(spark, d).select("run", "event_id", r6("level").alias("level"), r6("depth").alias("depth"))
 
 
-@query(f"WITH {SMOOTH} SELECT run, event_id, round(s, 6) AS level, round(depth, 6) AS depth FROM maxs")
+@query(f"WITH {SMOOTH} SELECT run, event_id, round(s + 1e-9, 6) AS level, round(depth + 1e-9, 6) AS depth FROM maxs")
 def local_maxima_prominent(spark, d):
     return load_maxima(spark, d).select("run", "event_id", r6("level").alias("level"), r6("depth").alias("depth"))
 
@@ -188,7 +188,7 @@ def areas(spark, d):
     return ev_ops.band_areas(wide(spark, d), BANDS, 12 * HOUR, 3, {"susp": "susp"})
 
 
-@query(f"WITH {MERGED} SELECT run, start_us, end_us, n, (start_us + end_us) // 2 AS mid_us, round(susp, 6) AS susp FROM mrg WHERE n >= 3")
+@query(f"WITH {MERGED} SELECT run, start_us, end_us, n, (start_us + end_us) // 2 AS mid_us, round(susp + 1e-9, 6) AS susp FROM mrg WHERE n >= 3")
 def island_stats(spark, d):
     return areas(spark, d).select("run", "start_us", "end_us", "n", "mid_us", r6("susp").alias("susp"))
 
@@ -198,7 +198,7 @@ LIMITER = WIDE + f""", sm AS (SELECT *, avg(speed) OVER (PARTITION BY run ORDER
 
 
 @query(f"""WITH {LIMITER}, z AS (SELECT run, isl, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, avg(speed) AS speed, avg(susp) AS susp FROM i GROUP BY run, isl)
-  SELECT run, start_us, end_us, n, round(speed, 6) AS speed, round(susp, 6) AS susp FROM z WHERE end_us - start_us >= {12 * HOUR}""")
+  SELECT run, start_us, end_us, n, round(speed + 1e-9, 6) AS speed, round(susp + 1e-9, 6) AS susp FROM z WHERE end_us - start_us >= {12 * HOUR}""")
 def limiter_zones(spark, d):
     z = ev_ops.limiter_zones(wide(spark, d), "speed", 20, 60, 12 * HOUR, 12 * HOUR, {"mean_speed": "speed", "mean_susp": "susp"})
     return z.select("run", "start_us", "end_us", "n", r6("mean_speed").alias("speed"), r6("mean_susp").alias("susp"))
@@ -237,15 +237,15 @@ def full_braking(spark, d):
     return ev_ops.peak_areas(wide(spark, d), "brake", "speed", 20, 10, 0.85, HOUR, {"mean_susp": "susp"})
 
 
-@query(f"WITH {PEAKS} SELECT run, start_us, end_us, n, peak, n_full, round(susp, 6) AS susp FROM pk")
+@query(f"WITH {PEAKS} SELECT run, start_us, end_us, n, peak, n_full, round(susp + 1e-9, 6) AS susp FROM pk")
 def peak_fraction_area(spark, d):
     return full_braking(spark, d).select("run", "start_us", "end_us", "n", "peak", "n_full", r6("mean_susp").alias("susp"))
 
 
 @query(f"""WITH {EV}, x AS (SELECT run, event_id, CASE WHEN run % 2 = 0 THEN 1.4 ELSE 1.35 END AS wb, CASE WHEN run % 2 = 0 THEN 0.65 ELSE 0.6 END AS h,
     CASE WHEN run % 2 = 0 THEN 0.49 ELSE 0.51 END AS fw, 250.0 AS m, (50 - value) / 5 AS ax FROM ev)
-  SELECT run, event_id, round(greatest(0, m * 9.81 * fw - m * ax * h / wb), 6)::DOUBLE AS load_f,
-    round(greatest(0, m * 9.81 * (1 - fw) + m * ax * h / wb), 6)::DOUBLE AS load_r FROM x""")
+  SELECT run, event_id, round(greatest(0, m * 9.81 * fw - m * ax * h / wb) + 1e-9, 6)::DOUBLE AS load_f,
+    round(greatest(0, m * 9.81 * (1 - fw) + m * ax * h / wb) + 1e-9, 6)::DOUBLE AS load_r FROM x""")
 def load_transfer(spark, d):
     params = spark.createDataFrame([(0, 1.4, 0.65, 0.49), (1, 1.35, 0.6, 0.51)], "kind long, wheelbase double, cog_h double, f_ratio double")
     ev = samples(spark, d).withColumns({"kind": F.col("run") % 2, "mass": F.lit(250.0), "ax": (50 - F.col("value")) / 5})
@@ -263,8 +263,8 @@ def edge_table(spark, d):
     return ev_ops.edge_stats(samples(spark, d), ["run"], [F.col("ts_us"), F.col("event_id")], "value", 0.8, 200)
 
 
-@query(f"""WITH {EDGES} SELECT run, n_valid, round(avg_val, 6) AS avg_val, round(start_val, 6) AS start_val, round(end_val, 6) AS end_val,
-  round(end_val - start_val, 6) AS delta_val FROM edge""")
+@query(f"""WITH {EDGES} SELECT run, n_valid, round(avg_val + 1e-9, 6) AS avg_val, round(start_val + 1e-9, 6) AS start_val, round(end_val + 1e-9, 6) AS end_val,
+  round(end_val - start_val + 1e-9, 6) AS delta_val FROM edge""")
 def edge_median_stats(spark, d):
     return edge_table(spark, d).select("run", "n_valid", *[r6(c).alias(c) for c in ("avg_val", "start_val", "end_val", "delta_val")])
 
@@ -314,7 +314,7 @@ def segments(spark, d, t=None):
     return ev_ops.band_areas(t or wide(spark, d), BANDS, 12 * HOUR, 3, {"susp": "susp"}).select("run", "start_us", "end_us")
 
 
-@query(f"WITH {BACK} SELECT run, start_us, brake_start_us, brake_us, brake_peak, round(brake_mean, 6) AS brake_mean FROM back")
+@query(f"WITH {BACK} SELECT run, start_us, brake_start_us, brake_us, brake_peak, round(brake_mean + 1e-9, 6) AS brake_mean FROM back")
 def phase_back_search(spark, d):
     t = wide(spark, d)
     out = ev_ops.back_search(segments(spark, d, t), t, "brake", 15, 60 * HOUR, mean="susp")
@@ -325,7 +325,7 @@ CORE = """core AS (SELECT s.run, start_us, end_us, greatest(0, min(speed)) AS sp
   FROM segs s JOIN wide ON s.run = wide.run AND ts_us BETWEEN start_us AND end_us GROUP BY ALL)"""
 
 
-@query(f"WITH {SEGS}, {CORE} SELECT run, start_us, end_us, speed_min, round(core_mean, 6) AS core_mean, core_us FROM core")
+@query(f"WITH {SEGS}, {CORE} SELECT run, start_us, end_us, speed_min, round(core_mean + 1e-9, 6) AS core_mean, core_us FROM core")
 def phase_core(spark, d):
     t = wide(spark, d)
     return ev_ops.phase_core(segments(spark, d, t), t, "speed", "susp", DAY).select(
@@ -367,8 +367,8 @@ def corner_numbering(spark, d):
 
 
 @query(f"""WITH {ENDS}, b AS (SELECT run, lap_no, greatest(start_us, 1704067200000000) AS start_us, ts_us AS end_us FROM ends),
-  x AS (SELECT b.run, lap_no, count(*) AS n, round(avg(value), 6) AS v_mean, min(value) AS v_min, max(value) AS v_max,
-    count(*) FILTER (channel = 'click' AND value > 30) AS hard_count, round(avg(value) FILTER (channel = 'click' AND value > 30), 6) AS hard_mean
+  x AS (SELECT b.run, lap_no, count(*) AS n, round(avg(value) + 1e-9, 6) AS v_mean, min(value) AS v_min, max(value) AS v_max,
+    count(*) FILTER (channel = 'click' AND value > 30) AS hard_count, round(avg(value) FILTER (channel = 'click' AND value > 30) + 1e-9, 6) AS hard_mean
     FROM b JOIN ev ON b.run = ev.run AND ev.ts_us >= start_us AND ev.ts_us < end_us GROUP BY ALL)
   SELECT * FROM x""")
 def lap_event_stats(spark, d):
@@ -381,9 +381,9 @@ def lap_event_stats(spark, d):
 
 
 @query(f"""WITH RECURSIVE {ENTRY}, {KEPT}, {PEAKS.split(WIDE + ', ')[1].replace('i_f', 'j_f').replace('i_n', 'j_n').replace('i AS (', 'j AS (').replace('FROM i' + chr(10), 'FROM j' + chr(10))},
-  a AS (SELECT run, count(*) AS n, round(avg(speed), 6) AS speed, round(avg(susp), 6) AS susp FROM wide GROUP BY run),
-  e AS (SELECT run, count(*) AS entry_count, round(avg(speed), 6) AS entry_speed FROM ent GROUP BY run),
-  f AS (SELECT run, count(*) AS full_count, round(avg(peak), 6) AS full_peak FROM pk GROUP BY run)
+  a AS (SELECT run, count(*) AS n, round(avg(speed) + 1e-9, 6) AS speed, round(avg(susp) + 1e-9, 6) AS susp FROM wide GROUP BY run),
+  e AS (SELECT run, count(*) AS entry_count, round(avg(speed) + 1e-9, 6) AS entry_speed FROM ent GROUP BY run),
+  f AS (SELECT run, count(*) AS full_count, round(avg(peak) + 1e-9, 6) AS full_peak FROM pk GROUP BY run)
   SELECT a.*, coalesce(entry_count, 0) AS entry_count, entry_speed, coalesce(full_count, 0) AS full_count, full_peak
   FROM a LEFT JOIN e USING (run) LEFT JOIN f USING (run)""")
 def run_event_summary(spark, d):

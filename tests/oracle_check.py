@@ -1,4 +1,6 @@
-"""Run registered queries next to their SQL and compare rows. Usage: oracle_check.py [--sf 0.01] [names...]"""
+"""Run registered queries next to their SQL and compare rows. Usage: oracle_check.py [--sf 0.01] [--limit ROWS] [names...]
+
+``--limit`` sets the group size above which groups are sliced, to exercise that path on small data."""
 
 from __future__ import annotations
 
@@ -68,10 +70,15 @@ def main():
     sf = "0.01"
     if args[:1] == ["--sf"]:
         sf, args = args[1], args[2:]
+    limit = None
+    if args[:1] == ["--limit"]:
+        limit, args = args[1], args[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                 "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
+    if limit:
+        spark.conf.set("laplens.groupLimit", limit)
     con = connect(folder)
     qs, os_ = entry.queries(), entry.oracle_sql()
     bad = 0
