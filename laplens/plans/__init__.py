@@ -1,5 +1,5 @@
 """Registered queries, grouped by the operators they exercise."""
 
-from laplens.plans import facts, filters, normalise, pace, tags, telemetry  # noqa: F401
+from laplens.plans import facts, files, filters, jobs, normalise, pace, tags, telemetry  # noqa: F401
 from laplens.plans.pace import flagship  # noqa: F401
 from laplens.plans.registry import ORACLES, QUERIES  # noqa: F401

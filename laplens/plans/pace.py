@@ -360,7 +360,7 @@ def flagship(spark, d):
     j = lap_runs(spark, d).filter("valid")
     m = pace.session_metrics(pace.within_share(j, ["session"], "t", 40.0), ["session"], ["rider"], "t")
     out = pace.ranked(m, ["session"], "best", ["rider"])
-    return out.select("session", "rider", "laps", "best", lap_text(F.col("best") / 1000).alias("best_text"), r6("mean").alias("mean"),
+    return out.select("session", "rider", "laps", "best", lap_text(F.round("best") / 1000).alias("best_text"), r6("mean").alias("mean"),
                       r6("sigma").alias("sigma"), r6("gap_to_best").alias("gap_to_best"), "rank", "rank_total", "tier")
 
 

@@ -159,8 +159,9 @@ def band_mask(spark, d):
     return wide(spark, d).df.select("run", "event_id", ev_ops.all_bands(BANDS).alias("inside"))
 
 
-AREAS = WIDE + ", " + island_cte("i", "wide", IN_BANDS) + """,
-  isl AS (SELECT run, isl, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, sum(susp) AS ss, count(susp) AS cs FROM i GROUP BY run, isl)"""
+AREAS_BODY = island_cte("ia", "wide", IN_BANDS) + """,
+  isl AS (SELECT run, isl, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, sum(susp) AS ss, count(susp) AS cs FROM ia GROUP BY run, isl)"""
+AREAS = WIDE + ", " + AREAS_BODY
 
 
 @query(f"WITH {AREAS} SELECT run, start_us, end_us, n FROM isl")
@@ -168,9 +169,10 @@ def islands(spark, d):
     return sig.islands(wide(spark, d), ev_ops.all_bands(BANDS))
 
 
-MERGED = AREAS + f""", g AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY run ORDER BY start_us) <= {12 * HOUR} THEN 0 ELSE 1 END AS fresh FROM isl),
+MERGED_BODY = AREAS_BODY + f""", g AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY run ORDER BY start_us) <= {12 * HOUR} THEN 0 ELSE 1 END AS fresh FROM isl),
   h AS (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY start_us) AS grp FROM g),
   mrg AS (SELECT run, min(start_us) AS start_us, max(end_us) AS end_us, sum(n)::BIGINT AS n, sum(ss) / sum(cs) AS susp FROM h GROUP BY run, grp)"""
+MERGED = WIDE + ", " + MERGED_BODY
 
 
 @query(f"WITH {MERGED} SELECT run, start_us, end_us, n FROM mrg")
@@ -193,21 +195,27 @@ def island_stats(spark, d):
     return areas(spark, d).select("run", "start_us", "end_us", "n", "mid_us", r6("susp").alias("susp"))
 
 
-LIMITER = WIDE + f""", sm AS (SELECT *, avg(speed) OVER (PARTITION BY run ORDER BY ts_us
-  RANGE BETWEEN {6 * HOUR} PRECEDING AND {6 * HOUR} FOLLOWING) AS s FROM wide), """ + island_cte("i", "sm", "s BETWEEN 20 AND 60")
+LIMITER_BODY = f"""sml AS (SELECT *, avg(speed) OVER (PARTITION BY run ORDER BY ts_us
+  RANGE BETWEEN {6 * HOUR} PRECEDING AND {6 * HOUR} FOLLOWING) AS s FROM wide), """ + island_cte("il", "sml", "s BETWEEN 20 AND 60") + f""",
+  z AS (SELECT run, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, avg(speed) AS speed, avg(susp) AS susp FROM il GROUP BY run, isl
+    HAVING max(ts_us) - min(ts_us) >= {12 * HOUR})"""
 
 
-@query(f"""WITH {LIMITER}, z AS (SELECT run, isl, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, avg(speed) AS speed, avg(susp) AS susp FROM i GROUP BY run, isl)
-  SELECT run, start_us, end_us, n, round(speed + 1e-9, 6) AS speed, round(susp + 1e-9, 6) AS susp FROM z WHERE end_us - start_us >= {12 * HOUR}""")
+def zones(spark, d):
+    return ev_ops.limiter_zones(wide(spark, d), "speed", 20, 60, 12 * HOUR, 12 * HOUR, {"mean_speed": "speed", "mean_susp": "susp"})
+
+
+@query(f"WITH {WIDE}, {LIMITER_BODY} SELECT run, start_us, end_us, n, round(speed + 1e-9, 6) AS speed, round(susp + 1e-9, 6) AS susp FROM z")
 def limiter_zones(spark, d):
-    z = ev_ops.limiter_zones(wide(spark, d), "speed", 20, 60, 12 * HOUR, 12 * HOUR, {"mean_speed": "speed", "mean_susp": "susp"})
+    return zones(spark, d).select("run", "start_us", "end_us", "n", r6("mean_speed").alias("speed"), r6("mean_susp").alias("susp"))
     return z.select("run", "start_us", "end_us", "n", r6("mean_speed").alias("speed"), r6("mean_susp").alias("susp"))
 
 
-ENTRY = WIDE + f""", sm AS (SELECT *, avg(speed / 3.6) OVER (PARTITION BY run ORDER BY ts_us
+ENTRY_BODY = f"""sm AS (SELECT *, avg(speed / 3.6) OVER (PARTITION BY run ORDER BY ts_us
   RANGE BETWEEN {3 * HOUR} PRECEDING AND {3 * HOUR} FOLLOWING) AS s FROM wide), sl AS {slope_cte('sm', 's')}, """ + \
-    island_cte("i", "sl", "g < -0.1 AND speed >= 10") + """,
-  st AS (SELECT run, min(ts_us) AS ts_us FROM i GROUP BY run, isl HAVING count(*) >= 2)"""
+    island_cte("ie", "sl", "g < -0.1 AND speed >= 10") + """,
+  st AS (SELECT run, min(ts_us) AS ts_us FROM ie GROUP BY run, isl HAVING count(*) >= 2)"""
+ENTRY = WIDE + ", " + ENTRY_BODY
 
 
 def entries(spark, d):
@@ -226,11 +234,12 @@ def entry_lookback(spark, d):
     return entries(spark, d).select("run", "start_us", "entry_us", "speed", "susp")
 
 
-PEAKS = WIDE + ", " + island_cte("i", "wide", "brake >= 20 AND speed >= 10") + f""",
-  p AS (SELECT *, max(brake) OVER e AS peak, min(ts_us) OVER e AS start_us, max(ts_us) OVER e AS end_us, count(*) OVER e AS n FROM i
+PEAKS_BODY = island_cte("ip", "wide", "brake >= 20 AND speed >= 10") + f""",
+  p AS (SELECT *, max(brake) OVER e AS peak, min(ts_us) OVER e AS start_us, max(ts_us) OVER e AS end_us, count(*) OVER e AS n FROM ip
     WINDOW e AS (PARTITION BY run, isl)),
   pk AS (SELECT run, start_us, end_us, n, peak, count(*) AS n_full, avg(susp) AS susp FROM p
     WHERE end_us - start_us >= {1 * HOUR} AND brake >= 0.85 * peak GROUP BY run, isl, start_us, end_us, n, peak)"""
+PEAKS = WIDE + ", " + PEAKS_BODY
 
 
 def full_braking(spark, d):
@@ -281,13 +290,13 @@ def threshold_crossing(spark, d):
     return ev_ops.crossing_after_low(apex, gas, ["run"], "at_us", "ts_us", "value", 12 * HOUR, 72 * HOUR, 20.0)
 
 
-CORNERS = WIDE + ", " + island_cte("i", "wide", "brake > 30") + f""",
-  pk AS (SELECT run, arg_min(ts_us, (-brake, ts_us)) AS peak_us FROM i GROUP BY run, isl HAVING max(ts_us) - min(ts_us) >= {3 * HOUR}),
-  ap AS (SELECT pk.run, peak_us, arg_min(ts_us, (speed, ts_us)) AS apex_us FROM pk JOIN wide ON pk.run = wide.run AND ts_us >= peak_us
-    AND ts_us < peak_us + {48 * HOUR} WHERE speed IS NOT NULL GROUP BY pk.run, peak_us),
-  r AS (SELECT run, min(apex_us) AS apex_us FROM ap GROUP BY run UNION ALL
-    SELECT r.run, (SELECT min(ap.apex_us) FROM ap WHERE ap.run = r.run AND ap.apex_us >= r.apex_us + {36 * HOUR}) FROM r WHERE r.apex_us IS NOT NULL),
-  cor AS (SELECT run, apex_us, apex_us - {6 * HOUR} AS start_us, apex_us + {6 * HOUR} AS end_us FROM r WHERE apex_us IS NOT NULL)"""
+CORNERS_BODY = "wides AS (SELECT * FROM wide WHERE speed IS NOT NULL), " + island_cte("ic", "wides", "brake > 30") + f""",
+  pkc AS (SELECT run, arg_min(ts_us, (-brake, ts_us)) AS peak_us FROM ic GROUP BY run, isl HAVING max(ts_us) - min(ts_us) >= {3 * HOUR}),
+  ap AS (SELECT pkc.run, peak_us, arg_min(ts_us, (speed, ts_us)) AS apex_us FROM pkc JOIN wides ON pkc.run = wides.run AND ts_us >= peak_us
+    AND ts_us < peak_us + {48 * HOUR} GROUP BY pkc.run, peak_us),
+  rc AS (SELECT run, min(apex_us) AS apex_us FROM ap GROUP BY run UNION ALL
+    SELECT rc.run, (SELECT min(ap.apex_us) FROM ap WHERE ap.run = rc.run AND ap.apex_us >= rc.apex_us + {36 * HOUR}) FROM rc WHERE rc.apex_us IS NOT NULL),
+  cor AS (SELECT run, apex_us, apex_us - {6 * HOUR} AS start_us, apex_us + {6 * HOUR} AS end_us FROM rc WHERE apex_us IS NOT NULL)"""
 
 
 def corners(spark, d):
@@ -295,19 +304,20 @@ def corners(spark, d):
     return ev_ops.brake_corners(t, "brake", "speed", 30, 3 * HOUR, 48 * HOUR, 6 * HOUR, 36 * HOUR)
 
 
-@query(f"WITH RECURSIVE {CORNERS.replace('FROM wide)', 'FROM wide WHERE speed IS NOT NULL)')} SELECT run, apex_us, start_us, end_us FROM cor")
+@query(f"WITH RECURSIVE {WIDE}, {CORNERS_BODY} SELECT run, apex_us, start_us, end_us FROM cor")
 def trigger_then_minimum(spark, d):
     return corners(spark, d).select("run", "apex_us", "start_us", "end_us")
 
 
 SEGS = MERGED + ", segs AS (SELECT run, start_us, end_us FROM mrg WHERE n >= 3)"
-BACK = SEGS + ", " + island_cte("b", "wide", "brake > 15") + f""",
+BACK_BODY = island_cte("b", "wide", "brake > 15") + f""",
   bon AS (SELECT run, ts_us, min(ts_us) OVER (PARTITION BY run, isl) AS rs FROM b),
   bh AS (SELECT s.*, bon.rs, bon.ts_us AS last_on FROM segs s ASOF LEFT JOIN bon ON s.run = bon.run AND s.start_us > bon.ts_us),
   bs AS (SELECT run, start_us, end_us, CASE WHEN last_on >= start_us - {60 * HOUR} THEN greatest(rs, start_us - {60 * HOUR}) ELSE start_us END AS brake_start_us FROM bh),
   bst AS (SELECT bs.run, bs.start_us, max(brake) AS brake_peak, avg(susp) AS brake_mean FROM bs JOIN wide ON bs.run = wide.run
     AND ts_us >= brake_start_us AND ts_us < start_us GROUP BY ALL),
   back AS (SELECT bs.*, start_us - brake_start_us AS brake_us, brake_peak, brake_mean FROM bs LEFT JOIN bst USING (run, start_us))"""
+BACK = SEGS + ", " + BACK_BODY
 
 
 def segments(spark, d, t=None):
@@ -345,15 +355,14 @@ def phase_forward_run(spark, d):
     return ev_ops.forward_run(segments(spark, d, t), t, "gas", 25, 3, 48 * HOUR)
 
 
-PHASES = f"""{BACK}, {CORE}, {FORWARD},
+PHASES_BODY = f"""{BACK_BODY}, {CORE}, {FORWARD},
   ph AS (SELECT row_number() OVER (PARTITION BY run ORDER BY start_us) AS corner_no, run, start_us, end_us, brake_us, brake_peak, core_us, speed_min,
     throttle_us - end_us AS exit_us, brake_us + core_us + throttle_us - end_us AS total_us
     FROM back JOIN core USING (run, start_us, end_us) JOIN fwd USING (run, start_us, end_us))"""
+PHASES = SEGS + ", " + PHASES_BODY
 
 
-def phases(spark, d):
-    t = wide(spark, d)
-    segs = segments(spark, d, t)
+def phases(t, segs):
     back = ev_ops.back_search(segs, t, "brake", 15, 60 * HOUR).select("run", "start_us", "end_us", "brake_us", "brake_peak")
     core = ev_ops.phase_core(segs, t, "speed", "susp", DAY).select("run", "start_us", "end_us", "core_us", "speed_min")
     fwd = ev_ops.forward_run(segs, t, "gas", 25, 3, 48 * HOUR).select("run", "start_us", "end_us", "exit_us")
@@ -363,7 +372,8 @@ def phases(spark, d):
 
 @query(f"WITH {PHASES} SELECT run, corner_no, brake_us, core_us, exit_us, total_us FROM ph")
 def corner_numbering(spark, d):
-    return phases(spark, d).select("run", "corner_no", "brake_us", "core_us", "exit_us", "total_us")
+    t = wide(spark, d)
+    return phases(t, segments(spark, d, t)).select("run", "corner_no", "brake_us", "core_us", "exit_us", "total_us")
 
 
 @query(f"""WITH {ENDS}, b AS (SELECT run, lap_no, greatest(start_us, 1704067200000000) AS start_us, ts_us AS end_us FROM ends),
@@ -380,7 +390,7 @@ def lap_event_stats(spark, d):
     return ev_ops.with_event_stats(base, ["run", "lap_no"], hard=(hard, [r6(F.avg("value")).alias("hard_mean")]))
 
 
-@query(f"""WITH RECURSIVE {ENTRY}, {KEPT}, {PEAKS.split(WIDE + ', ')[1].replace('i_f', 'j_f').replace('i_n', 'j_n').replace('i AS (', 'j AS (').replace('FROM i' + chr(10), 'FROM j' + chr(10))},
+@query(f"""WITH RECURSIVE {ENTRY}, {KEPT}, {PEAKS_BODY},
   a AS (SELECT run, count(*) AS n, round(avg(speed) + 1e-9, 6) AS speed, round(avg(susp) + 1e-9, 6) AS susp FROM wide GROUP BY run),
   e AS (SELECT run, count(*) AS entry_count, round(avg(speed) + 1e-9, 6) AS entry_speed FROM ent GROUP BY run),
   f AS (SELECT run, count(*) AS full_count, round(avg(peak) + 1e-9, 6) AS full_peak FROM pk GROUP BY run)

@@ -36,7 +36,7 @@ def ini_rows(files: DataFrame, first_section: str = "") -> DataFrame:
 
     A header is one row, so the section of a line is carried by a fold over its own lines: no shuffle.
     """
-    lines = F.transform(F.split(F.decode("content", F.lit("ISO-8859-1")), "\r?\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(F.decode("content", "ISO-8859-1"), "\r?\n"), lambda x: F.trim(x))
     start = F.struct(F.lit(first_section).alias("section"), F.array().cast("array<struct<section:string,line:string>>").alias("out"))
 
     def step(acc: Column, line: Column) -> Column:

@@ -11,7 +11,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     """Replace the table at ``path`` and report rows written and rows refused by ``valid``.
 
     With ``dry_run`` the same counts are computed and nothing is written. The counts come from the pass
-    that writes, so the input is read once.
+    that writes, so the input is read once. ``fmt="sheet"`` writes CSV with a header line per file.
     """
     seen = Observation()
     ok = F.coalesce(F.expr(valid), F.lit(False)) if valid else F.lit(True)
@@ -22,6 +22,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if dry_run:
         out.write.format("noop").mode("overwrite").save()
     else:
-        writer = out.write.format(fmt).mode("overwrite")
+        kind, options = ("csv", {"header": True}) if fmt == "sheet" else (fmt, {})
+        writer = out.write.format(kind).options(**options).mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
     return dict(seen.get)

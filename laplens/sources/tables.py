@@ -27,9 +27,10 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where
     return df.orderBy(*order) if order else df
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON array of records; the schema keeps dates as text."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_records(spark: SparkSession, path: str, schema: str, whole_files: bool = False) -> DataFrame:
+    """JSON records; the schema keeps dates as text. One record per line can be split over tasks, files
+    holding one JSON array (``whole_files``) cannot."""
+    return spark.read.schema(schema).json(path, multiLine=whole_files)
 
 
 def read_sheet(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
@@ -72,9 +73,9 @@ def report_sessions(cells: DataFrame) -> DataFrame:
         .groupBy("file", "sheet", "session_type").agg(F.max("col").alias("col"))
     pick = lambda row: F.max(F.when(F.col("row") == row, F.trim("value")))
     body = cells.filter(F.col("row").isin(9, 32, 34, 36, 37)).groupBy("file", "sheet", "col").agg(
-        lenient_double(pick(9)).alias("track_temp"), pick(32).alias("f_tyre"), pick(34).alias("r_tyre"),
+        lenient_double(pick(9), decimal_comma=True).alias("track_temp"), pick(32).alias("f_tyre"), pick(34).alias("r_tyre"),
         lenient_long(pick(36)).alias("total_laps"), lap_seconds(pick(37)).alias("best_lap_s"))
-    air = cells.filter("row = 9").select("file", "sheet", (F.col("col") - 1).alias("col"), lenient_double(F.col("value")).alias("air_temp"))
+    air = cells.filter("row = 9").select("file", "sheet", (F.col("col") - 1).alias("col"), lenient_double(F.col("value"), decimal_comma=True).alias("air_temp"))
     found = labels.join(body, ["file", "sheet", "col"]).join(air, ["file", "sheet", "col"], "left")
     return found.filter(F.coalesce("total_laps", F.lit(0)) > 0).join(report_head(cells), ["file", "sheet"])
 

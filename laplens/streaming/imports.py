@@ -21,25 +21,19 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, fmt: str
             .option("maxFilesPerTrigger", files_per_batch).load(folder))
 
 
-def stored(spark: SparkSession, target: str, schema) -> DataFrame:
-    """Table built so far (empty before the first batch)."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
-    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(target)
-
-
 def import_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str,
                after: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
     """Store the first row of each new key. ``after(new_rows, batch)`` sees what a batch added.
     ``every`` polls at an interval; without it the files present are processed and the query ends."""
     schema = stream.schema
+    layout = StructType([*schema.fields, StructField("batch", LongType())])
+    # an empty folder makes the table readable before the first batch
+    stream.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = keep_one(batch, keys, F.col(order), latest=False)
-        known = stored(spark, target, schema).filter(F.col("batch") != number).select(*keys)
+        known = spark.read.schema(layout).parquet(target).filter(F.col("batch") != number).select(*keys)
         part = f"{target}/batch={number}"
         first.join(known, keys, "left_anti").write.mode("overwrite").parquet(part)
         if after:
