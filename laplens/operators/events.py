@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laplens.operators.ordered import Track, before, number, quantiles, with_group_stats
+from laplens.operators.ordered import Track, before, quantiles, with_group_stats
 from laplens.operators.signal import (SECOND, asof, asof_next, derivative, interval_join, islands, label_islands,
                                       long_enough, merge_islands, min_gap, smooth_time)
 
@@ -28,7 +28,7 @@ def band_areas(t: Track, bands: dict[str, tuple[float, float]], merge_gap: int,
     sums = [F.sum(c).alias(f"_s_{o}") for o, c in means.items()] + [F.count(c).alias(f"_n_{o}") for o, c in means.items()]
     found = islands(t, all_bands(bands), *sums)
     again = [F.sum(f"_s_{o}").alias(f"_s_{o}") for o in means] + [F.sum(f"_n_{o}").alias(f"_n_{o}") for o in means]
-    merged = merge_islands(found, t.keys, merge_gap, F.sum("n").alias("n"), *again)
+    merged = merge_islands(found, t.keys, merge_gap, F.sum("n").alias("n"), *again, like=t)
     out = long_enough(merged, min_rows=min_rows)
     out = out.withColumn("mid_us", F.floor((F.col("start_us") + F.col("end_us")) / 2))
     return out.withColumns({o: F.col(f"_s_{o}") / F.col(f"_n_{o}") for o in means}) \
@@ -51,9 +51,9 @@ def entry_points(t: Track, speed: str, decel: float = -8.0, min_speed: float = 8
     t = derivative(t, "_sv", "_a", unit)
     found = islands(t, (F.col("_a") < decel) & (F.col(speed) >= min_speed))
     starts = long_enough(found, min_rows=min_rows).select(*t.keys, "start_us")
-    kept = min_gap(starts, t.keys, "start_us", gap)
+    kept = min_gap(starts, t.keys, "start_us", gap, like=t)
     wanted = kept.withColumn(t.ts, F.col("start_us") - look_back)
-    return asof(wanted, t.df, t.keys, t.ts, values or [speed]).withColumnRenamed(t.ts, "entry_us")
+    return asof(wanted, t.df, t.keys, t.ts, values or [speed], like=t).withColumnRenamed(t.ts, "entry_us")
 
 
 def peak_areas(t: Track, level: str, speed: str, threshold: float = 1.0, min_speed: float = 80.0,
@@ -76,16 +76,17 @@ def unit_scaled(rows: DataFrame, keys: list[str], value: str, limit_median: floa
             .withColumn(out, F.when(fine, F.col(value) / divisor).otherwise(F.col(value))).drop("_med"))
 
 
-def edge_stats(rows: DataFrame, keys: list[str], order: list[Column], value: str, lo: float, hi: float,
-               share: float = 0.05, min_edge: int = 10, min_valid: int = 4) -> DataFrame:
+def edge_stats(t: Track, value: str, lo: float, hi: float, share: float = 0.05, min_edge: int = 10,
+               min_valid: int = 4) -> DataFrame:
     """Start and end level (medians of the first and last rows), mean and change of a run's valid values."""
-    placed = number(rows, keys, order, "_rn", "_n")
+    placed = t.number("_rn", "_n").df
     edge = F.greatest(F.lit(min_edge), F.floor(F.col("_n") * share))
     valid = (F.col(value) > lo) & (F.col(value) < hi)
-    base = placed.filter(valid).groupBy(*keys).agg(F.avg(value).alias("avg_val"), F.count(F.lit(1)).alias("n_valid"))
-    head = quantiles(placed.filter(valid & (F.col("_rn") <= edge)), keys, value, {"start_val": 0.5})
-    tail = quantiles(placed.filter(valid & (F.col("_rn") > F.col("_n") - edge)), keys, value, {"end_val": 0.5})
-    return (base.filter(F.col("n_valid") >= min_valid).join(head, keys, "left").join(tail, keys, "left")
+    base = placed.filter(valid).groupBy(*t.keys).agg(F.avg(value).alias("avg_val"), F.count(F.lit(1)).alias("n_valid"))
+    fits = True if t.fits else None
+    head = quantiles(placed.filter(valid & (F.col("_rn") <= edge)), t.keys, value, {"start_val": 0.5}, fits=fits)
+    tail = quantiles(placed.filter(valid & (F.col("_rn") > F.col("_n") - edge)), t.keys, value, {"end_val": 0.5}, fits=fits)
+    return (base.filter(F.col("n_valid") >= min_valid).join(head, t.keys, "left").join(tail, t.keys, "left")
             .withColumn("delta_val", F.col("end_val") - F.col("start_val")))
 
 
@@ -110,7 +111,7 @@ def brake_corners(t: Track, brake: str, speed: str, threshold: float = 0.5, min_
     spans = peaks.select(*t.keys, "peak_us", (F.col("peak_us") + search).alias("_hi"))
     near = interval_join(t.df.select(*t.keys, t.ts, speed), spans, t.keys, t.ts, "peak_us", "_hi", search)
     apex = near.groupBy(*t.keys, "peak_us").agg(F.min(F.struct(speed, t.ts)).getField(t.ts).alias("apex_us"))
-    kept = min_gap(apex, t.keys, "apex_us", gap)
+    kept = min_gap(apex, t.keys, "apex_us", gap, like=t)
     return kept.withColumns({"start_us": F.col("apex_us") - half, "end_us": F.col("apex_us") + half})
 
 
@@ -132,7 +133,7 @@ def back_search(segments: DataFrame, t: Track, brake: str, threshold: float = 0.
     marked = with_group_stats(on.select(*t.keys, t.ts, "_run"), [*t.keys, "_run"], F.min(t.ts).alias("_run_start"))
     wanted = segments.withColumn(t.ts, F.col("start_us"))
     marked = marked.withColumn("_last_on", F.col(t.ts))
-    hit = asof(wanted, marked, t.keys, t.ts, ["_run_start", "_last_on"], strict=True).drop(t.ts)
+    hit = asof(wanted, marked, t.keys, t.ts, ["_run_start", "_last_on"], strict=True, like=t).drop(t.ts)
     reach = F.col("start_us") - look_back
     start = F.when(F.col("_last_on") >= reach, F.greatest(F.col("_run_start"), reach)).otherwise(F.col("start_us"))
     out = hit.withColumn("brake_start_us", F.coalesce(start, F.col("start_us"))).drop("_run_start", "_last_on")
@@ -168,7 +169,7 @@ def forward_run(segments: DataFrame, t: Track, level: str, threshold: float = 6.
     hits = on.df.filter("_all").select(*t.keys, F.col("_back").alias("_at"), F.col("_back").alias("run_start"),
                                        F.col(t.ts).alias("run_end"))
     wanted = segments.withColumn("_at", F.col("end_us"))
-    out = asof_next(wanted, hits, t.keys, "_at", ["run_start", "run_end"])
+    out = asof_next(wanted, hits, t.keys, "_at", ["run_start", "run_end"], like=t)
     found = F.col("run_end") < F.col("end_us") + cap
     return (out.withColumn("throttle_us", F.when(found, F.col("run_start")).otherwise(F.col("end_us") + cap))
             .withColumn("found", F.coalesce(found, F.lit(False)))
@@ -176,10 +177,10 @@ def forward_run(segments: DataFrame, t: Track, level: str, threshold: float = 6.
             .withColumn("exit_us", F.col("throttle_us") - F.col("end_us")).drop("_at", "run_start", "run_end"))
 
 
-def numbered_corners(phases: DataFrame, lap_keys: list[str], start: str, parts: list[str]) -> DataFrame:
+def numbered_corners(phases: DataFrame, t: Track, start: str, parts: list[str]) -> DataFrame:
     """Corner number within the lap and total time over the phase columns ``parts``."""
     total = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0)))
-    return number(phases, lap_keys, [F.col(start)], "corner_no").withColumn("total_us", total)
+    return t.derive(phases, start).number("corner_no").df.withColumn("total_us", total)
 
 
 def nan_safe(*cols: str, digits: int = 2) -> list[Column]:

@@ -30,9 +30,21 @@ def group_limit(df: DataFrame, limit: int | None = None) -> int:
     return int(df.sparkSession.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
 
 
+_SIZES: dict[tuple, tuple] = {}
+
+
+def _measure(stats: DataFrame) -> tuple:
+    """One-row statistics, kept per plan: a size only chooses between two exact ways, so an old one
+    cannot change a result."""
+    key = (stats.sparkSession.sparkContext.applicationId, stats.semanticHash())
+    if key not in _SIZES:
+        _SIZES[key] = tuple(stats.first())
+    return _SIZES[key]
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return counts.agg(F.max("__rows")).first()[0] or 0
+    return _measure(counts.agg(F.max("__rows")))[0] or 0
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -188,10 +200,11 @@ class Track:
         cap = group_limit(df, limit)
         stats = (df.groupBy(*keys)
                  .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-                 .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first())
-        if not stats["n"] or stats["n"] <= cap:
+                 .agg(F.max("n"), F.min("lo"), F.max("hi")))
+        most, lo, hi = _measure(stats)
+        if not most or most <= cap:
             return cls(df, keys, ts, tie)
-        width = max(1, (stats["hi"] - stats["lo"] + 1) * cap // stats["n"])
+        width = max(1, (hi - lo + 1) * cap // most)
         while width > 1:
             slot = F.floor(F.col(ts) / F.lit(width)).alias("__slot")
             if largest_group(df.select(*keys, slot), [*keys, "__slot"]) <= cap:
@@ -202,6 +215,28 @@ class Track:
     def _on(self, df: DataFrame) -> Track:
         return Track(df, self.keys, self.ts, self.tie, self.width)
 
+    def derive(self, df: DataFrame, ts: str, keys: list[str] | None = None, tie: tuple = ()) -> Track:
+        """Track over events found in this one. They are at most as many as its rows, in every slice, so
+        the outcome of the size check holds for them without another pass."""
+        return Track(df, keys or self.keys, ts, tie, self.width)
+
+    @property
+    def fits(self) -> bool:
+        return self.width is None
+
+    def persisted(self) -> Track:
+        """Keep the rows for several readers; they stay partitioned by group (and slice)."""
+        return self._on(self.df.persist())
+
+    def number(self, rn: str, n: str | None = None) -> Track:
+        """1-based position in clock order and group size."""
+        out = self.scan(**{rn: running(F.lit(1).cast("long"))})
+        if n is None:
+            return out
+        if self.fits:
+            return out.columns(**{n: F.count(F.lit(1)).over(Window.partitionBy(*self.keys))})
+        return self._on(with_group_stats(out.df, self.keys, F.count(F.lit(1)).alias(n)))
+
     def columns(self, **cols: Column) -> Track:
         return self._on(self.df.withColumns(cols))
 
@@ -296,14 +331,15 @@ def keep_one(df: DataFrame, keys: list[str], order: Column, latest: bool = True)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-              limit: int | None = None) -> DataFrame:
+              limit: int | None = None, fits: bool | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between the two nearest positions.
 
     Spark's ``percentile`` keeps a group's values in one buffer, so it serves bounded groups; larger
-    groups are positioned by range and only the two rows around each quantile are looked at.
+    groups are positioned by range and only the two rows around each quantile are looked at. ``fits``
+    states a size check already made.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    if largest_group(rows, keys) <= group_limit(df, limit):
+    if fits if fits is not None else largest_group(rows, keys) <= group_limit(df, limit):
         names, points = list(qs), [float(q) for q in qs.values()]
         out = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("__q"))
         return out.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

@@ -42,10 +42,14 @@ def matrix(df: DataFrame, rows: list[str], col: str, values: list, value: str, o
 
 
 def correlations(df: DataFrame, params: list[str], target: str, groups: list[str] | None = None, k: int = 3) -> DataFrame:
-    """Pearson r of each parameter with ``target`` over pairs that have both, at least ``k`` of them."""
+    """Pearson r of each parameter with ``target`` over pairs that have both, at least ``k`` of them.
+
+    All parameters are aggregated in one pass; only the one-row-per-group result is turned to rows.
+    """
     groups = groups or []
-    long = measures_long(df.filter(F.col(target).isNotNull()), [*groups, target], params, "param", "x")
-    out = long.groupBy(*groups, "param").agg(F.corr("x", target).alias("r"), F.count(F.lit(1)).alias("n"))
+    both = {p: F.col(p).isNotNull() & F.col(target).isNotNull() for p in params}
+    wide = df.groupBy(*groups).agg(*[F.struct(F.corr(p, target).alias("r"), F.count_if(both[p]).alias("n")).alias(p) for p in params])
+    out = wide.unpivot(groups, params, "param", "_s").select(*groups, "param", "_s.r", "_s.n")
     return out.filter(F.col("n") >= k)
 
 
@@ -58,8 +62,8 @@ def fitted_lines(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def sector_ranks(df: DataFrame, keys: list[str], rider: str, sectors: list[str]) -> DataFrame:
     """Best value per sector and rider, gap to the sector's best and rank (equal values share one)."""
-    long = measures_long(df, [*keys, rider], sectors, "sector", "value")
-    best = long.groupBy(*keys, rider, "sector").agg(F.min("value").alias("best"))
+    wide = df.groupBy(*keys, rider).agg(*[F.min(c).alias(c) for c in sectors])
+    best = measures_long(wide, [*keys, rider], sectors, "sector", "best")
     group = [*keys, "sector"]
     best = with_group_stats(best, group, F.min("best").alias("_top"))
     placed = number(best, group, [F.col("best"), F.col(rider)], "_rn")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laplens.operators.ordered import Track, after, before, group_limit, largest_group, last_seen, number
+from laplens.operators.ordered import Track, after, before, group_limit, last_seen, running
 
 SECOND = 1_000_000
 
@@ -26,10 +26,10 @@ def sample_rate(samples: DataFrame, ends: DataFrame, keys: list[str], end_ms: st
 def lap_bounds(ends: DataFrame, keys: list[str], end: str, start: str | None = None,
                limit: int | None = None) -> DataFrame:
     """Cumulative lap ends to (lap_no, start, end, duration). Lap 0 begins at ``start`` (default 0)."""
-    rows = number(ends, keys, [F.col(end)], "lap_no", limit=limit).withColumn("lap_no", F.col("lap_no") - 1)
-    t = Track.open(rows, keys, end, limit=limit).scan(_prev=before(F.col(end)))
+    t = Track.open(ends, keys, end, limit=limit).scan(
+        lap_no=running(F.lit(1).cast("long")), _prev=before(F.col(end)))
     origin = F.col(start) if start else F.lit(0).cast("long")
-    return (t.df.withColumn("start_us", F.coalesce(F.col("_prev"), origin))
+    return (t.df.withColumn("lap_no", F.col("lap_no") - 1).withColumn("start_us", F.coalesce(F.col("_prev"), origin))
             .withColumn("end_us", F.col(end)).drop("_prev")
             .withColumn("duration_us", F.col("end_us") - F.col("start_us")))
 
@@ -55,24 +55,26 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], ts: str,
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], ts: str, cols: list[str],
-         strict: bool = False, limit: int | None = None) -> DataFrame:
-    """Latest ``cols`` of ``right`` at or before (``strict``: before) each row of ``left``."""
+         strict: bool = False, limit: int | None = None, like: Track | None = None) -> DataFrame:
+    """Latest ``cols`` of ``right`` at or before (``strict``: before) each row of ``left``. ``like``: the
+    track both sides were found in."""
     rest = [c for c in left.columns if c not in (*keys, ts)]
     lrow = left.select(*keys, ts, F.lit(0 if strict else 1).alias("_side"), F.lit(True).alias("_is_left"),
                        F.struct(*(rest or [F.lit(1).alias("_x")])).alias("_l"))
     rrow = right.select(*keys, ts, F.lit(1 if strict else 0).alias("_side"), F.lit(False).alias("_is_left"),
                         F.struct(*cols).alias("_r"))
     both = lrow.unionByName(rrow, allowMissingColumns=True)
-    t = Track.open(both, keys, ts, ("_side",), limit).scan(_hit=last_seen(F.col("_r")))
+    t = like.derive(both, ts, keys, ("_side",)) if like else Track.open(both, keys, ts, ("_side",), limit)
+    t = t.scan(_hit=last_seen(F.col("_r")))
     return t.df.filter("_is_left").select(*keys, ts, *[F.col(f"_l.{c}").alias(c) for c in rest],
                                           *[F.col(f"_hit.{c}").alias(c) for c in cols])
 
 
 def asof_next(left: DataFrame, right: DataFrame, keys: list[str], ts: str, cols: list[str],
-              limit: int | None = None) -> DataFrame:
+              limit: int | None = None, like: Track | None = None) -> DataFrame:
     """Earliest ``cols`` of ``right`` at or after each row of ``left``."""
     flip = lambda df: df.withColumn(ts, -F.col(ts))
-    return flip(asof(flip(left), flip(right), keys, ts, cols, limit=limit))
+    return flip(asof(flip(left), flip(right), keys, ts, cols, limit=limit, like=like))
 
 
 def spread_channels(samples: DataFrame, keys: list[str], ts: str, channel: str, value: str,
@@ -95,14 +97,14 @@ def smooth_time(t: Track, col: str, width: int, out: str) -> Track:
     return t.frame(-(width // 2), width // 2, **{out: F.avg(col)})
 
 
-def smooth_rows(df: DataFrame, keys: list[str], order: list[Column], col: str, w: int, out: str,
-                limit: int | None = None) -> DataFrame:
+def smooth_rows(t: Track, col: str, w: int, out: str) -> Track:
     """Centred mean over ``w`` rows; missing rows at the ends count as zero, an even ``w`` leans back."""
-    placed = number(df, keys, order, "_at", limit=limit)
+    placed = t.number("_at").df
     half = w // 2
-    t = Track.open(placed, keys, "_at", limit=limit)
-    t = t.frame(-half, half if w % 2 else half - 1, _sum=F.sum(col))
-    return t.df.withColumn(out, F.col("_sum") / w).drop("_sum", "_at")
+    # positions are dense, so slices of the row limit hold exactly that many rows
+    by_row = Track(placed, t.keys, "_at", width=None if t.fits else group_limit(placed))
+    by_row = by_row.frame(-half, half if w % 2 else half - 1, _sum=F.sum(col))
+    return t._on(by_row.df.withColumn(out, F.col("_sum") / w).drop("_sum", "_at"))
 
 
 def derivative(t: Track, col: str, out: str, unit: int = SECOND) -> Track:
@@ -175,9 +177,10 @@ def islands(t: Track, mask: Column, *aggs: Column, start: str = "start_us", end:
 
 
 def merge_islands(spans: DataFrame, keys: list[str], max_gap: int, *aggs: Column, start: str = "start_us",
-                  end: str = "end_us", limit: int | None = None) -> DataFrame:
-    """Join islands whose distance is at most ``max_gap``."""
-    t = Track.open(spans, keys, start, limit=limit).scan(_prev=before(F.col(end)))
+                  end: str = "end_us", limit: int | None = None, like: Track | None = None) -> DataFrame:
+    """Join islands whose distance is at most ``max_gap``. ``like``: the track they were found in."""
+    t = like.derive(spans, start) if like else Track.open(spans, keys, start, limit=limit)
+    t = t.scan(_prev=before(F.col(end)))
     fresh = F.when(F.col("_prev").isNull() | (F.col(start) - F.col("_prev") > max_gap), F.col(start))
     t = t.columns(_fresh=fresh).scan(_first=last_seen(F.col("_fresh")))
     return (t.df.groupBy(*keys, "_first")
@@ -209,28 +212,28 @@ def _fold(arr: Column, gap: int, carry: Column | None = None) -> Column:
     return kept if carry is None else F.filter(kept, lambda x: carry.isNull() | (x > carry))
 
 
-def min_gap(events: DataFrame, keys: list[str], ts: str, gap: int, limit: int | None = None) -> DataFrame:
+def min_gap(events: DataFrame, keys: list[str], ts: str, gap: int, limit: int | None = None,
+            like: Track | None = None) -> DataFrame:
     """(keys, ts) of events accepted when at least ``gap`` after the last accepted one.
 
     An event ``gap`` or more after its predecessor is accepted whatever happened earlier, so the chain
-    falls into independent clusters. A cluster is folded in one piece while it is small. A bigger one is
-    cut by the clock: for each slice the few possible first accepted events are followed to the slice's
+    falls into independent clusters. A cluster is folded in one piece where groups are small. Otherwise it
+    is cut by the clock: for each slice the few possible first accepted events are followed to the slice's
     last accepted event, these short lists are chained per cluster, and every slice is folded from the
-    carried state.
+    carried state. ``like``: the track the events were found in.
     """
-    cap = group_limit(events, limit)
-    t = Track.open(events.select(*keys, ts).distinct(), keys, ts, limit=limit).scan(_prev=before(F.col(ts)))
+    times = events.select(*keys, ts).distinct()
+    t = like.derive(times, ts, keys) if like else Track.open(times, keys, ts, limit=limit)
+    t = t.scan(_prev=before(F.col(ts)))
     fresh = F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= gap), F.col(ts))
     t = t.columns(_fresh=fresh).scan(_cluster=last_seen(F.col("_fresh")))
     rows = t.df.select(*keys, "_cluster", ts)
     group = [*keys, "_cluster"]
-    largest = largest_group(rows, group)
-    if largest <= cap:
+    if t.fits:
         arrs = rows.groupBy(*group).agg(F.sort_array(F.collect_list(ts)).alias("_a"))
         return arrs.select(*keys, F.explode(_fold(F.col("_a"), gap)).alias(ts))
 
-    dense = Track.open(rows, group, ts, limit=limit)
-    width = max(dense.width or 1, gap)
+    width = max(t.width, gap)
     slot = F.floor((F.col(ts) - F.col("_cluster")) / width)
     arrs = (rows.withColumn("_slot", slot).groupBy(*group, "_slot")
             .agg(F.sort_array(F.collect_list(ts)).alias("_a")))
@@ -259,11 +262,12 @@ def min_gap(events: DataFrame, keys: list[str], ts: str, gap: int, limit: int |
 
 
 def min_gap_keep_larger(events: DataFrame, keys: list[str], ts: str, level: str, gap: int,
-                        limit: int | None = None) -> DataFrame:
+                        limit: int | None = None, like: Track | None = None) -> DataFrame:
     """As :func:`min_gap`, but an event inside the gap takes over when its ``level`` is larger; the gap
     keeps counting from the event accepted first."""
-    anchors = min_gap(events, keys, ts, gap, limit).withColumn("_anchor", F.col(ts))
-    tied = asof(events, anchors, keys, ts, ["_anchor"], limit=limit)
+    like = like or Track.open(events, keys, ts, limit=limit)
+    anchors = min_gap(events, keys, ts, gap, like=like).withColumn("_anchor", F.col(ts))
+    tied = asof(events, anchors, keys, ts, ["_anchor"], like=like)
     row = F.struct(*[F.col(c) for c in events.columns])
     return (tied.groupBy(*keys, "_anchor")
             .agg(F.max_by(row, F.struct(F.col(level), -F.col(ts))).alias("_row"))

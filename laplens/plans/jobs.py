@@ -34,13 +34,14 @@ T0 = 1_704_067_200_000_000
   FROM a LEFT JOIN b1 USING (run) LEFT JOIN b2 USING (run) LEFT JOIN b3 USING (run) LEFT JOIN b4 USING (run)""")
 def job_run_dynamics(spark, d):
     """Per run: apex areas, limiter zones, brake entries and full braking."""
-    base = wide(spark, d).df.groupBy("run").agg(F.count("*").alias("samples"), F.max("speed").alias("top_speed"))
+    t = wide(spark, d).persisted()
+    base = t.df.groupBy("run").agg(F.count("*").alias("samples"), F.max("speed").alias("top_speed"))
     return ev_ops.with_event_stats(
         base, ["run"],
-        apex=(areas(spark, d), [r6(F.avg("susp")).alias("apex_susp")]),
-        pit=(zones(spark, d), [r6(F.avg("mean_speed")).alias("pit_speed")]),
-        brk=(entries(spark, d), [r6(F.avg("speed")).alias("brk_speed"), r6(F.avg("susp")).alias("brk_susp")]),
-        full=(full_braking(spark, d), [r6(F.avg("mean_susp")).alias("full_susp")]))
+        apex=(areas(spark, d, t), [r6(F.avg("susp")).alias("apex_susp")]),
+        pit=(zones(spark, d, t), [r6(F.avg("mean_speed")).alias("pit_speed")]),
+        brk=(entries(spark, d, t), [r6(F.avg("speed")).alias("brk_speed"), r6(F.avg("susp")).alias("brk_susp")]),
+        full=(full_braking(spark, d, t), [r6(F.avg("mean_susp")).alias("full_susp")]))
 
 
 LAP_SPANS = f"""lb AS (SELECT run, lap_no, greatest(start_us, {T0}) AS lap_start, ts_us AS lap_end FROM ends)"""
@@ -62,12 +63,12 @@ def in_laps(spark, d, rows, at):
     coalesce(fullbrk_count, 0) AS fullbrk_count, fullbrk_susp FROM x LEFT JOIN a1 USING (run, lap_no) LEFT JOIN a2 USING (run, lap_no)""")
 def job_lap_suspension(spark, d):
     """Per lap: whole-lap suspension statistics and event means."""
-    t = wide(spark, d)
+    t = wide(spark, d).persisted()
     rows = in_laps(spark, d, t.df.select("run", "ts_us", "susp"), "ts_us")
     base = rows.groupBy("run", "lap_no", "lap_start", "lap_end").agg(r6(F.avg("susp")).alias("susp_mean"), F.min("susp").alias("susp_min"),
                                                                     F.max("susp").alias("susp_max"))
-    apex = in_laps(spark, d, areas(spark, d).select("run", "start_us", "susp"), "start_us")
-    full = in_laps(spark, d, full_braking(spark, d).select("run", "start_us", "mean_susp"), "start_us")
+    apex = in_laps(spark, d, areas(spark, d, t).select("run", "start_us", "susp"), "start_us")
+    full = in_laps(spark, d, full_braking(spark, d, t).select("run", "start_us", "mean_susp"), "start_us")
     out = ev_ops.with_event_stats(base, ["run", "lap_no"], apex=(apex, [r6(F.avg("susp")).alias("apex_susp")]),
                                   fullbrk=(full, [r6(F.avg("mean_susp")).alias("fullbrk_susp")]))
     return out.withColumns({"lap_id": lap_id(F.col("run").cast("string"), F.col("lap_no")),
@@ -81,10 +82,10 @@ def job_lap_suspension(spark, d):
   {PHASES_BODY} SELECT run, corner_no, start_us, end_us, brake_us, brake_peak, core_us, speed_min, exit_us, total_us FROM ph""")
 def job_corner_phases(spark, d):
     """Per corner: braking, apex and exit phases; runs with too few apex areas use the braking detector."""
-    t = wide(spark, d)
+    t = wide(spark, d).persisted()
     cols = ["run", "start_us", "end_us"]
     weak = (F.col("n_first") == 0) | (F.col("n_first") < F.col("n_second") * 0.5)
-    segs = ev_ops.choose_detector(areas(spark, d).select(cols), corners(spark, d).select(cols), ["run"], weak).select(cols)
+    segs = ev_ops.choose_detector(areas(spark, d, t).select(cols), corners(spark, d, t).select(cols), ["run"], weak).select(cols)
     return phases(t, segs).select("run", "corner_no", "start_us", "end_us", "brake_us", "brake_peak", "core_us", "speed_min", "exit_us", "total_us")
 
 

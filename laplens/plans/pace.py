@@ -139,10 +139,10 @@ def per_lap_summary(spark, d):
 def phase_fast_slow_delta(spark, d):
     th = pace.thirds(runs(spark, d), ["session"], "best", ["run"]).select("run", "session", "is_fast", "is_slow")
     j = raw_laps(spark, d).select("run", "l_linenumber", F.col("l_quantity").alias("qty"), F.col("t").alias("price")).join(th, "run")
-    long = reshape.measures_long(j, ["session", "l_linenumber", "is_fast", "is_slow"], ["qty", "price"], "phase", "v")
-    g = long.groupBy("session", "l_linenumber", "phase").agg(F.avg(F.when(F.col("is_fast"), F.col("v"))).alias("f"),
-                                                            F.avg(F.when(F.col("is_slow"), F.col("v"))).alias("s"))
-    return g.filter("f is not null and s is not null").select("session", "l_linenumber", "phase", r6(F.col("s") - F.col("f")).alias("delta"))
+    aggs = [F.avg(F.when(F.col(f"is_{k}"), F.col(c))).alias(f"{k}_{c}") for c in ("qty", "price") for k in ("fast", "slow")]
+    g = j.groupBy("session", "l_linenumber").agg(*aggs)
+    gaps = g.select("session", "l_linenumber", *[(F.col(f"slow_{c}") - F.col(f"fast_{c}")).alias(c) for c in ("qty", "price")])
+    return reshape.measures_long(gaps, ["session", "l_linenumber"], ["qty", "price"], "phase", "delta").withColumn("delta", r6("delta"))
 
 
 @query(f"""WITH {LR}, m AS (SELECT session, rider, avg(t) AS mean FROM lr GROUP BY ALL) SELECT session, round(min(mean) + 1e-9, 6) AS best_mean FROM m GROUP BY session""")

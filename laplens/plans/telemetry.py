@@ -73,10 +73,8 @@ def moving_average_time(spark, d):
   round(sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 + 1e-9, 6) AS even FROM ev
   WINDOW w AS (PARTITION BY run ORDER BY ts_us, event_id)""")
 def moving_average_rows(spark, d):
-    order = [F.col("ts_us"), F.col("event_id")]
-    a = sig.smooth_rows(samples(spark, d), ["run"], order, "value", 7, "odd")
-    b = sig.smooth_rows(a, ["run"], order, "value", 4, "even")
-    return b.select("run", "event_id", r6("odd").alias("odd"), r6("even").alias("even"))
+    t = sig.smooth_rows(track(spark, d), "value", 7, "odd")
+    return sig.smooth_rows(t, "value", 4, "even").df.select("run", "event_id", r6("odd").alias("odd"), r6("even").alias("even"))
 
 
 def slope_cte(source, col, out="g", unit=HOUR):
@@ -177,8 +175,9 @@ MERGED = WIDE + ", " + MERGED_BODY
 
 @query(f"WITH {MERGED} SELECT run, start_us, end_us, n FROM mrg")
 def merge_islands(spark, d):
-    found = sig.islands(wide(spark, d), ev_ops.all_bands(BANDS))
-    return sig.merge_islands(found, ["run"], 12 * HOUR, F.sum("n").alias("n"))
+    t = wide(spark, d)
+    found = sig.islands(t, ev_ops.all_bands(BANDS))
+    return sig.merge_islands(found, ["run"], 12 * HOUR, F.sum("n").alias("n"), like=t)
 
 
 @query(f"WITH {AREAS} SELECT run, start_us, end_us, n FROM isl WHERE n >= 3 AND end_us - start_us >= {6 * HOUR}")
@@ -186,8 +185,8 @@ def long_islands(spark, d):
     return sig.long_enough(sig.islands(wide(spark, d), ev_ops.all_bands(BANDS)), min_rows=3, min_span=6 * HOUR)
 
 
-def areas(spark, d):
-    return ev_ops.band_areas(wide(spark, d), BANDS, 12 * HOUR, 3, {"susp": "susp"})
+def areas(spark, d, t=None):
+    return ev_ops.band_areas(t or wide(spark, d), BANDS, 12 * HOUR, 3, {"susp": "susp"})
 
 
 @query(f"WITH {MERGED} SELECT run, start_us, end_us, n, (start_us + end_us) // 2 AS mid_us, round(susp + 1e-9, 6) AS susp FROM mrg WHERE n >= 3")
@@ -201,14 +200,13 @@ LIMITER_BODY = f"""sml AS (SELECT *, avg(speed) OVER (PARTITION BY run ORDER BY
     HAVING max(ts_us) - min(ts_us) >= {12 * HOUR})"""
 
 
-def zones(spark, d):
-    return ev_ops.limiter_zones(wide(spark, d), "speed", 20, 60, 12 * HOUR, 12 * HOUR, {"mean_speed": "speed", "mean_susp": "susp"})
+def zones(spark, d, t=None):
+    return ev_ops.limiter_zones(t or wide(spark, d), "speed", 20, 60, 12 * HOUR, 12 * HOUR, {"mean_speed": "speed", "mean_susp": "susp"})
 
 
 @query(f"WITH {WIDE}, {LIMITER_BODY} SELECT run, start_us, end_us, n, round(speed + 1e-9, 6) AS speed, round(susp + 1e-9, 6) AS susp FROM z")
 def limiter_zones(spark, d):
     return zones(spark, d).select("run", "start_us", "end_us", "n", r6("mean_speed").alias("speed"), r6("mean_susp").alias("susp"))
-    return z.select("run", "start_us", "end_us", "n", r6("mean_speed").alias("speed"), r6("mean_susp").alias("susp"))
 
 
 ENTRY_BODY = f"""sm AS (SELECT *, avg(speed / 3.6) OVER (PARTITION BY run ORDER BY ts_us
@@ -218,8 +216,8 @@ ENTRY_BODY = f"""sm AS (SELECT *, avg(speed / 3.6) OVER (PARTITION BY run ORDER
 ENTRY = WIDE + ", " + ENTRY_BODY
 
 
-def entries(spark, d):
-    return ev_ops.entry_points(wide(spark, d), "speed", decel=-0.1, min_speed=10, min_rows=2, gap=24 * HOUR, look_back=2 * HOUR,
+def entries(spark, d, t=None):
+    return ev_ops.entry_points(t or wide(spark, d), "speed", decel=-0.1, min_speed=10, min_rows=2, gap=24 * HOUR, look_back=2 * HOUR,
                                smooth=6 * HOUR, values=["speed", "susp"], unit=HOUR)
 
 
@@ -242,8 +240,8 @@ PEAKS_BODY = island_cte("ip", "wide", "brake >= 20 AND speed >= 10") + f""",
 PEAKS = WIDE + ", " + PEAKS_BODY
 
 
-def full_braking(spark, d):
-    return ev_ops.peak_areas(wide(spark, d), "brake", "speed", 20, 10, 0.85, HOUR, {"mean_susp": "susp"})
+def full_braking(spark, d, t=None):
+    return ev_ops.peak_areas(t or wide(spark, d), "brake", "speed", 20, 10, 0.85, HOUR, {"mean_susp": "susp"})
 
 
 @query(f"WITH {PEAKS} SELECT run, start_us, end_us, n, peak, n_full, round(susp + 1e-9, 6) AS susp FROM pk")
@@ -269,7 +267,7 @@ EDGES = EV + """, p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t
 
 
 def edge_table(spark, d):
-    return ev_ops.edge_stats(samples(spark, d), ["run"], [F.col("ts_us"), F.col("event_id")], "value", 0.8, 200)
+    return ev_ops.edge_stats(track(spark, d), "value", 0.8, 200)
 
 
 @query(f"""WITH {EDGES} SELECT run, n_valid, round(avg_val + 1e-9, 6) AS avg_val, round(start_val + 1e-9, 6) AS start_val, round(end_val + 1e-9, 6) AS end_val,
@@ -299,8 +297,8 @@ CORNERS_BODY = "wides AS (SELECT * FROM wide WHERE speed IS NOT NULL), " + islan
   cor AS (SELECT run, apex_us, apex_us - {6 * HOUR} AS start_us, apex_us + {6 * HOUR} AS end_us FROM rc WHERE apex_us IS NOT NULL)"""
 
 
-def corners(spark, d):
-    t = wide(spark, d).filter(F.col("speed").isNotNull())
+def corners(spark, d, t=None):
+    t = (t or wide(spark, d)).filter(F.col("speed").isNotNull())
     return ev_ops.brake_corners(t, "brake", "speed", 30, 3 * HOUR, 48 * HOUR, 6 * HOUR, 36 * HOUR)
 
 
@@ -321,7 +319,7 @@ BACK = SEGS + ", " + BACK_BODY
 
 
 def segments(spark, d, t=None):
-    return ev_ops.band_areas(t or wide(spark, d), BANDS, 12 * HOUR, 3, {"susp": "susp"}).select("run", "start_us", "end_us")
+    return areas(spark, d, t).select("run", "start_us", "end_us")
 
 
 @query(f"WITH {BACK} SELECT run, start_us, brake_start_us, brake_us, brake_peak, round(brake_mean + 1e-9, 6) AS brake_mean FROM back")
@@ -367,12 +365,12 @@ def phases(t, segs):
     core = ev_ops.phase_core(segs, t, "speed", "susp", DAY).select("run", "start_us", "end_us", "core_us", "speed_min")
     fwd = ev_ops.forward_run(segs, t, "gas", 25, 3, 48 * HOUR).select("run", "start_us", "end_us", "exit_us")
     on = ["run", "start_us", "end_us"]
-    return ev_ops.numbered_corners(back.join(core, on).join(fwd, on), ["run"], "start_us", ["brake_us", "core_us", "exit_us"])
+    return ev_ops.numbered_corners(back.join(core, on).join(fwd, on), t, "start_us", ["brake_us", "core_us", "exit_us"])
 
 
 @query(f"WITH {PHASES} SELECT run, corner_no, brake_us, core_us, exit_us, total_us FROM ph")
 def corner_numbering(spark, d):
-    t = wide(spark, d)
+    t = wide(spark, d).persisted()
     return phases(t, segments(spark, d, t)).select("run", "corner_no", "brake_us", "core_us", "exit_us", "total_us")
 
 
@@ -397,10 +395,11 @@ def lap_event_stats(spark, d):
   SELECT a.*, coalesce(entry_count, 0) AS entry_count, entry_speed, coalesce(full_count, 0) AS full_count, full_peak
   FROM a LEFT JOIN e USING (run) LEFT JOIN f USING (run)""")
 def run_event_summary(spark, d):
-    base = wide(spark, d).df.groupBy("run").agg(F.count("*").alias("n"), r6(F.avg("speed")).alias("speed"), r6(F.avg("susp")).alias("susp"))
+    t = wide(spark, d)
+    base = t.df.groupBy("run").agg(F.count("*").alias("n"), r6(F.avg("speed")).alias("speed"), r6(F.avg("susp")).alias("susp"))
     return ev_ops.with_event_stats(base, ["run"],
-                                   entry=(entries(spark, d), [r6(F.avg("speed")).alias("entry_speed")]),
-                                   full=(full_braking(spark, d), [r6(F.avg("peak")).alias("full_peak")]))
+                                   entry=(entries(spark, d, t), [r6(F.avg("speed")).alias("entry_speed")]),
+                                   full=(full_braking(spark, d, t), [r6(F.avg("peak")).alias("full_peak")]))
 
 
 @query(f"""WITH {EV}, x AS (SELECT run, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM ev)
