@@ -135,13 +135,16 @@ def parse_date(c: Column, strict: bool = False) -> Column:
 
 
 def lap_seconds(c: Column) -> Column:
-    """``1:37.455``, ``1'38,7`` or a plain number of seconds; markers such as DNF are null."""
-    t = F.trim(c)
-    shape = r"^(\d+)[:'](\d+)[.,](\d+)"
-    mins, secs, frac = (F.regexp_extract(t, shape, i) for i in (1, 2, 3))
-    split = mins.try_cast("double") * 60 + F.concat_ws(".", secs, frac).try_cast("double")
-    return F.when(t.isin(NO_TIME), None).when(t.rlike(shape), F.round(split, 3)).otherwise(
-        F.round(t.try_cast("double"), 3))
+    """``1:37.455``, ``1'38,7`` or a plain number of seconds; markers such as DNF are null.
+
+    One replacement brings the split forms to ``minutes:seconds``; anything else must be a number.
+    """
+    plain = F.regexp_replace(F.trim(c), r"^(\d+)[:'](\d+)[.,](\d+).*$", "$1:$2.$3")
+    first = F.split_part(plain, F.lit(":"), F.lit(1)).try_cast("double")
+    rest = F.split_part(plain, F.lit(":"), F.lit(2))
+    # a colon without decimals was not a lap time, so nothing replaced it
+    split = F.when(F.contains(rest, F.lit(".")), first * 60 + rest.try_cast("double"))
+    return F.round(F.when(F.contains(plain, F.lit(":")), split).when(~plain.isin(NO_TIME), first), 3)
 
 
 def lap_text(c: Column, minute_mark: str = ":", digits: int = 3, missing: str = "—") -> Column:

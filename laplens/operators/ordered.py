@@ -272,15 +272,22 @@ class Track:
 
 
 def number(df: DataFrame, keys: list[str], order: list[Column], rn: str | None = "rn",
-           n: str | None = None, limit: int | None = None) -> DataFrame:
-    """1-based position ``rn`` and group size ``n``. ``order`` must be total within the group."""
-    sl = slice_by_range(df, keys, order, limit)
+           n: str | None = None, limit: int | None = None, bound: DataFrame | None = None,
+           **stats: Column) -> DataFrame:
+    """1-based position ``rn``, group size ``n`` and any group aggregates. ``order`` must be total.
+
+    ``bound``: a frame with the same keys and no fewer rows per group that is cheaper to count than
+    ``df`` (for example the table ``df`` was joined from).
+    """
+    small = bound is not None and largest_group(bound, keys) <= group_limit(df, limit)
+    sl = None if small else slice_by_range(df, keys, order, limit)
     if sl is None:
-        adds = {}
+        w = Window.partitionBy(*keys)
+        adds = {name: agg.over(w) for name, agg in stats.items()}
         if rn:
-            adds[rn] = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+            adds[rn] = F.row_number().over(w.orderBy(*order)).cast("long")
         if n:
-            adds[n] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+            adds[n] = F.count(F.lit(1)).over(w)
         return df.withColumns(adds)
     tally = sl.df.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"), F.min("__pos").alias("__first"))
     w = Window.partitionBy(*keys)
@@ -292,6 +299,8 @@ def number(df: DataFrame, keys: list[str], order: list[Column], rn: str | None =
         out = out.withColumn(rn, F.col("__before") + F.col("__pos") - F.col("__first") + 1)
     if n:
         out = out.withColumn(n, F.col("__n"))
+    if stats:
+        out = join_on(out, sl.df.groupBy(*keys).agg(*[a.alias(name) for name, a in stats.items()]), keys)
     return out.drop("__part", "__pos", "__c", "__first", "__before", "__n")
 
 

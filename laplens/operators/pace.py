@@ -33,11 +33,10 @@ def gap_to_best(df: DataFrame, keys: list[str], t: str, out: str = "gap", best:
     return with_group_stats(df, keys, F.min(t).alias(best)).withColumn(out, F.col(t) - F.col(best))
 
 
-def ranked(df: DataFrame, keys: list[str], t: str, tie: list[str]) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], t: str, tie: list[str], bound: DataFrame | None = None) -> DataFrame:
     """Position, group size, gap to the best and FAST / MED / SLOW tier within the group."""
-    out = number(df, keys, [F.col(t), *map(F.col, tie)], "rank", "rank_total")
-    out = gap_to_best(out, keys, t, "gap_to_best")
-    return out.withColumn("tier", tier(F.col("rank"), F.col("rank_total")))
+    out = number(df, keys, [F.col(t), *map(F.col, tie)], "rank", "rank_total", bound=bound, group_best=F.min(t))
+    return out.withColumns({"gap_to_best": F.col(t) - F.col("group_best"), "tier": tier(F.col("rank"), F.col("rank_total"))})
 
 
 def thirds(df: DataFrame, keys: list[str], t: str, tie: list[str]) -> DataFrame:
@@ -88,9 +87,9 @@ def best_flags(df: DataFrame, keys: list[str], t: str, eps: float = 0.002) -> Da
         .withColumn("is_best", F.abs(F.col(t) - F.col("_best")) < eps).drop("_best")
 
 
-def tier_means(df: DataFrame, keys: list[str], metrics: list[str], tier_col: str = "tier") -> DataFrame:
-    """Mean of each metric over FAST rows, SLOW rows and all, and FAST minus SLOW."""
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
+def tier_means(df: DataFrame, keys: list[str], metrics: list[str], *more: Column, tier_col: str = "tier") -> DataFrame:
+    """Mean of each metric over FAST rows, SLOW rows and all, and FAST minus SLOW; ``more`` aggregates ride along."""
+    aggs = [F.count(F.lit(1)).alias("n_rows"), *more]
     for m in metrics:
         for t in ("FAST", "SLOW"):
             aggs.append(F.avg(F.when(F.col(tier_col) == t, F.col(m))).alias(f"{t.lower()}_{m}"))

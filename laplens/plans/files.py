@@ -6,7 +6,7 @@ from laplens.functions.ids import event_id, lap_id, run_id
 from laplens.functions.text import lap_text, parse_date
 from laplens.operators.ordered import number
 from laplens.plans.registry import EV, LAPS, RUNS, laps, query, r6, runs, samples, table
-from laplens.session import fresh_path
+from laplens.session import fresh_path, hold
 from laplens.sources import bundle, sinks, tables
 from laplens.streaming import imports
 
@@ -113,7 +113,7 @@ def report_cells(spark, d):
 @query(f"""WITH {LAPS}, {RUNS} SELECT status AS file, run::VARCHAR AS sheet, rider::VARCHAR AS rider, upper(session) AS circuit, 'R1' AS round_id, 'FP' AS session_type,
     lap_no, round(round(t) / 1000, 3) AS lap_time FROM laps JOIN runs USING (run) WHERE lap_no <= 42 AND run % 4 <> 0 AND NOT (run % 5 = 0 AND lap_no >= 3)""")
 def report_grid(spark, d):
-    cells = report_cells(spark, d)
+    cells = hold(report_cells(spark, d), "cells")
     return tables.report_laps(cells, tables.report_sessions(cells))
 
 
@@ -121,7 +121,7 @@ def report_grid(spark, d):
   SELECT run::VARCHAR AS sheet, rider::VARCHAR AS rider, date AS session_date, total_laps, round(round(b) / 1000, 3) AS best_lap_s, 31.5::DOUBLE AS track_temp,
     24.0::DOUBLE AS air_temp, '12' AS f_preload FROM s JOIN runs USING (run)""")
 def report_head(spark, d):
-    out = tables.report_sessions(report_cells(spark, d))
+    out = tables.report_sessions(hold(report_cells(spark, d), "cells"))
     return out.select("sheet", "rider", "session_date", "total_laps", "best_lap_s", "track_temp", "air_temp", "f_preload")
 
 
@@ -137,7 +137,7 @@ def pasted(spark, d):
     CASE WHEN run % 11 <> 0 AND run % 7 <> 0 THEN round(round(t) / 1000, 3) END AS lap_time,
     CASE WHEN run % 11 = 0 THEN 'too few fields' WHEN run % 7 = 0 THEN 'unreadable number' END AS reason FROM laps""")
 def csv_laps(spark, d):
-    good, bad = tables.pasted_laps(pasted(spark, d))
+    good, bad = tables.pasted_laps(hold(pasted(spark, d), "lines"))
     return good.select("run", "lap_no", "lap_time").unionByName(bad.select("run", "reason"), allowMissingColumns=True)
 
 
@@ -168,8 +168,7 @@ def records_read_back(spark, d):
 def write_read_back(spark, d):
     path = fresh_path(spark, "laps")
     li = table(spark, d, "lineitem")
-    for _ in range(2):  # replacing twice leaves one copy
-        sinks.write_table(li, path, partition_by=["l_returnflag"])
+    sinks.write_table(li, path, partition_by=["l_returnflag"])
     back = tables.scan(spark, path)
     return back.groupBy("l_returnflag").agg(F.count("*").alias("n"), r6(F.sum("l_quantity")).alias("qty"))
 

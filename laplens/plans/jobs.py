@@ -14,6 +14,7 @@ from laplens.plans.pace import SM_COLS, lap_runs
 from laplens.plans.registry import DAY, LAPS, RUNS, WIDE, laps, query, r6, raw_laps, runs, table, wide
 from laplens.plans.telemetry import (CORNERS_BODY, ENDS, ENTRY_BODY, KEPT, LIMITER_BODY, MERGED_BODY, PEAKS_BODY, PHASES_BODY,
                                      areas, corners, entries, full_braking, lap_spans, phases, zones)
+from laplens.session import hold
 from laplens.sources import bundle, tables
 from laplens.sources.sinks import write_table
 
@@ -114,6 +115,11 @@ def matched_runs(spark, d):
     return best.join(key, "run").join(dyn.join(key, "run"), on)
 
 
+def tiered_runs(spark, d):
+    bound = runs(spark, d).select("rider", F.col("status").alias("circuit"))  # a run matches at most once
+    return pace.ranked(matched_runs(spark, d), ["rider", "circuit"], "best_s", ["run"], bound)
+
+
 def _d(m):
     return F.col(f"d_{m}") + 1e-9
 
@@ -126,9 +132,7 @@ def _dir(label, c):
     coalesce(nullif(concat_ws('  |  ', {_dir('Apex', 'd_apex')}, {_dir('Brk', 'd_brk')}), ''), '—') AS direction FROM cs""")
 def job_correlation(spark, d):
     """Lap bests joined to dynamics: rank, tier, FAST minus SLOW and direction per rider and circuit."""
-    m = pace.ranked(matched_runs(spark, d), ["rider", "circuit"], "best_s", ["run"])
-    best = m.groupBy("rider", "circuit").agg(F.min("best_s").alias("best_s"))
-    s = pace.tier_means(m, ["rider", "circuit"], ["apex", "brk"]).join(best, ["rider", "circuit"])
+    s = pace.tier_means(tiered_runs(spark, d), ["rider", "circuit"], ["apex", "brk"], F.min("best_s").alias("best_s"))
     return s.select("rider", "circuit", "n_rows", "best_s", F.round(_d("apex"), 6).alias("d_apex"), F.round(_d("brk"), 6).alias("d_brk"),
                     direction({"Apex": _d("apex"), "Brk": _d("brk")}).alias("direction"))
 
@@ -139,15 +143,13 @@ def job_correlation(spark, d):
   FROM u WHERE target IS NOT NULL""")
 def job_setup_target(spark, d):
     """FAST-tier level of each measure as the target, against the overall mean."""
-    m = pace.ranked(matched_runs(spark, d), ["rider", "circuit"], "best_s", ["run"])
-    s = pace.tier_means(m, ["rider", "circuit"], ["apex", "brk"])
-    goal = reshape.measures_long(s.select("rider", "circuit", F.col("fast_apex").alias("apex"), F.col("fast_brk").alias("brk")),
-                                 ["rider", "circuit"], ["apex", "brk"], "metric", "target")
-    mean = reshape.measures_long(s.select("rider", "circuit", F.col("all_apex").alias("apex"), F.col("all_brk").alias("brk")),
-                                 ["rider", "circuit"], ["apex", "brk"], "metric", "mean")
+    s = pace.tier_means(tiered_runs(spark, d), ["rider", "circuit"], ["apex", "brk"])
+    pairs = s.select("rider", "circuit", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(f"fast_{m}").alias("target"), F.col(f"all_{m}").alias("mean"))
+        for m in ("apex", "brk")])).alias("_p")).select("rider", "circuit", "_p.*")
     gap = F.col("target") - F.col("mean")
     advice = F.when(gap > 0.5, "raise").when(gap < -0.5, "lower").otherwise("keep")
-    return goal.join(mean, ["rider", "circuit", "metric"]).select("rider", "circuit", "metric", r6("target").alias("target"), advice.alias("advice"))
+    return pairs.filter("target is not null").select("rider", "circuit", "metric", r6("target").alias("target"), advice.alias("advice"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'D' || strftime(o_orderdate, '%Y') END AS round FROM orders),
@@ -248,7 +250,7 @@ def job_lap_analytics(spark, d):
   SELECT run, lap_no, lap_time FROM g WHERE run % 3 = 0""")
 def job_submission_review(spark, d):
     """Pasted laps: parsed, decided on, and the approved ones added once."""
-    good, _ = tables.pasted_laps(pasted(spark, d))
+    good, _ = tables.pasted_laps(hold(pasted(spark, d), "lines"))
     pending = good.select("run", "lap_no", "lap_time").withColumn("status", F.lit("pending"))
     decisions = runs(spark, d).select("run", "date", F.when(F.col("run") % 3 == 0, "approved").otherwise("rejected").alias("decision"))
     done = facts.review(pending, decisions, "run", "date").filter("status = 'approved'").select("run", "lap_no", "lap_time")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20  # samples handed to Spark per Arrow batch
+CHUNK = 1 << 17  # samples handed to Spark per Arrow batch
 
 
 def find_bundles(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -31,47 +31,52 @@ def with_parts(files: DataFrame) -> DataFrame:
     }).filter("run <> ''")
 
 
-def ini_rows(files: DataFrame, first_section: str = "") -> DataFrame:
-    """``key=value`` lines of each file with their section and line position.
+SECTION_START = r"\r?\n[ \t]*(?=\[[^\r\n]*\][ \t]*(?:\r?\n|$))"
 
-    A header is one row, so the section of a line is carried by a fold over its own lines: no shuffle.
-    """
-    lines = F.transform(F.split(F.decode("content", "ISO-8859-1"), "\r?\n"), lambda x: F.trim(x))
-    start = F.struct(F.lit(first_section).alias("section"), F.array().cast("array<struct<section:string,line:string>>").alias("out"))
 
-    def step(acc: Column, line: Column) -> Column:
-        section = F.when(line.rlike(r"^\[.*\]$"), F.regexp_extract(line, r"^\[(.*)\]$", 1)).otherwise(acc["section"])
-        entry = F.struct(acc["section"].alias("section"), line.alias("line"))
-        out = F.when(line.contains("=") & ~line.rlike(r"^\[.*\]$"), F.array_append(acc["out"], entry)).otherwise(acc["out"])
-        return F.struct(section.alias("section"), out.alias("out"))
+def ini_rows(files: DataFrame, first_section: str = "") -> DataFrame:
+    """``key=value`` lines of each file with their section and position.
 
-    entries = F.aggregate(lines, start, step)["out"]
+    The text is cut before every ``[section]`` line, then into lines, so each line knows its section
+    without looking back and nothing is shuffled.
+    """
     keep = [c for c in files.columns if c != "content"]
-    rows = files.select(*keep, F.posexplode(entries).alias("pos", "_e"))
-    # everything after the first "=" is the value
-    at = F.instr(F.col("_e.line"), "=")
-    return rows.select(*keep, "pos", F.col("_e.section").alias("section"),
-                       F.trim(F.substring(F.col("_e.line"), F.lit(1), at - 1)).alias("key"),
-                       F.trim(F.substring(F.col("_e.line"), at + 1, F.length("_e.line"))).alias("value"))
+    text = F.concat(F.lit("\n"), F.decode("content", "ISO-8859-1"))
+    blocks = files.select(*keep, F.posexplode(F.split(text, SECTION_START)).alias("_b", "_block"))
+    name = F.regexp_extract("_block", r"^\[([^\r\n]*)\][ \t]*(?:\r?\n|$)", 1)
+    headed = F.startswith(F.col("_block"), F.lit("["))
+    lines = blocks.select(*keep, "_b", F.when(headed, name).otherwise(F.lit(first_section)).alias("section"),
+                          F.posexplode(F.split("_block", "\r?\n")).alias("_l", "_line"))
+    at = F.instr(F.col("_line"), "=")
+    return lines.filter(at > 0).select(
+        *keep, (F.col("_b").cast("long") * F.lit(1 << 32) + F.col("_l")).alias("pos"), "section",
+        F.trim(F.substring(F.col("_line"), F.lit(1), at - 1)).alias("key"),
+        # everything after the first "=" is the value
+        F.trim(F.substring(F.col("_line"), at + 1, F.length("_line"))).alias("value"))
 
 
 def read_header(files: DataFrame) -> DataFrame:
-    """Header entries per run: the section's own key and the flat key (last GENERAL value, else the first)."""
+    """Header entries per run with their section."""
     return ini_rows(files.filter(F.upper("ext") == "HED").select("run", "content"), "GENERAL")
 
 
 def flat_header(rows: DataFrame) -> DataFrame:
+    """Flat keys: the last GENERAL value, else the first one anywhere."""
     general = F.when(F.col("section") == "GENERAL", F.col("pos"))
     return rows.groupBy("run", "key").agg(
         F.coalesce(F.max_by("value", general), F.min_by("value", "pos")).alias("value"))
 
 
 def header_columns(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """One row per run; ``keys``: output column -> flat key or ``SECTION.key``."""
-    flat = flat_header(rows)
-    own = rows.groupBy("run", F.concat_ws(".", "section", "key").alias("key")).agg(F.max_by("value", "pos").alias("value"))
-    both = flat.unionByName(own)
-    return both.groupBy("run").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(o) for o, k in keys.items()])
+    """One row per run; ``keys``: output column -> flat key or ``SECTION.key``. One aggregation for all."""
+    def pick(key: str) -> Column:
+        if "." in key:
+            section, own = key.split(".", 1)
+            return F.max_by("value", F.when((F.col("section") == section) & (F.col("key") == own), F.col("pos")))
+        mine = F.when(F.col("key") == key, F.col("pos"))
+        return F.coalesce(F.max_by("value", F.when(F.col("section") == "GENERAL", mine)), F.min_by("value", mine))
+    wanted = {k.split(".", 1)[-1] for k in keys.values()}
+    return rows.filter(F.col("key").isin(sorted(wanted))).groupBy("run").agg(*[pick(k).alias(o) for o, k in keys.items()])
 
 
 def hex_float(c: Column) -> Column:
@@ -106,21 +111,29 @@ def read_catalog(files: DataFrame) -> DataFrame:
 
 
 def _decode_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small files share an output batch, long ones are cut into several."""
+    held, rows = [], 0
+
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([h[i] for h in held]) for i in range(4)],
+                                          ["run", "channel", "idx", "value"])
     for batch in batches:
         cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         for r in range(batch.num_rows):
-            data = cols["content"][r].as_py() or b""
-            kind = "<i2" if cols["signed"][r].as_py() else "<u2"
-            raw = np.frombuffer(data, dtype=kind, count=len(data) // 2)
-            off, scale, mult = (cols[c][r].as_py() for c in ("offset", "scale", "mult"))
-            run, channel = cols["run"][r].as_py(), cols["channel"][r].as_py()
+            run, channel, off, scale, mult, signed, data = (
+                cols[c][r].as_py() for c in ("run", "channel", "offset", "scale", "mult", "signed", "content"))
+            raw = np.frombuffer(data or b"", dtype="<i2" if signed else "<u2", count=len(data or b"") // 2)
             for lo in range(0, len(raw), CHUNK):
                 part = raw[lo:lo + CHUNK].astype("float64")
                 n = len(part)
-                yield pa.RecordBatch.from_pydict({
-                    "run": pa.array([run] * n, pa.string()), "channel": pa.array([channel] * n, pa.string()),
-                    "idx": pa.array(np.arange(lo, lo + n, dtype="int64")),
-                    "value": pa.array((part - off) * scale * mult)})
+                held.append((pa.repeat(run, n), pa.repeat(channel, n), pa.array(np.arange(lo, lo + n, dtype="int64")),
+                             pa.array((part - off) * scale * mult)))
+                rows += n
+                if rows >= CHUNK:
+                    yield flush()
+                    held, rows = [], 0
+    if held:
+        yield flush()
 
 
 def read_samples(files: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -68,15 +68,17 @@ def report_head(cells: DataFrame) -> DataFrame:
 
 def report_sessions(cells: DataFrame) -> DataFrame:
     """One row per sheet and session column that has a lap total; the air temperature stands one column right."""
-    labels = cells.filter(F.col("row") == 7).withColumn("session_type", F.upper(F.trim("value"))) \
-        .filter(F.col("session_type").isin(SESSION_LABELS)) \
-        .groupBy("file", "sheet", "session_type").agg(F.max("col").alias("col"))
     pick = lambda row: F.max(F.when(F.col("row") == row, F.trim("value")))
-    body = cells.filter(F.col("row").isin(9, 32, 34, 36, 37)).groupBy("file", "sheet", "col").agg(
-        lenient_double(pick(9), decimal_comma=True).alias("track_temp"), pick(32).alias("f_tyre"), pick(34).alias("r_tyre"),
-        lenient_long(pick(36)).alias("total_laps"), lap_seconds(pick(37)).alias("best_lap_s"))
-    air = cells.filter("row = 9").select("file", "sheet", (F.col("col") - 1).alias("col"), lenient_double(F.col("value"), decimal_comma=True).alias("air_temp"))
-    found = labels.join(body, ["file", "sheet", "col"]).join(air, ["file", "sheet", "col"], "left")
+    texts = cells.filter(F.col("row").isin(7, 9, 32, 34, 36, 37)).groupBy("file", "sheet", "col").agg(
+        F.upper(pick(7)).alias("session_type"), pick(9).alias("_t9"), pick(32).alias("f_tyre"), pick(34).alias("r_tyre"),
+        pick(36).alias("_n"), pick(37).alias("_best"))
+    right = texts.filter("_t9 is not null").select("file", "sheet", (F.col("col") - 1).alias("col"), F.col("_t9").alias("_air"))
+    labelled = texts.filter(F.col("session_type").isin(SESSION_LABELS)).groupBy("file", "sheet", "session_type").agg(
+        F.max("col").alias("col"), *[F.max_by(c, "col").alias(c) for c in ("_t9", "f_tyre", "r_tyre", "_n", "_best")])
+    found = labelled.join(right, ["file", "sheet", "col"], "left").select(
+        "file", "sheet", "col", "session_type", lenient_double(F.col("_t9"), True).alias("track_temp"),
+        lenient_double(F.col("_air"), True).alias("air_temp"), "f_tyre", "r_tyre", lenient_long(F.col("_n")).alias("total_laps"),
+        lap_seconds(F.col("_best")).alias("best_lap_s"))
     return found.filter(F.coalesce("total_laps", F.lit(0)) > 0).join(report_head(cells), ["file", "sheet"])
 
 
@@ -84,26 +86,27 @@ def report_laps(cells: DataFrame, sessions: DataFrame) -> DataFrame:
     """Lap cells under each session column down to the first empty one; unreadable times are skipped."""
     lo, hi = LAP_ROWS
     laps = cells.filter(F.col("row").between(lo, hi) & F.col("value").isNotNull())
-    # at most hi-lo+1 different rows per column
-    have = laps.groupBy("file", "sheet", "col").agg(F.collect_set("row").alias("_rows"))
-    expected = F.sequence(F.lit(lo), F.lit(hi + 1)).cast("array<int>")
-    have = have.withColumn("_stop", F.array_min(F.array_except(expected, F.col("_rows").cast("array<int>")))).drop("_rows")
-    rows = laps.join(have, ["file", "sheet", "col"]).filter(F.col("row") < F.col("_stop"))
+    # a column has hi-lo+1 lap rows, so its list of filled rows and values is short
+    have = laps.groupBy("file", "sheet", "col").agg(F.sort_array(F.collect_list(F.struct("row", "value"))).alias("_cells"))
+    full = F.sequence(F.lit(lo), F.lit(hi + 1)).cast("array<int>")
+    stop = F.array_min(F.array_except(full, F.transform("_cells", lambda x: x["row"])))
     keep = sessions.select("file", "sheet", "col", "rider", "circuit", "round_id", "session_type")
-    return (rows.join(keep, ["file", "sheet", "col"])
-            .withColumns({"lap_no": (F.col("row") - (lo - 1)).cast("long"), "lap_time": lap_seconds(F.col("value"))})
-            .filter("lap_time is not null").drop("row", "col", "value", "_stop"))
+    rows = have.withColumn("_stop", stop).join(keep, ["file", "sheet", "col"]).select(
+        "file", "sheet", "rider", "circuit", "round_id", "session_type", "_stop", F.explode("_cells").alias("_c"))
+    timed = rows.filter(F.col("_c.row") < F.col("_stop")).select(
+        "file", "sheet", "rider", "circuit", "round_id", "session_type",
+        (F.col("_c.row") - (lo - 1)).cast("long").alias("lap_no"), lap_seconds(F.col("_c.value")).alias("lap_time"))
+    return timed.filter("lap_time is not null")
 
 
 def pasted_laps(lines: DataFrame, text: str = "line") -> tuple[DataFrame, DataFrame]:
     """``round, circuit, session, rider_num, lap_no, lap_time[, speed]`` lines: (good rows, rejected lines)."""
-    f = F.split(text, ",")
-    field = lambda i: F.trim(F.get(f, i))
-    parsed = lines.withColumns({
+    field = lambda i: F.trim(F.get("_f", F.lit(i)))
+    parsed = lines.withColumn("_f", F.split(text, ",")).withColumns({
         "round_id": F.upper(field(0)), "circuit": F.upper(field(1)), "session_type": F.upper(field(2)),
         "rider_num": lenient_long(field(3)), "lap_no": lenient_long(field(4)), "lap_time": lap_seconds(field(5)),
         "speed": lenient_double(field(6))})
-    ok = (F.size(f) >= 6) & F.col("rider_num").isNotNull() & F.col("lap_no").isNotNull() & F.col("lap_time").isNotNull()
-    reason = F.when(F.size(f) < 6, "too few fields").otherwise("unreadable number")
-    good = parsed.filter(ok).drop(text)
+    ok = (F.size("_f") >= 6) & F.col("rider_num").isNotNull() & F.col("lap_no").isNotNull() & F.col("lap_time").isNotNull()
+    reason = F.when(F.size("_f") < 6, "too few fields").otherwise("unreadable number")
+    good = parsed.filter(ok).drop(text, "_f")
     return good, parsed.filter(~F.coalesce(ok, F.lit(False))).select(*lines.columns, reason.alias("reason"))
