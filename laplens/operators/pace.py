@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laplens.functions.measures import light, tier
-from laplens.operators.ordered import before, first_k, neighbours, number, with_group_stats
+from laplens.operators.ordered import before, neighbours, number, with_group_stats
 
 
 def usable_laps(df: DataFrame, t: str, out_lap: Column, lo: float = 80.0, hi: float = 400.0) -> DataFrame:
@@ -110,5 +110,6 @@ def custom_position(c: Column, order: list[str], unknown: int = 99) -> Column:
 
 
 def top_rows(df: DataFrame, order: list[Column], k: int, rn: str = "position") -> DataFrame:
-    """First ``k`` rows of the whole table with their position."""
-    return first_k(df.withColumn("_all", F.lit(1)), ["_all"], order, k, rn).drop("_all")
+    """First ``k`` rows of the whole table with their position. Each task keeps its own ``k`` first."""
+    first = df.orderBy(*order).limit(k)
+    return first.withColumn(rn, F.row_number().over(Window.orderBy(*order)).cast("long"))  # k rows

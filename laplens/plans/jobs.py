@@ -86,7 +86,9 @@ def job_corner_phases(spark, d):
     t = wide(spark, d).persisted()
     cols = ["run", "start_us", "end_us"]
     weak = (F.col("n_first") == 0) | (F.col("n_first") < F.col("n_second") * 0.5)
-    segs = ev_ops.choose_detector(areas(spark, d, t).select(cols), corners(spark, d, t).select(cols), ["run"], weak).select(cols)
+    # few rows each, read several times below
+    by_area, by_brake = areas(spark, d, t).select(cols).persist(), corners(spark, d, t).select(cols).persist()
+    segs = ev_ops.choose_detector(by_area, by_brake, ["run"], weak).select(cols).persist()
     return phases(t, segs).select("run", "corner_no", "start_us", "end_us", "brake_us", "brake_peak", "core_us", "speed_min", "exit_us", "total_us")
 
 

@@ -126,7 +126,7 @@ def local_maxima_prominent(spark, d):
 def detector_fallback(spark, d):
     cols = ["run", "event_id"]
     weak = (F.col("n_second") > 0) & (F.col("n_first") < F.col("n_second") * 0.7)
-    return ev_ops.choose_detector(load_maxima(spark, d).select(cols), speed_minima(spark, d).select(cols), ["run"], weak)
+    return ev_ops.choose_detector(load_maxima(spark, d).select(cols).persist(), speed_minima(spark, d).select(cols).persist(), ["run"], weak)
 
 
 @query(f"""WITH RECURSIVE {EV}, c AS (SELECT run, ts_us FROM ev WHERE value > 60),
@@ -371,7 +371,7 @@ def phases(t, segs):
 @query(f"WITH {PHASES} SELECT run, corner_no, brake_us, core_us, exit_us, total_us FROM ph")
 def corner_numbering(spark, d):
     t = wide(spark, d).persisted()
-    return phases(t, segments(spark, d, t)).select("run", "corner_no", "brake_us", "core_us", "exit_us", "total_us")
+    return phases(t, segments(spark, d, t).persist()).select("run", "corner_no", "brake_us", "core_us", "exit_us", "total_us")
 
 
 @query(f"""WITH {ENDS}, b AS (SELECT run, lap_no, greatest(start_us, 1704067200000000) AS start_us, ts_us AS end_us FROM ends),

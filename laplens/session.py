@@ -54,3 +54,10 @@ def hold(df: DataFrame, label: str = "held") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out a scan that arrives in fewer pieces than there are cores, for costly row work.
+    A scan of a large table has pieces enough and is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -53,15 +53,13 @@ def run_log(df: DataFrame, run_col: str) -> DataFrame:
     return df.withColumn(run_col, lenient_long(F.col(run_col))).filter(F.col(run_col).isNotNull())
 
 
-def column_letter(col: Column) -> Column:
-    return F.char(F.lit(64) + col)
-
-
 def report_head(cells: DataFrame) -> DataFrame:
-    """Head and base setup of every sheet from its fixed cells."""
-    at = lambda row, letter: F.max(F.when((F.col("row") == row) & (column_letter(F.col("col")) == letter), F.trim("value")))
-    aggs = [at(r, c).alias(n) for n, (c, r) in REPORT_HEAD.items()] + [at(r, "D").alias(n) for n, r in REPORT_SETUP.items()]
-    out = cells.groupBy("file", "sheet").agg(*aggs)
+    """Head and base setup of every sheet from its fixed cells; only those cells are grouped."""
+    spots = {n: (r, ord(c) - ord("A") + 1) for n, (c, r) in REPORT_HEAD.items()}
+    spots.update({n: (r, ord("D") - ord("A") + 1) for n, r in REPORT_SETUP.items()})
+    wanted = cells.filter(F.col("row").isin(sorted({r for r, _ in spots.values()})) & F.col("col").isin(sorted({c for _, c in spots.values()})))
+    out = wanted.groupBy("file", "sheet").agg(*[
+        F.max(F.when((F.col("row") == r) & (F.col("col") == c), F.trim("value"))).alias(n) for n, (r, c) in spots.items()])
     return (out.withColumns({"circuit": F.upper("circuit"), "round_id": F.upper("round_id")})
             .filter(F.coalesce("rider", F.lit("")) != "").filter(F.coalesce("circuit", F.lit("")) != ""))
 
