@@ -1,7 +1,8 @@
 """Detectors and corner phases over wide telemetry tracks.
 
 Every detector takes the column names it reads and its thresholds; the defaults are the values for
-kilometres per hour, bar, percent and millimetres. Clocks are microseconds.
+kilometres per hour, bar, percent and millimetres. Clocks are microseconds. ``step`` is the sample
+period of an evenly sampled track, where n samples last n periods.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ def band_areas(t: Track, bands: dict[str, tuple[float, float]], merge_gap: int,
 
 
 def limiter_zones(t: Track, speed: str, lo: float = 56.0, hi: float = 64.0, min_span: int = 3 * SECOND,
-                  smooth: int = SECOND // 5, means: dict[str, str] | None = None) -> DataFrame:
+                  smooth: int = SECOND // 5, means: dict[str, str] | None = None, step: int = 0) -> DataFrame:
     """Stretches whose smoothed speed stays inside [lo, hi] for ``min_span``."""
     t = smooth_time(t, speed, smooth, "_s")
     aggs = [F.avg(c).alias(o) for o, c in (means or {}).items()]
-    return long_enough(islands(t, F.col("_s").between(lo, hi), *aggs), min_span=min_span)
+    return long_enough(islands(t, F.col("_s").between(lo, hi), *aggs), min_span=min_span, step=step)
 
 
 def entry_points(t: Track, speed: str, decel: float = -8.0, min_speed: float = 80.0, min_rows: int = 15,
@@ -57,12 +58,12 @@ def entry_points(t: Track, speed: str, decel: float = -8.0, min_speed: float = 8
 
 
 def peak_areas(t: Track, level: str, speed: str, threshold: float = 1.0, min_speed: float = 80.0,
-               ratio: float = 0.85, min_span: int = 50_000, means: dict[str, str] | None = None) -> DataFrame:
+               ratio: float = 0.85, min_span: int = 50_000, means: dict[str, str] | None = None, step: int = 0) -> DataFrame:
     """Per event above ``threshold``: means over the rows that reach ``ratio`` of the event's peak."""
     rows = label_islands(t, (F.col(level) >= threshold) & (F.col(speed) >= min_speed), "_event")
     rows = with_group_stats(rows, [*t.keys, "_event"], F.max(level).alias("peak"), F.min(t.ts).alias("start_us"),
                             F.max(t.ts).alias("end_us"), F.count(F.lit(1)).alias("n"))
-    full = rows.filter((F.col("end_us") - F.col("start_us") >= min_span) & (F.col(level) >= F.col("peak") * ratio))
+    full = rows.filter((F.col("end_us") - F.col("start_us") + step >= min_span) & (F.col(level) >= F.col("peak") * ratio))
     return (full.groupBy(*t.keys, "start_us", "end_us", "n", "peak")
             .agg(F.count(F.lit(1)).alias("n_full"), *[F.avg(c).alias(o) for o, c in (means or {}).items()]))
 
@@ -104,10 +105,10 @@ def crossing_after_low(events: DataFrame, rows: DataFrame, keys: list[str], at:
 
 
 def brake_corners(t: Track, brake: str, speed: str, threshold: float = 0.5, min_span: int = 100_000,
-                  search: int = 4 * SECOND, half: int = 200_000, gap: int = 1_500_000) -> DataFrame:
+                  search: int = 4 * SECOND, half: int = 200_000, gap: int = 1_500_000, step: int = 0) -> DataFrame:
     """Corners found from braking: peak of each brake event, then the slowest row within ``search``."""
     peaks = long_enough(islands(t, F.col(brake) > threshold,
-                                F.min_by(t.ts, F.struct(-F.col(brake), F.col(t.ts))).alias("peak_us")), min_span=min_span)
+                                F.min_by(t.ts, F.struct(-F.col(brake), F.col(t.ts))).alias("peak_us")), min_span=min_span, step=step)
     spans = peaks.select(*t.keys, "peak_us", (F.col("peak_us") + search).alias("_hi"))
     near = interval_join(t.df.select(*t.keys, t.ts, speed), spans, t.keys, t.ts, "peak_us", "_hi", search)
     apex = near.groupBy(*t.keys, "peak_us").agg(F.min(F.struct(speed, t.ts)).getField(t.ts).alias("apex_us"))
@@ -147,13 +148,13 @@ def back_search(segments: DataFrame, t: Track, brake: str, threshold: float = 0.
             .join(stats, [*t.keys, "start_us"], "left"))
 
 
-def phase_core(segments: DataFrame, t: Track, speed: str, mean: str, width: int) -> DataFrame:
+def phase_core(segments: DataFrame, t: Track, speed: str, mean: str, width: int, step: int = 0) -> DataFrame:
     """Duration, lowest speed (not below zero) and a channel mean inside each segment."""
     near = interval_join(t.df.select(*t.keys, t.ts, speed, mean), segments.select(*t.keys, "start_us", "end_us"),
                          t.keys, t.ts, "start_us", "end_us", width, closed=True)
     return (near.groupBy(*t.keys, "start_us", "end_us")
             .agg(F.greatest(F.lit(0.0), F.min(speed)).alias("speed_min"), F.avg(mean).alias("core_mean"))
-            .withColumn("core_us", F.col("end_us") - F.col("start_us")))
+            .withColumn("core_us", F.col("end_us") - F.col("start_us") + step))
 
 
 def forward_run(segments: DataFrame, t: Track, level: str, threshold: float = 6.0, run: int = 5,

@@ -188,13 +188,14 @@ def merge_islands(spans: DataFrame, keys: list[str], max_gap: int, *aggs: Column
             .withColumnRenamed("_lo", start).withColumnRenamed("_hi", end).drop("_first"))
 
 
-def long_enough(spans: DataFrame, min_rows: int | None = None, min_span: int | None = None,
+def long_enough(spans: DataFrame, min_rows: int | None = None, min_span: int | None = None, step: int = 0,
                 start: str = "start_us", end: str = "end_us", n: str = "n") -> DataFrame:
+    """``step``: sample period of an even clock, where n samples last n periods; 0 counts first to last."""
     keep = F.lit(True)
     if min_rows is not None:
         keep = keep & (F.col(n) >= min_rows)
     if min_span is not None:
-        keep = keep & (F.col(end) - F.col(start) >= min_span)
+        keep = keep & (F.col(end) - F.col(start) + step >= min_span)
     return spans.filter(keep)
 
 
