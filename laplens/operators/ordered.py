@@ -4,11 +4,12 @@ A plain window puts a whole group in one task. That is right while the largest g
 be small, so every entry point first counts rows per group (map-side combined) and uses the plain
 window only below ``group_limit``. Larger groups are cut into slices that keep the order:
 
-* :class:`Track` cuts on the clock (lazy, no write), halving the width until each slice fits;
+* :class:`Track` cuts on the clock, halving the width until each slice fits;
 * :func:`slice_by_range` range-partitions on (group, order) and holds the sorted copy.
 
 Each slice is scanned on its own and one summary row per slice carries the state over to the next,
-so the big side is shuffled once and only the summaries are ordered per group.
+so the big side is shuffled once and only the summaries are ordered per group. The scanned slices are
+held in the shared folder.
 """
 
 from __future__ import annotations
@@ -139,18 +140,20 @@ def scan(sl: Sliced, **specs: tuple) -> DataFrame:
     if sl.slot is None:
         return sl.df.withColumns({name: inside(spec) for name, spec in specs.items()})
 
-    place = F.struct(*cols)
-    tails = {}
-    for name, (kind, col, *_) in specs.items():
-        if kind == "last":
-            tails[name] = F.max_by(col, F.when(col.isNotNull(), place))
-        elif kind == "lag":
-            tails[name] = F.max_by(col, place)
-        elif kind == "lead":
-            tails[name] = F.min_by(col, place)
-        else:
-            tails[name] = F.sum(col)
-    summary = sl.df.groupBy(*groups).agg(*[c.alias(f"__t_{n}") for n, c in tails.items()])
+    # in-slice results, the values to hand over, and the first and last row of each slice; held, so that
+    # a chain of scans reads every intermediate once instead of once per later step
+    inner = {f"__i_{n}": inside(spec) for n, spec in specs.items()}
+    for name, spec in specs.items():
+        give = {"last": F.last(spec[1], ignorenulls=True).over(upto), "sum": inner[f"__i_{name}"]}
+        inner[f"__v_{name}"] = give.get(spec[0], spec[1])
+    inner["__head"] = F.lag(F.lit(1)).over(w).isNull()
+    inner["__tail"] = F.lead(F.lit(1)).over(w).isNull()
+    rows = hold(sl.df.withColumns(inner), "scan")
+
+    ends = rows.filter(F.col("__head") | F.col("__tail"))  # at most two rows per slice
+    summary = ends.groupBy(*groups).agg(*[
+        F.first(F.when(F.col("__head" if spec[0] == "lead" else "__tail"), F.col(f"__v_{n}")), ignorenulls=True).alias(f"__t_{n}")
+        for n, spec in specs.items()])
     wk = Window.partitionBy(*sl.keys).orderBy(sl.slot)
     wk_earlier = wk.rowsBetween(Window.unboundedPreceding, -1)
     carried = {}
@@ -166,9 +169,6 @@ def scan(sl: Sliced, **specs: tuple) -> DataFrame:
             carried[f"__c_{name}"] = F.sum(tail).over(wk_earlier)
     carry = summary.withColumns(carried).select(*groups, *carried)
 
-    rows = sl.df.withColumns({f"__i_{n}": inside(s) for n, s in specs.items()})
-    rows = rows.withColumns({"__head": F.lag(F.lit(1)).over(w).isNull(),
-                             "__tail": F.lead(F.lit(1)).over(w).isNull()})
     rows = join_on(rows, carry, groups)
     done = {}
     for name, (kind, *_) in specs.items():
@@ -181,7 +181,7 @@ def scan(sl: Sliced, **specs: tuple) -> DataFrame:
             done[name] = F.when(F.col("__tail"), there).otherwise(here)
         else:
             done[name] = F.when(there.isNull(), here).when(here.isNull(), there).otherwise(here + there)
-    used = [f"__i_{n}" for n in specs] + [f"__c_{n}" for n in specs]
+    used = [f"__{p}_{n}" for n in specs for p in ("i", "v", "c")]
     return rows.withColumns(done).drop("__head", "__tail", *used)
 
 

@@ -99,7 +99,7 @@ def test_corners_from_braking(spark):
     speed = [150.0] * 100 + [150 - i for i in range(80)] + [71 + i / 2 for i in range(160)] + [150.0] * 160
     found = ev.brake_corners(track(spark, brake=brake, speed=speed), "brake", "speed", step=DT)
     assert starts(found, "apex_us") == [179]  # the second pulse is under 0.1 s
-    brake[300:310] = [3.0] * 10  # ten samples last 0.1 s
+    brake[400:410] = [3.0] * 10  # ten samples last 0.1 s
     both = ev.brake_corners(track(spark, brake=brake, speed=speed), "brake", "speed", step=DT)
     assert len(starts(both, "apex_us")) == 2
 
