@@ -203,14 +203,25 @@ def long_enough(spans: DataFrame, min_rows: int | None = None, min_span: int | N
 # minimum gap
 
 
-def _fold(arr: Column, gap: int, carry: Column | None = None) -> Column:
-    """Accepted clocks of a sorted array: each at least ``gap`` after the one accepted before."""
-    empty = F.array().cast("array<bigint>")
-    seed = empty if carry is None else F.when(carry.isNotNull(), F.array(carry)).otherwise(empty)
-    step = lambda acc, x: F.when(
-        (F.size(acc) == 0) | (x >= F.try_element_at(acc, F.lit(-1)) + F.lit(gap)), F.array_append(acc, x)).otherwise(acc)
-    kept = F.aggregate(arr, seed, step)
-    return kept if carry is None else F.filter(kept, lambda x: carry.isNull() | (x > carry))
+def _fold(arr: Column, gap: int, carry: Column | None = None, block: int = 256) -> Column:
+    """Accepted clocks of a sorted array: each at least ``gap`` after the one accepted before (``carry``:
+    accepted ahead of the array). Appending copies an array, so the list is folded block by block."""
+    last = F.lit(None).cast("bigint") if carry is None else carry
+    count = F.floor((F.size(arr) - 1) / block)
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), count),
+                         lambda i: F.slice(arr, (i * block + 1).cast("int"), F.lit(block)))
+
+    def take(acc: Column, x: Column) -> Column:
+        ok = acc["last"].isNull() | (x >= acc["last"] + F.lit(gap))
+        return F.struct(F.when(ok, x).otherwise(acc["last"]).alias("last"),
+                        F.when(ok, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+
+    def whole(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["last"].alias("last"), F.array().cast("array<bigint>").alias("kept")), take)
+        return F.struct(inner["last"].alias("last"), F.array_append(acc["kept"], inner["kept"]).alias("kept"))
+
+    zero = F.struct(last.alias("last"), F.array().cast("array<array<bigint>>").alias("kept"))
+    return F.flatten(F.aggregate(blocks, zero, whole)["kept"])
 
 
 def min_gap(events: DataFrame, keys: list[str], ts: str, gap: int, limit: int | None = None,

@@ -99,6 +99,14 @@ def test_minimum_gap_against_brute_force(df, rows, gap):
         assert got(sig.min_gap(named, ["key"], "ts", gap, limit), "key", "ts") == want
 
 
+def test_minimum_gap_on_one_long_cluster(spark):
+    rnd = random.Random(3)
+    times = sorted({rnd.randrange(0, 6000) for _ in range(3000)})
+    df = spark.createDataFrame([("x", t) for t in times], "key string, ts long")
+    for limit in (10_000, 700):
+        assert [t for _, t in got(sig.min_gap(df, ["key"], "ts", 40, limit).orderBy("ts"), "key", "ts")] == sorted(greedy(times, 40), key=lambda t: repr(("x", t)))
+
+
 def test_islands_partition_the_true_rows(df, rows):
     named = df.filter("key is not null")
     found = []

@@ -25,3 +25,11 @@ def test_flagship_has_rows(spark):
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, FOLDER, QUERIES[name], ORACLES[name]) is None
     spark.catalog.clearCache()
+
+
+def test_refresh_stores_every_step(spark, tmp_path):
+    from laplens.plans.jobs import refresh
+
+    counts = refresh(spark, FOLDER, str(tmp_path))
+    assert all(c["written"] > 0 and c["failed"] == 0 for c in counts.values())
+    assert {p.name for p in tmp_path.iterdir()} == set(counts)
