@@ -6,7 +6,7 @@ from laplens.functions.ids import event_id, lap_id, run_id
 from laplens.functions.text import lap_text, parse_date
 from laplens.operators.ordered import number
 from laplens.plans.registry import EV, LAPS, RUNS, laps, query, r6, runs, samples, table
-from laplens.session import fresh_path, hold, spread
+from laplens.session import fresh_path, hold
 from laplens.sources import bundle, sinks, tables
 from laplens.streaming import imports
 
@@ -75,7 +75,7 @@ def decode_laps(spark, d):
 
 
 def header_files(spark, d):
-    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     text = F.concat_ws("\r\n", F.concat(F.lit("Rider= "), F.col("o_custkey").cast("string")), F.lit("[MASS]"),
                        F.concat(F.lit("Bike="), F.col("o_totalprice").cast("decimal(14,2)").cast("string")), F.lit("Session=WRONG"),
                        F.lit("[GENERAL]"), F.concat(F.lit("Date="), F.date_format("o_orderdate", "dd/MM/yyyy")),
