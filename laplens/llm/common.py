@@ -22,3 +22,10 @@ def text_of(col: str | Column) -> Column:
 def uniform(*parts: str | Column) -> Column:
     """A number strictly between 0 and 1 that depends only on ``parts``."""
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file, which every worker has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -106,52 +106,86 @@ def _running(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.join(starts, [*keys, "super"]).withColumn("before_" + value, F.col("__in") + F.col("__before")).drop("__in", "__before")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = 4,
-        block_words: int = 65_536, seed: int = 42, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """One row per row of ``docs``: the id, ``source``, ``size`` (words), ``source_size``, ``target``, ``taken`` (words
-    the mix takes from the row, repeats counted) and ``draws``, an array of (shard, words), one entry per copy.
-
-    A source's taken words are its target, rounded. At most one document per source is taken in part, its first
-    words. A null text or one of white space only has size 0 and nothing is taken from it; a null source is a source.
-    Rows that repeat an id are documents of their own. All choices hang on ``seed``, ids and sizes, so reruns agree.
-    Equal rows within a block are told apart by position only, so they may trade places. An empty table gives no rows."""
-    units = hold(sized(docs, id_col, source_col, text_col), "sizes")
+def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = 4,
+          block_words: int = 65_536, seed: int = 42, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """What the mix draws from each distinct (id, source, size): ``rows`` (how many rows are alike), ``source_size``, ``target``
+    and ``parts``, an array of (shard, words) with the words taken from all of them together, one entry per pass."""
+    alike = (sized(docs, id_col, source_col, text_col).groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+             .withColumn("words", F.col("size") * F.col("rows")))
+    units = hold(alike, "sizes")
+    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     targets = hold(source_targets(units, weights, cap)
-                   .withColumn("key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
+                   .withColumn("key", key)
                    .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / float(block_words))).cast("long"))
                    .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
                    .withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size")), "targets")
-    keyed = units.withColumn("key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
-    placed = hold(
-        keyed.join(targets.drop("source"), "key")
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("blocks"))), "placed")
+    placed = hold(units.withColumn("key", key).join(targets.drop("source"), "key")
+                  .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("blocks"))), "placed")
 
     # blocks of each source in permuted order, and how much each pass draws from them
-    blocks = (placed.groupBy("key", "block").agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("blocks", "passes", "rest")])
+    blocks = (placed.groupBy("key", "block").agg(F.sum("words").alias("words"), *[F.first(c).alias(c) for c in ("blocks", "passes", "rest")])
               .withColumn("perm", F.xxhash64(F.lit(seed), F.lit("perm"), "key", "block"))
               .withColumn("super", F.pmod("perm", F.ceil(F.col("blocks") / float(SUPER)))))
     blocks = hold(_running(_running(blocks.withColumn("one", F.lit(1).cast("long")), ["key"], "words"), ["key"], "one"), "blocks")
     last = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("before_words")))
-    drawn = (blocks.select("key", "block", "words", "before_one", "passes", "blocks", "before_words", last.alias("last"))
-             .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
-             .withColumn("words", F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.col("last")))
-             .filter("words > 0"))
-    # the rank of a drawn block within its source: blocks without words hold no rank of a pass, which leaves gaps
-    counts = drawn.groupBy("key").agg(F.max(F.col("pass") * F.col("blocks") + F.col("before_one")).alias("last_rank"))
-    quotas = counts.select(F.col("key").alias("source"), (F.col("last_rank") + 1).alias("draws"))
-    shards = split_quotas(quotas, levels, seed)
-    ranges = (shards.withColumn("end", F.sum("draws").over(Window.partitionBy("source").orderBy("shard")))
-              .groupBy("source").agg(F.sort_array(F.collect_list("end")).alias("ends")))  # 2 ** levels numbers
     rank = F.col("pass") * F.col("blocks") + F.col("before_one")
-    drawn = (drawn.join(ranges.withColumnRenamed("source", "key"), "key")
-             .withColumn("shard", F.size(F.filter("ends", lambda e: e <= rank)))
-             .groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "words"))).alias("parts")))  # cap + 1 at most
+    drawn = (blocks.withColumn("last", last).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
+             .withColumn("words", F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.col("last")))
+             .filter("words > 0").select("key", "block", "pass", "words", rank.alias("rank")))
+    quotas = drawn.groupBy("key").agg((F.max("rank") + 1).alias("draws")).withColumnRenamed("key", "source")
+    ranges = (split_quotas(quotas, levels, seed)
+              .withColumn("end", F.sum("draws").over(Window.partitionBy("source").orderBy("shard")))
+              .groupBy(F.col("source").alias("key")).agg(F.sort_array(F.collect_list("end")).alias("ends")))  # 2 ** levels numbers
+    drawn = (drawn.join(ranges, "key").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+             .groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "words"))).alias("drawn")))  # cap + 1 at most
 
     inside = Window.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("doc"), "id", "size"), "id", "size")
-    start = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    taking = F.transform(F.coalesce("parts", F.expr("CAST(array() AS ARRAY<STRUCT<pass: BIGINT, shard: INT, words: BIGINT>>)")), lambda p: F.struct(
-        p["shard"].alias("shard"), F.greatest(F.lit(0), F.least(F.col("size"), p["words"] - F.col("start"))).alias("words")))
-    out = (placed.join(drawn, ["key", "block"], "left").withColumn("start", start)
-           .withColumn("draws", F.filter(taking, lambda t: t["words"] > 0)))
+    start = F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<pass: BIGINT, shard: INT, words: BIGINT>>)")
+    parts = F.transform(F.coalesce("drawn", none), lambda p: F.struct(
+        p["shard"].alias("shard"), F.greatest(F.lit(0), F.least(F.col("words"), p["words"] - F.col("start"))).alias("words")))
+    return (placed.join(drawn, ["key", "block"], "left").withColumn("start", start)
+            .select("id", "source", "size", "rows", "source_size", "target", parts.alias("parts")))
+
+
+def _own(parts: Column, nth: Column) -> Column:
+    """The copies that go to the nth of rows that are alike: what is left of each pass after those before it."""
+    each = F.transform(parts, lambda p: F.struct(
+        p["shard"].alias("shard"), F.greatest(F.lit(0), F.least(F.col("size"), p["words"] - nth * F.col("size"))).alias("words")))
+    return F.filter(each, lambda p: p["words"] > 0)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: the id, ``source``, ``size`` (words), ``source_size``, ``target``, ``taken`` (words
+    the mix takes from the row, repeats counted) and ``draws``, an array of (shard, words), one entry per copy.
+
+    A source's taken words are its target, rounded. At most one document per source is taken in part, its first
+    words. A null text or one of white space only has size 0 and nothing is taken from it; a null source is a source.
+    Rows that repeat an id are documents of their own. All choices hang on the seed, ids and sizes, so reruns agree.
+    Further columns are not read. An empty table gives no rows. Options: see :func:`draws`."""
+    out = (draws(docs, id_col, source_col, text_col, **options)
+           .withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+           .withColumn("draws", _own(F.col("parts"), F.col("nth"))))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42,
+                    **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is drawn, with its ``__shard``, in shuffled order within a partition.
+    All columns pass through; of a document that is drawn in part, the text is its first words, with single spaces."""
+    took = draws(docs, id_col, source_col, text_col, seed=seed, **options).select(
+        *[F.col(c).alias("__" + c) for c in ("id", "source", "size", "parts")])
+    words = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
+    own = docs.withColumn("__words", words)
+    same = (own[id_col].eqNullSafe(took["__id"]) & own[source_col].eqNullSafe(took["__source"]) & (own["__words"] == took["__size"]))
+    nth = F.row_number().over(Window.partitionBy(id_col, source_col, "__words").orderBy(F.lit(1))) - 1
+    parts = F.transform("__parts", lambda p: F.struct(
+        p["shard"].alias("shard"), F.greatest(F.lit(0), F.least(F.col("__size"), p["words"] - F.col("__nth") * F.col("__size"))).alias("words")))
+    drawn = (own.join(took, same).withColumn("__nth", nth)
+             .withColumn("__draw", F.explode(F.filter(parts, lambda p: p["words"] > 0))))
+    start = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__draw.words").cast("int")))
+    text = F.when(F.col("__draw.words") < F.col("__size"), start).otherwise(F.col(text_col))
+    return (drawn.withColumn(text_col, text).withColumn("__shard", F.col("__draw.shard"))
+            .sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), F.lit("order"), id_col, "__nth", "__shard"))
+            .select(*docs.columns, "__shard"))

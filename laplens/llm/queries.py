@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laplens.llm import exact, lines, mixing, secrets
-from laplens.llm.common import table, text_of
+from laplens.llm import exact, html_text, lines, mixing, neardup, pieces, quality, secrets, tokens, topk
+from laplens.llm.common import table, text_of, tokenizer_file
 from laplens.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,11 +19,26 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality(spark, d):
+    return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op2_secret_scan(spark, d):
     return secrets.scan_secrets(table(spark, d, "documents"))
 
 
+@query
+def op3_token_counts(spark, d):
+    return tokens.count_tokens(table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op4_near_dedup(spark, d):
+    return neardup.near_duplicates(table(spark, d, "documents"))
+
+
 @query
 def op5_line_dedup(spark, d):
     docs = table(spark, d, "documents")
@@ -34,6 +49,11 @@ def op5_line_dedup(spark, d):
             .select("doc_id", "n_lines", F.coalesce("exact", none).alias("exact_lines"), F.coalesce("near", none).alias("near_lines")))
 
 
+@query
+def op6_top_k(spark, d):
+    return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op7_exact_dedup(spark, d):
     return exact.exact_duplicates(table(spark, d, "documents"))
@@ -42,3 +62,13 @@ def op7_exact_dedup(spark, d):
 @query
 def op8_source_mix(spark, d):
     return mixing.mix(table(spark, d, "documents")).drop("source", "draws")
+
+
+@query
+def op9_pieces(spark, d):
+    return pieces.encode_texts(table(spark, d, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op10_main_text(spark, d):
+    return html_text.extract_text(table(spark, d, "pages"))
