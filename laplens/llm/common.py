@@ -24,6 +24,13 @@ def uniform(*parts: str | Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` begins with it: safe for columns beside those of a table."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer's file, which every worker has."""
     import public_tokenizers

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laplens.llm.common import text_of
+from laplens.llm.common import text_of, unused
 from laplens.session import fresh_path, hold, release
 
 
@@ -100,8 +100,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     No row is lost: a document of repeated lines only ends with an empty text. A null text stays null. Rows that repeat an id
     are one document and lose the same positions. Null ids are one document. Other columns pass through unchanged, whatever
     their names. An empty table stays empty."""
-    gone = removed_lines(docs, id_col, text_col, **options).select(
-        F.col("id").alias("__id"), F.concat("exact", "near").alias("__gone"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    return out.select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    own_id, own_gone = unused(docs, "__id"), unused(docs, "__gone")
+    gone = removed_lines(docs, id_col, text_col, **options).select(F.col("id").alias(own_id), F.concat("exact", "near").alias(own_gone))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col(own_gone), i)), "\n")
+    return (docs.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)), "left")
+            .withColumn(text_col, F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(kept)).drop(own_id, own_gone))

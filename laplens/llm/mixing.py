@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from laplens.llm.common import WORD, text_of, uniform
-from laplens.session import hold, release
+from laplens.llm.common import WORD, text_of, uniform, unused
+from laplens.session import hold
 
 SUPER = 1024
 
@@ -25,10 +25,10 @@ def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataF
 
 
 def source_targets(units: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """source, source_size, target, quota. Sources in order of code points (null last) take ``weights`` in turn
+    """source, source_size, target, quota, from rows with a source and a number of ``words``. Sources in order of code points (null last) take ``weights`` in turn
     and share all words; a target stops at ``cap`` times its source's size and the excess is shared again by
     weight until none is above."""
-    totals = units.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = units.groupBy("source").agg(F.sum("words").alias("source_size"))
     ranged = hold(totals.repartitionByRange(F.col("source").asc_nulls_last())
                   .select("*", F.spark_partition_id().alias("slice")), "sources")
     before = (ranged.groupBy("slice").count()  # one row per partition
@@ -148,10 +148,10 @@ def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
             .select("id", "source", "size", "rows", "source_size", "target", parts.alias("parts")))
 
 
-def _own(parts: Column, nth: Column) -> Column:
+def _own(parts: Column, nth: Column, size: Column) -> Column:
     """The copies that go to the nth of rows that are alike: what is left of each pass after those before it."""
     each = F.transform(parts, lambda p: F.struct(
-        p["shard"].alias("shard"), F.greatest(F.lit(0), F.least(F.col("size"), p["words"] - nth * F.col("size"))).alias("words")))
+        p["shard"].alias("shard"), F.greatest(F.lit(0), F.least(size, p["words"] - nth * size)).alias("words")))
     return F.filter(each, lambda p: p["words"] > 0)
 
 
@@ -165,27 +165,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Further columns are not read. An empty table gives no rows. Options: see :func:`draws`."""
     out = (draws(docs, id_col, source_col, text_col, **options)
            .withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
-           .withColumn("draws", _own(F.col("parts"), F.col("nth"))))
+           .withColumn("draws", _own(F.col("parts"), F.col("nth"), F.col("size"))))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42,
-                    **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is drawn, with its ``__shard``, in shuffled order within a partition.
-    All columns pass through; of a document that is drawn in part, the text is its first words, with single spaces."""
+                    shard_col: str | None = None, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is drawn, in shuffled order within a partition. ``shard_col`` names
+    a column for the shard that the copy went to. All columns pass through; of a document that is drawn in part, the text is
+    its first words, with single spaces."""
+    p = unused(docs, "__mix")
     took = draws(docs, id_col, source_col, text_col, seed=seed, **options).select(
-        *[F.col(c).alias("__" + c) for c in ("id", "source", "size", "parts")])
-    words = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    own = docs.withColumn("__words", words)
-    same = (own[id_col].eqNullSafe(took["__id"]) & own[source_col].eqNullSafe(took["__source"]) & (own["__words"] == took["__size"]))
-    nth = F.row_number().over(Window.partitionBy(id_col, source_col, "__words").orderBy(F.lit(1))) - 1
-    parts = F.transform("__parts", lambda p: F.struct(
-        p["shard"].alias("shard"), F.greatest(F.lit(0), F.least(F.col("__size"), p["words"] - F.col("__nth") * F.col("__size"))).alias("words")))
-    drawn = (own.join(took, same).withColumn("__nth", nth)
-             .withColumn("__draw", F.explode(F.filter(parts, lambda p: p["words"] > 0))))
-    start = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__draw.words").cast("int")))
-    text = F.when(F.col("__draw.words") < F.col("__size"), start).otherwise(F.col(text_col))
-    return (drawn.withColumn(text_col, text).withColumn("__shard", F.col("__draw.shard"))
-            .sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), F.lit("order"), id_col, "__nth", "__shard"))
-            .select(*docs.columns, "__shard"))
+        *[F.col(c).alias(f"{p}_{c}") for c in ("id", "source", "size", "parts")])
+    own = docs.withColumn(f"{p}_words", F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"))
+    same = (F.col(id_col).eqNullSafe(F.col(f"{p}_id")) & F.col(source_col).eqNullSafe(F.col(f"{p}_source"))
+            & (F.col(f"{p}_words") == F.col(f"{p}_size")))
+    nth = F.row_number().over(Window.partitionBy(id_col, source_col, f"{p}_words").orderBy(F.lit(1))) - 1
+    drawn = (own.join(took, same).withColumn(f"{p}_nth", nth)
+             .withColumn(f"{p}_draw", F.explode(_own(F.col(f"{p}_parts"), F.col(f"{p}_nth"), F.col(f"{p}_size")))))
+    words, shard = F.col(f"{p}_draw.words"), F.col(f"{p}_draw.shard")
+    start = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")))
+    drawn = (drawn.withColumn(text_col, F.when(words < F.col(f"{p}_size"), start).otherwise(F.col(text_col)))
+             .sortWithinPartitions(shard, F.xxhash64(F.lit(seed), F.lit("order"), id_col, f"{p}_nth", shard)))
+    if shard_col:
+        drawn = drawn.withColumn(shard_col, shard)
+    return drawn.drop(*[f"{p}_{c}" for c in ("id", "source", "size", "parts", "words", "nth", "draw")])

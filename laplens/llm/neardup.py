@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laplens.llm.common import unused
 from laplens.session import hold, release, ship
 
 WIDTH = 5
@@ -278,5 +279,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one id of each group: its smallest. All columns pass through; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    own_id = unused(docs, "__id")
+    gone = near_duplicates(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias(own_id)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(own_id), "left_anti")

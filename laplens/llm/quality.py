@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laplens.llm.common import unused
 from laplens.session import hold, ship
 
 #: Texts whose words are looked at together; bounds memory whatever the batch size.
@@ -176,6 +177,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text scores below one half. Rows that repeat an id go only when each of them would: the
     id's best score decides. Rows with a null id stay. All columns pass through."""
+    own_id = unused(docs, "__id")
     bad = (quality_scores(docs, labels, id_col, text_col, **options).groupBy(id_col).agg(F.max("predicted").alias("best"))
-           .filter("best = 0").select(F.col(id_col).alias("__id")))
-    return docs.join(bad, docs[id_col] == bad["__id"], "left_anti")
+           .filter("best = 0").select(F.col(id_col).alias(own_id)))
+    return docs.join(bad, F.col(id_col) == F.col(own_id), "left_anti")
