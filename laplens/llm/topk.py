@@ -143,6 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     schema = "query_id long, vec_id long, score long"
 
     def searched(queries: DataFrame) -> DataFrame:
+        queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # columns of their own, as both sides are one table
         return spread_points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(k, leaf), schema)
 
     first = hold(searched(asked.select(F.col("home").alias("shard"), "block", "dim", "vec_id", "v", F.lit(NONE).alias("floor"))), "home-hits")
