@@ -157,8 +157,8 @@ def edited(rng, line, n):
     return "".join(chars)
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_line_dedup_equals_brute_force(spark, k):
+@pytest.mark.parametrize("k, crowd", [(1, 50), (2, 50), (2, 0), (3, 1)])
+def test_line_dedup_equals_brute_force(spark, k, crowd):
     rng = random.Random(k)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(12, 30))).strip("  ") + "z" for _ in range(25)]
     rows = []
@@ -166,7 +166,7 @@ def test_line_dedup_equals_brute_force(spark, k):
         rows.append((i, "\n".join(edited(rng, rng.choice(base), rng.randrange(0, k + 3)) for _ in range(rng.randrange(0, 5))), "s"))
     rows += [(60, None, "s"), (61, "", "s"), (None, base[0] + "\n" + base[1], "s"), (62, "ab\n" * 5, "s"), (63, f"  {base[0]}\t\r\n{base[0]}", "s")]
     want = lines_brute(rows, k, 10)
-    got = lines.line_verdicts(docs_of(spark, rows), max_edits=k, min_chars=10).collect()
+    got = lines.line_verdicts(docs_of(spark, rows), max_edits=k, min_chars=10, crowd=crowd).collect()
     assert {(r.id, r.pos, r.why) for r in got} == want and len(want) > 20
 
 
