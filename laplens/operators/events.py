@@ -84,9 +84,8 @@ def edge_stats(t: Track, value: str, lo: float, hi: float, share: float = 0.05,
     edge = F.greatest(F.lit(min_edge), F.floor(F.col("_n") * share))
     valid = (F.col(value) > lo) & (F.col(value) < hi)
     base = placed.filter(valid).groupBy(*t.keys).agg(F.avg(value).alias("avg_val"), F.count(F.lit(1)).alias("n_valid"))
-    fits = True if t.fits else None
-    head = quantiles(placed.filter(valid & (F.col("_rn") <= edge)), t.keys, value, {"start_val": 0.5}, fits=fits)
-    tail = quantiles(placed.filter(valid & (F.col("_rn") > F.col("_n") - edge)), t.keys, value, {"end_val": 0.5}, fits=fits)
+    head = quantiles(placed.filter(valid & (F.col("_rn") <= edge)), t.keys, value, {"start_val": 0.5})
+    tail = quantiles(placed.filter(valid & (F.col("_rn") > F.col("_n") - edge)), t.keys, value, {"end_val": 0.5})
     return (base.filter(F.col("n_valid") >= min_valid).join(head, t.keys, "left").join(tail, t.keys, "left")
             .withColumn("delta_val", F.col("end_val") - F.col("start_val")))
 

@@ -23,6 +23,7 @@ from laplens.session import hold
 
 LIMIT_CONF = "laplens.groupLimit"
 DEFAULT_LIMIT = 2_000_000
+MOST_SLICES = 100_000  # tasks of one range shuffle
 
 
 def group_limit(df: DataFrame, limit: int | None = None) -> int:
@@ -35,9 +36,8 @@ _SIZES: dict[tuple, tuple] = {}
 
 
 def _measure(stats: DataFrame) -> tuple:
-    """One-row statistics, kept per plan: a size only chooses between two exact ways, so an old one
-    cannot change a result."""
-    key = (stats.sparkSession.sparkContext.applicationId, stats.semanticHash())
+    """One-row statistics, kept per plan and per set of files read: a table that has grown is measured again."""
+    key = (stats.sparkSession.sparkContext.applicationId, stats.semanticHash(), hash(tuple(sorted(stats.inputFiles()))))
     if key not in _SIZES:
         _SIZES[key] = tuple(stats.first())
     return _SIZES[key]
@@ -85,10 +85,15 @@ class Sliced:
 def slice_by_range(df: DataFrame, keys: list[str], order: list[Column],
                    limit: int | None = None) -> Sliced | None:
     """None when every group is small enough for a plain window."""
-    if largest_group(df, keys) <= group_limit(df, limit):
+    cap = group_limit(df, limit)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    most, rows = _measure(counts.agg(F.max("__rows"), F.sum("__rows")))
+    if (most or 0) <= cap:
         return None
     key_cols = [F.col(k) for k in keys]
-    ranged = (df.repartitionByRange(*key_cols, *order)
+    # ranges are cut at sampled places, so they are planned at half of what a slice may hold
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * rows // max(cap, 1)))
+    ranged = (df.repartitionByRange(min(slices, MOST_SLICES), *key_cols, *order)
               .sortWithinPartitions(*key_cols, *order)
               .withColumn("__part", F.spark_partition_id())
               .withColumn("__pos", F.monotonically_increasing_id()))
@@ -339,26 +344,18 @@ def keep_one(df: DataFrame, keys: list[str], order: Column, latest: bool = True)
              .agg(pick.alias("__row")).select("__row.*")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-              limit: int | None = None, fits: bool | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], limit: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between the two nearest positions.
 
-    Spark's ``percentile`` keeps a group's values in one buffer, so it serves bounded groups; larger
-    groups are positioned by range and only the two rows around each quantile are looked at. ``fits``
-    states a size check already made.
+    Equal values are counted before the shuffle, so a frequent value is one row; running counts over the distinct
+    values then tell which of them stands at a position. One way for groups of any size.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    if fits if fits is not None else largest_group(rows, keys) <= group_limit(df, limit):
-        names, points = list(qs), [float(q) for q in qs.values()]
-        out = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("__q"))
-        return out.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    placed = number(rows, keys, [F.col(value)], "__at", "__of", limit)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__of"))
+    placed = join_on(neighbours(counts, keys, [F.col(value)], limit, __upto=running(F.col("__c"))), totals, keys)
     aggs = []
     for name, q in qs.items():
         spot = F.lit(float(q)) * (F.col("__of") - 1)
-        lo, hi = F.floor(spot), F.ceil(spot)
-        at_lo = F.max(F.when(F.col("__at") - 1 == lo, F.col(value)))
-        at_hi = F.max(F.when(F.col("__at") - 1 == hi, F.col(value)))
-        part = F.max(spot - lo)
-        aggs.append((at_lo + (at_hi - at_lo) * part).alias(name))
+        at_lo, at_hi = (F.min(F.when(F.col("__upto") > side(spot), F.col(value))) for side in (F.floor, F.ceil))
+        aggs.append((at_lo + (at_hi - at_lo) * F.max(spot - F.floor(spot))).alias(name))
     return placed.groupBy(*keys).agg(*aggs)

@@ -11,8 +11,8 @@ from laplens.sources import bundle, sinks, tables
 from laplens.streaming import imports
 
 PART = 1000  # samples per recorded file
-LAP_PART = 100  # laps per recorded lap file
-T0 = 1_704_067_200_000_000
+LAP_PART = 250  # laps per recorded lap file
+START_MS, FIRST_MS = 700, 1_500  # a file's start word and its first lap end
 CHANNEL_FILES = [("SPEED", "view", "C01"), ("BRAKE", "click", "C02"), ("GAS", "error", "C03"), ("SUSP", "signup", "C04"),
                  ("MARK", "purchase", "C05")]
 
@@ -54,18 +54,19 @@ def decode_bundle(spark, d):
 
 
 def lap_files(spark, d):
-    """Purchases written as lap files: count, 0, start and cumulative ends in ms."""
+    """Purchases written as lap files: count, 0, start and cumulative ends in ms, on a clock of each file's own."""
     ends = samples(spark, d).filter("channel = 'purchase'")
     ends = number(ends, ["run"], [F.col("ts_us"), F.col("event_id")], "rn")
     ends = ends.withColumn("run", F.concat(F.lit("L-"), F.col("run").cast("string"), F.lit("-"),
                                            F.floor((F.col("rn") - 1) / LAP_PART).cast("string")))
-    ms = F.floor((F.col("ts_us") - T0) / 1000)
-    g = ends.groupBy("run").agg(F.sort_array(F.collect_list(ms)).alias("a"))
-    words = F.concat(F.array(F.size("a").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")), F.col("a"))
+    g = ends.groupBy("run").agg(F.sort_array(F.collect_list("ts_us")).alias("a"))
+    ms = F.transform("a", lambda x: F.floor((x - F.col("a")[0]) / 1000) + FIRST_MS)
+    words = F.concat(F.array(F.size("a").cast("long"), F.lit(0).cast("long"), F.lit(START_MS).cast("long")), ms)
     return g.select(_path(F.col("run"), "LAP").alias("path"), _bytes(words, 4).alias("content"))
 
 
-LAP_ENDS = EV + f""", le AS (SELECT 'L-' || run || '-' || (rn // {LAP_PART}) AS run, rn % {LAP_PART} AS lap_no, (ts_us - {T0}) // 1000 AS end_ms FROM
+LAP_ENDS = EV + f""", le AS (SELECT 'L-' || run || '-' || (rn // {LAP_PART}) AS run, rn % {LAP_PART} AS lap_no, {START_MS} AS start_ms,
+    (ts_us - min(ts_us) OVER (PARTITION BY run, rn // {LAP_PART})) // 1000 + {FIRST_MS} AS end_ms FROM
   (SELECT run, ts_us, row_number() OVER (PARTITION BY run ORDER BY ts_us, event_id) - 1 AS rn FROM ev WHERE channel = 'purchase'))"""
 
 
@@ -118,6 +119,13 @@ def report_grid(spark, d):
     return tables.report_laps(cells, tables.report_sessions(cells))
 
 
+@query(f"""WITH {LAPS} SELECT run::VARCHAR AS sheet, lap_no, CASE WHEN run % 4 = 0 THEN 'unreadable time' ELSE 'below an empty cell' END AS reason
+    FROM laps WHERE (run % 4 = 0 OR (run % 5 = 0 AND lap_no > 3)) AND NOT (run % 5 = 0 AND lap_no = 3)""")
+def report_grid_rejects(spark, d):
+    cells = hold(report_cells(spark, d), "cells")
+    return tables.rejected_laps(cells, tables.report_sessions(cells)).select("sheet", "lap_no", "reason")
+
+
 @query(f"""WITH {LAPS}, {RUNS}, s AS (SELECT run, count(*) AS total_laps, min(t) AS b FROM laps GROUP BY run)
   SELECT run::VARCHAR AS sheet, rider::VARCHAR AS rider, date AS session_date, total_laps, round(round(b) / 1000, 3) AS best_lap_s, 31.5::DOUBLE AS track_temp,
     24.0::DOUBLE AS air_temp, '12' AS f_preload FROM s JOIN runs USING (run)""")
@@ -187,20 +195,17 @@ def id_columns(spark, d):
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def stream_incremental_import(spark, d):
     target = fresh_path(spark, "imported")
-    schema = table(spark, d, "events").schema
-    stream = imports.file_stream(spark, d, "events.parquet", schema)
+    stream = imports.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
+    keys = ["user_id", "event_type"]
     for _ in range(2):  # the second pass finds nothing new
-        imports.import_new(stream, target, f"{target}-progress", ["user_id", "event_type"], "event_id").awaitTermination()
-    return spark.read.parquet(target).select("user_id", "event_type", "event_id")
+        imports.import_new(stream, target, f"{target}-progress", keys, "event_id").awaitTermination()
+    return imports.imported(spark, target, keys, "event_id").select("user_id", "event_type", "event_id")
 
 
 @query("""SELECT o_custkey, count(*) AS arrived, count(DISTINCT o_orderpriority) AS submitters, min(o_orderkey) AS first_id FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""")
 def stream_review_digest(spark, d):
     target = fresh_path(spark, "pending")
-    stream = imports.file_stream(spark, d, "orders.parquet", table(spark, d, "orders").schema).filter("o_orderstatus = 'P'")
-
-    def digest(new, batch):
-        imports.submission_digest(new, "o_custkey", "o_orderpriority", "o_orderkey") \
-            .write.mode("overwrite").parquet(f"{target}-digest/batch={batch}")
-    imports.import_new(stream, target, f"{target}-progress", ["o_orderkey"], "o_orderkey", after=digest).awaitTermination()
-    return spark.read.parquet(f"{target}-digest").drop("batch")
+    stream = imports.file_stream(spark, f"{d}/orders.parquet", table(spark, d, "orders").schema).filter("o_orderstatus = 'P'")
+    imports.import_new(stream, target, f"{target}-progress", ["o_orderkey"], "o_orderkey").awaitTermination()
+    new = imports.imported(spark, target, ["o_orderkey"], "o_orderkey")
+    return imports.submission_digest(new, "o_custkey", "o_orderpriority", "o_orderkey")

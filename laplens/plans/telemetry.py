@@ -12,18 +12,25 @@ ENDS = EV + """, ends AS (SELECT run, ts_us, row_number() OVER (PARTITION BY run
   coalesce(lag(ts_us) OVER (PARTITION BY run ORDER BY ts_us), 0) AS start_us FROM ev WHERE channel = 'purchase')"""
 
 
+def lap_spans_from_first(spark, d):
+    """Lap spans whose lap 0 starts at the run's first sample instead of 1970, which keeps its bucket list short."""
+    first = samples(spark, d).groupBy("run").agg(F.min("ts_us").alias("_t0"))
+    return lap_spans(spark, d).join(first, "run").withColumn("start_us", F.greatest("start_us", "_t0")).drop("_t0")
+
+
 def lap_spans(spark, d):
     ends = samples(spark, d).filter("channel = 'purchase'").select("run", "ts_us")
     return sig.lap_bounds(ends, ["run"], "ts_us").select("run", "lap_no", "start_us", "end_us", "duration_us")
 
 
-@query(f"""WITH {EV}, e AS (SELECT run, (max(ts_us) FILTER (channel = 'purchase') - 1704067200000000) // 3600000000 AS last_ms FROM ev GROUP BY run),
+@query(f"""WITH {EV}, e AS (SELECT run, (max(ts_us) FILTER (channel = 'purchase') - min(ts_us)) // 3600000000 AS last_ms FROM ev GROUP BY run),
   n AS (SELECT run, count(*) AS n_samples FROM ev GROUP BY run)
   SELECT run, n_samples, round(CASE WHEN last_ms > 0 THEN least(greatest(n_samples / (last_ms / 1000.0), 10), 500) ELSE 100 END + 1e-9, 6) AS rate_hz
   FROM n LEFT JOIN e USING (run)""")
 def sample_rate(spark, d):
     ev = samples(spark, d)
-    ends = ev.filter("channel = 'purchase'").withColumn("end_ms", F.floor((F.col("ts_us") - 1_704_067_200_000_000) / HOUR))
+    mark = F.max(F.when(F.col("channel") == "purchase", F.col("ts_us")))
+    ends = ev.groupBy("run").agg(F.floor((mark - F.min("ts_us")) / HOUR).alias("end_ms")).filter("end_ms is not null")
     return sig.sample_rate(ev, ends, ["run"], "end_ms").select("run", "n_samples", r6("rate_hz").alias("rate_hz"))
 
 
@@ -35,11 +42,7 @@ def lap_bounds(spark, d):
 @query(f"""WITH {ENDS} SELECT ev.run, event_id, lap_no FROM ev JOIN ends ON ev.run = ends.run
   AND ev.ts_us >= start_us AND ev.ts_us < ends.ts_us""")
 def samples_in_laps(spark, d):
-    spans = lap_spans(spark, d)
-    # the first lap starts at the run's first sample instead of 1970, which keeps its bucket list short
-    first = samples(spark, d).groupBy("run").agg(F.min("ts_us").alias("_t0"))
-    spans = spans.join(first, "run").withColumn("start_us", F.greatest("start_us", "_t0")).drop("_t0")
-    return sig.interval_join(samples(spark, d), spans, ["run"], "ts_us", "start_us", "end_us", DAY) \
+    return sig.interval_join(samples(spark, d), lap_spans_from_first(spark, d), ["run"], "ts_us", "start_us", "end_us", DAY) \
         .select("run", "event_id", "lap_no")
 
 
@@ -380,7 +383,7 @@ def corner_numbering(spark, d):
     FROM b JOIN ev ON b.run = ev.run AND ev.ts_us >= start_us AND ev.ts_us < end_us GROUP BY ALL)
   SELECT * FROM x""")
 def lap_event_stats(spark, d):
-    spans = lap_spans(spark, d).withColumn("start_us", F.greatest("start_us", F.lit(1_704_067_200_000_000)))
+    spans = lap_spans_from_first(spark, d)
     rows = sig.interval_join(samples(spark, d), spans, ["run"], "ts_us", "start_us", "end_us", DAY)
     base = rows.groupBy("run", "lap_no").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("v_mean"),
                                              F.min("value").alias("v_min"), F.max("value").alias("v_max"))

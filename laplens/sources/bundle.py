@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 17  # samples handed to Spark per Arrow batch
 
 
-def find_bundles(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """All files of all bundles under ``root`` with run name, file extension and folders."""
+def find_bundles(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
+    """Files of all bundles under ``root`` with run name, file extension and folders. ``pattern`` limits the files that
+    are opened, for example ``*.DDD`` for the catalogs; without ``content`` none is, and only the listing is read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", pattern).load(root))
-    return with_parts(files.select("path", "length", "content"))
+    return with_parts(files.select("path", "length", *(["content"] if content else [])))
 
 
 def with_parts(files: DataFrame) -> DataFrame:
@@ -144,30 +145,38 @@ def read_samples(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return ready.mapInArrow(_decode_samples, "run string, channel string, idx long, value double")
 
 
+LAP_WORDS = 3  # count, reserved, start
+
+
 def _decode_laps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        runs, laps, ends = [], [], []
+        runs, laps, starts, ends = [], [], [], []
         for run, content in zip(batch.column("run").to_pylist(), batch.column("content").to_pylist()):
             words = np.frombuffer(content, dtype="<u4", count=len(content) // 4)
-            if len(words) < 3 or words[0] > 200:
+            if len(words) < LAP_WORDS or words[0] > len(words) - LAP_WORDS:
                 continue
-            found = words[3:3 + int(words[0])]
+            found = words[LAP_WORDS:LAP_WORDS + int(words[0])]
             runs += [run] * len(found)
             laps += list(range(len(found)))
+            starts += [int(words[2])] * len(found)
             ends += found.astype("int64").tolist()
         yield pa.RecordBatch.from_pydict({"run": pa.array(runs, pa.string()), "lap_no": pa.array(laps, pa.int64()),
-                                          "end_ms": pa.array(ends, pa.int64())})
+                                          "start_ms": pa.array(starts, pa.int64()), "end_ms": pa.array(ends, pa.int64())})
 
 
 def read_laps(files: DataFrame) -> DataFrame:
-    """Cumulative lap ends in ms; lap 0 is the out-lap. Files claiming more than 200 laps are damaged."""
+    """Cumulative lap ends in ms with the file's start; lap 0 is the out-lap. A file that is shorter than the laps it
+    announces is left to :func:`damaged`."""
     laps = files.filter(F.upper("ext") == "LAP").select("run", "content")
-    return laps.mapInArrow(_decode_laps, "run string, lap_no long, end_ms long")
+    return laps.mapInArrow(_decode_laps, "run string, lap_no long, start_ms long, end_ms long")
 
 
 def damaged(files: DataFrame) -> DataFrame:
     """Bundle files that cannot be decoded, with the reason (everything else goes on)."""
     ext, size = F.upper("ext"), F.length("content")
-    reason = (F.when((ext == "LAP") & (size < 12), "lap file too short")
+    first = F.hex(F.substring("content", 1, 4))  # the little-endian lap count
+    count = F.conv(F.concat(*[F.substring(first, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+    reason = (F.when((ext == "LAP") & (size < 4 * LAP_WORDS), "lap file too short")
+              .when((ext == "LAP") & (count > F.floor(size / 4) - LAP_WORDS), "fewer laps than announced")
               .when((ext == "DDD") & (size == 0), "empty catalog").when((ext == "HED") & (size == 0), "empty header"))
     return files.withColumn("reason", reason).filter("reason is not null").select("run", "ext", "reason")

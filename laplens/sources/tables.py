@@ -37,15 +37,14 @@ def read_sheet(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame
     """Exported sheet whose header is on line ``header_row``; title lines above it are left out,
     repeated or empty headers are renamed, empty rows dropped. All columns are text."""
     raw = spark.read.csv(path, header=False, multiLine=False)
-    top = raw.take(header_row)  # the title block only
-    named = raw.toDF(*headers(list(top[-1])))
-    keep = F.lit(True)
-    for line in top:
-        same = F.lit(True)
-        for c, v in zip(named.columns, line):
-            same = same & F.col(f"`{c}`").eqNullSafe(F.lit(v))
-        keep = keep & ~same
-    return named.filter(keep).na.drop("all")
+    names = headers(list(raw.take(header_row)[-1]))
+    # Title lines go by their place: the first ones of the first piece of each file, where rows are numbered in file order.
+    placed = raw.toDF(*[f"_c{i}" for i in range(len(names))]).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    first = placed.filter("_at = 0").groupBy("_file").agg(F.min("_row").alias("_first"))
+    title = (F.col("_at") == 0) & (F.col("_row") < F.col("_first") + header_row)
+    body = placed.join(first, "_file", "left").filter(~F.coalesce(title, F.lit(False)))
+    return body.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)]).na.drop("all")
 
 
 def run_log(df: DataFrame, run_col: str) -> DataFrame:
@@ -80,21 +79,31 @@ def report_sessions(cells: DataFrame) -> DataFrame:
     return found.filter(F.coalesce("total_laps", F.lit(0)) > 0).join(report_head(cells), ["file", "sheet"])
 
 
-def report_laps(cells: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Lap cells under each session column down to the first empty one; unreadable times are skipped."""
-    lo, hi = LAP_ROWS
-    laps = cells.filter(F.col("row").between(lo, hi) & F.col("value").isNotNull())
-    # a column has hi-lo+1 lap rows, so its list of filled rows and values is short
-    have = laps.groupBy("file", "sheet", "col").agg(F.sort_array(F.collect_list(F.struct("row", "value"))).alias("_cells"))
+def _lap_cells(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int]) -> DataFrame:
+    """Filled cells from the first lap row on, with the row of the first empty cell below it (``_stop``)."""
+    lo, hi = lap_rows
+    laps = cells.filter((F.col("row") >= lo) & F.col("value").isNotNull())
+    # a column has hi-lo+1 lap rows, so its list of filled rows is short
+    rows = laps.filter(F.col("row") <= hi).groupBy("file", "sheet", "col").agg(F.collect_set("row").alias("_rows"))
     full = F.sequence(F.lit(lo), F.lit(hi + 1)).cast("array<int>")
-    stop = F.array_min(F.array_except(full, F.transform("_cells", lambda x: x["row"])))
+    stop = F.coalesce(F.array_min(F.array_except(full, "_rows")), F.lit(lo))
     keep = sessions.select("file", "sheet", "col", "rider", "circuit", "round_id", "session_type")
-    rows = have.withColumn("_stop", stop).join(keep, ["file", "sheet", "col"]).select(
-        "file", "sheet", "rider", "circuit", "round_id", "session_type", "_stop", F.explode("_cells").alias("_c"))
-    timed = rows.filter(F.col("_c.row") < F.col("_stop")).select(
-        "file", "sheet", "rider", "circuit", "round_id", "session_type",
-        (F.col("_c.row") - (lo - 1)).cast("long").alias("lap_no"), lap_seconds(F.col("_c.value")).alias("lap_time"))
-    return timed.filter("lap_time is not null")
+    return (laps.join(rows, ["file", "sheet", "col"], "left").withColumn("_stop", stop).join(keep, ["file", "sheet", "col"])
+            .withColumns({"lap_no": (F.col("row") - (lo - 1)).cast("long"), "lap_time": lap_seconds(F.col("value"))}))
+
+
+def report_laps(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int] = LAP_ROWS) -> DataFrame:
+    """Lap cells under each session column down to the first empty one, within ``lap_rows``."""
+    rows = _lap_cells(cells, sessions, lap_rows).filter((F.col("row") < F.col("_stop")) & F.col("lap_time").isNotNull())
+    return rows.select("file", "sheet", "rider", "circuit", "round_id", "session_type", "lap_no", "lap_time")
+
+
+def rejected_laps(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int] = LAP_ROWS) -> DataFrame:
+    """The lap cells that :func:`report_laps` leaves out, with the reason."""
+    reason = (F.when(F.col("row") > lap_rows[1], "past the last lap row").when(F.col("lap_time").isNull(), "unreadable time")
+              .when(F.col("row") >= F.col("_stop"), "below an empty cell"))
+    return (_lap_cells(cells, sessions, lap_rows).withColumn("reason", reason).filter("reason is not null")
+            .select("file", "sheet", "session_type", "lap_no", "value", "reason"))
 
 
 def pasted_laps(lines: DataFrame, text: str = "line") -> tuple[DataFrame, DataFrame]:

@@ -1,48 +1,60 @@
 """Incremental imports: file streams that add only keys not stored before.
 
-Every micro-batch is written to its own ``batch=N`` folder in overwrite mode, so a batch that is run
-again after a failure replaces itself. Known keys are those of the other folders.
+Every micro-batch writes the first row of each of its keys to a ``batch=N`` folder of its own, in overwrite mode, so a
+batch that is run again after a failure replaces itself. No batch reads what others stored. :func:`imported` merges the
+batches by key, so the answer is the same however the files were dealt to batches; :func:`compact` folds them into one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from laplens.operators.ordered import keep_one
+from laplens.session import hold, release
+
+COMPACTED = -1  # batch number of the folded rows
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
-    return (spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_batch).load(folder))
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
+    """Stream over the files of a table: a folder of part files or one file."""
+    path = path.rstrip("/")
+    either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, because a plain path must be a folder
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(either)
 
 
 def import_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str,
-               after: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
-    """Store the first row of each new key. ``after(new_rows, batch)`` sees what a batch added.
-    ``every`` polls at an interval; without it the files present are processed and the query ends."""
-    schema = stream.schema
-    layout = StructType([*schema.fields, StructField("batch", LongType())])
+               every: str | None = None) -> StreamingQuery:
+    """Store the first row of each key, by ``order``. ``every`` polls at an interval; without it the files present are
+    processed and the query ends."""
     # an empty folder makes the table readable before the first batch
-    stream.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{target}/batch={COMPACTED}")
 
     def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        first = keep_one(batch, keys, F.col(order), latest=False)
-        known = spark.read.schema(layout).parquet(target).filter(F.col("batch") != number).select(*keys)
-        part = f"{target}/batch={number}"
-        first.join(known, keys, "left_anti").write.mode("overwrite").parquet(part)
-        if after:
-            after(spark.read.schema(schema).parquet(part), number)
+        keep_one(batch, keys, F.col(order), latest=False).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def imported(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
+    """What has been imported: one row per key, the first by ``order`` over all batches."""
+    return keep_one(spark.read.parquet(target).drop("batch"), keys, F.col(order), latest=False)
+
+
+def compact(spark: SparkSession, target: str, keys: list[str], order: str) -> None:
+    """Fold all batches into one. To be run between runs of the import. The folded rows are stored before the batches are
+    emptied, so a failure on the way leaves repeated rows at worst, which :func:`imported` merges."""
+    stored = spark.read.parquet(target)
+    batches = [r["batch"] for r in stored.select("batch").distinct().collect() if r["batch"] != COMPACTED]  # one per batch
+    folded = hold(imported(spark, target, keys, order), "compacted")
+    folded.write.mode("overwrite").parquet(f"{target}/batch={COMPACTED}")
+    for number in batches:
+        folded.limit(0).write.mode("overwrite").parquet(f"{target}/batch={number}")
+    release(folded)
+
+
 def submission_digest(pending: DataFrame, who: str, submitter: str, order: str) -> DataFrame:
     """Counts of newly arrived submissions per group, with the first arrival."""
     return pending.groupBy(who).agg(F.count(F.lit(1)).alias("arrived"), F.countDistinct(submitter).alias("submitters"),

@@ -42,6 +42,17 @@ def test_bundle_from_disk(spark, tmp_path):
     assert [(r.run, r.reason) for r in bundle.damaged(files).collect()] == [("D1-X-04", "lap file too short")]
 
 
+def test_long_and_cut_off_lap_files(spark, tmp_path):
+    write_bundle(tmp_path, "A", laps=[1000 * i for i in range(1, 301)])
+    (write_bundle(tmp_path, "B") / "B.LAP").write_bytes(struct.pack("<4I", 5, 0, 70, 1000))
+    files = bundle.find_bundles(spark, str(tmp_path), "*.LAP")
+    laps = bundle.read_laps(files).collect()
+    assert {r.run for r in laps} == {"A"} and max(r.lap_no for r in laps) == 299
+    assert [(r.run, r.reason) for r in bundle.damaged(files).collect()] == [("B", "fewer laps than announced")]
+    listing = bundle.find_bundles(spark, str(tmp_path), "*.DDD", content=False)
+    assert {r.ext for r in listing.collect()} == {"DDD"} and "content" not in listing.columns
+
+
 def test_sheet_with_title_block(spark, tmp_path):
     (tmp_path / "s.csv").write_text("TITLE,,\nRUN,Name,Name\n1,a,b\n2.0,c,\n,,\nx,d,e\n")
     df = tables.read_sheet(spark, str(tmp_path / "s.csv"), header_row=2)
@@ -49,6 +60,13 @@ def test_sheet_with_title_block(spark, tmp_path):
     assert [r.RUN for r in tables.run_log(df, "RUN").orderBy("RUN").collect()] == [1, 2]
 
 
+def test_rows_equal_to_the_title_stay(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text(f"RUN,Name\n1,{name}\nRUN,Name\n2,{name}\n")
+    rows = sorted(map(tuple, tables.read_sheet(spark, str(tmp_path)).collect()))
+    assert rows == sorted([("1", "a"), ("1", "b"), ("2", "a"), ("2", "b"), ("RUN", "Name"), ("RUN", "Name")])
+
+
 def test_sinks_count_and_dry_run(spark, tmp_path):
     df = spark.range(10).withColumn("p", F.col("id") % 2)
     path = str(tmp_path / "t")

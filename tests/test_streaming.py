@@ -1,24 +1,29 @@
-"""File streams add new keys once, over several files and restarts."""
+"""File streams add new keys once, over several files, restarts and batch sizes."""
+
+import pytest
 
 from laplens.streaming import imports
 
 
-def test_import_over_files_and_restarts(spark, tmp_path):
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_import_over_files_and_restarts(spark, tmp_path, files_per_batch):
     src, target, progress = (str(tmp_path / n) for n in ("src", "target", "progress"))
-    seen = []
 
     def drop(rows):
         spark.createDataFrame(rows, "k long, v string, o long").coalesce(1).write.mode("append").parquet(src)
 
     def run():
-        stream = imports.file_stream(spark, src, "*.parquet", "k long, v string, o long", files_per_batch=1)
-        imports.import_new(stream, target, progress, ["k"], "o", after=lambda df, n: seen.append(df.count())).awaitTermination()
-        return sorted((r.k, r.v) for r in spark.read.parquet(target).select("k", "v").collect())
+        stream = imports.file_stream(spark, src, "k long, v string, o long", files_per_batch=files_per_batch)
+        imports.import_new(stream, target, progress, ["k"], "o").awaitTermination()
+        return sorted((r.k, r.v) for r in imports.imported(spark, target, ["k"], "o").collect())
 
     drop([(1, "late", 5), (1, "first", 1), (2, "b", 1)])
     assert run() == [(1, "first"), (2, "b")]
-    drop([(2, "again", 0), (3, "c", 1)])
-    drop([(3, "c2", 2), (4, "d", 1)])
-    assert [k for k, _ in run()] == [1, 2, 3, 4]
-    assert [k for k, _ in run()] == [1, 2, 3, 4]
-    assert sum(seen) == 4
+    drop([(2, "earlier", 0), (3, "late", 4)])
+    drop([(3, "c", 2), (4, "d", 1)])
+    want = [(1, "first"), (2, "earlier"), (3, "c"), (4, "d")]
+    assert run() == want and run() == want
+    imports.compact(spark, target, ["k"], "o")
+    assert run() == want and spark.read.parquet(target).count() == 4
+    drop([(1, "after", 0), (5, "e", 1)])
+    assert run() == [(1, "after"), *want[1:], (5, "e")]
