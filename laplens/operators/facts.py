@@ -38,31 +38,42 @@ def merge_facts(base: DataFrame, key: str, inserting: list[DataFrame], updating:
 
 
 def pair_delta(df: DataFrame, key: str, pairs: DataFrame, fields: list[str]) -> DataFrame:
-    """``pairs(a, b)``: every field of the two runs side by side, as text and as numbers."""
-    long = df.select(F.col(key).alias("_id"), *[F.col(f).cast("string").alias(f) for f in fields]) \
-             .unpivot("_id", fields, "field", "value")
-    a = pairs.join(long.withColumnsRenamed({"_id": "a", "value": "value_a"}), "a")
-    b = pairs.join(long.withColumnsRenamed({"_id": "b", "value": "value_b"}), "b")
-    return a.join(b, ["a", "b", "field"], "full")
+    """``pairs(a, b)``: every field of the two runs side by side, as text. The wide rows are joined, then unpivoted. A run
+    that ``df`` does not have leaves its side null; a pair of two such runs gives no rows."""
+    def side(s):
+        return df.select(F.col(key).alias(s), F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(f"_{s}"))
+
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("_a is not null or _b is not null")
+    listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_a.{f}").alias("value_a"), F.col(f"_b.{f}").alias("value_b"))
+                                 for f in fields]))
+    return both.select("a", "b", listed.alias("_f")).select("a", "b", "_f.*")
 
 
 def contained(hay: DataFrame, needles: DataFrame, text: str, needle: str, q: int = 3) -> DataFrame:
     """Pairs where ``needle`` occurs inside ``text``.
 
-    Needles are keyed by their first ``q`` characters (all of them when shorter); texts list their
-    substrings of just those lengths. The containment is then checked in full, so this is an equi-join
-    instead of all pairs.
+    A needle is keyed by the rarest of its substrings of ``q`` characters (shorter ones by themselves), counted over the
+    distinct texts. Texts list a hash of themselves under each of their substrings of the lengths in use; the text itself
+    joins the few candidates. The containment is then checked in full, so this is an equi-join instead of all pairs.
     """
-    keyed = needles.filter(F.length(needle) > 0).withColumn("_gram", F.substring(F.col(needle), 1, q))
-    sizes = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]  # at most q values
-    spots = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-
-    def pieces(size: int) -> Column:
-        return F.transform(spots, lambda i: F.substring(F.col(text), i, F.lit(size)))
-
-    grams = F.array_distinct(F.flatten(F.array(*map(pieces, sizes))))
-    listed = hay.withColumn("_gram", F.explode(grams))
-    return listed.join(keyed, "_gram").filter(F.contains(F.col(text), F.col(needle))).drop("_gram")
+    short = F.length(needle) < q
+    sizes = [r[0] for r in needles.filter(F.length(needle) > 0).select(F.least(F.length(needle), F.lit(q))).distinct().collect()]  # at most q values
+
+    def grams(c: str, size: int) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1)))
+        return F.array_distinct(F.transform(spots, lambda i: F.substring(F.col(c), i, F.lit(size))))
+
+    name = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    listed = (hay.select(text).distinct()
+              .select(name.alias("_name"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(text, n) for n in sizes])))).alias("_gram")))
+    counts = listed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    spelled = (needles.filter(F.length(needle) > 0).select(needle).distinct()
+               .select(needle, F.explode(F.when(short, F.array(needle)).otherwise(grams(needle, q))).alias("_gram")))
+    keyed = spelled.join(counts, "_gram", "left").groupBy(needle).agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    candidates = listed.join(keyed, "_gram").select("_name", needle)
+    found = hay.withColumn("_name", name).join(candidates, "_name").filter(F.contains(F.col(text), F.col(needle)))
+    return found.drop("_name").join(needles, needle)
 
 
 def impute_dates(df: DataFrame, events: DataFrame, event_key: str, prefix: str, date: str,

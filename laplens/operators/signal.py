@@ -5,10 +5,13 @@ Clocks are long microseconds; masks are boolean columns, null counts as false.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laplens.operators.ordered import Track, after, before, group_limit, last_seen, running
+from laplens.operators.ordered import Track, after, before, group_limit, join_on, last_seen, running
+from laplens.session import hold, release, ship
 
 SECOND = 1_000_000
 
@@ -203,10 +206,9 @@ def long_enough(spans: DataFrame, min_rows: int | None = None, min_span: int | N
 # minimum gap
 
 
-def _fold(arr: Column, gap: int, carry: Column | None = None, block: int = 256) -> Column:
-    """Accepted clocks of a sorted array: each at least ``gap`` after the one accepted before (``carry``:
-    accepted ahead of the array). Appending copies an array, so the list is folded block by block."""
-    last = F.lit(None).cast("bigint") if carry is None else carry
+def _fold(arr: Column, gap: int, block: int = 256) -> Column:
+    """Accepted clocks of a sorted array: each at least ``gap`` after the one accepted before. Appending copies an
+    array, so the list is folded block by block."""
     count = F.floor((F.size(arr) - 1) / block)
     blocks = F.transform(F.sequence(F.lit(0).cast("long"), count),
                          lambda i: F.slice(arr, (i * block + 1).cast("int"), F.lit(block)))
@@ -220,57 +222,82 @@ def _fold(arr: Column, gap: int, carry: Column | None = None, block: int = 256)
         inner = F.aggregate(part, F.struct(acc["last"].alias("last"), F.array().cast("array<bigint>").alias("kept")), take)
         return F.struct(inner["last"].alias("last"), F.array_append(acc["kept"], inner["kept"]).alias("kept"))
 
-    zero = F.struct(last.alias("last"), F.array().cast("array<array<bigint>>").alias("kept"))
+    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<array<bigint>>").alias("kept"))
     return F.flatten(F.aggregate(blocks, zero, whole)["kept"])
 
 
+def _last_accepted(gap: int):
+    """For one slice: each event with the last one that the chain from it accepts in the slice. One pass from the end."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_ts", ignore_index=True)
+        clock = part["_ts"].to_numpy("int64")
+        follow = np.searchsorted(clock, clock + gap).tolist()
+        last = list(range(len(clock)))
+        for i in range(len(clock) - 1, -1, -1):
+            if follow[i] < len(last):
+                last[i] = last[follow[i]]
+        return part.assign(_last=clock[last])
+    return run
+
+
+def _accepted(gap: int):
+    """For one slice: the events that the chain from its entry accepts."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_ts", ignore_index=True)
+        clock = part["_ts"].to_numpy("int64")
+        follow = np.searchsorted(clock, clock + gap)
+        i, kept = int(np.searchsorted(clock, part["_entry"].iloc[0])) if len(clock) else 0, []
+        while i < len(clock):
+            kept.append(i)
+            i = int(follow[i])
+        return part.iloc[kept].drop(columns="_entry")
+    return run
+
+
 def min_gap(events: DataFrame, keys: list[str], ts: str, gap: int, limit: int | None = None,
             like: Track | None = None) -> DataFrame:
     """(keys, ts) of events accepted when at least ``gap`` after the last accepted one.
 
     An event ``gap`` or more after its predecessor is accepted whatever happened earlier, so the chain
     falls into independent clusters. A cluster is folded in one piece where groups are small. Otherwise it
-    is cut by the clock: for each slice the few possible first accepted events are followed to the slice's
-    last accepted event, these short lists are chained per cluster, and every slice is folded from the
-    carried state. ``like``: the track the events were found in.
+    is cut by the clock into slices of bounded size. One pass per slice tells where the chain from each event leaves it;
+    the events at which slices are entered are then found by doubling those jumps, and every entered slice is followed
+    from its entry. Work grows with the events, and no slice is held as one value. ``like``: the track the events were
+    found in.
     """
     times = events.select(*keys, ts).distinct()
     t = like.derive(times, ts, keys) if like else Track.open(times, keys, ts, limit=limit)
     t = t.scan(_prev=before(F.col(ts)))
     fresh = F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= gap), F.col(ts))
     t = t.columns(_fresh=fresh).scan(_cluster=last_seen(F.col("_fresh")))
-    rows = t.df.select(*keys, "_cluster", ts)
+    rows = t.df.select(*keys, "_cluster", F.col(ts).alias("_ts"))
     group = [*keys, "_cluster"]
     if t.fits:
-        arrs = rows.groupBy(*group).agg(F.sort_array(F.collect_list(ts)).alias("_a"))
+        arrs = rows.groupBy(*group).agg(F.sort_array(F.collect_list("_ts")).alias("_a"))
         return arrs.select(*keys, F.explode(_fold(F.col("_a"), gap)).alias(ts))
 
-    width = max(t.width, gap)
-    slot = F.floor((F.col(ts) - F.col("_cluster")) / width)
-    arrs = (rows.withColumn("_slot", slot).groupBy(*group, "_slot")
-            .agg(F.sort_array(F.collect_list(ts)).alias("_a")))
-    edge = F.col("_cluster") + F.col("_slot") * width + gap
-    early = F.filter("_a", lambda x: x < edge)
-    starts = F.concat(early, F.slice(F.filter("_a", lambda x: x >= edge), 1, 1))
-    follow = F.transform(starts, lambda e: F.struct(e.alias("first"), F.aggregate(
-        F.filter("_a", lambda x: x >= e), e,
-        lambda last, x: F.when(x >= last + F.lit(gap), x).otherwise(last)).alias("last")))
-    links = (arrs.select(*group, "_slot", follow.alias("_f"))
-             .groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_slot", "_f"))).alias("_chain")))
-
-    def advance(acc, link):
-        state = acc["state"]
-        hit = F.try_element_at(F.filter(link["_f"], lambda e: state.isNull() | (e["first"] >= state + F.lit(gap))),
-                               F.lit(1))
-        seen = F.array_append(acc["seen"], F.struct(link["_slot"].alias("_slot"), state.alias("_carry")))
-        return F.struct(F.coalesce(hit["last"], state).alias("state"), seen.alias("seen"))
-
-    zero = F.struct(F.lit(None).cast("bigint").alias("state"),
-                    F.array().cast("array<struct<_slot:bigint,_carry:bigint>>").alias("seen"))
-    carried = (links.select(*group, F.explode(F.aggregate("_chain", zero, advance)["seen"]).alias("_s"))
-               .select(*group, "_s._slot", "_s._carry"))
-    folded = arrs.join(carried, [*group, "_slot"])
-    return folded.select(*keys, F.explode(_fold(F.col("_a"), gap, F.col("_carry"))).alias(ts))
+    ship(events.sparkSession)
+    rows = hold(rows.withColumn("_slot", F.floor((F.col("_ts") - F.col("_cluster")) / t.width)), "events")
+    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    ends = hold(rows.groupBy(*group, "_slot").applyInPandas(_last_accepted(gap), layout + ", _last long"), "ends")
+    leave = ends.select(*group, (F.col("_last") + gap).alias("_ts")).distinct()
+    to = asof_next(leave, rows.withColumn("_to", F.col("_ts")), group, "_ts", ["_to"], like=t).filter("_to is not null")
+    to = hold(to.withColumn("_last", F.col("_ts") - gap).drop("_ts"), "leaves")
+    starts = rows.filter("_ts = _cluster").select(*group, "_ts")
+    doors = starts.unionByName(to.select(*group, F.col("_to").alias("_ts"))).distinct()
+    jumps = hold(join_on(join_on(doors, ends.select(*group, "_ts", "_last"), [*group, "_ts"], "inner"), to, [*group, "_last"], "inner")
+                 .select(*group, "_ts", "_to"), "jumps")
+    entered = hold(starts, "entered")
+    while not jumps.isEmpty():  # doubles with each turn
+        ahead = join_on(entered, jumps, [*group, "_ts"], "inner").select(*group, F.col("_to").alias("_ts"))
+        further, done = hold(entered.unionByName(ahead).distinct(), "entered"), entered
+        step = jumps.select(*group, F.col("_ts").alias("_from"), F.col("_to").alias("_ts"))
+        doubled = hold(join_on(step, jumps, [*group, "_ts"], "inner").select(*group, F.col("_from").alias("_ts"), "_to"), "jumps")
+        release(done, jumps)
+        entered, jumps = further, doubled
+    entry = (entered.withColumn("_slot", F.floor((F.col("_ts") - F.col("_cluster")) / t.width)).withColumnRenamed("_ts", "_entry"))
+    followed = join_on(rows, entry, [*group, "_slot"], "inner").select(*rows.columns, "_entry")
+    return followed.groupBy(*group, "_slot").applyInPandas(_accepted(gap), layout).select(*keys, F.col("_ts").alias(ts))
 
 
 def min_gap_keep_larger(events: DataFrame, keys: list[str], ts: str, level: str, gap: int,

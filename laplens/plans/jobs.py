@@ -110,8 +110,7 @@ def matched_runs(spark, d):
     dyn = raw_laps(spark, d).filter("l_linestatus = 'F'").groupBy("run").agg(
         F.avg("l_quantity").alias("apex"), F.avg(F.col("l_discount") * 100).alias("brk"))
     key = runs(spark, d).select("rider", F.col("status").alias("circuit"), "date", "run")
-    on = ["rider", "circuit", "date", "run"]
-    return best.join(key, "run").join(dyn.join(key, "run"), on)
+    return best.join(dyn, "run").join(key, "run")  # a run has one rider, circuit and date
 
 
 def tiered_runs(spark, d):
