@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laplens.operators.ordered import Track, before, quantiles, with_group_stats
+from laplens.operators.ordered import Track, before, join_on, quantiles, with_group_stats
 from laplens.operators.signal import (SECOND, asof, asof_next, derivative, interval_join, islands, label_islands,
-                                      long_enough, merge_islands, min_gap, smooth_time)
+                                      long_enough, merge_islands, min_gap, min_gap_keep_larger, smooth_time,
+                                      turning_points)
 
 
 def all_bands(bands: dict[str, tuple[float, float]]) -> Column:
@@ -115,6 +116,29 @@ def brake_corners(t: Track, brake: str, speed: str, threshold: float = 0.5, min_
     return kept.withColumns({"start_us": F.col("apex_us") - half, "end_us": F.col("apex_us") + half})
 
 
+def apex_minima(t: Track, col: str, gap: int, window: int, min_depth: float, **turning) -> DataFrame:
+    """Apexes as prominent minima of ``col``, at least ``gap`` after the one accepted before."""
+    found = turning_points(t, col, "min", window, min_depth, **turning)
+    return join_on(found, min_gap(found, t.keys, t.ts, gap, like=t), [*t.keys, t.ts], "inner")
+
+
+def apex_maxima(t: Track, col: str, gap: int, window: int, min_depth: float, min_signal: float | None = None, **turning) -> DataFrame:
+    """Apexes as prominent maxima of the size of ``col``; within ``gap`` the larger one stays. Groups in which the size never
+    reaches ``min_signal`` have a channel too weak to judge by, and no apexes."""
+    t = t.columns(**{col: F.abs(F.col(col))})
+    found = turning_points(t, col, "max", window, min_depth, **turning)
+    if min_signal is not None:
+        strong = t.df.groupBy(*t.keys).agg(F.max(col).alias("_top")).filter(F.col("_top") >= min_signal).drop("_top")
+        found = join_on(found, strong, t.keys, "inner")
+    return min_gap_keep_larger(found, t.keys, t.ts, "level", gap, like=t)
+
+
+def apexes(by_load: DataFrame, by_speed: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
+    """Apexes by load, or by speed in groups where the load finds fewer than ``share`` of what the speed does."""
+    weak = (F.col("n_second") > 0) & (F.col("n_first") < F.col("n_second") * share)
+    return choose_detector(by_load, by_speed, keys, weak)
+
+
 def choose_detector(first: DataFrame, second: DataFrame, keys: list[str], use_second: Column) -> DataFrame:
     """Per group take the events of ``second`` where ``use_second`` (over n_first, n_second) holds."""
     a = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_first"))

@@ -7,6 +7,7 @@ from laplens.operators import events as ev_ops
 from laplens.operators import signal as sig
 from laplens.operators.ordered import Track
 from laplens.plans.registry import CHANNELS, DAY, EV, HOUR, WIDE, island_cte, query, r6, samples, wide
+from laplens.session import hold
 
 ENDS = EV + """, ends AS (SELECT run, ts_us, row_number() OVER (PARTITION BY run ORDER BY ts_us) - 1 AS lap_no,
   coalesce(lag(ts_us) OVER (PARTITION BY run ORDER BY ts_us), 0) AS start_us FROM ev WHERE channel = 'purchase')"""
@@ -151,6 +152,67 @@ def greedy_keep_larger(spark, d):
     return sig.min_gap_keep_larger(ev, ["run"], "ts_us", "value", 24 * HOUR)
 
 
+# --- apexes per lap -----------------------------------------------------------------------------------
+
+LAPPED = ENDS.replace("FROM ev WHERE", "FROM ev0 WHERE").replace("ev AS", "ev0 AS", 1) + """, first AS (SELECT run, min(ts_us) AS t0 FROM ev0 GROUP BY run),
+  ev AS (SELECT ev0.run || '_L' || lap_no AS run, event_id, ev0.ts_us, value FROM ev0 JOIN ends ON ev0.run = ends.run JOIN first ON ev0.run = first.run
+    AND ev0.ts_us >= greatest(start_us, t0) AND ev0.ts_us < ends.ts_us)"""
+
+
+def kept_sql(points, out):
+    """SQL for the accepted clocks of ``points`` with a day between them."""
+    return f"""{out} AS (SELECT run, min(ts_us) AS ts_us FROM {points} GROUP BY run
+    UNION ALL SELECT r.run, (SELECT min(c.ts_us) FROM {points} c WHERE c.run = r.run AND c.ts_us >= r.ts_us + {24 * HOUR}) FROM {out} r WHERE r.ts_us IS NOT NULL)"""
+
+
+LOW = SMOOTH[len(EV):]
+LOAD = LOW.replace("avg(value)", "avg(abs(value - 45))")
+for _name in ("sm", "sl", "nx", "mins", "maxs"):
+    LOAD = LOAD.replace(f" {_name} AS", f" b_{_name} AS").replace(f"FROM {_name} ", f"FROM b_{_name} ").replace(f"FROM {_name})", f"FROM b_{_name})")
+APEX_LOW = f"""{kept_sql("mins", "k1")}, low AS (SELECT mins.* FROM mins JOIN k1 USING (run, ts_us))"""
+APEX_LOAD = f"""strong AS (SELECT run FROM ev GROUP BY run HAVING max(abs(value - 45)) >= 40), pts AS (SELECT b_maxs.* FROM b_maxs JOIN strong USING (run)),
+  {kept_sql("pts", "k2")}, tied AS (SELECT pts.*, k2.ts_us AS anchor FROM pts ASOF JOIN (SELECT * FROM k2 WHERE ts_us IS NOT NULL) k2 ON pts.run = k2.run AND pts.ts_us >= k2.ts_us),
+  top AS (SELECT run, unnest(arg_max({{'event_id': event_id, 'ts_us': ts_us, 's': s, 'depth': depth}}, (s, -ts_us))) FROM tied GROUP BY run, anchor)"""
+
+
+def lapped(spark, d):
+    """Events with run and lap as one key."""
+    at = sig.interval_join(samples(spark, d), lap_spans_from_first(spark, d).select("run", "lap_no", "start_us", "end_us"), ["run"],
+                           "ts_us", "start_us", "end_us", DAY)
+    key = F.concat_ws("_L", F.col("run").cast("string"), F.col("lap_no").cast("string"))
+    return Track.open(at.select(key.alias("run"), "event_id", "ts_us", "value"), ["run"], "ts_us", ("event_id",))
+
+
+def low_apexes(t):
+    return ev_ops.apex_minima(t, "value", 24 * HOUR, 48 * HOUR, 15.0, share_of_max=0.92, smooth=12 * HOUR)
+
+
+def load_apexes(t):
+    t = t.columns(load=F.col("value") - 45)
+    return ev_ops.apex_maxima(t, "load", 24 * HOUR, 48 * HOUR, -0.6, 40.0, min_level=20.0, smooth=12 * HOUR)
+
+
+@query(f"WITH RECURSIVE {LAPPED}{LOW}, {APEX_LOW} SELECT run AS lap, event_id, ts_us, round(s + 1e-9, 6) AS level, round(depth + 1e-9, 6) AS depth FROM low")
+def apex_speed_minima(spark, d):
+    return low_apexes(lapped(spark, d)).select(F.col("run").alias("lap"), "event_id", "ts_us", r6("level").alias("level"), r6("depth").alias("depth"))
+
+
+@query(f"WITH RECURSIVE {LAPPED}{LOAD}, {APEX_LOAD} SELECT run AS lap, event_id, ts_us, round(s + 1e-9, 6) AS level, round(depth + 1e-9, 6) AS depth FROM top")
+def apex_lateral_maxima(spark, d):
+    return load_apexes(lapped(spark, d)).select(F.col("run").alias("lap"), "event_id", "ts_us", r6("level").alias("level"), r6("depth").alias("depth"))
+
+
+@query(f"""WITH RECURSIVE {LAPPED}{LOW}, {APEX_LOW}{LOAD}, {APEX_LOAD},
+  c AS (SELECT coalesce(a.run, b.run) AS run, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM
+    (SELECT run, count(*) AS na FROM top GROUP BY run) a FULL JOIN (SELECT run, count(*) AS nb FROM low GROUP BY run) b ON a.run = b.run)
+  SELECT t.run AS lap, event_id, 'first' AS detector FROM top t JOIN c ON t.run = c.run WHERE NOT (nb > 0 AND na < 0.7 * nb)
+  UNION ALL SELECT t.run, event_id, 'second' FROM low t JOIN c ON t.run = c.run WHERE nb > 0 AND na < 0.7 * nb""")
+def apex_with_fallback(spark, d):
+    t = lapped(spark, d)
+    by_load, by_speed = (hold(x.select("run", "event_id"), "apexes") for x in (load_apexes(t), low_apexes(t)))
+    return ev_ops.apexes(by_load, by_speed, ["run"]).withColumnRenamed("run", "lap")
+
+
 BANDS = {"speed": (5.0, 120.0), "brake": (0.0, 80.0), "gas": (0.0, 90.0), "susp": (2.0, 200.0)}
 IN_BANDS = " AND ".join(f"{c} BETWEEN {lo} AND {hi}" for c, (lo, hi) in BANDS.items())
 
