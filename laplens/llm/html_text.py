@@ -27,12 +27,16 @@ summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = ("script", "style", "noscript", "template", "textarea", "select", "button", "iframe", "object", "svg", "math", "canvas", "audio",
           "video", "title", "head")
-FURNITURE = frozenset("nav footer aside form menu dialog header search".split())
+FURNITURE = frozenset("nav footer aside menu dialog header search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar
 navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar sidenav aside widget widgets cookie cookies consent gdpr
 notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social
 related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager copyright hidden""".split())
+# Of these, the ones that turn an article or main element into something else; there, other words speak of the layout.
+ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+# A class such as "with-sidebar" speaks of what stands elsewhere.
+MODIFIERS = frozenset("has with no without is not js".split())
 # Function words of the languages that the rules were made for.
 STOP = frozenset("""a an and are as at be by for from had has have he her his i in is it not of on or she that the their they this to was we were
 which will with you au aux ce ces dans de des du elle en est et il la le les leur ne nous on ou par pas pour qui que sa se ses son sur un une
@@ -46,6 +50,10 @@ PARTS = re.compile(r"[^0-9a-z]+")
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SILENT}
 
 
+#: Places below 0: in a form, which may hold a whole page, and in page furniture, which holds no text whatever is inside.
+FORM, OUT = -1, -2
+
+
 def is_furniture(name: str, tag: str, in_article: bool) -> bool:
     if name in FURNITURE and not (name == "header" and in_article):
         return True
@@ -53,13 +61,20 @@ def is_furniture(name: str, tag: str, in_article: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key == "role" and value in ROLES or key in ("class", "id") and not WORDS.isdisjoint(PARTS.split(value)):
+        if key == "role" and value in ROLES and name not in ("article", "main"):
             return True
+        if key in ("class", "id"):
+            words = ARTICLE_WORDS if name in ("article", "main") else WORDS
+            for token in value.split():
+                parts = PARTS.split(token)
+                if parts[0] not in MODIFIERS and not words.isdisjoint(parts):
+                    return True
     return False
 
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, place, linked characters) of each block with text; place is 1 in an article, -1 in page furniture, else 0."""
+    """(text, place, linked characters) of each block with text; place is 1 in an article, below 0 in forms and page
+    furniture, else 0."""
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open block elements, and the place that holds within them
@@ -118,12 +133,17 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 stack.pop()
                 place = stack[-1][1] if stack else 0
             if name not in VOID and name not in ("p", "html", "body"):
-                if place >= 0:
-                    place = -1 if is_furniture(name, token, place == 1) else 1 if name in ("article", "main") else place
+                if place > OUT:
+                    if is_furniture(name, token, place == 1):
+                        place = OUT
+                    elif name in ("article", "main"):
+                        place = 1
+                    elif name == "form":
+                        place = FORM
                 stack.append((name, place))
-            elif name == "p" and place >= 0 and is_furniture(name, token, True):
-                stack.append((name, -1))
-                place = -1
+            elif name == "p" and place > OUT and is_furniture(name, token, True):
+                stack.append((name, OUT))
+                place = OUT
     close()
     return out
 
@@ -131,7 +151,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
 def label(text: str, place: int, linked: int, short: int, long: int, links: float, low: float, high: float) -> int:
     """First pass: 1 text, -1 not, 0 open."""
     if place:
-        return place
+        return 1 if place > 0 else -1
     density = linked / max(len(text), 1)
     if density > links:
         return -1

@@ -306,6 +306,7 @@ PROSE = "The quick brown fox is in the house and it was not at the door when he
     (f"<article><header><h1>T</h1></header><form>f<input></form><p class=notice>n<p>kept<ul><li>a<li>b</ul>", "T\n\nkept\n\na\n\nb"),
     (f"<div>{PROSE}</div><div><a href='/x'>{PROSE}</a></div>", PROSE), ("<article>a < b &lt;p&gt; &am", "a < b <p> &am"),
     ("<article><p>cut <a href='x", "cut"), (f"<header><h1>no</h1></header><main><p hidden>no</p><p>yes", "yes"),
+    ("<body class='has-ads'><form><div class=with-sidebar><main class='no-sidebar widget'>yes<form>no</form><article class=comment>no</article></main></form>", "yes"),
     ("<title>no</title><article>" + "long text " * 20_000, ("long text " * 20_000).strip()),
 ])
 def test_main_text_rules(page, text):
