@@ -167,13 +167,15 @@ class Pieces:
 
     # -- texts ----------------------------------------------------------------------------------
 
-    def marked(self, text: str) -> list[str]:
-        """The normalised text cut before each run of marks that follows another character."""
+    def marked(self, text: str) -> tuple[list[str], str]:
+        """The normalised text cut before each run of marks that follows another character, and the text it stands for."""
         if not text:
-            return []
+            return [], ""
         norm = self.model.normalize(text)
+        plain = norm.replace(MARK, " ")
+        plain = plain[1:] if plain[:1] == " " else plain
         if self.inner_mark:
-            return [norm]
+            return [norm], plain
         parts = norm.split(MARK)
         words, run = [], 0
         if parts[0]:
@@ -185,18 +187,21 @@ class Pieces:
                 run = 0
         if run:
             words.append(MARK * run)
-        return words
+        return words, plain
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether they decode to it: pieces spell the normalised text, unless a character has none."""
         if len(self.words) > MEMO:
             self.older, self.words = self.words, {}
-        cut = [self.marked(t) for t in texts]
+        cut, plain = zip(*map(self.marked, texts)) if texts else ((), ())
         new = set().union(*cut).difference(self.words)
         again = new.intersection(self.older)
         self.words.update((w, self.older[w]) for w in again)
         self.walk(sorted(new - again))
         known = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), "<i4") for words in cut]
+        coded = [np.frombuffer(b"".join(map(known, words)), "<i4") for words in cut]
+        lost = [not self.byte_ids and bool((c == self.unknown).any()) for c in coded]
+        return coded, [p == t and not x for p, t, x in zip(plain, texts, lost)]
 
     def decode(self, ids) -> str:
         """The text of ids: bytes of their pieces, marks as spaces, without the space that encoding puts before the text."""
@@ -230,10 +235,9 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                coded = own.encode(texts)
+                coded, same = own.encode(texts)
                 ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*coded, np.zeros(0, "<i4")]), pa.int32()))
-                same = [own.decode(c.tolist()) == t for c, t in zip(coded, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())],
                                                  ["id", "ids", "n_tokens", "round_trip"])
 
