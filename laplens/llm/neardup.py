@@ -5,9 +5,11 @@ set. Registers of a union are the larger of both, and registers agree the oftene
 registers put alike texts into common buckets. Pairs from a bucket are first judged by the joint likelihood of their
 registers, and only clear misses go; the others are verified on full sets.
 
-No bucket is expanded into all its pairs. In a first and a second round, all members meet one hub per bucket, and the
-links found are contracted to components. Only buckets that still hold several components go on: there, members outside
-of the largest component meet all members of other components, so no link that the buckets offer is lost.
+No bucket is expanded into all its pairs. First all its members meet one hub, and the links found are contracted to
+components. Only members of buckets that still hold several components go on. For them a
+prefix filter finds the rest exactly: in an order of shingles from rare to frequent, two sets that are linked share one
+of their first few. What many copies have in common comes last in that order, so a copy meets only those that share
+its own changes.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BASE, RATE = 1.005, 20.0
 #: Shingles hashed at a time, and words remembered by a task; they only bound memory.
 BLOCK = 2048
 MEMO = 500_000
+#: Entries of the frequency table that orders shingles; its size is fixed.
+SLOTS = 1 << 18
 
 _RNG = np.random.default_rng(20_240_601)
 _MULT = _RNG.integers(0, 2 ** 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,7 +158,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp): each node of (a, b) with the smallest node of its component. Alternates linking all larger and all smaller
     neighbours to the least one, until nothing changes; every turn is a written table."""
     current = hold(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    state = None
+
+    def content(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    state = content(current)
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -165,8 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
                  .unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
         small = hold(small, "edges")
         release(current, large)
-        seen = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        current = small
+        seen, current = content(small), small
         if seen == state:
             return current.select(F.col("a").alias("id"), F.col("b").alias("comp"))
         state = seen
@@ -215,6 +222,75 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int)
     return full.mapInArrow(check, f"a {kind}, b {kind}")
 
 
+def _size_class(n):
+    return np.floor(np.log(n) / math.log(1.05)).astype(np.int32)
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (id, n, comp, minor) of different components, one of them minor, that can be linked: all that
+    share a shingle within the prefixes that their sizes leave. Shingles are ordered by their frequency among the nodes, as a
+    table of fixed size counts it; any order is exact, this one is quick."""
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def cut(batches):
+        names = Names()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t, names) for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(list(map(len, sets)), pa.int64()), *part.columns[2:4],
+                    pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "comp", "minor", "set"])
+
+    sets = hold(nodes.join(texts, "id").select("id", "n", "comp", "minor", "text")
+                .mapInArrow(cut, f"id {kind}, n long, comp {kind}, minor boolean, set binary"), "sets")
+
+    def count(batches):
+        table = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                table += np.bincount((np.frombuffer(raw, np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slots = np.nonzero(table)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(table[slots])], ["slot", "n"])
+
+    counted = sets.select("set").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(often)
+
+    def prefix(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                owner, keys, places = [], [], []
+                for i, (n, raw) in enumerate(zip(part.column(1).to_pylist(), part.column(4).to_pylist())):
+                    own = np.frombuffer(raw, np.uint64)
+                    first = np.lexsort((own, shared.value[(own % np.uint64(SLOTS)).astype(np.int64)]))[: len(own) - -(-percent * len(own) // 100) + 1]
+                    owner.append(np.full(len(first), i))
+                    keys.append(own[first])
+                    places.append(np.arange(len(first)))
+                if owner:
+                    rows = np.concatenate(owner)
+                    n = part.column(1).to_numpy(zero_copy_only=False)[rows]
+                    pos = np.concatenate(places)
+                    top = np.minimum((100 + percent) * (n - pos) // percent - n, 100 * n // percent)  # the largest partner at this place
+                    low = np.maximum(-(-percent * n // 100), 1)
+                    yield pa.RecordBatch.from_arrays([
+                        *(part.column(j).take(pa.array(rows)) for j in range(4)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(pos.astype(np.int64)),
+                        pa.array(_size_class(n)), pa.array(_size_class(low)), pa.array(_size_class(np.maximum(top, 1)))],
+                        ["id", "n", "comp", "minor", "key", "pos", "class", "low", "top"])
+
+    rows = hold(sets.mapInArrow(prefix, f"id {kind}, n long, comp {kind}, minor boolean, key long, pos long, class int, low int, top int"), "prefixes")
+    release(sets)
+    probe = rows.filter("minor AND low <= top").select("id", "n", "comp", "key", "pos", F.explode(F.sequence("low", "top")).alias("class"))
+    other = rows.select("key", "class", *[F.col(c).alias(c + "2") for c in ("id", "n", "comp", "pos")])
+    both = F.col("n") + F.col("n2")
+    overlap = F.floor((percent * both + 99 + percent) / (100 + percent))
+    meets = ((F.col("comp") != F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+             & (F.col("pos") <= F.col("n") - overlap) & (F.col("pos2") <= F.col("n2") - overlap))
+    return probe.join(other, ["key", "class"]).filter(meets).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included) and
     ``kept`` (it is the smallest).
@@ -238,39 +314,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = bands(reps)
     hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub != top").select("key", "hub")
     crowded = hold(rows.join(hubs, "key"), "crowded")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     tested = hold(crowded.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = hold(verified(tested, reps, texts, percent), "links")
     comp = components(links)
 
-    def unsettled() -> DataFrame:
-        """Rows of the buckets that hold more than one component."""
-        now = (crowded.select("key", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-        keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-        return hold(now.join(keys, "key", "left_semi"), "unsettled")
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal tested, links, comp
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = hold(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(hold(verified(new, reps, texts, percent), "links"))
-        tested = tested.unionByName(new)
-        comp = components(links)
-
-    left = unsettled()
-    second = left.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id")).alias("h"))
-    settle(left.join(second, "key").filter((F.col("comp") != F.col("h.comp")) & fits(F.col("n"), F.col("h.n")))
-           .select(F.col("h.id").alias("a"), F.col("id").alias("b")))
-    left = unsettled()
+    # rows of the buckets that hold more than one component
+    now = crowded.select("key", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
+    left = hold(now.join(keys, "key", "left_semi"), "unsettled")
     main = (left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
             .groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main")))
-    marked = hold(left.join(main, "key").withColumn("minor", F.col("comp") != F.col("main")), "marked")
-    other = marked.select("key", *[F.col(c).alias(c + "2") for c in ("id", "n", "comp", "minor")])
-    once = ~F.col("minor2") | (F.col("id") < F.col("id2"))
-    settle(marked.filter("minor").join(other, "key").filter((F.col("comp") != F.col("comp2")) & fits(F.col("n"), F.col("n2")) & once)
-           .select(F.col("id").alias("a"), F.col("id2").alias("b")))
-
-    final = components(links.unionByName(ids))
+    nodes = hold(left.join(main, "key").groupBy("id", "n", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor")), "nodes")
+    edges = ids.unionByName(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+    if not nodes.isEmpty():
+        more = prefix_pairs(nodes, texts.filter(F.col("id").isNotNull()), percent)
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        edges = edges.unionByName(verified(hold(more, "pairs"), reps, texts, percent))
+
+    final = components(edges)
     out = base.select("id", "n").join(final, "id", "left")
     component = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
