@@ -3,7 +3,7 @@
 Distinct lines are found first, equal ones merged before the shuffle. Each is cut into ``max_edits + 1``
 segments; two lines within the threshold agree in one segment of the shorter, up to a shift that the lengths
 bound. A line is indexed under its segments and probes the indexes of its own and of smaller lengths with the few
-substrings that the shift bound leaves. Pairs that share a key are verified with the banded edit distance of
+substrings that the shift bound leaves. Crowded segments are refined by a second exact condition. Pairs that share a key are verified with the banded edit distance of
 Spark, which stops beyond the threshold.
 """
 
@@ -43,18 +43,58 @@ def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column,
     return F.array(*index), F.array(*probes)
 
 
-def near_pairs(lines: DataFrame, max_edits: int) -> DataFrame:
+def bigram_bits(line: Column, max_edits: int) -> Column:
+    """Two words of bits (a, b): each pair of neighbouring characters flips one of about 126 bits. An edit flips four at most."""
+    half = 63 // (4 * max_edits + 1) * (4 * max_edits + 1)
+    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    def flip(bits: Column, i: Column) -> Column:
+        h = F.pmod(F.xxhash64(F.substring(line, i, F.lit(2))), F.lit(2 * half)).cast("int")
+        bit = lambda low: F.when((h >= low) & (h < low + half), F.call_function("shiftleft", F.lit(1).cast("long"), h - low)).otherwise(F.lit(0).cast("long"))
+        return F.struct(bits["a"].bitwiseXOR(bit(0)).alias("a"), bits["b"].bitwiseXOR(bit(half)).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(line) - 1, F.lit(1))), zero, flip)
+
+
+def bit_blocks(max_edits: int) -> Column:
+    """Keys from the bits, cut into ``4 * max_edits + 1`` blocks: those of lines within the threshold agree in one at least."""
+    blocks = 4 * max_edits + 1
+    width = 63 // blocks
+    cut = lambda word, j: F.shiftright(word, j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return F.array(*[F.xxhash64(F.lit(j), cut(F.col("a"), j), cut(F.col("b"), j)) for j in range(blocks)])
+
+
+def near_pairs(lines: DataFrame, max_edits: int, crowd: int = 10) -> DataFrame:
     """Pairs of names of distinct lines (hi, lo, line) that share a key; the second is the longer or, at equal length,
-    either."""
+    either. Where more than ``crowd`` lines are indexed under one segment, as variants of one text are, a pair must also
+    agree in a block of bigram bits and differ in few of the bits, which all pairs within the threshold do."""
     index, probes = segment_keys(F.col("line"), F.length("line"), max_edits)
     left = lines.select("hi", "lo", F.explode(index).alias("key"))
     right = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode(probes).alias("key"))
+    crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
     differ = (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
-    return left.join(right, "key").filter(differ).select("hi", "lo", "hi2", "lo2").distinct()
+    pairs = left.join(crowded, "key", "left_anti").join(right, "key").filter(differ).select("hi", "lo", "hi2", "lo2")
+    if not crowded.isEmpty():
+        some = hold(left.join(crowded, "key", "left_semi"), "crowded-index")
+        more = hold(right.join(crowded, "key", "left_semi"), "crowded-probes")
+        names = some.select("hi", "lo").union(more.select("hi2", "lo2")).distinct()
+        bits = hold(names.join(lines.select("hi", "lo", "line"), ["hi", "lo"])
+                    .select("hi", "lo", bigram_bits(F.col("line"), max_edits).alias("bits")).select("hi", "lo", "bits.*"), "bits")
+
+        def finer(rows: DataFrame, end: str) -> DataFrame:
+            own = {c: c + end for c in ("hi", "lo", "a", "b")}
+            listed = F.explode(F.transform(bit_blocks(max_edits), lambda x: F.xxhash64("key", x))).alias("key")
+            return (rows.withColumnsRenamed({"hi" + end: "hi", "lo" + end: "lo"}).join(bits, ["hi", "lo"])
+                    .select(*[F.col(c).alias(n) for c, n in own.items()], listed))
+
+        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("a2"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("b2")))
+        pairs = pairs.unionByName(finer(some, "").join(finer(more, "2"), "key").filter(differ & (apart <= 4 * max_edits))
+                                  .select("hi", "lo", "hi2", "lo2"))
+    return pairs.distinct()
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
-                  min_chars: int = 40) -> DataFrame:
+                  min_chars: int = 40, crowd: int = 10) -> DataFrame:
     """(id, pos, why) of the lines to take out, ``why`` being 'exact' or 'near'.
 
     The corpus order of lines is that of (id, position), nulls last. A line goes when an equal line comes before it, or a
@@ -69,7 +109,7 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = fresh_path(spark, "lines")
     (distinct.write.bucketBy(buckets, "hi", "lo").option("path", path).option("compression", "zstd").saveAsTable(name))
     lines = spark.table(name)
-    pairs = near_pairs(lines, max_edits)
+    pairs = near_pairs(lines, max_edits, crowd)
     other = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("line").alias("line2"), F.col("first").alias("first2"))
     close = F.levenshtein("line", "line2", max_edits) >= 0
     near = pairs.join(lines, ["hi", "lo"]).join(other, ["hi2", "lo2"]).filter(close)
