@@ -82,14 +82,17 @@ def near_pairs(lines: DataFrame, max_edits: int, crowd: int = 10) -> DataFrame:
                     .select("hi", "lo", bigram_bits(F.col("line"), max_edits).alias("bits")).select("hi", "lo", "bits.*"), "bits")
 
         def finer(rows: DataFrame, end: str) -> DataFrame:
-            own = {c: c + end for c in ("hi", "lo", "a", "b")}
-            listed = F.explode(F.transform(bit_blocks(max_edits), lambda x: F.xxhash64("key", x))).alias("key")
+            listed = F.posexplode(F.transform(bit_blocks(max_edits), lambda x: F.xxhash64("key", x))).alias("block" + end, "key")
             return (rows.withColumnsRenamed({"hi" + end: "hi", "lo" + end: "lo"}).join(bits, ["hi", "lo"])
-                    .select(*[F.col(c).alias(n) for c, n in own.items()], listed))
-
-        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("a2"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("b2")))
-        pairs = pairs.unionByName(finer(some, "").join(finer(more, "2"), "key").filter(differ & (apart <= 4 * max_edits))
-                                  .select("hi", "lo", "hi2", "lo2"))
+                    .select(*[F.col(c).alias(c + end) for c in ("hi", "lo", "a", "b")], listed))
+
+        x, y = F.col("a").bitwiseXOR(F.col("a2")), F.col("b").bitwiseXOR(F.col("b2"))
+        close = differ & (F.bit_count(x) + F.bit_count(y) <= 4 * max_edits)
+        blocks = 4 * max_edits + 1
+        for i in range(blocks - 1):  # a pair meets in the first block in which it agrees, not in every one
+            own = F.shiftright(x.bitwiseOR(y), i * (63 // blocks)).bitwiseAND(F.lit((1 << 63 // blocks) - 1).cast("long"))
+            close = close & ((F.col("block") <= i) | (own != 0))
+        pairs = pairs.unionByName(finer(some, "").join(finer(more, "2"), "key").filter(close).select("hi", "lo", "hi2", "lo2"))
     return pairs.distinct()
 
 
