@@ -27,7 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, exactly or within two edits, go; no document does."""
-    return with_lengths(lines.dedup_lines(docs))
+    return with_lengths(lines.dedup_lines(docs, min_chars=None))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

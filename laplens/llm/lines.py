@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from laplens.llm.common import text_of, unused
 from laplens.session import fresh_path, hold, release
 
+#: Characters that a line needs for each edit before a near copy counts: at most one in ten differs.
+NEAR_CHARS = 10
+
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, pos, line, hi, lo): lines of ``min_chars`` or more characters, outer blanks off, with a 128-bit name."""
+    """(id, pos, line, hi, lo): non-blank lines of ``min_chars`` or more characters, outer blanks off, with a 128-bit name."""
     lines = (docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "line"))
-             .withColumn("line", F.btrim("line", F.lit(" \t\r"))).filter(F.length("line") >= min_chars))
+             .withColumn("line", F.btrim("line", F.lit(" \t\r")))
+             .filter((F.length("line") >= min_chars) & (F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0)))
     return lines.select("id", "pos", "line", F.xxhash64("line").alias("hi"), F.xxhash64(F.lit(1), "line").alias("lo"))
 
 
@@ -97,14 +101,15 @@ def near_pairs(lines: DataFrame, max_edits: int, crowd: int = 10) -> DataFrame:
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
-                  min_chars: int = 40, crowd: int = 10) -> DataFrame:
+                  min_chars: int | None = None, crowd: int = 10) -> DataFrame:
     """(id, pos, why) of the lines to take out, ``why`` being 'exact' or 'near'.
 
     The corpus order of lines is that of (id, position), nulls last. A line goes when an equal line comes before it, or a
-    line within ``max_edits`` edits does that has its first occurrence before this line's. Lines shorter than
-    ``min_chars`` characters stay: they are too short to tell a copy from chance."""
+    line within ``max_edits`` edits does that has its first occurrence before this line's. Blank lines stay.
+    Equal lines of any length go; near ones need :data:`NEAR_CHARS` characters for each edit allowed, as in shorter lines an
+    edit may be all the difference. A number as ``min_chars`` replaces both bounds: shorter lines then stay altogether."""
     spark = docs.sparkSession
-    found = split_lines(docs, id_col, text_col, min_chars)
+    found = split_lines(docs, id_col, text_col, 1 if min_chars is None else min_chars)
     place = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("pos").alias("pos"))
     distinct = found.groupBy("hi", "lo").agg(F.first("line").alias("line"), F.min(place).alias("first"))
     # Bucketed by name: the text of candidates is then looked up without moving the other lines again.
@@ -112,7 +117,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = fresh_path(spark, "lines")
     (distinct.write.bucketBy(buckets, "hi", "lo").option("path", path).option("compression", "zstd").saveAsTable(name))
     lines = spark.table(name)
-    pairs = near_pairs(lines, max_edits, crowd)
+    shortest = NEAR_CHARS * max_edits if min_chars is None else min_chars
+    pairs = near_pairs(lines.filter(F.length("line") >= shortest), max_edits, crowd)
     other = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("line").alias("line2"), F.col("first").alias("first2"))
     close = F.levenshtein("line", "line2", max_edits) >= 0
     near = pairs.join(lines, ["hi", "lo"]).join(other, ["hi2", "lo2"]).filter(close)
@@ -137,14 +143,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return hold(gone, "removed")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated and nearly repeated lines taken out of ``text_col`` (see :func:`line_verdicts`).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = 40, **options) -> DataFrame:
+    """``docs`` with repeated and nearly repeated lines taken out of ``text_col`` (see :func:`line_verdicts`). Here lines under
+    ``min_chars`` characters stay unless it is None, as it is in the pipeline.
 
     No row is lost: a document of repeated lines only ends with an empty text. A null text stays null. Rows that repeat an id
     are one document and lose the same positions. Null ids are one document. Other columns pass through unchanged, whatever
     their names. An empty table stays empty."""
     own_id, own_gone = unused(docs, "__id"), unused(docs, "__gone")
-    gone = removed_lines(docs, id_col, text_col, **options).select(F.col("id").alias(own_id), F.concat("exact", "near").alias(own_gone))
+    gone = removed_lines(docs, id_col, text_col, min_chars=min_chars, **options).select(F.col("id").alias(own_id), F.concat("exact", "near").alias(own_gone))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col(own_gone), i)), "\n")
     return (docs.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)), "left")
             .withColumn(text_col, F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(kept)).drop(own_id, own_gone))

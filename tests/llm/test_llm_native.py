@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from laplens.llm import exact, lines, mixing, secrets
 
 DOCS = "doc_id long, text string, source string, id string, size int, __id int, hi string"
@@ -170,6 +171,26 @@ def test_line_dedup_equals_brute_force(spark, k, crowd):
     assert {(r.id, r.pos, r.why) for r in got} == want and len(want) > 20
 
 
+def production_brute(rows):
+    """Equal lines of any length but blank ones, near ones of 20 or more characters."""
+    blank = {(i, pos) for i, t, _ in rows for pos, line in enumerate((t or "").split("\n")) if not line.strip(" \t\r\v\f")}
+    equal = {x for x in lines_brute(rows, 0, 1) if x[2] == "exact" and x[:2] not in blank}
+    return equal | {x for x in lines_brute(rows, 2, 20) if x[2] == "near"}
+
+
+def test_line_dedup_with_production_parameters(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)).strip() + "z" for n in (1, 2, 5, 12, 17, 18, 19, 20, 21, 22, 30, 39, 41, 90) for _ in range(2)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.choice((0, 0, 1, 2, 3))) for _ in range(rng.randrange(0, 6))), "s") for i in range(80)]
+    rows += [(100 + i, " Released under the MIT License.\n\n \t\n}\n\x0c", "s") for i in range(3)] + [(None, "}\n", None), (200, None, "s")]
+    want = production_brute(rows)
+    got = lines.line_verdicts(docs_of(spark, rows)).collect()
+    assert {(r.id, r.pos, r.why) for r in got} == want and len(got) == len(want)
+    assert {(101, 0, "exact"), (101, 3, "exact"), (None, 0, "exact")} <= want and any(w == "near" for _, _, w in want)
+    staged = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, rows), "").collect()}
+    assert staged[100] is not None and staged[101] == "\n \t\n\x0c" and staged[None] == "" and staged[200] is None
+
+
 def test_dedup_lines_edits_texts_only(spark):
     line = "this line stands in many documents of the corpus"
     rows = [(1, f"{line}\nshort", "s"), (2, f"short\n{line}", "s"), (2, f"short\n{line}", "s"), (3, line[:-1], None), (4, None, "s"), (5, "x" * 70_000, "s"),
