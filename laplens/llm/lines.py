@@ -21,12 +21,20 @@ from laplens.session import fresh_path, hold, release
 NEAR_CHARS = 10
 
 
-def split_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, pos, line, hi, lo): non-blank lines of ``min_chars`` or more characters, outer blanks off, with a 128-bit name."""
-    lines = (docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "line"))
+def numbered(docs: DataFrame, row_col: str) -> DataFrame:
+    """``docs`` with a number for each row in ``row_col``, written before use, so that it is the same whenever it is read."""
+    return hold(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows", compression="zstd")
+
+
+def split_lines(rows: DataFrame, row_col: str, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(row, id, mark, pos, line, hi, lo): non-blank lines of ``min_chars`` or more characters, outer blanks off, with a 128-bit
+    name. ``mark`` is a hash of the row's text."""
+    text = text_of(text_col)
+    lines = (rows.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"),
+                         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
              .withColumn("line", F.btrim("line", F.lit(" \t\r")))
              .filter((F.length("line") >= min_chars) & (F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0)))
-    return lines.select("id", "pos", "line", F.xxhash64("line").alias("hi"), F.xxhash64(F.lit(1), "line").alias("lo"))
+    return lines.withColumns({"hi": F.xxhash64("line"), "lo": F.xxhash64(F.lit(1), "line")})
 
 
 def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column, Column]:
@@ -100,17 +108,13 @@ def near_pairs(lines: DataFrame, max_edits: int, crowd: int = 10) -> DataFrame:
     return pairs.distinct()
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
-                  min_chars: int | None = None, crowd: int = 10) -> DataFrame:
-    """(id, pos, why) of the lines to take out, ``why`` being 'exact' or 'near'.
-
-    The corpus order of lines is that of (id, position), nulls last. A line goes when an equal line comes before it, or a
-    line within ``max_edits`` edits does that has its first occurrence before this line's. Blank lines stay.
-    Equal lines of any length go; near ones need :data:`NEAR_CHARS` characters for each edit allowed, as in shorter lines an
-    edit may be all the difference. A number as ``min_chars`` replaces both bounds: shorter lines then stay altogether."""
-    spark = docs.sparkSession
-    found = split_lines(docs, id_col, text_col, 1 if min_chars is None else min_chars)
-    place = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("pos").alias("pos"))
+def row_verdicts(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
+                 min_chars: int | None = None, crowd: int = 10) -> DataFrame:
+    """(row, id, pos, why) of the lines to take out of ``rows``, whose numbers are in ``row_col``; see :func:`line_verdicts`."""
+    spark = rows.sparkSession
+    found = split_lines(rows, row_col, id_col, text_col, 1 if min_chars is None else min_chars)
+    place = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("pos").alias("pos"), F.col("mark").alias("mark"),
+                     F.col("row").alias("row"))
     distinct = found.groupBy("hi", "lo").agg(F.first("line").alias("line"), F.min(place).alias("first"))
     # Bucketed by name: the text of candidates is then looked up without moving the other lines again.
     name, buckets = f"lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -129,15 +133,28 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark.sql(f"DROP TABLE {name}")
     lines.held_path = path
     release(lines, near)
-    places = found.select("id", "pos", "hi", "lo").join(firsts, ["hi", "lo"])
-    is_first = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.pos") == F.col("pos"))
+    places = found.select("row", "id", "pos", "hi", "lo").join(firsts, ["hi", "lo"])
+    is_first = (F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))
     return places.filter(F.col("near").isNotNull() | ~is_first).select(
-        "id", "pos", F.when(~is_first, F.lit("exact")).otherwise(F.lit("near")).alias("why"))
+        "row", "id", "pos", F.when(~is_first, F.lit("exact")).otherwise(F.lit("near")).alias("why"))
+
+
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, pos, why) of the lines to take out, ``why`` being 'exact' or 'near'; one row per line of a row of ``docs``.
+
+    The corpus order of lines is that of (id, position), nulls last; among rows that share an id, or have none, a hash of the
+    text and then the row decide. A line goes when an equal line comes before it, or a line within ``max_edits`` edits
+    does that has its first occurrence before this line's. Blank lines stay. Equal lines of any length go; near ones need
+    :data:`NEAR_CHARS` characters for each edit allowed, as in shorter lines an edit may be all the difference. A number as
+    ``min_chars`` replaces both bounds: shorter lines then stay altogether."""
+    row = unused(docs, "__row")
+    return row_verdicts(numbered(docs.select(id_col, text_col), row), row, id_col, text_col, **options).drop("row")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per id that loses lines: id, ``exact`` and ``near``, the sorted positions of lost lines."""
-    gone = line_verdicts(docs, id_col, text_col, **options).groupBy("id").agg(
+def removed_lines(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``rows`` (see :func:`numbered`) that loses lines: row, ``exact`` and ``near``, the sorted positions of
+    lost lines."""
+    gone = row_verdicts(rows, row_col, id_col, text_col, **options).groupBy("row").agg(
         F.array_sort(F.collect_set(F.when(F.col("why") == "exact", F.col("pos")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(F.col("why") == "near", F.col("pos")))).alias("near"))  # a document's own lines
     return hold(gone, "removed")
@@ -147,11 +164,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated and nearly repeated lines taken out of ``text_col`` (see :func:`line_verdicts`). Here lines under
     ``min_chars`` characters stay unless it is None, as it is in the pipeline.
 
-    No row is lost: a document of repeated lines only ends with an empty text. A null text stays null. Rows that repeat an id
-    are one document and lose the same positions. Null ids are one document. Other columns pass through unchanged, whatever
-    their names. An empty table stays empty."""
-    own_id, own_gone = unused(docs, "__id"), unused(docs, "__gone")
-    gone = removed_lines(docs, id_col, text_col, min_chars=min_chars, **options).select(F.col("id").alias(own_id), F.concat("exact", "near").alias(own_gone))
+    No row is lost: a document of repeated lines only ends with an empty text. A null text stays null. Every row loses lines
+    of its own, also where ids repeat or are null. Other columns pass through unchanged, whatever their names. An empty table
+    stays empty."""
+    own_row, lost_row, own_gone = unused(docs, "__row"), unused(docs, "__lost"), unused(docs, "__gone")
+    rows = numbered(docs, own_row)
+    gone = (removed_lines(rows, own_row, id_col, text_col, min_chars=min_chars, **options)
+            .select(F.col("row").alias(lost_row), F.concat("exact", "near").alias(own_gone)))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col(own_gone), i)), "\n")
-    return (docs.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)), "left")
-            .withColumn(text_col, F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(kept)).drop(own_id, own_gone))
+    return (rows.join(gone, F.col(own_row) == F.col(lost_row), "left")
+            .withColumn(text_col, F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(kept)).drop(own_row, lost_row, own_gone))

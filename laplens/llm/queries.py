@@ -41,11 +41,11 @@ def op4_near_dedup(spark, d):
 
 @query
 def op5_line_dedup(spark, d):
-    docs = table(spark, d, "documents")
-    gone = lines.removed_lines(docs).withColumnRenamed("id", "gone_id")
-    rows = docs.select("doc_id", F.size(F.split(text_of("text"), "\n")).cast("long").alias("n_lines"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.size(F.split(text_of("text"), "\n")).cast("long").alias("n_lines"))
+    rows = lines.numbered(docs, "row")
+    gone = lines.removed_lines(rows, "row")
     none = F.expr("CAST(array() AS ARRAY<INT>)")
-    return (rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    return (rows.select("row", "doc_id", "n_lines").join(gone, "row", "left")
             .select("doc_id", "n_lines", F.coalesce("exact", none).alias("exact_lines"), F.coalesce("near", none).alias("near_lines")))
 
 

@@ -204,6 +204,18 @@ def test_dedup_lines_edits_texts_only(spark):
     assert lines.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_lose_their_own_lines_only(spark):
+    first, second, third = (f"the {w} line of the corpus, which is long enough" for w in ("first", "second", "third and last"))
+    twin = f"{third}\nunlike any other"
+    rows = [(1, first, "a"), (None, f"{first}\nclean one, of this row", "a"), (None, f"clean two, of that row\n{first}", "b"), (None, twin, "c"), (None, twin, "c"),
+            (7, f"{first}\nclean three, with an id that repeats", "a"), (7, f"clean four, and the same id\n{first}", "a"), (7, second, "a"), (8, second, "a")]
+    out = [r.text for r in lines.dedup_lines(docs_of(spark, rows), min_chars=None).collect()]
+    assert sorted(out) == sorted([first, "clean one, of this row", "clean two, of that row", twin, "", "clean three, with an id that repeats",
+                                  "clean four, and the same id", second, ""])
+    got = Counter((r.id, r.pos, r.why) for r in lines.line_verdicts(docs_of(spark, rows)).collect())
+    assert got == {(None, 0, "exact"): 2, (None, 1, "exact"): 2, (7, 0, "exact"): 1, (7, 1, "exact"): 1, (8, 0, "exact"): 1}
+
+
 # -- mixing ---------------------------------------------------------------------------------------
 
 
