@@ -51,6 +51,7 @@ class Pieces:
         self.codes = {p: np.array([i], "<i4").tobytes() for p, i in self.piece_id.items()}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.said: dict[bytes, bytes] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.learn_merges()
 
@@ -167,15 +168,13 @@ class Pieces:
 
     # -- texts ----------------------------------------------------------------------------------
 
-    def marked(self, text: str) -> tuple[list[str], str]:
-        """The normalised text cut before each run of marks that follows another character, and the text it stands for."""
+    def marked(self, text: str) -> list[str]:
+        """The normalised text, cut before each run of marks that follows another character."""
         if not text:
-            return [], ""
+            return []
         norm = self.model.normalize(text)
-        plain = norm.replace(MARK, " ")
-        plain = plain[1:] if plain[:1] == " " else plain
         if self.inner_mark:
-            return [norm], plain
+            return [norm]
         parts = norm.split(MARK)
         words, run = [], 0
         if parts[0]:
@@ -187,25 +186,38 @@ class Pieces:
                 run = 0
         if run:
             words.append(MARK * run)
-        return words, plain
+        return words
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether they decode to it: pieces spell the normalised text, unless a character has none."""
+        """Ids of each text, and whether they decode to it."""
         if len(self.words) > MEMO:
             self.older, self.words = self.words, {}
-        cut, plain = zip(*map(self.marked, texts)) if texts else ((), ())
+        cut = list(map(self.marked, texts))
         new = set().union(*cut).difference(self.words)
         again = new.intersection(self.older)
         self.words.update((w, self.older[w]) for w in again)
         self.walk(sorted(new - again))
         known = self.words.__getitem__
-        coded = [np.frombuffer(b"".join(map(known, words)), "<i4") for words in cut]
-        lost = [not self.byte_ids and bool((c == self.unknown).any()) for c in coded]
-        return coded, [p == t and not x for p, t, x in zip(plain, texts, lost)]
+        coded = [list(map(known, words)) for words in cut]
+        same = [self.spoken(ids) == t for ids, t in zip(coded, texts)]
+        return [np.frombuffer(b"".join(ids), "<i4") for ids in coded], same
+
+    def spoken(self, words: list[bytes]) -> str:
+        """What :meth:`decode` says of the ids of words, given as bytes. The ids of each distinct word are decoded once and remembered."""
+        said = self.said
+        for ids in set(words).difference(said):
+            said[ids] = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<i4")))
+        text = self.unspaced(b"".join(map(said.__getitem__, words)))
+        if len(said) > MEMO:
+            said.clear()
+        return text
 
     def decode(self, ids) -> str:
         """The text of ids: bytes of their pieces, marks as spaces, without the space that encoding puts before the text."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.unspaced(b"".join(map(self.bytes_of.__getitem__, ids)))
+
+    @staticmethod
+    def unspaced(raw: bytes) -> str:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 

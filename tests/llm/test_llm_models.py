@@ -270,6 +270,22 @@ def test_pieces_equal_the_library(spark):
     assert {r.doc_id: r.text for r in pieces.decode_ids(none, path).collect()} == {1: None, 2: ""}
 
 
+def test_round_trip_shows_wrong_ids():
+    own = pieces.Pieces(public_tokenizers.path(MODEL))
+    texts = ["the cat sat", "a dog ran", "", "the cat  sat\n on é🙂", "\ufb01x"]
+    coded, same = own.encode(texts)
+    assert same == [own.decode(c.tolist()) == t for c, t in zip(coded, texts)] and same[:3] == [True] * 3
+    right = own.words["▁cat"]
+    own.words["▁cat"] = own.words["▁dog"]  # another word's ids
+    coded, same = own.encode(texts)
+    assert same[:4] == [False, True, True, False] and own.decode(coded[0].tolist()) == "the dog sat"
+    own.words["▁cat"] = right
+    assert own.encode(texts[:1])[1] == [True]
+    wrong = pieces.Pieces(public_tokenizers.path(MODEL))
+    wrong.code = lambda piece: np.array([own.piece_id["▁the"]], "<i4").tobytes()
+    assert wrong.encode(texts)[1] == [False, False, True, False, False]
+
+
 def test_prefix_states_equal_merging():
     own = pieces.pieces(public_tokenizers.path(MODEL))
     rng = random.Random(9)
