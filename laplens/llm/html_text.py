@@ -2,8 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what it can: blocks in an article or main
 element are text, blocks in navigation, headers, footers, asides, forms, notices, adverts and comments are not, and
-elsewhere link density, stop-word density and length decide. Short or middling blocks stay open; in the second pass
-they inherit the label of their nearest decided neighbours, and the worse one where those differ.
+elsewhere link density, stop-word density and length decide. Short or middling blocks stay open, as do those without
+links and stop words (tables, code, other languages). On pages without an article, the second pass gives them the label
+of the nearer decided block outside page furniture, text on a tie and where nothing is decided; headings before text are
+text. On pages with one, they are text only between blocks of text.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ BLOCK = 64
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section
 summary table tbody td tfoot th thead tr ul""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = ("script", "style", "noscript", "template", "textarea", "select", "button", "iframe", "object", "svg", "math", "canvas", "audio",
           "video", "title", "head")
@@ -72,10 +75,10 @@ def is_furniture(name: str, tag: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, place, linked characters) of each block with text; place is 1 in an article, below 0 in forms and page
-    furniture, else 0."""
-    out: list[tuple[str, int, int]] = []
+def blocks(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, place, linked characters, heading or not) of each block with text; place is 1 in an article, below 0 in forms and
+    page furniture, else 0."""
+    out: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open block elements, and the place that holds within them
     place, in_link, linked, at = 0, 0, 0, 0
@@ -85,7 +88,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((whole, place, linked))
+                out.append((whole, place, linked, any(n in HEADINGS for n, _ in stack)))
             text.clear()
         linked = 0
 
@@ -161,13 +164,32 @@ def label(text: str, place: int, linked: int, short: int, long: int, links: floa
     stop = sum(w.strip(".,;:!?()\"'") in STOP for w in words) / max(len(words), 1)
     if stop >= high:
         return 1 if len(text) >= long else 0
-    return 0 if stop >= low else -1
+    return 0 if stop >= low or not linked else -1
+
+
+def inherit(first: list[int], heading: list[bool]) -> list[int]:
+    """Second pass over the blocks outside page furniture, on a page without an article."""
+    if not any(first):
+        return [1] * len(first)
+    at = [i for i, x in enumerate(first) if x]
+    out, right = list(first), len(at)
+    for i in range(len(first) - 1, -1, -1):
+        if first[i]:
+            right -= 1
+            continue
+        near = [(abs(j - i), -first[j]) for j in at[max(right - 1, 0): right + 1]]
+        out[i] = 1 if heading[i] and i + 1 < len(first) and out[i + 1] == 1 else -min(near)[1]
+    return out
 
 
 def main_text(page: str | None, short: int = 70, long: int = 140, links: float = 0.34, low: float = 0.12, high: float = 0.2) -> str:
     """The blocks of text, in page order, with an empty line between them."""
     found = blocks(page or "")
-    first = [label(*b, short, long, links, low, high) for b in found]
+    first = [label(*b[:3], short, long, links, low, high) for b in found]
+    if NAME.search(page or "") and all(b[1] < 1 for b in found):
+        free = [i for i, b in enumerate(found) if not b[1]]
+        labels = inherit([first[i] for i in free], [found[i][3] for i in free])
+        return "\n\n".join(found[i][0] for i, x in zip(free, labels) if x == 1)
     before, after, last = [], [], 0
     for x in first:
         before.append(last)

@@ -329,6 +329,27 @@ def test_main_text_rules(page, text):
     assert html_text.main_text(page) == text
 
 
+NAV, LINKS, FOOTER = "<nav><a href=/>Home</a> Menu</nav>", "<div><a href=/a>Elsewhere on this site</a></div>", "<footer>Imprint of the site</footer>"
+CODE = "for i in range(10): print(i); total += values[i] * weights[i]; counts[i] -= 1"
+OTHER = "Nopea ruskea kettu hyppäsi laiskan koiran yli ja juoksi metsään, jossa kukaan ei enää nähnyt sitä, vaikka kaikki etsivät."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"{NAV}<h1>Headline</h1><p>{PROSE}</p>{FOOTER}", ["Headline", PROSE]),
+    (f"{NAV}<h1>Headline</h1><p>A first one.</p><p>{PROSE}</p>{FOOTER}", ["Headline", "A first one.", PROSE]),
+    (f"{NAV}<p>{PROSE}</p><p>Closing.</p><p>The end.</p><p>Really.</p>{FOOTER}", [PROSE, "Closing.", "The end.", "Really."]),
+    (f"{NAV}<p>Short.</p><p>Also short.</p>{FOOTER}", ["Short.", "Also short."]),
+    (f"{NAV}<p>{PROSE}</p><pre>{CODE}</pre><p>After code.</p><p>{OTHER}</p>{FOOTER}", [PROSE, CODE, "After code.", OTHER]),
+    (f"{NAV}<p>{OTHER}</p><p>{OTHER}</p>", [OTHER, OTHER]),
+    (f"<p>{PROSE}</p><aside>Buy.</aside><p>Between.</p><aside>Buy.</aside>{FOOTER}", [PROSE, "Between."]),
+    (f"{LINKS}<p>More of it</p><p>Tie.</p><p>Near.</p><p>{PROSE}</p>", ["Tie.", "Near.", PROSE]),
+    (f"{LINKS}<h2>Head</h2><h3>Sub</h3><p>Near.</p><p>{PROSE}</p>", ["Head", "Sub", "Near.", PROSE]),
+    (f"<p>{PROSE}</p><p>Near.</p><p>Far.</p><p>Farther.</p>{LINKS}<p>Beyond</p>", [PROSE, "Near.", "Far."]),
+])
+def test_main_text_without_an_article(page, text):
+    assert html_text.main_text(page) == "\n\n".join(text)
+
+
 def test_main_text_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "a"), (1, None, None, "a"), (None, "u", "<article>x", "b")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages)
