@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laplens.llm import exact, html_text, lines, mixing, neardup, pieces, quality, secrets, tokens, topk
+from laplens.llm import align, exact, html_text, lexical, lines, mixing, neardup, pieces, quality, secrets, setjoin, tokens, topk
 from laplens.llm.common import table, text_of, tokenizer_file
 from laplens.llm.sql import ORACLES  # noqa: F401
 
@@ -72,3 +72,18 @@ def op9_pieces(spark, d):
 @query
 def op10_main_text(spark, d):
     return html_text.extract_text(table(spark, d, "pages"))
+
+
+@query
+def op11_jaccard_join(spark, d):
+    return setjoin.jaccard_join(table(spark, d, "documents"))
+
+
+@query
+def op12_lexical_search(spark, d):
+    return lexical.lexical_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op13_token_alignment(spark, d):
+    return align.align_tokens(table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
