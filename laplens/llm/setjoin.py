@@ -7,7 +7,7 @@ at most c, and members whose bound is higher are linked with nobody in it: a sta
 A large set is written into the inverted lists of its first shingles, in an order from rare to frequent, as many as its size leaves open.
 Scanning the lists counts what two sets share there, and pairs that share too little of it cannot be linked. Members of a list first meet
 one hub of it, the set that shares most; the links found are contracted to components, and only lists that still hold several
-components are scanned for all their pairs of different components. So a group of copies costs a star, and no link between components is lost.
+components are scanned for pairs of different components. So a group of copies costs a star, and no link between components is lost.
 
 From which size on a set is large is chosen by cost: rows of subsets against rows of lists and their scans, added up from the sizes and
 shingle frequencies of the documents themselves. Both ways are exact, so the boundary only decides the cost.
@@ -20,7 +20,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laplens.llm.neardup import SLOTS, Names, _mix, components, shingles
@@ -38,6 +38,11 @@ def overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _overlap(n: str, m: str, percent: int) -> Column:
+    """The same of two columns."""
+    return F.floor((percent * (F.col(n) + F.col(m)) + (99 + percent)) / F.lit(100 + percent))
+
+
 def subset_sizes(n: int, percent: int, limit: int) -> list[int]:
     """Sizes of the subsets under which a set of n is written, for partners of fewer than ``limit`` shingles."""
     partners = range(max(1, -(-percent * n // 100)), min(100 * n // percent, limit - 1) + 1)
@@ -151,8 +156,7 @@ def light_links(classes: DataFrame, limit: int, percent: int) -> DataFrame:
     rows = small.mapInArrow(subsets, "key long, c long, n long, node long")
     hubs = hold(rows.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
                 .select("key", F.col("hub.n").alias("m"), F.col("hub.node").alias("hub")), "buckets")
-    bound = F.ceil(percent * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    stars = rows.join(hubs, "key").filter((F.col("node") != F.col("hub")) & (bound <= F.col("c")))
+    stars = rows.join(hubs, "key").filter((F.col("node") != F.col("hub")) & (_overlap("n", "m", percent) <= F.col("c")))
     pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda s: classes.select(F.col("node").alias(s), F.col("small").alias("t" + s))
     return confirmed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), percent, lambda raw, names: np.frombuffer(raw, np.uint64))
@@ -186,8 +190,8 @@ def confirmed(pairs: DataFrame, percent: int, read) -> DataFrame:
 
 
 def inverted_lists(docs: DataFrame, classes: DataFrame, often: np.ndarray, least: int, percent: int) -> DataFrame:
-    """Rows (key, node, n, p) of the inverted lists with two members or more: each class of at least ``least`` shingles under its first
-    ones; p is how many those are. Very long lists are spread over several tasks, where they are kept without looking."""
+    """Rows (key, node, n, p, pos) of the inverted lists with two members or more: each class of at least ``least`` shingles under its
+    first ones; p is how many those are, pos the place among them. Very long lists are spread over several tasks, where they are kept without looking."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -217,8 +221,8 @@ def inverted_lists(docs: DataFrame, classes: DataFrame, often: np.ndarray, least
                 node, n = (part.column(i).to_numpy(zero_copy_only=False)[rows] for i in (0, 1))
                 crowd = shared.value[(keys % np.uint64(SLOTS)).astype(np.int64)] // HOT
                 salt = np.where(crowd > 0, _mix(node.astype(np.uint64)) % np.maximum(crowd, 1).astype(np.uint64) + np.uint64(1), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(node), pa.array(n), pa.array(p[rows])],
-                                                 ["key", "salt", "node", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(node), pa.array(n), pa.array(p[rows]),
+                                                  pa.array(np.arange(len(keys)) - (np.cumsum(p) - p)[rows])], ["key", "salt", "node", "n", "p", "pos"])
 
     def shared_only(batches):
         """Rows arrive sorted by key; the last row of a batch waits for the next."""
@@ -244,46 +248,54 @@ def inverted_lists(docs: DataFrame, classes: DataFrame, often: np.ndarray, least
     firsts = docs.mapInArrow(cut, f"id {kind}, h long, n long, first binary").filter("first IS NOT NULL")
     one = classes.select(F.col("id").alias("rep"), F.col("h").alias("rep_h"), F.col("n").alias("rep_n"), "node")
     own = firsts.join(one, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")) & (F.col("n") == F.col("rep_n")))
-    rows = own.select("node", "n", "first").mapInArrow(spread, "key long, salt int, node long, n long, p long")
+    rows = own.select("node", "n", "first").mapInArrow(spread, "key long, salt int, node long, n long, p long, pos long")
     rows = rows.repartition("key", "salt").sortWithinPartitions("key")
-    return rows.mapInArrow(shared_only, "key long, node long, n long, p long")
+    return rows.mapInArrow(shared_only, "key long, node long, n long, p long, pos long")
 
 
 def heavy_links(docs: DataFrame, classes: DataFrame, often: np.ndarray, limit: int, percent: int) -> DataFrame:
     """Links (a, b) that, with the stars among small sets, connect all linked classes one of which has ``limit`` shingles or more."""
     rows = hold(inverted_lists(docs, classes, often, -(-percent * limit // 100), percent), "lists")
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    # what two sets share beyond the shorter of their listed parts is at most what is left of one of them
-    bound = lambda n, m: F.ceil(percent * (n + m) / F.lit(100 + percent))
-    floor = lambda n, p, m, q: bound(n, m) - F.greatest(n - p, m - q)
-
     # the hub of a list: the member with most of its first shingles in lists, so that of an original and its edits it is the original
     share = hold(rows.groupBy("node").agg((F.count(F.lit(1)) / F.max("p")).alias("share")), "shares")
-    known = hold(rows.join(share, "node").select("key", "node", "n", "p", "share"), "lists")
+    known = hold(rows.join(share, "node"), "lists")
+    release(rows)
+    texts = class_texts(docs, classes, share)
     hubs = hold(known.groupBy("key").agg(F.max(F.struct("share", "node", "n", "p")).alias("h"))
                 .select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.p").alias("q")), "hubs")
-    met = (known.join(hubs, "key").filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("m")))
+    met = (known.join(hubs, "key").filter((F.col("node") != F.col("hub")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
            .groupBy("hub", "node", "n", "p", "m", "q").agg(F.count(F.lit(1)).alias("k")))
-    first = met.filter(F.col("k") >= floor(F.col("n"), F.col("p"), F.col("m"), F.col("q"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    first = hold(first, "pairs")
-    texts = class_texts(docs, classes, rows)
-    links = hold(compared(first, texts, percent), "links")
+    # what two sets share beyond the shorter of their listed parts is at most what is left of one of them
+    likely = F.col("k") >= _overlap("n", "m", percent) - F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    tested = hold(met.filter(likely).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "pairs")
+    links = hold(compared(tested, texts, percent), "links")
 
-    comp = components(links)
-    now = known.select("key", "node", "n", "p").join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comp = components(links).select(F.col("id").alias("node"), "comp")
+    now = known.select("key", "node", "n", "pos").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_keys = hold(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key"), "open")
     left = hold(now.join(open_keys, "key", "left_semi"), "open")
-    release(rows)
-    other = left.select("key", *[F.col(c).alias(c + "2") for c in ("node", "n", "p", "comp")])
-    meets = ((F.col("comp") != F.col("comp2")) & fits(F.col("n"), F.col("n2")) & (F.greatest("n", "n2") >= limit)
-             & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))))
-    scanned = (left.join(other, "key").filter(meets).groupBy("node", "node2", "n", "p", "n2", "p2").agg(F.count(F.lit(1)).alias("k"))
-               .filter(F.col("k") >= floor(F.col("n"), F.col("p"), F.col("n2"), F.col("p2"))).select(F.col("node").alias("a"), F.col("node2").alias("b")))
-    tested = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    again = hold(scanned.join(tested, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "pairs")
+    again = hold(scanned(left, limit, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     return links.unionByName(compared(again, texts, percent))
 
 
+def scanned(left: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list within what their two sizes leave open: of two linked sets of n and m, one of the first
+    n - o + 1 shingles of the one is among the first m - o + 1 of the other. The larger set asks, at each of its places, only for the
+    size classes that the place leaves open; so sets whose own shingles fill their first places never meet in a list of common ones."""
+    width = float(np.log(1.05))
+    size_class = lambda n: F.floor(F.log(n) / width)
+    low, top = F.ceil(percent * F.col("n") / F.lit(100)), F.least("n", F.floor((100 + percent) * (F.col("n") - F.col("pos")) / F.lit(percent)) - F.col("n"))
+    asking = (left.filter((F.col("n") >= limit) & (low <= top))
+              .select("key", "node", "n", "pos", "comp", F.explode(F.sequence(size_class(low), size_class(top))).alias("class")))
+    listed = left.filter(F.col("pos") <= F.col("n") - _overlap("n", "n", percent))
+    listed = listed.select("key", size_class(F.col("n")).alias("class"), *[F.col(c).alias(c + "2") for c in ("node", "n", "pos", "comp")])
+    o = _overlap("n", "n2", percent)
+    meets = ((F.col("comp") != F.col("comp2")) & (100 * F.col("n2") >= percent * F.col("n")) & (F.col("pos") <= F.col("n") - o) & (F.col("pos2") <= F.col("n2") - o)
+             & ((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("node2") < F.col("node")))))
+    pairs = asking.join(listed, ["key", "class"]).filter(meets)
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def class_texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, text) of the classes in ``rows``, written once."""
     listed = rows.select("node").distinct()
