@@ -15,7 +15,7 @@ shingle frequencies of the documents themselves. Both ways are exact, so the bou
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laplens.llm.neardup import SLOTS, Names, _mix, components, shingles
+from laplens.llm.neardup import _PLACE, SLOTS, WIDTH, Names, _mix, components, shingles
 from laplens.session import hold, release, ship
 
 #: Sets of more shingles are always large.
@@ -49,6 +49,20 @@ def subset_sizes(n: int, percent: int, limit: int) -> list[int]:
     return sorted({overlap(n, m, percent) for m in partners})
 
 
+def shingle_sets(texts: list[str | None], names: Names) -> list[np.ndarray]:
+    """What :func:`shingles` gives for each text, worked out for all of them at once."""
+    words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    ends = np.cumsum(list(map(len, words)))
+    h = _mix(np.fromiter(map(names.__getitem__, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0))
+    n = max(len(h) - WIDTH + 1, 0)
+    total = np.full(n, WIDTH, np.uint64)
+    for i, place in enumerate(_PLACE):
+        total += h[i: i + n] * place
+    total = _mix(total)
+    return [np.unique(total[e - len(w): e - WIDTH + 1]) if len(w) >= WIDTH else shingles(t, names)
+            for t, w, e in zip(texts, words, ends.tolist())]
+
+
 def first_shingles(values: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     """The shingles under which a set is listed: of two linked sets at least one is common to both. Sorted by slot frequency."""
     order = np.lexsort((values, often[(values % np.uint64(SLOTS)).astype(np.int64)]))
@@ -69,7 +83,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t, names) for t in part.column(2).to_pylist()]
+                sets = shingle_sets(part.column(2).to_pylist(), names)
                 table += np.bincount((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()),
@@ -159,28 +173,22 @@ def light_links(classes: DataFrame, limit: int, percent: int) -> DataFrame:
     stars = rows.join(hubs, "key").filter((F.col("node") != F.col("hub")) & (_overlap("n", "m", percent) <= F.col("c")))
     pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda s: classes.select(F.col("node").alias(s), F.col("small").alias("t" + s))
-    return confirmed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), percent, lambda raw, names: np.frombuffer(raw, np.uint64))
+    return confirmed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), percent, lambda raws, names: [np.frombuffer(r, np.uint64) for r in raws])
 
 
 def confirmed(pairs: DataFrame, percent: int, read) -> DataFrame:
-    """Of the pairs (a, b, ta, tb), those with 100 * intersection >= percent * union on full sets, which ``read`` makes of ta and tb."""
+    """Of the pairs (a, b, ta, tb), those with 100 * intersection >= percent * union on full sets, which ``read`` makes of lists of ta and tb."""
 
     def check(batches):
         names, sets = Names(), {}
-
-        def of(i, raw):
-            if i not in sets:
-                if len(sets) > 64:
-                    sets.clear()
-                sets[i] = read(raw, names)
-            return sets[i]
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                a, b, left, right = (c.to_pylist() for c in part.columns)
+                new = {i: raw for i, raw in zip(a + b, left + right) if i not in sets}
+                sets = {i: sets[i] for i in a + b if i in sets} | dict(zip(new, read(list(new.values()), names)))
                 keep = []
-                for i, j, x, y in zip(*(c.to_pylist() for c in part.columns)):
-                    s, t = of(i, x), of(j, y)
+                for s, t in ((sets[i], sets[j]) for i, j in zip(a, b)):
                     common = len(np.intersect1d(s, t, assume_unique=True))
                     keep.append(100 * common >= percent * (len(s) + len(t) - common))
                 mask = pa.array(keep, pa.bool_())
@@ -200,11 +208,9 @@ def inverted_lists(docs: DataFrame, classes: DataFrame, often: np.ndarray, least
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                firsts, sizes = [], []
-                for t in part.column(2).to_pylist():
-                    own = shingles(t, names)
-                    sizes.append(len(own))
-                    firsts.append(first_shingles(own, shared.value, percent).tobytes() if len(own) >= least else None)
+                sets = shingle_sets(part.column(2).to_pylist(), names)
+                sizes = list(map(len, sets))
+                firsts = [first_shingles(own, shared.value, percent).tobytes() if len(own) >= least else None for own in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())],
                                                  ["id", "h", "n", "first"])
 
@@ -305,7 +311,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
 
 def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias("t" + s))
-    return confirmed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), percent, shingles)
+    return confirmed(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), percent, shingle_sets)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
