@@ -7,7 +7,7 @@ period of an evenly sampled track, where n samples last n periods.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laplens.operators.ordered import Track, before, join_on, quantiles, with_group_stats
@@ -185,11 +185,16 @@ def forward_run(segments: DataFrame, t: Track, level: str, threshold: float = 6.
     """End of the coasting phase: first of ``run`` consecutive rows above ``threshold`` at or after the
     segment end, all within ``cap``; ``cap`` itself where there is none."""
     hot = F.coalesce(F.col(level) > threshold, F.lit(False))
-    on = t.columns(_hot=hot, _all=hot, _back=F.col(t.ts))
-    for _ in range(run - 1):
-        # one step back along the track: clock and "hot so far" of the row before
-        on = on.scan(_pb=before(F.col("_back")), _pa=before(F.col("_all")))
-        on = on.columns(_all=F.coalesce(F.col("_hot") & F.col("_pa"), F.lit(False)), _back=F.col("_pb"))
+    on = t.columns(_hot=hot)
+    if t.fits:  # a run ends where the last ``run`` rows are all above
+        w = Window.partitionBy(*t.keys).orderBy(t.ts, *t.tie)
+        on = on.columns(_all=F.sum(F.col("_hot").cast("int")).over(w.rowsBetween(1 - run, 0)) == run, _back=F.lag(t.ts, run - 1).over(w))
+    else:
+        on = on.columns(_all=hot, _back=F.col(t.ts))
+        for _ in range(run - 1):
+            # one step back along the track: clock and "hot so far" of the row before
+            on = on.scan(_pb=before(F.col("_back")), _pa=before(F.col("_all")))
+            on = on.columns(_all=F.coalesce(F.col("_hot") & F.col("_pa"), F.lit(False)), _back=F.col("_pb"))
     hits = on.df.filter("_all").select(*t.keys, F.col("_back").alias("_at"), F.col("_back").alias("run_start"),
                                        F.col(t.ts).alias("run_end"))
     wanted = segments.withColumn("_at", F.col("end_us"))

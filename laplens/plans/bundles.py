@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laplens.functions.text import normal_circuit, normal_round, normal_session, parse_date, path_event_key, trailing_number
 from laplens.operators import dynamics
+from laplens.operators import phases as ph
 from laplens.operators.channels import resolve_channels
 from laplens.operators.ordered import number
 from laplens.plans.files import _bytes
@@ -17,11 +18,12 @@ from laplens.sources import bundle
 from laplens.sources.bundle_format import read_bundles, register_bundles
 
 PART = 1000
-#: channel, extension, event type, factor, offset; values are recorded in steps of 1/64
+#: channel, extension, event type, factor, offset; values are recorded in steps of 1/32, within 16 bits
 CHANNELS = [("SPEED_FRONT", "C01", "view", 1.0, 0.0), ("BRAKE_FRONT", "C02", "click", 1.0, 0.0), ("GAS", "C03", "error", 1.0, 0.0),
             ("SUSP_FRONT", "C04", "signup", 1.0, 0.0), ("SUSP_REAR", "C05", "signup", -0.5, 150.0), ("ACC_Y", "C06", "view", 1.0, -45.0),
-            ("tyre_press_f", "C07", "purchase", 0.0625, 1.0), ("Tire_Raw_PRESS_REAR", "C08", "purchase", 0.5, 100.0)]
-LIMITS = dynamics.Limits(min_lap_s=1.0, pit_lo=20, pit_hi=60, pit_span=100_000, entry_speed=10, entry_rows=2, brake_min=20, brake_speed=10)
+            ("tyre_press_f", "C07", "purchase", 0.0625, 1.0), ("Tire_Raw_PRESS_REAR", "C08", "purchase", 0.5, 100.0),
+            ("dtps_a", "C09", "error", 1.0, -45.0)]
+LIMITS = dynamics.Limits(min_lap_s=0.2, pit_lo=20, pit_hi=60, pit_span=100_000, entry_speed=10, entry_rows=2, brake_min=20, brake_speed=10)
 RIDER = {"DA77": (1.4115, 0.6511, 0.4871), "JA52": (1.399, 0.6449, 0.4892)}
 
 
@@ -32,8 +34,8 @@ def recordings(spark, d):
     run = F.concat(F.lit("P-"), F.col("unit").cast("string"), F.lit("-"), F.floor((F.col("rn") - 1) / PART).cast("string"))
     kinds = F.array(*[F.struct(F.lit(e).alias("ext"), F.lit(k).alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b")) for _, e, k, a, b in CHANNELS])
     rows = ev.select(run.alias("run"), "unit", ((F.col("rn") - 1) % PART).alias("idx"), "channel", "value", F.to_date(F.timestamp_micros("ts_us")).alias("day"),
-                     F.explode(kinds).alias("k")).filter("channel = k.kind")
-    return rows.select("run", "unit", "idx", "k.ext", F.round((F.col("value") * F.col("k.a") + F.col("k.b")) * 64 + 1e-6).cast("long").alias("raw"), "day")
+                     F.explode(kinds).alias("k")).filter("channel = k.kind AND NOT (k.ext = 'C09' AND unit % 5 = 3)")
+    return rows.select("run", "unit", "idx", "k.ext", F.greatest(F.lit(-32768), F.least(F.lit(32767), F.round((F.col("value") * F.col("k.a") + F.col("k.b")) * 32 + 1e-6))).cast("long").alias("raw"), "day")
 
 
 def recorded(spark, d):
@@ -43,7 +45,7 @@ def recorded(spark, d):
     data = rows.groupBy("run", "ext").agg(F.sort_array(F.collect_list(F.struct("idx", "raw"))).alias("a"))  # PART rows at most
     data = data.select(path(F.col("ext")).alias("path"), _bytes(F.transform("a", lambda x: x["raw"].bitwiseAND(F.lit(0xFFFF))), 2).alias("content"))
     runs = rows.groupBy("run", "unit").agg(F.count_if(F.col("ext") == "C01").alias("n"), F.min("day").alias("day"))
-    text = "\r\n".join(f"[{i:04X}]\r\n3=0,0,0,3C800000,0,0,3F800000\r\n4={c},x\r\n6=0,I,0,{e}" for i, (c, e, *_) in enumerate(CHANNELS))
+    text = "\r\n".join(f"[{i:04X}]\r\n3=0,0,0,3D000000,0,0,3F800000\r\n4={c},x\r\n6=0,I,0,{e}" for i, (c, e, *_) in enumerate(CHANNELS))
     catalog = runs.select(path("DDD").alias("path"), F.encode(F.lit(text), "ISO-8859-1").alias("content"))
     head = F.concat(F.lit("Rider="), F.when(F.col("unit") % 2 == 0, "DA77").otherwise("JA52"), F.lit("\r\n[MASS]\r\nBike="), (165 + F.col("unit")).cast("string"),
                     F.lit("\r\n[GENERAL]\r\nCircuit=PLACE\r\nSession=fp\r\nDate="), F.date_format("day", "dd/MM/yyyy"))
@@ -61,8 +63,8 @@ def recorded(spark, d):
 _DEFS = ", ".join(f"('{c}', '{e}', '{k}', {a}, {b})" for c, e, k, a, b in CHANNELS)
 RECORDED = f"""defs(channel, ext, kind, a, b) AS (VALUES {_DEFS}),
   src AS (SELECT user_id % 10 AS unit, event_type, value, ts, row_number() OVER (PARTITION BY user_id % 10, event_type ORDER BY epoch_us(ts), event_id) - 1 AS rn FROM events),
-  rec AS (SELECT 'P-' || unit || '-' || (rn // {PART}) AS run, unit, channel, ext, rn % {PART} AS idx, round((value * a + b) * 64 + 1e-6) / 64 AS value, ts::DATE AS day
-    FROM src JOIN defs ON kind = event_type),
+  rec AS (SELECT 'P-' || unit || '-' || (rn // {PART}) AS run, unit, channel, ext, rn % {PART} AS idx, greatest(-32768, least(32767, round((value * a + b) * 32 + 1e-6))) / 32 AS value, ts::DATE AS day
+    FROM src JOIN defs ON kind = event_type WHERE NOT (ext = 'C09' AND unit % 5 = 3)),
   cnt AS (SELECT run, unit, channel, ext, count(*) AS n FROM rec GROUP BY ALL),
   hd AS (SELECT run, unit, min(day) AS day, count(*) FILTER (channel = 'SPEED_FRONT') AS nb FROM rec GROUP BY ALL),
   ln AS (SELECT *, CASE WHEN unit % 5 = 2 OR nb <= 2 THEN 0 WHEN unit % 5 = 1 THEN nb ELSE nb * 50 + 7 END AS last_ms FROM hd),
@@ -101,7 +103,7 @@ def bundle_laps(spark, d):
 
 
 @query(f"""WITH {RECORDED} SELECT DISTINCT run, CASE channel WHEN 'SPEED_FRONT' THEN 'speed' WHEN 'BRAKE_FRONT' THEN 'brake' WHEN 'GAS' THEN 'gas' WHEN 'ACC_Y' THEN 'acc'
-    WHEN 'SUSP_FRONT' THEN 'sus_f' WHEN 'SUSP_REAR' THEN 'sus_r' WHEN 'tyre_press_f' THEN 'tyre_f' ELSE 'tyre_r' END AS role, channel FROM cnt""")
+    WHEN 'SUSP_FRONT' THEN 'sus_f' WHEN 'SUSP_REAR' THEN 'sus_r' WHEN 'tyre_press_f' THEN 'tyre_f' WHEN 'dtps_a' THEN 'dtps' ELSE 'tyre_r' END AS role, channel FROM cnt""")
 def channel_roles(spark, d):
     """Roles by alias, whatever the case, or by the fuzzy rule."""
     return resolve_channels(read_bundles(spark, recorded(spark, d), "channels"), ["run"])
@@ -131,7 +133,7 @@ def _around(us):
     return f"(PARTITION BY run ORDER BY ts_us RANGE BETWEEN {us} PRECEDING AND {us} FOLLOWING)"
 
 
-def _turns(name, value, smooth):
+def _turns(name, value, smooth):  # of the table t
     """SQL for a smoothed value ``s`` of a track with its slopes and the levels around it."""
     return f"""{name}_s AS (SELECT *, avg({value}) OVER {_around(smooth // 2)} AS s FROM t), {name}_g AS {slope_cte(name + '_s', 's', unit=1000000)},
   {name} AS (SELECT *, lead(g) OVER (PARTITION BY run ORDER BY ts_us, event_id) AS gn, max(s) OVER (PARTITION BY run) AS top, max(s) OVER {_around(4000000)} AS peak,
@@ -148,7 +150,7 @@ LAP_TRACK = RECORDED + f""", mk AS (SELECT run, 'no' AS channel, -1 AS idx, star
     WHERE channel IN ('SPEED_FRONT', 'BRAKE_FRONT', 'ACC_Y', 'SUSP_FRONT', 'SUSP_REAR') UNION ALL SELECT run, channel, idx, ts_us, value, ord FROM mk),
   sp AS (SELECT *, {_LAST} FROM al WINDOW w AS (PARTITION BY run ORDER BY ts_us, ord, idx ROWS UNBOUNDED PRECEDING)),
   t0 AS (SELECT run || '_L' || lap_no::BIGINT AS run, run AS run0, idx AS event_id, ts_us, speed, brake, acc, sus_f, sus_r, speed / 3.6 AS v FROM sp
-    WHERE channel = 'SPEED_FRONT' AND lap_no >= 0 AND lap_s >= 1),
+    WHERE channel = 'SPEED_FRONT' AND lap_no >= 0 AND lap_s >= 0.2),
   t AS {slope_cte('t0', 'v', 'ax', 1000000)}"""
 
 
@@ -212,3 +214,124 @@ def bundle_dynamics(spark, d):
     channels = read_bundles(spark, root, "channels")
     laps = dynamics.recorded_laps(read_bundles(spark, root, "laps"), channels.filter("channel = 'SPEED_FRONT'").select("run", "clock_us"))
     return dynamics.run_dynamics(read_bundles(spark, root), resolve_channels(channels, ["run"]), laps, described_runs(spark, root), LIMITS)
+
+
+# --- per lap: corners in phases, suspension ---------------------------------------------------------
+
+BANDS = {"brake": (0.0, 40.0), "gas": (0.0, 60.0), "dtps": (-40.0, 30.0), "sus_f": (2.0, 200.0), "sus_r": (50.0, 150.0)}
+CORNERS = ph.CornerLimits(min_lap_s=0.2, bands=BANDS, merge_gap=100_000, min_rows=2, corner_brake=60, corner_span=0, corner_search=500_000, corner_half=60_000,
+                          corner_gap=400_000, long_lap_s=3.2, few=4, brake_on=15, look_back=600_000, gas_on=25, gas_rows=3, look_ahead=800_000, throttle_low=20)
+IN_BANDS = " AND ".join(f"{c} BETWEEN {lo} AND {hi}" for c, (lo, hi) in BANDS.items())
+_NAMES = {"speed": "SPEED_FRONT", "brake": "BRAKE_FRONT", "gas": "GAS", "dtps": "dtps_a", "acc": "ACC_Y", "sus_f": "SUSP_FRONT", "sus_r": "SUSP_REAR"}
+
+
+def _track(name, base, others):
+    """SQL for the rows of the role ``base`` in laps, with the latest value of each other role."""
+    order = " ".join(f"WHEN '{_NAMES[c]}' THEN {i}" for i, c in enumerate([*others, base]))
+    last = ", ".join(f"last_value(CASE WHEN channel = '{c}' THEN value END IGNORE NULLS) OVER w AS {n}" for n, c in
+                     [*((r, _NAMES[r]) for r in [base, *others]), ("lap_no", "no"), ("lap_s", "s")])
+    names = ", ".join(f"'{_NAMES[c]}'" for c in [base, *others])
+    return f"""{name}_a AS (SELECT run, channel, idx, ts_us, value, CASE channel {order} END AS ord FROM smp WHERE channel IN ({names})
+    UNION ALL SELECT run, channel, idx, ts_us, value, ord FROM mk),
+  {name}_p AS (SELECT *, {last} FROM {name}_a WINDOW w AS (PARTITION BY run ORDER BY ts_us, ord, idx ROWS UNBOUNDED PRECEDING)),
+  {name} AS (SELECT run || '_L' || lap_no::BIGINT AS run, run AS run0, lap_no::BIGINT AS lap_no, lap_s, idx AS event_id, ts_us, {', '.join([base, *others])} FROM {name}_p
+    WHERE channel = '{_NAMES[base]}' AND lap_no >= 0 AND lap_s >= 0.2)"""
+
+
+MARKS = LAP_TRACK[:LAP_TRACK.index(",\n  al AS")]
+
+
+def _areas(source, out):
+    return island_cte("ia", source, IN_BANDS) + f""",
+  isl AS (SELECT run, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, sum(sus_f) AS sf, count(sus_f) AS nf, sum(sus_r) AS sr, count(sus_r) AS nr FROM ia GROUP BY run, isl),
+  ig AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY run ORDER BY start_us) <= 100000 THEN 0 ELSE 1 END AS fresh FROM isl),
+  ih AS (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY start_us) AS grp FROM ig),
+  {out} AS (SELECT run, min(start_us) AS start_us, max(end_us) AS end_us, sum(sf) / sum(nf) AS sus_f, sum(sr) / sum(nr) AS sus_r FROM ih GROUP BY run, grp HAVING sum(n) >= 2)"""
+
+
+PHASES = f"""{MARKS}, {_track("wide", "brake", ["speed", "gas", "dtps", "sus_f", "sus_r"])}, {_areas("wide", "area")},
+  wides AS (SELECT * FROM wide WHERE speed IS NOT NULL), {island_cte("ic", "wides", "brake > 60")},
+  pkc AS (SELECT run, arg_min(ts_us, (-brake, ts_us)) AS peak_us FROM ic GROUP BY run, isl),
+  ap AS (SELECT pkc.run, peak_us, arg_min(ts_us, (speed, ts_us)) AS ts_us FROM pkc JOIN wides ON pkc.run = wides.run AND ts_us >= peak_us AND ts_us < peak_us + 500000 GROUP BY ALL),
+  {_kept("ap", "rc", 400000)}, cor AS (SELECT run, ts_us - 60000 AS start_us, ts_us + 60000 AS end_us FROM rc WHERE ts_us IS NOT NULL),
+  tag AS (SELECT run, start_us, end_us, 'bands' AS detector FROM area UNION ALL SELECT run, start_us, end_us, 'brake' FROM cor),
+  len AS (SELECT run, max(run0) AS run0, max(lap_no) AS lap_no, max(lap_s) AS lap_s FROM wide GROUP BY run),
+  num AS (SELECT run, count(*) FILTER (detector = 'bands') AS n, count(*) FILTER (detector = 'brake') AS m FROM tag GROUP BY run),
+  rul AS (SELECT run, CASE WHEN m > 0 AND (n = 0 OR lap_s > 3.2 AND n < 4 OR n < m * 0.5) THEN 'brake' ELSE 'bands' END AS detector FROM num JOIN len USING (run)),
+  segs AS (SELECT tag.* FROM tag JOIN rul USING (run, detector)), {island_cte("b", "wide", "brake > 15")},
+  bon AS (SELECT run, ts_us, min(ts_us) OVER (PARTITION BY run, isl) AS rs FROM b),
+  bh AS (SELECT s.*, bon.rs, bon.ts_us AS last_on FROM segs s ASOF LEFT JOIN bon ON s.run = bon.run AND s.start_us > bon.ts_us),
+  bs AS (SELECT run, start_us, end_us, detector, CASE WHEN last_on >= start_us - 600000 THEN greatest(rs, start_us - 600000) ELSE start_us END AS from_us FROM bh),
+  fl AS (SELECT run, lag(ts_us, 2) OVER w AS b, ts_us AS e, gas > 25 AND lag(gas, 1) OVER w > 25 AND lag(gas, 2) OVER w > 25 AS ok FROM wide WINDOW w AS (PARTITION BY run ORDER BY ts_us, event_id)),
+  fw AS (SELECT s.*, CASE WHEN e < end_us + 800000 THEN b ELSE end_us + 800000 END AS to_us FROM bs s ASOF LEFT JOIN (SELECT * FROM fl WHERE ok) f ON s.run = f.run AND s.end_us <= f.b),
+  ph AS (SELECT fw.run, start_us, end_us, from_us, to_us, detector, max(brake) FILTER (ts_us >= from_us AND ts_us < start_us) AS peak, avg(sus_f) FILTER (ts_us >= from_us AND ts_us < start_us) AS s1,
+    greatest(0, min(speed) FILTER (ts_us BETWEEN start_us AND end_us)) AS v, avg(sus_f) FILTER (ts_us BETWEEN start_us AND end_us) AS s3, avg(sus_r) FILTER (ts_us BETWEEN start_us AND end_us) AS r3,
+    avg(gas) FILTER (ts_us >= end_us AND ts_us < to_us) AS g4, avg(sus_f) FILTER (ts_us >= end_us AND ts_us < to_us) AS s4 FROM fw JOIN wide ON fw.run = wide.run GROUP BY ALL)"""
+
+
+def _ms(c):
+    return f"round(({c}) / 1000.0 + 1e-9, 1)::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE {PHASES} SELECT run0 AS run, lap_no, round(lap_s + 1e-9, 3) AS lap_s, row_number() OVER (PARTITION BY ph.run ORDER BY start_us) AS corner_no, detector,
+    {_ms('start_us - from_us')} AS ph12_ms, {_ms('end_us - start_us')} AS ph3_ms, {_ms('to_us - end_us')} AS ph45_ms, peak AS ph12_brake_peak, round(s1 + 1e-9, 2) AS ph12_susf_avg,
+    v AS ph3_speed_min, round(CASE WHEN s3 BETWEEN 0 AND 200 THEN s3 END + 1e-9, 2) AS ph3_susf_avg, round(CASE WHEN r3 BETWEEN 0 AND 200 THEN r3 END + 1e-9, 2) AS ph3_susr_avg,
+    round(g4 + 1e-9, 2) AS ph45_gas_avg, round(s4 + 1e-9, 2) AS ph45_susf_avg, {_ms('to_us - from_us')} AS total_ms FROM ph JOIN len USING (run)""")
+def bundle_corner_phases(spark, d):
+    """Corners of each lap in three phases, the detector chosen per lap."""
+    return ph.corner_phases(*_recorded_tables(spark, d), CORNERS)
+
+
+def _recorded_tables(spark, d):
+    root = recorded(spark, d)
+    channels = read_bundles(spark, root, "channels")
+    laps = dynamics.recorded_laps(read_bundles(spark, root, "laps"), channels.filter("channel = 'SPEED_FRONT'").select("run", "clock_us"))
+    return read_bundles(spark, root), resolve_channels(channels, ["run"]), laps
+
+
+def _m2(c):
+    return f"round(avg({c}) + 1e-9, 2)"
+
+
+LAP_SUSPENSION = f"""{MARKS}, {_track("t2", "speed", ["brake", "gas", "dtps", "acc", "sus_f", "sus_r"])}, {_areas("t2", "area")},
+  has AS (SELECT DISTINCT run AS run0 FROM smp WHERE channel = 'dtps_a'),
+  e1 AS (SELECT a.run, t2.speed, a.sus_f, a.sus_r FROM (SELECT *, (start_us + end_us) // 2 AS mid_us FROM area WHERE split_part(run, '_L', 1) IN (SELECT run0 FROM has)) a
+    ASOF LEFT JOIN t2 ON a.run = t2.run AND a.mid_us >= t2.ts_us),
+  t AS (SELECT * FROM t2 WHERE run0 NOT IN (SELECT run0 FROM has)),
+  {_turns("lo", "speed", 300000)}, mins AS (SELECT * FROM lo WHERE g < 0 AND gn >= 0 AND s < top * 0.92 AND peak - s >= 15), {_kept("mins", "k1", 250000)},
+  low AS (SELECT mins.run, mins.ts_us FROM mins JOIN k1 USING (run, ts_us)),
+  {_turns("hi", "abs(acc)", 250000)}, strong AS (SELECT run FROM t GROUP BY run HAVING max(abs(acc)) >= 2.25),
+  pts AS (SELECT hi.* FROM hi JOIN strong USING (run) WHERE g >= 0 AND gn < 0 AND s >= 1.5 AND s - others >= -0.6), {_kept("pts", "k2", 400000)},
+  tied AS (SELECT pts.*, k2.ts_us AS anchor FROM pts ASOF JOIN (SELECT * FROM k2 WHERE ts_us IS NOT NULL) k2 ON pts.run = k2.run AND pts.ts_us >= k2.ts_us),
+  best AS (SELECT run, arg_max(ts_us, (s, -ts_us)) AS ts_us FROM tied GROUP BY run, anchor),
+  c AS (SELECT coalesce(a.run, b.run) AS run, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT run, count(*) AS na FROM best GROUP BY run) a
+    FULL JOIN (SELECT run, count(*) AS nb FROM low GROUP BY run) b ON a.run = b.run),
+  pick AS (SELECT run, ts_us AS at_us FROM best JOIN c USING (run) WHERE NOT (nb > 0 AND na < 0.7 * nb) UNION ALL SELECT run, ts_us FROM low JOIN c USING (run) WHERE nb > 0 AND na < 0.7 * nb),
+  nr AS (SELECT pick.run, at_us, ts_us, gas FROM pick JOIN t ON pick.run = t.run AND ts_us >= at_us - 300000 AND ts_us < at_us + 2000000 WHERE gas IS NOT NULL),
+  lw AS (SELECT run, at_us, arg_min(ts_us, (gas, ts_us)) AS low_us, min(gas) AS lowest FROM nr GROUP BY ALL),
+  cr AS (SELECT nr.run, nr.at_us, min(ts_us) AS ts_us FROM nr JOIN lw USING (run, at_us) WHERE lowest <= 20 AND ts_us >= low_us AND gas > 20 GROUP BY ALL),
+  e2 AS (SELECT t.run, speed, sus_f, sus_r FROM cr JOIN t USING (run, ts_us)),
+  es AS (SELECT *, avg(speed / 3.6) OVER {_around(35000)} AS s FROM t2), eg AS {slope_cte('es', 's', unit=1000000)}, {island_cte("ie", "eg", "g < -8 AND speed >= 10")},
+  st AS (SELECT run, min(ts_us) AS ts_us FROM ie GROUP BY run, isl HAVING count(*) >= 2), {_kept("st", "k0", 800000)},
+  ke AS (SELECT run, ts_us - 80000 AS at_us FROM k0 WHERE ts_us IS NOT NULL),
+  ent AS (SELECT ke.run, speed, sus_f, sus_r FROM ke ASOF LEFT JOIN t2 ON ke.run = t2.run AND ke.at_us >= t2.ts_us),
+  {island_cte("ib", "t2", "brake >= 20 AND speed >= 10")},
+  pb AS (SELECT *, max(brake) OVER e AS peak, min(ts_us) OVER e AS from_us, max(ts_us) OVER e AS to_us FROM ib WINDOW e AS (PARTITION BY run, isl)),
+  ful AS (SELECT run, avg(sus_f) AS sus_f, avg(sus_r) AS sus_r FROM pb WHERE to_us - from_us >= 50000 AND brake >= 0.85 * peak GROUP BY run, isl HAVING avg(sus_f) IS NOT NULL),
+  {_track("tf", "sus_f", [])}, {_track("tr", "sus_r", [])},
+  x1 AS (SELECT run, count(*) AS apex_count, {_m2('speed')} AS apex_speed_avg, {_m2('sus_f')} AS apex_susf_avg, {_m2('sus_r')} AS apex_susr_avg FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) GROUP BY 1),
+  x2 AS (SELECT run, count(*) AS brake_count, {_m2('speed')} AS brake_speed_avg, {_m2('sus_f')} AS brake_susf_avg, {_m2('sus_r')} AS brake_susr_avg FROM ent GROUP BY 1),
+  x3 AS (SELECT run, count(*) AS full_brake_count, {_m2('sus_f')} AS full_brake_susf_avg, {_m2('sus_r')} AS full_brake_susr_avg FROM ful GROUP BY 1),
+  x4 AS (SELECT run, {_m2('sus_f')} AS lap_susf_mean, round(min(sus_f) + 1e-9, 2) AS lap_susf_min, round(max(sus_f) + 1e-9, 2) AS lap_susf_max FROM tf GROUP BY 1),
+  x5 AS (SELECT run, {_m2('sus_r')} AS lap_susr_mean FROM tr GROUP BY 1),
+  lap AS (SELECT run, max(run0) AS run0, max(lap_no) AS lap_no, round(max(lap_s) + 1e-9, 3) AS lap_s, round(max(lap_s) * 1000 + 1e-6)::BIGINT AS ms FROM t2 GROUP BY run)"""
+
+
+@query(f"""WITH RECURSIVE {LAP_SUSPENSION} SELECT run0 AS run, lap_no, lap.run AS lap_id, lap_s,
+    (ms // 60000) || ':' || lpad(((ms % 60000) // 1000)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') AS lap_time,
+    coalesce(apex_count, 0) AS apex_count, apex_speed_avg, apex_susf_avg, apex_susr_avg, coalesce(brake_count, 0) AS brake_count, brake_speed_avg, brake_susf_avg, brake_susr_avg,
+    coalesce(full_brake_count, 0) AS full_brake_count, full_brake_susf_avg, full_brake_susr_avg, lap_susf_mean, lap_susf_min, lap_susf_max, lap_susr_mean
+    FROM lap LEFT JOIN x1 USING (run) LEFT JOIN x2 USING (run) LEFT JOIN x3 USING (run) LEFT JOIN x4 USING (run) LEFT JOIN x5 USING (run)""")
+def bundle_lap_suspension(spark, d):
+    """Suspension per lap, from the files: apexes, brake entries, full braking and the whole lap."""
+    return ph.lap_suspension(*_recorded_tables(spark, d), CORNERS, LIMITS)
