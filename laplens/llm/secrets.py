@@ -2,13 +2,12 @@
 
 Three patterns give the base spans. The method adds bare strings that look like keys, and judges every
 candidate by who has it: candidate hashes are counted over distinct repositories and distinct owners. A value
-that many owners share is a copied example; one that a single owner holds looks live. Bare strings are reported
-only when a single owner holds them; base spans always stay.
+that many owners or many repositories share is a copied example; one that a single owner holds looks live. All spans are reported.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laplens.llm.common import text_of
@@ -23,42 +22,44 @@ HEX = r"[0-9a-f]{24,}"
 BARE = r"[A-Za-z0-9+/_=-]{28,}"
 MIN_ASSIGN = 6
 
-SPAN = "STRUCT<kind: INT, start: INT, stop: INT, hash: STRING>"
 
 
-def _spans(text: Column, pattern: str, kind: int, matches: Column, values: Column) -> Column:
-    """Matches with their place in code points. The text between matches comes from splitting at the same pattern."""
-    gaps = F.split(text, pattern, -1)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(gaps[i]) + F.length(matches[i])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            F.lit(kind).alias("kind"), (acc["at"] + F.length(gaps[i])).alias("start"),
-            (acc["at"] + F.length(gaps[i]) + F.length(matches[i])).alias("stop"), F.sha2(values[i], 256).alias("hash")))).alias("out"))
-    none = F.expr(f"CAST(array() AS ARRAY<{SPAN}>)")
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(none)
-
-
-def scan(docs: DataFrame, id_col: str, owner_col: str, text_col: str) -> DataFrame:
-    """id, owner, base spans in their order, bare candidates that overlap no base span."""
+def matched(docs: DataFrame, id_col: str, owner_col: str, text_col: str) -> DataFrame:
+    """row (a number of its own), id, owner, and per kind the matches with the lengths of the text before each, written once."""
     every = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    patterns = (ASSIGN, ACCESS, HEX, BARE)
     found = (docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), text_of(text_col).alias("text"))
-             .select("*", every(ASSIGN).alias("m0"), every(ACCESS).alias("m1"), every(HEX).alias("m2"), every(BARE).alias("m3")))
-    value = F.when(F.size("m0") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)))
-    found = found.withColumn("v0", value)
-    assign = F.filter(F.transform(F.arrays_zip(_spans(F.col("text"), ASSIGN, 0, F.col("m0"), F.col("v0")).alias("span"), F.coalesce("v0", F.array()).alias("value")),
-                                  lambda z: F.when(F.length(z["value"]) >= MIN_ASSIGN, z["span"])), lambda s: s.isNotNull())
-    base = F.array_sort(F.concat(assign, _spans(F.col("text"), ACCESS, 1, F.col("m1"), F.col("m1")),
-                                 _spans(F.col("text"), HEX, 2, F.col("m2"), F.col("m2"))),
-                        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
-    looks = F.exists("m3", lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"))
-    bare = F.when(looks, F.filter(
-        F.transform(F.arrays_zip(_spans(F.col("text"), BARE, 3, F.col("m3"), F.col("m3")).alias("span"), F.col("m3").alias("value")),
-                    lambda z: F.when(z["value"].rlike("[0-9]") & z["value"].rlike("[A-Z]") & z["value"].rlike("[a-z]"), z["span"])),
-        lambda s: s.isNotNull())).otherwise(F.expr(f"CAST(array() AS ARRAY<{SPAN}>)"))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return (found.select("id", "owner", base.alias("base"), bare.alias("bare"))
-            .select("id", "owner", "base", F.filter("bare", free).alias("bare")))
+             .select("*", *[every(p).alias(f"m{k}") for k, p in enumerate(patterns)]))
+    # the text between matches comes from splitting at the same pattern
+    gaps = [F.when(F.size(f"m{k}") > 0, F.transform(F.split("text", p, -1), F.length)).alias(f"g{k}") for k, p in enumerate(patterns)]
+    value = F.when(F.size("m0") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("v0")
+    return hold(found.select(F.monotonically_increasing_id().alias("row"), "id", "owner", *[f"m{k}" for k in range(4)], *gaps, value), "matches")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(row, id, owner, kind, start, stop, hash): base spans, and bare candidates that overlap none, in code points. Places are running sums over the
+    matches of a text, so that the cost is in proportion to their number."""
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<kind: INT, nth: INT, gap: INT, size: INT, value: STRING>>)")
+    lists = []
+    for k in range(4):
+        m, g, v = F.col(f"m{k}"), F.col(f"g{k}"), F.col("v0" if k == 0 else f"m{k}")
+        lists.append(F.when(F.size(m) > 0, F.transform(F.arrays_zip(m.alias("m"), F.slice(g, 1, F.size(m)).alias("g"), v.alias("v")), lambda z, i: F.struct(
+            F.lit(k).alias("kind"), i.alias("nth"), z["g"].alias("gap"), F.length(z["m"]).alias("size"), z["v"].alias("value")))).otherwise(none))  # noqa: B023
+    rows = found.select("row", "id", "owner", F.explode(F.concat(*lists)).alias("s")).select("row", "id", "owner", "s.*")
+    upto = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto)).withColumn("start", F.col("stop") - F.col("size"))
+    value = F.col("value")
+    keyed = (F.col("kind") < 3) | (value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]"))
+    rows = rows.filter(keyed & ((F.col("kind") > 0) | (F.length(value) >= MIN_ASSIGN)))
+    base = F.col("kind") < 3
+    order = Window.partitionBy("row").orderBy("start", "kind", "stop")
+    reach = F.max(F.when(base, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # read backwards: a frame that runs to the end would be gone through again for every row
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("stop"))
+    ahead = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"reach": F.coalesce(reach, F.lit(0)), "ahead": ahead})
+    rows = rows.filter(base | ((F.col("reach") <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("stop")))))
+    return rows.select("row", "id", "owner", "kind", "start", "stop", F.sha2("value", 256).alias("hash"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -74,30 +75,30 @@ def _listed(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text",
-                 shared_from: int = 3) -> DataFrame:
+                 shared_from: int = 3, copied_from: int = 10) -> DataFrame:
     """One row per row of ``docs``: id, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_bare``,
-    ``n_live`` and ``n_shared``. A document is a repository of the owner in ``owner_col``.
-
-    ``n_live`` counts spans whose value one owner holds, ``n_shared`` those whose value ``shared_from`` or more owners
-    hold. Spans are of whole matches, in code points, end exclusive, by start, then kind. A null text is empty and has no
-    spans; null owners are one owner. Rows that repeat an id count as one repository. Null ids are one repository per
-    owner. Other columns are not read. An empty table gives no rows."""
-    found = hold(scan(docs, id_col, owner_col, text_col), "secrets")
-    with_any = found.filter((F.size("base") > 0) | (F.size("bare") > 0))
-    candidates = with_any.select("id", F.coalesce("owner", F.lit("")).alias("owner"), F.struct("id").alias("repo"),
-                                 F.explode(F.array_distinct(F.transform(F.concat("base", "bare"), lambda s: s["hash"]))).alias("hash"))
-    counts = ownership(candidates)
-    judged = (candidates.select("repo", "hash").distinct().join(counts, "hash").groupBy("repo").agg(
-        F.collect_list(F.when(F.col("owners") == 1, F.col("hash"))).alias("live"),
-        F.collect_list(F.when(F.col("owners") >= shared_from, F.col("hash"))).alias("shared")))  # a document's own candidates
-    none = F.expr("CAST(array() AS ARRAY<STRING>)")
-    out = (found.join(judged, F.struct(found["id"]).eqNullSafe(judged["repo"]), "left")
-           .withColumn("live", F.coalesce("live", none)).withColumn("shared", F.coalesce("shared", none))
-           .withColumn("bare", F.filter("bare", lambda s: F.array_contains("live", s["hash"])))
-           .withColumn("every", F.array_sort(F.concat("base", "bare"), lambda a, b: F.when(
-               a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))))
-    many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    among = lambda held: F.size(F.filter("every", lambda s: F.array_contains(held, s["hash"]))).cast("long")
-    return out.select(F.col("id").alias(id_col), many(0).alias("n_assign"), many(1).alias("n_access"), many(2).alias("n_hex"),
-                      F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"),
-                      F.size("bare").cast("long").alias("n_bare"), among("live").alias("n_live"), among("shared").alias("n_shared"))
+    ``n_live``, ``n_few`` and ``n_shared``. A document is a repository of the owner in ``owner_col``.
+
+    Every span falls in one of three classes: shared, where ``shared_from`` or more owners or ``copied_from`` or more repositories hold its
+    value; live, where one owner does; few for the rest. All are listed. Spans are of whole matches, in code points, end
+    exclusive, by start, then kind. A null text is empty and has no spans; null owners are one owner. Rows that repeat an id count as
+    one repository; each row without an id is one. Other columns are not read. An empty table gives no rows. The cost of a very long
+    text is in proportion to its length; its spans are sorted in one task."""
+    found = matched(docs, id_col, owner_col, text_col)
+    spans = hold(placed(found.filter(F.greatest(*[F.size(f"m{k}") for k in range(4)]) > 0)), "spans")
+    repo = F.struct("id", F.when(F.col("id").isNull(), F.col("row")).alias("row"))
+    counts = hold(ownership(spans.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), repo.alias("repo"))), "owners")
+    shared = (F.col("owners") >= shared_from) | (F.col("repos") >= copied_from)
+    live = F.when(shared, "shared").when(F.col("owners") == 1, "live").otherwise("few")
+    judged = spans.join(counts, "hash").select("row", "kind", "start", "stop", live.alias("class"))
+    many = lambda c: F.count_if(c)
+    per_row = judged.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("every"),  # the spans of one text
+        *[many(F.col("kind") == k).alias(n) for k, n in enumerate(("n_assign", "n_access", "n_hex", "n_bare"))],
+        *[many(F.col("class") == c).alias(f"n_{c}") for c in ("live", "few", "shared")])
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: BIGINT, kind: INT, stop: BIGINT>>)")
+    out = found.select("row", "id").join(per_row, "row", "left").withColumn("every", F.coalesce("every", none))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    base = F.filter("every", lambda s: s["kind"] < 3)
+    return out.select(F.col("id").alias(id_col), n("n_assign"), n("n_access"), n("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"),
+                      _listed(F.col("every")).alias("spans"), n("n_bare"), n("n_live"), n("n_few"), n("n_shared"))

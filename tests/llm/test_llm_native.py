@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -109,11 +110,36 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     rows += [(200, BARE, "a"), (201, BARE + "x", "a"), (202, BARE + "x", "b")]
     got = {r.doc_id: r for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
     assert (got[0].n_shared, got[0].n_live) == (2, 0) and (got[100].n_shared, got[100].n_live) == (0, 2)
-    assert got[200].spans == f"bare:0:{len(BARE)}" and got[201].spans == got[202].spans == ""  # two owners: not reported
+    assert [got[i].spans for i in (200, 201, 202)] == [f"bare:0:{len(BARE) + (i > 200)}" for i in (200, 201, 202)]
+    assert [(got[i].n_bare, got[i].n_live, got[i].n_few, got[i].n_shared) for i in (200, 201, 202)] == [(1, 1, 0, 0), (1, 0, 1, 0), (1, 0, 1, 0)]
     counts = secrets.ownership(spark.createDataFrame([("h", "a", 1), ("h", "a", 1), ("h", "a", 2), ("h", "b", 1)], "hash string, owner string, repo int")).first()
     assert (counts.owners, counts.repos) == (2, 3)
 
 
+def test_many_repositories_of_one_owner_are_a_copied_example(spark):
+    rows = [(i, "token=" + "e" * 30, "one") for i in range(50)] + [(None, "secret=rarerare", None)] * 9 + [(None, "secret=oftenoften", None)] * 10
+    got = secrets.scan_secrets(docs_of(spark, rows)).collect()
+    assert Counter((r.doc_id is None, r.n_live, r.n_shared) for r in got) == {(False, 0, 2): 50, (True, 1, 0): 9, (True, 0, 1): 10}
+
+
+def test_bare_spans_overlap_no_base_span(spark):
+    rows = [(1, f"token={BARE} {BARE}/{'a' * 40} x", "s"), (2, f"{BARE}{'0' * 24}", "s"), (3, f"{BARE}. api_key: {BARE}", "s")]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("bare")] for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [f"bare:0:{len(BARE)}"]}
+
+
+def test_spans_cost_in_proportion(spark):
+    def seconds(n):
+        docs = docs_of(spark, [(1, "\n".join(f"password=abc{i:06d}" for i in range(n)), "s")])
+        t0 = time.perf_counter()
+        row = secrets.scan_secrets(docs).first()
+        assert row.n_assign == n and row.spans.startswith("assign:0:18,assign:19:37,")
+        return time.perf_counter() - t0
+
+    seconds(500)
+    assert seconds(32_000) < 4 * seconds(8_000) + 3
+
+
 def test_secrets_of_no_rows(spark):
     assert secrets.scan_secrets(docs_of(spark, [])).count() == 0
 
