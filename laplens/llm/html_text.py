@@ -186,7 +186,7 @@ def main_text(page: str | None, short: int = 70, long: int = 140, links: float =
     """The blocks of text, in page order, with an empty line between them."""
     found = blocks(page or "")
     first = [label(*b[:3], short, long, links, low, high) for b in found]
-    if NAME.search(page or "") and all(b[1] < 1 for b in found):
+    if all(b[1] < 1 for b in found):
         free = [i for i, b in enumerate(found) if not b[1]]
         labels = inherit([first[i] for i in free], [found[i][3] for i in free])
         return "\n\n".join(found[i][0] for i, x in zip(free, labels) if x == 1)

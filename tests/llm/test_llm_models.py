@@ -314,7 +314,7 @@ PROSE = "The quick brown fox is in the house and it was not at the door when he
 
 
 @pytest.mark.parametrize("page, text", [
-    ("", ""), (None, ""), ("plain", ""), (f"<p>{PROSE}</p>", PROSE),
+    ("", ""), (None, ""), (" \n", ""), ("plain", "plain"), ("Hello world. This short notice\nhas no tags.", "Hello world. This short notice has no tags."), (f"<p>{PROSE}</p>", PROSE),
     (f"<article><h1>A &amp; B</h1><p>x<br>y&nbsp;&eacute;\n z</article>", "A & B\n\nx y é z"),
     (f"<nav><p>{PROSE}</nav><div><p>{PROSE}<p>Short.<p>{PROSE}</div><footer>{PROSE}</footer>", f"{PROSE}\n\nShort.\n\n{PROSE}"),
     (f"<div class='ad-box'>{PROSE}</div><main>In.<aside>no</aside><script>if (a<b) '</p>'</script><!-- <p>no -->x<style>p</style>", "In.\n\nx"),
