@@ -173,8 +173,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42,
                     shard_col: str | None = None, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is drawn, in shuffled order within a partition. ``shard_col`` names
-    a column for the shard that the copy went to. All columns pass through; of a document that is drawn in part, the text is
-    its first words, with single spaces."""
+    a column for the shard that the copy went to. All columns pass through and no text is cut: the one document of a source that is
+    drawn in part goes in whole where half of its words or more are drawn, else not, so a source misses its target by half a document at most."""
     p = unused(docs, "__mix")
     took = draws(docs, id_col, source_col, text_col, seed=seed, **options).select(
         *[F.col(c).alias(f"{p}_{c}") for c in ("id", "source", "size", "parts")])
@@ -184,9 +184,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     nth = F.row_number().over(Window.partitionBy(id_col, source_col, f"{p}_words").orderBy(F.lit(1))) - 1
     drawn = (own.join(took, same).withColumn(f"{p}_nth", nth)
              .withColumn(f"{p}_draw", F.explode(_own(F.col(f"{p}_parts"), F.col(f"{p}_nth"), F.col(f"{p}_size")))))
-    words, shard = F.col(f"{p}_draw.words"), F.col(f"{p}_draw.shard")
-    start = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")))
-    drawn = (drawn.withColumn(text_col, F.when(words < F.col(f"{p}_size"), start).otherwise(F.col(text_col)))
+    shard = F.col(f"{p}_draw.shard")
+    drawn = (drawn.filter(F.col(f"{p}_draw.words") * 2 >= F.col(f"{p}_size"))
              .sortWithinPartitions(shard, F.xxhash64(F.lit(seed), F.lit("order"), id_col, f"{p}_nth", shard)))
     if shard_col:
         drawn = drawn.withColumn(shard_col, shard)

@@ -61,7 +61,7 @@ def op7_exact_dedup(spark, d):
 
 @query
 def op8_source_mix(spark, d):
-    return mixing.mix(table(spark, d, "documents")).drop("source", "draws")
+    return mixing.mix(table(spark, d, "documents")).drop("source")
 
 
 @query

@@ -295,7 +295,8 @@ def test_mixed_documents_are_the_draws(spark):
     want, got = Counter(), Counter()
     for r in plan:
         for d in r.draws:
-            want[r.doc_id, r.source, d.words, d.shard] += 1
+            want[r.doc_id, r.source, r.size, d.shard] += 2 * d.words >= r.size
+    want = +want
     for r in rows:
         got[r.doc_id, r.source, len(r.text.split()), r.shard] += 1
     assert got == want
@@ -303,6 +304,14 @@ def test_mixed_documents_are_the_draws(spark):
     assert len(per_shard) > 8
 
 
+def test_shards_follow_the_tree(spark):
+    docs = docs_of(spark, mix_rows())
+    fine, coarse = ({r.doc_id: r for r in mixing.mix(docs, block_words=200, levels=n).collect()} for n in (4, 1))
+    shards = [{d.shard for r in plan.values() for d in r.draws} for plan in (fine, coarse)]
+    assert shards[1] == {0, 1} and 8 < len(shards[0]) and max(shards[0]) < 16
+    assert all(sum(d.words for d in r.draws) == r.taken == coarse[i].taken for i, r in fine.items())
+
+
 def test_mix_without_words_or_rows(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     got = mixing.mix(docs_of(spark, [(1, None, None), (2, "", "a")])).collect()
