@@ -3,7 +3,8 @@
 Distinct lines are found first, equal ones merged before the shuffle. Each is cut into ``max_edits + 1``
 segments; two lines within the threshold agree in one segment of the shorter, up to a shift that the lengths
 bound. A line is indexed under its segments and probes the indexes of its own and of smaller lengths with the few
-substrings that the shift bound leaves. Crowded segments are refined by a second exact condition. Pairs that share a key are verified with the banded edit distance of
+substrings that the shift bound leaves. The lines of a crowded segment meet the earliest of them, and those it does not settle are
+cut into segments again without what they share. Pairs that share a key are verified with the banded edit distance of
 Spark, which stops beyond the threshold.
 """
 
@@ -27,85 +28,171 @@ def numbered(docs: DataFrame, row_col: str) -> DataFrame:
 
 
 def split_lines(rows: DataFrame, row_col: str, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(row, id, mark, pos, line, hi, lo): non-blank lines of ``min_chars`` or more characters, outer blanks off, with a 128-bit
+    """(row, id, mark, pos, line, hi, lo): non-blank lines of ``min_chars`` or more characters, outer blanks off, with a 96-bit
     name. ``mark`` is a hash of the row's text."""
     text = text_of(text_col)
     lines = (rows.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"),
                          F.posexplode(F.split(text, "\n")).alias("pos", "line"))
              .withColumn("line", F.btrim("line", F.lit(" \t\r")))
              .filter((F.length("line") >= min_chars) & (F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0)))
-    return lines.withColumns({"hi": F.xxhash64("line"), "lo": F.xxhash64(F.lit(1), "line")})
+    return lines.withColumns({"hi": F.xxhash64("line"), "lo": F.hash("line")})
 
 
-def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column, Column]:
-    """Index keys of a line, and the keys it probes. A key names the indexed length, the segment and its text.
+def probed(max_edits: int) -> list[tuple[int, int, int]]:
+    """(d, segment, shift) of the substrings by which a line probes the indexes of lengths smaller by d, 0 included.
 
-    For a probed length smaller by d, segment i (of k + 1, counted from 0) may lie i or less off its place and, seen
-    from the end, k - i or less off. Among equal lengths a shift to the left is another line's shift to the right."""
+    Segment i (of k + 1, counted from 0) may lie i or less off its place and, seen from the end, k - i or less off.
+    Among equal lengths a shift to the left is another line's shift to the right."""
     k = max_edits
-    start = lambda n, i: F.floor(n * i / (k + 1)).cast("int") + 1
-    key = lambda n, i, at: F.xxhash64(n, F.lit(i), F.substring(line, at, start(n, i + 1) - start(n, i)))
-    index = [key(length, i, start(length, i)) for i in range(k + 1)]
-    probes = []
-    for d in range(k + 1):
-        for i in range(k + 1):
-            for shift in range(max(-i, d - (k - i)), min(i, d + k - i) + 1):
-                if d or shift >= 0:
-                    probes.append(key(length - d, i, start(length - d, i) + shift))
-    return F.array(*index), F.array(*probes)
-
-
-def bigram_bits(line: Column, max_edits: int) -> Column:
-    """Two words of bits (a, b): each pair of neighbouring characters flips one of about 126 bits. An edit flips four at most."""
-    half = 63 // (4 * max_edits + 1) * (4 * max_edits + 1)
-    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-
-    def flip(bits: Column, i: Column) -> Column:
-        h = F.pmod(F.xxhash64(F.substring(line, i, F.lit(2))), F.lit(2 * half)).cast("int")
-        bit = lambda low: F.when((h >= low) & (h < low + half), F.call_function("shiftleft", F.lit(1).cast("long"), h - low)).otherwise(F.lit(0).cast("long"))
-        return F.struct(bits["a"].bitwiseXOR(bit(0)).alias("a"), bits["b"].bitwiseXOR(bit(half)).alias("b"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(line) - 1, F.lit(1))), zero, flip)
-
-
-def bit_blocks(max_edits: int) -> Column:
-    """Keys from the bits, cut into ``4 * max_edits + 1`` blocks: those of lines within the threshold agree in one at least."""
-    blocks = 4 * max_edits + 1
-    width = 63 // blocks
-    cut = lambda word, j: F.shiftright(word, j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    return F.array(*[F.xxhash64(F.lit(j), cut(F.col("a"), j), cut(F.col("b"), j)) for j in range(blocks)])
-
-
-def near_pairs(lines: DataFrame, max_edits: int, crowd: int = 10) -> DataFrame:
-    """Pairs of names of distinct lines (hi, lo, line) that share a key; the second is the longer or, at equal length,
-    either. Where more than ``crowd`` lines are indexed under one segment, as variants of one text are, a pair must also
-    agree in a block of bigram bits and differ in few of the bits, which all pairs within the threshold do."""
-    index, probes = segment_keys(F.col("line"), F.length("line"), max_edits)
-    left = lines.select("hi", "lo", F.explode(index).alias("key"))
-    right = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode(probes).alias("key"))
-    crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
-    differ = (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
-    pairs = left.join(crowded, "key", "left_anti").join(right, "key").filter(differ).select("hi", "lo", "hi2", "lo2")
-    if not crowded.isEmpty():
-        some = hold(left.join(crowded, "key", "left_semi"), "crowded-index")
-        more = hold(right.join(crowded, "key", "left_semi"), "crowded-probes")
-        names = some.select("hi", "lo").union(more.select("hi2", "lo2")).distinct()
-        bits = hold(names.join(lines.select("hi", "lo", "line"), ["hi", "lo"])
-                    .select("hi", "lo", bigram_bits(F.col("line"), max_edits).alias("bits")).select("hi", "lo", "bits.*"), "bits")
-
-        def finer(rows: DataFrame, end: str) -> DataFrame:
-            listed = F.posexplode(F.transform(bit_blocks(max_edits), lambda x: F.xxhash64("key", x))).alias("block" + end, "key")
-            return (rows.withColumnsRenamed({"hi" + end: "hi", "lo" + end: "lo"}).join(bits, ["hi", "lo"])
-                    .select(*[F.col(c).alias(c + end) for c in ("hi", "lo", "a", "b")], listed))
-
-        x, y = F.col("a").bitwiseXOR(F.col("a2")), F.col("b").bitwiseXOR(F.col("b2"))
-        close = differ & (F.bit_count(x) + F.bit_count(y) <= 4 * max_edits)
-        blocks = 4 * max_edits + 1
-        for i in range(blocks - 1):  # a pair meets in the first block in which it agrees, not in every one
-            own = F.shiftright(x.bitwiseOR(y), i * (63 // blocks)).bitwiseAND(F.lit((1 << 63 // blocks) - 1).cast("long"))
-            close = close & ((F.col("block") <= i) | (own != 0))
-        pairs = pairs.unionByName(finer(some, "").join(finer(more, "2"), "key").filter(close).select("hi", "lo", "hi2", "lo2"))
-    return pairs.distinct()
+    return [(d, i, shift) for d in range(k + 1) for i in range(k + 1)
+            for shift in range(max(-i, d - (k - i)), min(i, d + k - i) + 1) if d or shift >= 0]
+
+
+def indexed(max_edits: int) -> list[tuple[int, int, int]]:
+    """The same for the segments under which a line is indexed itself."""
+    return [(0, i, 0) for i in range(max_edits + 1)]
+
+
+def start(length: Column, segment: int, max_edits: int) -> Column:
+    return F.floor(length * segment / (max_edits + 1)).cast("int") + 1
+
+
+def span(length: Column, cut: tuple[int, int, int], max_edits: int) -> tuple[Column, Column]:
+    """Place and length of a cut, as in :func:`probed`, in a line of ``length``."""
+    d, i, shift = cut
+    first = start(length - d, i, max_edits)
+    return first + shift, start(length - d, i + 1, max_edits) - first
+
+
+def with_windows(lines: DataFrame, max_edits: int) -> DataFrame:
+    """``lines`` (hi, lo, line, n) with the part of the line that holds all cuts of a segment, for each segment, as ``w0``, ``w1``, ...: a
+    substring counts characters from the line's head, so it is taken once, and the cuts from it."""
+    windows = {}
+    for i in range(max_edits + 1):
+        low = window_start(F.col("n"), i, max_edits)
+        windows[f"w{i}"] = F.substring("line", low, start(F.col("n"), i + 1, max_edits) + max_edits - low)
+    return lines.select("hi", "lo", "n", *[w.alias(name) for name, w in windows.items()])
+
+
+def window_start(length: Column, segment: int, max_edits: int) -> Column:
+    return F.greatest(start(length - max_edits, segment, max_edits) - max_edits, F.lit(1))
+
+
+def window_keys(cuts: list[tuple[int, int, int]], max_edits: int) -> Column:
+    """Keys of the cuts of a line with windows. A key names the indexed length, the segment and its text."""
+    keys = []
+    for cut in cuts:
+        d, i, _ = cut
+        at, size = span(F.col("n"), cut, max_edits)
+        keys.append(F.xxhash64(F.col("n") - d, F.lit(i), F.substring(F.col(f"w{i}"), at - window_start(F.col("n"), i, max_edits) + 1, size)))
+    return F.array(*keys)
+
+
+def near_lines(lines: DataFrame, max_edits: int, crowd: int = 10) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of names (hi, lo, hi2, lo2) of lines (hi, lo, line, n, first) that share a key, yet to be verified, and tables of
+    the names of lines already known to be near an earlier one.
+
+    Where more than ``crowd`` lines are indexed under one segment, as variants of one text are, see :func:`crowd_lines`."""
+    cut = with_windows(lines, max_edits)
+    left = cut.select("hi", "lo", window_keys(indexed(max_edits), max_edits).alias("keys"))
+    right = cut.select("hi", "lo", window_keys(probed(max_edits), max_edits).alias("keys"))
+    alone = left.select(F.explode("keys").alias("key"))
+    crowded = hold(alone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
+    pairs = (left.select("hi", "lo", F.explode("keys").alias("key")).join(crowded, "key", "left_anti")
+             .join(right.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode("keys").alias("key")), "key")
+             .filter(differ()).select("hi", "lo", "hi2", "lo2"))
+    if crowded.isEmpty():
+        return pairs.distinct(), []
+    listed = [keys.select("hi", "lo", F.posexplode("keys").alias("j", "key")).join(crowded, "key", "left_semi") for keys in (left, right)]
+    rows = hold(listed[0].withColumn("own", F.lit(True)).union(listed[1].withColumn("own", F.lit(False))), "crowd")
+    members = hold(rows.select("hi", "lo").distinct().join(lines, ["hi", "lo"]), "crowd-lines")
+    spans = {own: F.array(*[F.struct(*[x.alias(c) for c, x in zip(("at", "size"), span(F.col("n"), c, max_edits))]) for c in cuts])
+             for own, cuts in ((True, indexed(max_edits)), (False, probed(max_edits)))}
+    rows = rows.join(members, ["hi", "lo"]).withColumn("span", F.when(F.col("own"), spans[True][F.col("j")]).otherwise(spans[False][F.col("j")]))
+    more, near = crowd_lines(rows.select("key", "hi", "lo", "own", F.lit(True).alias("open"), rest_of("line").alias("rest")), members, max_edits, crowd)
+    for some in more:
+        pairs = pairs.unionByName(some)
+    return pairs.distinct(), near
+
+
+def differ() -> Column:
+    """Two rows of a join name different lines."""
+    return (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
+
+
+def rest_of(text: str) -> Column:
+    """``text`` without its ``span``."""
+    at, size = F.col("span.at"), F.col("span.size")
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + size, F.length(text)))
+
+
+def common_head(a: Column, b: Column, limit: Column) -> Column:
+    """Number of characters with which both texts begin, ``limit`` at most: found by halving."""
+    def longer(n: Column, step: Column) -> Column:
+        end = n + step
+        return F.when((end <= limit) & (F.substring(a, F.lit(1), end) == F.substring(b, F.lit(1), end)), end).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(1 << e) for e in range(29, -1, -1)]), F.lit(0), longer)
+
+
+def crowd_lines(rows: DataFrame, members: DataFrame, max_edits: int, crowd: int, depth: int = 3) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Candidate pairs and near names of crowded keys, in ``rows`` (key, hi, lo, own, open, rest): ``own`` rows are indexed under the
+    key, the others probe it; ``rest`` is the line without what the key says. ``members`` has their lines.
+
+    A verdict needs one earlier line only, so every line of a crowd meets the earliest that is indexed there, which is then done with;
+    lines that it settles serve as partners of open ones only, and crowds without an open line end. What is left must agree within
+    the threshold in ``rest`` also. There the head and the tail that all of the crowd share are stripped, which leaves edit distances as they
+    are, and the core is cut into segments again, under keys that name the crowd. Keys that are still crowded go on, ``depth``
+    times in all; pairs of the last ones are compared in the join. Every turn is exact."""
+    k, pairs, near = max_edits, [], []
+    for turn in range(depth):
+        full = rows.join(members.select("hi", "lo", "line", "first"), ["hi", "lo"])
+        hub = F.min(F.when(F.col("own"), F.struct("first", "hi", "lo", "line")))
+        crowds = (full.groupBy("key").agg(
+            hub.alias("hub"), F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(F.reverse("rest")).alias("c"), F.max(F.reverse("rest")).alias("e"),
+            F.min(F.length("rest")).alias("least"), F.max(F.when(F.col("own"), F.length("rest"))).alias("size"))
+            .withColumn("head", common_head(F.col("a"), F.col("b"), F.col("least")))
+            .withColumn("tail", common_head(F.col("c"), F.col("e"), F.col("least") - F.col("head"))))
+        crowds = hold(crowds.select("key", "hub", "head", "tail", "size"), "crowds")
+        met = (F.levenshtein("line", "hub.line", k) >= 0) & (F.col("first") != F.col("hub.first"))
+        after = F.col("first") > F.col("hub.first")
+        core = F.substring("rest", F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
+        table = hold(full.join(crowds, "key").withColumn("met", met)
+                     .select("key", "hi", "lo", "own", (F.col("open") & ~(F.col("met") & after)).alias("open"), core.alias("core"),
+                             (F.length("rest") - F.col("size")).alias("d"), (F.col("size") - F.col("head") - F.col("tail")).alias("size"), "met",
+                             after.alias("after"), F.col("hub.hi").alias("hub_hi"), F.col("hub.lo").alias("hub_lo")), "crowd-cores")
+        near.append(table.filter("met").select(F.when(F.col("after"), F.col("hi")).otherwise(F.col("hub_hi")).alias("hi"),
+                                               F.when(F.col("after"), F.col("lo")).otherwise(F.col("hub_lo")).alias("lo")))
+        others = table.filter((F.col("hi") != F.col("hub_hi")) | (F.col("lo") != F.col("hub_lo")))
+        unsettled = hold(others.filter("open").select("key").distinct(), "crowd-open")
+        others = others.join(unsettled, "key", "left_semi")
+
+        def cuts(wanted: list[tuple[int, int, int]]) -> Column:
+            listed = []
+            for cut in wanted:
+                at, size = span(F.col("size") + cut[0], cut, k)
+                text = F.substring("core", at, size)
+                fits = (F.col("d") == cut[0]) & (at >= 1) & (at + size - 1 <= F.length("core"))
+                listed.append(F.when(fits, F.struct(F.xxhash64("key", F.lit(cut[1]), text).alias("key"), F.struct(at.alias("at"), size.alias("size")).alias("span"))))
+            return F.explode(F.array_compact(F.array(*listed))).alias("cut")
+
+        left = others.filter("own").select("hi", "lo", "open", "core", cuts(indexed(k))).select("hi", "lo", "open", "core", "cut.*")
+        right = others.filter(~F.col("own")).select("hi", "lo", "open", "core", cuts(probed(k))).select("hi", "lo", "open", "core", "cut.*")
+        probes = right.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("open").alias("open2"), F.col("core").alias("core2"), "key")
+        crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
+        close = differ() & (F.col("open") | F.col("open2")) & (F.levenshtein("core", "core2", k) >= 0)
+        names = ["hi", "lo", "hi2", "lo2"]
+        pairs.append(left.join(crowded, "key", "left_anti").join(probes, "key").filter(close).select(*names))
+        if crowded.isEmpty():
+            break
+        if turn == depth - 1:
+            some, more = left.join(crowded, "key", "left_semi"), probes.join(crowded, "key", "left_semi")
+            pairs.append(some.filter("open").join(more, "key").filter(close).select(*names))
+            pairs.append(some.filter("not open").join(more.filter("open2"), "key").filter(close).select(*names))
+            break
+        rows = hold(left.withColumn("own", F.lit(True)).unionByName(right.withColumn("own", F.lit(False))).join(crowded, "key", "left_semi")
+                    .select("key", "hi", "lo", "own", "open", rest_of("core").alias("rest")), "crowd")
+    return pairs, near
 
 
 def row_verdicts(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
@@ -115,20 +202,22 @@ def row_verdicts(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col
     found = split_lines(rows, row_col, id_col, text_col, 1 if min_chars is None else min_chars)
     place = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("pos").alias("pos"), F.col("mark").alias("mark"),
                      F.col("row").alias("row"))
-    distinct = found.groupBy("hi", "lo").agg(F.first("line").alias("line"), F.min(place).alias("first"))
+    distinct = found.groupBy("hi", "lo").agg(F.first("line").alias("line"), F.min(place).alias("first")).withColumn("n", F.length("line"))
     # Bucketed by name: the text of candidates is then looked up without moving the other lines again.
     name, buckets = f"lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, "lines")
     (distinct.write.bucketBy(buckets, "hi", "lo").option("path", path).option("compression", "zstd").saveAsTable(name))
     lines = spark.table(name)
     shortest = NEAR_CHARS * max_edits if min_chars is None else min_chars
-    pairs = near_pairs(lines.filter(F.length("line") >= shortest), max_edits, crowd)
+    pairs, settled = near_lines(lines.filter(F.col("n") >= shortest), max_edits, crowd)
     other = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("line").alias("line2"), F.col("first").alias("first2"))
     close = F.levenshtein("line", "line2", max_edits) >= 0
     near = pairs.join(lines, ["hi", "lo"]).join(other, ["hi2", "lo2"]).filter(close)
     after = F.col("first") > F.col("first2")
-    near = hold(near.select(F.when(after, F.col("hi")).otherwise(F.col("hi2")).alias("hi"),
-                            F.when(after, F.col("lo")).otherwise(F.col("lo2")).alias("lo")).distinct().withColumn("near", F.lit(True)), "near-lines")
+    near = near.select(F.when(after, F.col("hi")).otherwise(F.col("hi2")).alias("hi"), F.when(after, F.col("lo")).otherwise(F.col("lo2")).alias("lo"))
+    for known in settled:
+        near = near.union(known)
+    near = hold(near.distinct().withColumn("near", F.lit(True)), "near-lines")
     firsts = hold(lines.select("hi", "lo", "first").join(near, ["hi", "lo"], "left"), "firsts")
     spark.sql(f"DROP TABLE {name}")
     lines.held_path = path
