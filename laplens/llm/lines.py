@@ -64,52 +64,41 @@ def span(length: Column, cut: tuple[int, int, int], max_edits: int) -> tuple[Col
     return first + shift, start(length - d, i + 1, max_edits) - first
 
 
-def with_windows(lines: DataFrame, max_edits: int) -> DataFrame:
-    """``lines`` (hi, lo, line, n) with the part of the line that holds all cuts of a segment, for each segment, as ``w0``, ``w1``, ...: a
-    substring counts characters from the line's head, so it is taken once, and the cuts from it."""
-    windows = {}
-    for i in range(max_edits + 1):
-        low = window_start(F.col("n"), i, max_edits)
-        windows[f"w{i}"] = F.substring("line", low, start(F.col("n"), i + 1, max_edits) + max_edits - low)
-    return lines.select("hi", "lo", "n", *[w.alias(name) for name, w in windows.items()])
-
-
-def window_start(length: Column, segment: int, max_edits: int) -> Column:
-    return F.greatest(start(length - max_edits, segment, max_edits) - max_edits, F.lit(1))
-
-
-def window_keys(cuts: list[tuple[int, int, int]], max_edits: int) -> Column:
-    """Keys of the cuts of a line with windows. A key names the indexed length, the segment and its text."""
+def segment_keys(cuts: list[tuple[int, int, int]], max_edits: int) -> list[Column]:
+    """Keys of the cuts of a line (line, n). A key names the indexed length, the segment and its text."""
     keys = []
     for cut in cuts:
-        d, i, _ = cut
         at, size = span(F.col("n"), cut, max_edits)
-        keys.append(F.xxhash64(F.col("n") - d, F.lit(i), F.substring(F.col(f"w{i}"), at - window_start(F.col("n"), i, max_edits) + 1, size)))
-    return F.array(*keys)
+        keys.append(F.xxhash64(F.col("n") - cut[0], F.lit(cut[1]), F.substring("line", at, size)))
+    return keys
 
 
 def near_lines(lines: DataFrame, max_edits: int, crowd: int = 10) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of names (hi, lo, hi2, lo2) of lines (hi, lo, line, n, first) that share a key, yet to be verified, and tables of
     the names of lines already known to be near an earlier one.
 
-    Where more than ``crowd`` lines are indexed under one segment, as variants of one text are, see :func:`crowd_lines`."""
-    cut = with_windows(lines, max_edits)
-    left = cut.select("hi", "lo", window_keys(indexed(max_edits), max_edits).alias("keys"))
-    right = cut.select("hi", "lo", window_keys(probed(max_edits), max_edits).alias("keys"))
-    alone = left.select(F.explode("keys").alias("key"))
-    crowded = hold(alone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
-    pairs = (left.select("hi", "lo", F.explode("keys").alias("key")).join(crowded, "key", "left_anti")
-             .join(right.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode("keys").alias("key")), "key")
-             .filter(differ()).select("hi", "lo", "hi2", "lo2"))
+    Where more than ``crowd`` lines are indexed under one segment, as variants of one text are, see :func:`crowd_lines`. In the join such a
+    key stands for its lines in one row without a name, so those that probe it are found by the way."""
+    left = lines.select("hi", "lo", F.explode(F.array(*segment_keys(indexed(max_edits), max_edits))).alias("key"))
+    right = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode(F.array(*segment_keys(probed(max_edits), max_edits))).alias("key"))
+    names = ["hi", "lo", "hi2", "lo2"]
+    crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
     if crowded.isEmpty():
-        return pairs.distinct(), []
-    listed = [keys.select("hi", "lo", F.posexplode("keys").alias("j", "key")).join(crowded, "key", "left_semi") for keys in (left, right)]
-    rows = hold(listed[0].withColumn("own", F.lit(True)).union(listed[1].withColumn("own", F.lit(False))), "crowd")
-    members = hold(rows.select("hi", "lo").distinct().join(lines, ["hi", "lo"]), "crowd-lines")
-    spans = {own: F.array(*[F.struct(*[x.alias(c) for c, x in zip(("at", "size"), span(F.col("n"), c, max_edits))]) for c in cuts])
-             for own, cuts in ((True, indexed(max_edits)), (False, probed(max_edits)))}
-    rows = rows.join(members, ["hi", "lo"]).withColumn("span", F.when(F.col("own"), spans[True][F.col("j")]).otherwise(spans[False][F.col("j")]))
-    more, near = crowd_lines(rows.select("key", "hi", "lo", "own", F.lit(True).alias("open"), rest_of("line").alias("rest")), members, max_edits, crowd)
+        return left.join(right, "key").filter(differ()).select(*names).distinct(), []
+    nameless = crowded.select(F.lit(None).cast("long").alias("hi"), F.lit(None).cast("int").alias("lo"), "key")
+    met = hold(left.join(crowded, "key", "left_anti").unionByName(nameless).join(right, "key").filter(F.col("hi").isNull() | differ())
+               .select(F.when(F.col("hi").isNull(), F.col("key")).alias("key"), *names), "met")
+    probes = met.filter("hi IS NULL").select("key", F.col("hi2").alias("hi"), F.col("lo2").alias("lo")).distinct()
+    members = hold(probes.select("hi", "lo").distinct().join(lines, ["hi", "lo"]), "crowd-lines")
+    cuts = []
+    for own, wanted in ((True, indexed(max_edits)), (False, probed(max_edits))):  # every line probes the keys it is indexed under
+        for cut, key in zip(wanted, segment_keys(wanted, max_edits)):
+            at, size = span(F.col("n"), cut, max_edits)
+            cuts.append(F.struct(key.alias("key"), F.lit(own).alias("own"), at.alias("at"), size.alias("size")))
+    rows = (probes.join(members, ["hi", "lo"]).withColumn("span", F.explode(F.filter(F.array(*cuts), lambda cut: cut["key"] == F.col("key"))))
+            .select("key", "hi", "lo", "span.own", F.lit(True).alias("open"), rest_of("line").alias("rest")))
+    more, near = crowd_lines(rows, members, max_edits, crowd)
+    pairs = met.filter("hi IS NOT NULL").select(*names)
     for some in more:
         pairs = pairs.unionByName(some)
     return pairs.distinct(), near
@@ -142,8 +131,9 @@ def crowd_lines(rows: DataFrame, members: DataFrame, max_edits: int, crowd: int,
     A verdict needs one earlier line only, so every line of a crowd meets the earliest that is indexed there, which is then done with;
     lines that it settles serve as partners of open ones only, and crowds without an open line end. What is left must agree within
     the threshold in ``rest`` also. There the head and the tail that all of the crowd share are stripped, which leaves edit distances as they
-    are, and the core is cut into segments again, under keys that name the crowd. Keys that are still crowded go on, ``depth``
-    times in all; pairs of the last ones are compared in the join. Every turn is exact."""
+    are, and the core is cut into segments again, under keys that name the crowd. Keys under which ten times ``crowd`` lines are then indexed go on, ``depth``
+    times in all: below that, comparing cores costs less than cutting them once more. Pairs of the last ones are compared in
+    the join. Every turn is exact."""
     k, pairs, near = max_edits, [], []
     for turn in range(depth):
         full = rows.join(members.select("hi", "lo", "line", "first"), ["hi", "lo"])
@@ -179,7 +169,7 @@ def crowd_lines(rows: DataFrame, members: DataFrame, max_edits: int, crowd: int,
         left = others.filter("own").select("hi", "lo", "open", "core", cuts(indexed(k))).select("hi", "lo", "open", "core", "cut.*")
         right = others.filter(~F.col("own")).select("hi", "lo", "open", "core", cuts(probed(k))).select("hi", "lo", "open", "core", "cut.*")
         probes = right.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("open").alias("open2"), F.col("core").alias("core2"), "key")
-        crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
+        crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 10 * crowd).select("key"), "crowded")
         close = differ() & (F.col("open") | F.col("open2")) & (F.levenshtein("core", "core2", k) >= 0)
         names = ["hi", "lo", "hi2", "lo2"]
         pairs.append(left.join(crowded, "key", "left_anti").join(probes, "key").filter(close).select(*names))
