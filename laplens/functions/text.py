@@ -40,6 +40,8 @@ NAME_PATTERNS = [
 CODE_PATTERNS = [("L1", "FP"), ("SP", "SP"), ("Q", "QP"), ("W", "WUP1"), ("R1", "RACE1"), ("R2", "RACE2")]
 # Lap-time cells that mean "no time".
 NO_TIME = ["", "-", "—", "None", "P6", "P15", "DNS", "DNF", "NC"]
+# Rider -> number.
+RIDER_NUMBERS = {"DA77": 77, "JA52": 52}
 # Texts read as true.
 TRUE_TEXT = ["YES", "Y", "1", "TRUE"]
 
@@ -101,6 +103,21 @@ def infer_rider(name: Column, number: Column, marks: dict[str, list[str]]) -> Co
     return out.when(num != "", F.concat(F.lit("#"), num)).otherwise(F.lit("UNKNOWN"))
 
 
+def rider_number(rider: Column, numbers: dict[str, int] | None = None, default: int | None = 0) -> Column:
+    """Number of a rider: that of the first known one whose number the text holds, else ``default``."""
+    out = F
+    for number in (numbers or RIDER_NUMBERS).values():
+        out = out.when(rider.contains(str(number)), F.lit(number))
+    return out.otherwise(F.lit(default).cast("int"))
+
+
+def rider_of_number(number: Column, numbers: dict[str, int] | None = None) -> Column:
+    """Rider with that number, ``#number`` for others, null without one."""
+    text = F.trim(number.cast("string"))
+    known = lookup(text, {str(n): rider for rider, n in (numbers or RIDER_NUMBERS).items()})
+    return F.coalesce(known, F.when(text != "", F.concat(F.lit("#"), text)))
+
+
 def trailing_number(name: Column, header: Column | None = None) -> Column:
     """Digits after the last ``-`` or ``#`` (an extension may follow), else the header value, else 1."""
     found = F.regexp_extract(name, r"[-#](\d+)(?:\.[A-Za-z]+)?$", 1).try_cast("long")

@@ -79,7 +79,7 @@ def report_sessions(cells: DataFrame) -> DataFrame:
     return found.filter(F.coalesce("total_laps", F.lit(0)) > 0).join(report_head(cells), ["file", "sheet"])
 
 
-def _lap_cells(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int]) -> DataFrame:
+def lap_cells(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int]) -> DataFrame:
     """Filled cells from the first lap row on, with the row of the first empty cell below it (``_stop``)."""
     lo, hi = lap_rows
     laps = cells.filter((F.col("row") >= lo) & F.col("value").isNotNull())
@@ -87,14 +87,14 @@ def _lap_cells(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int])
     rows = laps.filter(F.col("row") <= hi).groupBy("file", "sheet", "col").agg(F.collect_set("row").alias("_rows"))
     full = F.sequence(F.lit(lo), F.lit(hi + 1)).cast("array<int>")
     stop = F.coalesce(F.array_min(F.array_except(full, "_rows")), F.lit(lo))
-    keep = sessions.select("file", "sheet", "col", "rider", "circuit", "round_id", "session_type")
+    keep = sessions.select("file", "sheet", "col", *[c for c in ("rider", "rider_num", "circuit", "round_id", "session_type") if c in sessions.columns])
     return (laps.join(rows, ["file", "sheet", "col"], "left").withColumn("_stop", stop).join(keep, ["file", "sheet", "col"])
             .withColumns({"lap_no": (F.col("row") - (lo - 1)).cast("long"), "lap_time": lap_seconds(F.col("value"))}))
 
 
 def report_laps(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int] = LAP_ROWS) -> DataFrame:
     """Lap cells under each session column down to the first empty one, within ``lap_rows``."""
-    rows = _lap_cells(cells, sessions, lap_rows).filter((F.col("row") < F.col("_stop")) & F.col("lap_time").isNotNull())
+    rows = lap_cells(cells, sessions, lap_rows).filter((F.col("row") < F.col("_stop")) & F.col("lap_time").isNotNull())
     return rows.select("file", "sheet", "rider", "circuit", "round_id", "session_type", "lap_no", "lap_time")
 
 
@@ -102,7 +102,7 @@ def rejected_laps(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, in
     """The lap cells that :func:`report_laps` leaves out, with the reason."""
     reason = (F.when(F.col("row") > lap_rows[1], "past the last lap row").when(F.col("lap_time").isNull(), "unreadable time")
               .when(F.col("row") >= F.col("_stop"), "below an empty cell"))
-    return (_lap_cells(cells, sessions, lap_rows).withColumn("reason", reason).filter("reason is not null")
+    return (lap_cells(cells, sessions, lap_rows).withColumn("reason", reason).filter("reason is not null")
             .select("file", "sheet", "session_type", "lap_no", "value", "reason"))
 
 
