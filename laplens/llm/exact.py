@@ -54,7 +54,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                    .select("id", "text_sha256", F.when(F.col("hit"), verified).otherwise(plain).alias("recipe")))
     recipes = hold(recipes, "recipes")
     release(chunks, shared)
-    groups = recipes.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written first: directly above its own aggregate the join could not be split where one recipe has most of the rows
+    groups = hold(recipes.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return (recipes.join(groups, "recipe")
             .select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     "text_sha256"))

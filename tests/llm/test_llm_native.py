@@ -56,6 +56,24 @@ def test_exact_dedup_equals_brute_force(spark, bits):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == exact_brute(exact_rows())
 
 
+def test_a_hot_recipe_is_split(spark):
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(40_000).repartition(16).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, F.lit("copied text")).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+        got = exact.exact_duplicates(docs)
+        rows = got.toArrow()
+        assert rows.num_rows == 40_000 and max(rows.column("group_size").to_pylist()) == 32_000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_exact_dedup_of_no_rows(spark):
     assert exact.exact_duplicates(docs_of(spark, [])).count() == 0
 
