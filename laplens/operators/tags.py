@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laplens.operators.ordered import first_k, number
+from laplens.operators.pace import top_rows
 
 
 def tag_rows(df: DataFrame, ids: list[str], tags: Column, out: str = "tag") -> DataFrame:
@@ -56,3 +57,28 @@ def distinct_text(df: DataFrame, keys: list[str], col: str, text: str = "members
     """Distinct values of a column with a small domain as sorted text, with their number."""
     names = F.array_sort(F.collect_set(F.col(col).cast("string")))
     return df.groupBy(*keys).agg(F.array_join(names, ", ").alias(text), F.size(names).cast("long").alias(size))
+
+
+def recall_context(insights: DataFrame, general: DataFrame, summaries: DataFrame, circuit: str = "All", rider: str = "All",
+                   order: str = "at", own: int = 5, shared: int = 4, window: int = 6, recent: int = 3) -> DataFrame:
+    """What is remembered for a circuit and rider: (part, circuit, rider, recency, entry).
+
+    ``insights`` (circuit, rider, entry, ``order``): the latest ``own`` of each rider asked for, none where the circuit is
+    "All". ``general`` (entry): the latest ``shared``. ``summaries`` (circuit, entry): of the latest ``window`` the latest
+    ``recent`` that are about this circuit or about all. Equal places go by the entry."""
+    latest = [F.col(order).desc(), F.col("entry")]
+    about = F.lit(circuit != "All") & (F.col("circuit") == circuit) & (F.lit(rider == "All") | (F.col("rider") == rider))
+    mine = first_k(insights.filter(about), ["circuit", "rider"], latest, own, "recency").withColumn("part", F.lit("insights"))
+    wide = top_rows(general, latest, shared).withColumnsRenamed({"position": "recency"}).withColumn("part", F.lit("general"))
+    fits = F.lit(circuit == "All") | F.col("circuit").isin("All", circuit)
+    said = top_rows(top_rows(summaries, latest, window).drop("position").filter(fits), latest, recent).withColumnsRenamed({"position": "recency"})
+    missing = F.lit(None).cast("string")
+    return (mine.select("part", "circuit", "rider", "recency", "entry")
+            .unionByName(wide.select("part", missing.alias("circuit"), missing.alias("rider"), "recency", "entry"))
+            .unionByName(said.select(F.lit("summaries").alias("part"), "circuit", missing.alias("rider"), "recency", "entry")))
+
+
+def text_block(df: DataFrame, order: list[Column], k: int, shown: Column, out: str, sep: str = "\n") -> DataFrame:
+    """The first ``k`` rows as one text, a row a line, in order; one row also where there is none."""
+    lines = F.sort_array(F.collect_list(F.struct("position", shown.alias("s"))))  # k rows
+    return top_rows(df, order, k).agg(F.array_join(F.transform(lines, lambda x: x["s"]), sep).alias(out))

@@ -209,3 +209,13 @@ def stream_review_digest(spark, d):
     imports.import_new(stream, target, f"{target}-progress", ["o_orderkey"], "o_orderkey").awaitTermination()
     new = imports.imported(spark, target, ["o_orderkey"], "o_orderkey")
     return imports.submission_digest(new, "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("""SELECT o_custkey, count(*) AS arrived, count(DISTINCT o_orderpriority) AS submitters, min(o_orderkey) AS first_id FROM (SELECT DISTINCT * FROM orders) WHERE o_orderstatus = 'P' GROUP BY 1""")
+def stream_digest_state(spark, d):
+    """Digests of what is new in each batch, by keyed state, over two passes of which the second finds nothing."""
+    target = fresh_path(spark, "digests")
+    stream = imports.file_stream(spark, f"{d}/orders.parquet", table(spark, d, "orders").schema).filter("o_orderstatus = 'P'")
+    for _ in range(2):
+        imports.digest_new(stream, target, f"{target}-progress", ["o_orderkey"], "o_custkey", "o_orderpriority", "o_orderkey").awaitTermination()
+    return imports.digest_of(spark.read.parquet(target), "o_custkey", "o_orderpriority")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from laplens.functions.ids import labelled
 from laplens.functions.measures import delta_mark, delta_text, direction
+from laplens.functions.text import first_of, lap_text
 from laplens.functions.text import tags as split_tags
 from laplens.operators import pace, reshape, tags
 from laplens.operators.ordered import first_k, keep_one
@@ -139,6 +140,55 @@ def recall_last_k(spark, d):
     return tags.recall(table(spark, d, "conversations"), ["role"], order, 5).select("role", "conv_id", "turn", "recency")
 
 
+_PART = lambda part, circuit, rider, src: f"SELECT '{part}' AS part, {circuit} AS circuit, {rider} AS rider, recency, entry FROM {src}"
+
+
+@query(f"""WITH c AS (SELECT role AS circuit, (conv_id % 3)::VARCHAR AS rider, conv_id * 1000 + turn AS pl, length(text) || ':' || conv_id || ':' || turn AS entry, conv_id, turn FROM conversations),
+  i AS (SELECT *, row_number() OVER (PARTITION BY rider ORDER BY pl DESC, entry) AS recency FROM c WHERE circuit = 'user' QUALIFY recency <= 5),
+  g AS (SELECT *, row_number() OVER (ORDER BY pl DESC, entry) AS recency FROM c WHERE turn % 2 = 1 QUALIFY recency <= 4),
+  w AS (SELECT CASE WHEN conv_id % 4 = 0 THEN 'All' ELSE circuit END AS circuit, pl, entry FROM c ORDER BY pl DESC, entry LIMIT 6),
+  s AS (SELECT *, row_number() OVER (ORDER BY pl DESC, entry) AS recency FROM w WHERE circuit IN ('All', 'user') QUALIFY recency <= 3)
+  {_PART('insights', 'circuit', 'rider', 'i')} UNION ALL {_PART('general', 'NULL', 'NULL', 'g')} UNION ALL {_PART('summaries', 'circuit', 'NULL', 's')}""")
+def recall_context(spark, d):
+    """Insights of one circuit by rider, general ones, and recent summaries that fit."""
+    c = table(spark, d, "conversations").select(
+        F.col("role").alias("circuit"), (F.col("conv_id") % 3).cast("string").alias("rider"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"),
+        F.concat_ws(":", F.length("text").cast("string"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("entry"), "conv_id", "turn")
+    summaries = c.withColumn("circuit", F.when(F.col("conv_id") % 4 == 0, "All").otherwise(F.col("circuit")))
+    return tags.recall_context(c, c.filter("turn % 2 = 1"), summaries, "user")
+
+
+@query(f"""WITH {LAPS}, {RUNS}, t AS (SELECT l_linestatus AS phase, split_part(p_name, ' ', 2) AS tag, l_orderkey AS run FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+  n AS (SELECT phase, tag, count(DISTINCT run) AS n FROM t GROUP BY ALL ORDER BY n DESC, phase, tag LIMIT 15),
+  r AS (SELECT run, rider, session, date FROM runs ORDER BY date DESC, run DESC LIMIT 3),
+  b AS (SELECT status, session, round(min(t))::BIGINT AS ms FROM laps JOIN runs USING (run) WHERE valid GROUP BY ALL ORDER BY status DESC, session DESC LIMIT 10)
+  SELECT (SELECT string_agg(phase || ' | ' || tag || ' — ' || n, chr(10) ORDER BY n DESC, phase, tag) FROM n) AS top_tags,
+    (SELECT string_agg(concat_ws(' | ', date, rider, session, run), chr(10) ORDER BY date DESC, run DESC) FROM r) AS recent,
+    (SELECT string_agg(status || ' ' || session || ': ' || (ms // 60000) || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0'), chr(10)
+      ORDER BY status DESC, session DESC) FROM b) AS best_laps""")
+def setup_context(spark, d):
+    """Text blocks for a setup question: frequent tags, recent sessions, best laps."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("tag"))
+    t = raw_laps(spark, d).filter(~F.col("valid")).join(part, "l_partkey").select(F.col("l_linestatus").alias("phase"), "tag", "run").distinct()
+    n = t.groupBy("phase", "tag").agg(F.count(F.lit(1)).alias("n"))
+    r = runs(spark, d)
+    best = raw_laps(spark, d).filter("valid").join(r, "run").groupBy("status", "session").agg((F.round(F.min("t")) / 1000).alias("s"))
+    text = lambda c: F.col(c).cast("string")
+    a = tags.text_block(n, [F.col("n").desc(), F.col("phase"), F.col("tag")], 15, F.concat("phase", F.lit(" | "), "tag", F.lit(" — "), text("n")), "top_tags")
+    b = tags.text_block(r, [F.col("date").desc(), F.col("run").desc()], 3, F.concat_ws(" | ", "date", text("rider"), "session", text("run")), "recent")
+    c = tags.text_block(best, [F.col("status").desc(), F.col("session").desc()], 10, F.concat("status", F.lit(" "), "session", F.lit(": "), lap_text(F.col("s"))), "best_laps")
+    one = F.lit(1).alias("_one")
+    return a.select("*", one).join(b.select("*", one), "_one").join(c.select("*", one), "_one").drop("_one")
+
+
+@query(f"""WITH {RUNS} SELECT run, coalesce(CASE WHEN run % 3 = 0 THEN session END, CASE WHEN run % 2 = 0 THEN status END) AS note, CASE WHEN run % 4 <> 0 THEN 0 ELSE run END AS zero FROM runs""")
+def alternative_columns(spark, d):
+    """First value among columns that sheets spell differently; zero is a value."""
+    r, k = runs(spark, d), F.col("run")
+    sheet = r.select("run", F.when(k % 3 == 0, F.col("session")).alias("NOTE PH1"), F.when(k % 2 == 0, F.col("status")).alias("note_ph1"), F.when(k % 4 != 0, F.lit(0)).alias("Laps"), k.alias("LAPS 2"))
+    return sheet.select("run", first_of(sheet, ["note ph1", "missing", "NOTE_PH1"]).alias("note"), first_of(sheet, ["laps", "laps 2"]).alias("zero"))
+
+
 # --- reshaping --------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ batches by key, so the answer is the same however the files were dealt to batche
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,6 +57,43 @@ def compact(spark: SparkSession, target: str, keys: list[str], order: str) -> No
     release(folded)
 
 
+def new_rows(stream: DataFrame, keys: list[str], event_time: str | None = None, expiry: str | None = None) -> DataFrame:
+    """Rows of ``stream`` whose key has not come before, by keyed state that survives restarts. Without ``expiry`` a key is
+    remembered for good. With one (such as ``"7 days"`` of ``event_time``) the state stays bounded: a key is forgotten after
+    it, and rows later than it are dropped, as Spark's watermark says."""
+    if expiry is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(event_time, expiry).dropDuplicatesWithinWatermark(keys)
+
+
+def digest_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str], who: str, submitter: str, order: str,
+               notify: Callable[[DataFrame, int], None] | None = None, every: str | None = None, **state) -> StreamingQuery:
+    """Store a digest of what each batch newly brought, per ``who`` and ``submitter``; no batch reads what others stored.
+
+    A batch that is run again replaces its own digest. ``notify(digest, number)`` is called in arrival order for batches that
+    brought something new only, perhaps again after a failure, always with the digest as stored. Nulls among keys are equal to
+    each other. ``state`` goes to :func:`new_rows`."""
+    spark = stream.sparkSession
+    parts = lambda df: df.groupBy(who, submitter).agg(F.count(F.lit(1)).alias("arrived"), F.min(order).alias("first_id"))
+    empty = parts(spark.createDataFrame([], stream.schema))
+    empty.write.mode("ignore").parquet(f"{target}/batch={COMPACTED}")  # makes the digests readable before the first batch
+
+    def store(batch: DataFrame, number: int) -> None:
+        parts(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if notify:
+            stored = digest_of(spark.read.schema(empty.schema).parquet(f"{target}/batch={number}"), who, submitter)
+            if not stored.isEmpty():
+                notify(stored.orderBy("first_id"), number)
+
+    writer = new_rows(stream, keys, **state).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def digest_of(parts: DataFrame, who: str, submitter: str) -> DataFrame:
+    """One digest from the stored parts of one or all batches: arrived, submitters and first arrival per ``who``."""
+    return parts.groupBy(who).agg(F.sum("arrived").alias("arrived"), F.countDistinct(submitter).alias("submitters"), F.min("first_id").alias("first_id"))
+
+
 def submission_digest(pending: DataFrame, who: str, submitter: str, order: str) -> DataFrame:
     """Counts of newly arrived submissions per group, with the first arrival."""
     return pending.groupBy(who).agg(F.count(F.lit(1)).alias("arrived"), F.countDistinct(submitter).alias("submitters"),
