@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from laplens.functions.text import bound
+
 
 def token(c: Column) -> Column:
     """Upper-case, keep only letters and digits."""
@@ -12,8 +14,7 @@ def token(c: Column) -> Column:
 
 
 def token_or_unk(c: Column) -> Column:
-    t = token(c)
-    return F.when(t != "", t).otherwise(F.lit("UNK"))
+    return bound(token(c), lambda t: F.when(t != "", t).otherwise(F.lit("UNK")))
 
 
 def whole_number(c: Column, default: int) -> Column:

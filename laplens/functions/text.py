@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Session-type spellings and their normal form, for run logs and for file headers.
@@ -46,6 +48,18 @@ RIDER_NUMBERS = {"DA77": 77, "JA52": 52}
 TRUE_TEXT = ["YES", "Y", "1", "TRUE"]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it and wherever the result is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def settled(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are computed once a row. Filters on them stay above, so no condition computes them again."""
+    row = F.struct(*[c.alias(n) for n, c in cols.items()])
+    kept = [c for c in df.columns if c not in cols]
+    return df.select("*", F.explode(F.array(row)).alias("_settled")).select(*[f"`{c}`" for c in kept], *[F.col("_settled")[n].alias(n) for n in cols])
+
+
 def lookup(c: Column, table: dict[str, str]) -> Column:
     """Value of a small constant table, null where absent."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]
@@ -142,12 +156,12 @@ def log_circuit(text: Column) -> Column:
 
 def parse_date(c: Column, strict: bool = False) -> Column:
     """Text in the known day formats to ``yyyy-MM-dd``; other text is kept, or null when ``strict``."""
-    t = F.trim(c)
     # yy.MMdd is rewritten first, so that the day-first formats cannot claim it
-    t = F.regexp_replace(t, r"^(\d{2})\.(\d{2})(\d{2})$", "20$1-$2-$3")
+    t = F.regexp_replace(F.trim(c), r"^(\d{2})\.(\d{2})(\d{2})$", "20$1-$2-$3")
     formats = ["dd/MM/yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy"]
-    found = F.coalesce(*[F.try_to_date(t, f) for f in formats])
-    text = F.date_format(found, "yyyy-MM-dd")
+    # a format is only tried on texts with its mark, since a failed attempt costs far more than a good one
+    tried = lambda x: [F.when(F.contains(x, F.lit(next(m for m in "/-." if m in f))), F.try_to_date(x, f)) for f in formats]
+    text = F.date_format(bound(t, lambda x: F.coalesce(*tried(x))), "yyyy-MM-dd")
     return text if strict else F.coalesce(text, c)
 
 
@@ -156,24 +170,30 @@ def lap_seconds(c: Column) -> Column:
 
     One replacement brings the split forms to ``minutes:seconds``; anything else must be a number.
     """
-    plain = F.regexp_replace(F.trim(c), r"^(\d+)[:'](\d+)[.,](\d+).*$", "$1:$2.$3")
-    first = F.split_part(plain, F.lit(":"), F.lit(1)).try_cast("double")
-    rest = F.split_part(plain, F.lit(":"), F.lit(2))
-    # a colon without decimals was not a lap time, so nothing replaced it
-    split = F.when(F.contains(rest, F.lit(".")), first * 60 + rest.try_cast("double"))
-    return F.round(F.when(F.contains(plain, F.lit(":")), split).when(~plain.isin(NO_TIME), first), 3)
+    def seconds(plain: Column) -> Column:
+        first, rest = (F.split_part(plain, F.lit(":"), F.lit(i)) for i in (1, 2))
+        # a colon without decimals was not a lap time, so nothing replaced it
+        split = F.when(F.contains(rest, F.lit(".")), first.try_cast("double") * 60 + rest.try_cast("double"))
+        return F.when(F.contains(plain, F.lit(":")), split).when(~plain.isin(NO_TIME), plain.try_cast("double"))
+
+    # the usual form needs no replacement, which costs most
+    usual = lambda x: F.substring_index(x, ":", 1).try_cast("double") * 60 + F.substring_index(x, ":", -1).try_cast("double")
+    other = lambda x: bound(F.regexp_replace(x, r"^(\d+)[:'](\d+)[.,](\d+).*$", "$1:$2.$3"), seconds)
+    return bound(F.trim(c), lambda x: F.round(F.when(x.rlike(r"^[0-9]+:[0-9]+\.[0-9]+$"), usual(x)).otherwise(other(x)), 3))
 
 
 def lap_text(c: Column, minute_mark: str = ":", digits: int = 3, missing: str = "—") -> Column:
     """Seconds to ``M:SS.mmm``. Rounded before splitting, so ``:60.000`` cannot appear."""
     units = 10 ** digits
-    ticks = F.round(c * units).cast("long")
-    mins = F.floor(ticks / (60 * units)).cast("long")
-    rest = ticks - mins * 60 * units
-    text = F.concat(mins.cast("string"), F.lit(minute_mark),
-                    F.lpad(F.floor(rest / units).cast("string"), 2, "0"), F.lit("."),
-                    F.lpad((rest % units).cast("string"), digits, "0"))
-    return F.coalesce(text, F.lit(missing))
+
+    def shown(ticks: Column) -> Column:
+        mins = F.floor(ticks / (60 * units)).cast("long")
+        rest = ticks - mins * 60 * units
+        return F.concat(mins.cast("string"), F.lit(minute_mark),
+                        F.lpad(F.floor(rest / units).cast("string"), 2, "0"), F.lit("."),
+                        F.lpad((rest % units).cast("string"), digits, "0"))
+
+    return F.coalesce(bound(F.round(c * units).cast("long"), shown), F.lit(missing))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -187,7 +207,7 @@ def nan_to_null(c: Column) -> Column:
 
 def lenient_double(c: Column, decimal_comma: bool = False) -> Column:
     """Number from text, null when unreadable. A comma groups thousands, or marks decimals."""
-    return F.regexp_replace(F.trim(c), ",", "." if decimal_comma else "").try_cast("double")
+    return F.replace(F.trim(c), F.lit(","), F.lit("." if decimal_comma else "")).try_cast("double")
 
 
 def lenient_long(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laplens.functions.text import headers, lap_seconds, lenient_double, lenient_long
+from laplens.functions.text import headers, lap_seconds, lenient_double, lenient_long, settled
 
 # Labels that mark a session column in row 7 of a report.
 SESSION_LABELS = ["FP", "FP1", "QP", "SP", "WUP", "WUP1", "WUP2", "RACE1", "RACE2", "RACE", "TEST"]
@@ -109,7 +109,7 @@ def rejected_laps(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, in
 def pasted_laps(lines: DataFrame, text: str = "line") -> tuple[DataFrame, DataFrame]:
     """``round, circuit, session, rider_num, lap_no, lap_time[, speed]`` lines: (good rows, rejected lines)."""
     field = lambda i: F.trim(F.get("_f", F.lit(i)))
-    parsed = lines.withColumn("_f", F.split(text, ",")).withColumns({
+    parsed = settled(settled(lines, _f=F.split(text, ",")), **{
         "round_id": F.upper(field(0)), "circuit": F.upper(field(1)), "session_type": F.upper(field(2)),
         "rider_num": lenient_long(field(3)), "lap_no": lenient_long(field(4)), "lap_time": lap_seconds(field(5)),
         "speed": lenient_double(field(6))})
