@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laplens.operators.ordered import join_on, keep_one
+from laplens.session import hold
 
 
 # --- joins -------------------------------------------------------------------------------------
@@ -55,7 +56,10 @@ def contained(hay: DataFrame, needles: DataFrame, text: str, needle: str, q: int
     A needle is keyed by the rarest of its substrings of ``q`` characters (shorter ones by themselves), counted over the
     distinct texts. Texts list a hash of themselves under each of their substrings of the lengths in use; the text itself
     joins the few candidates. The containment is then checked in full, so this is an equi-join instead of all pairs.
+    What is known of the needles is written first: where they are few, Spark sees it and the lists of substrings, by far
+    the most rows here, are not shuffled.
     """
+    needles = hold(needles, "needles")
     short = F.length(needle) < q
     sizes = [r[0] for r in needles.filter(F.length(needle) > 0).select(F.least(F.length(needle), F.lit(q))).distinct().collect()]  # at most q values
 
@@ -66,11 +70,11 @@ def contained(hay: DataFrame, needles: DataFrame, text: str, needle: str, q: int
     name = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))
     listed = (hay.select(text).distinct()
               .select(name.alias("_name"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(text, n) for n in sizes])))).alias("_gram")))
-    counts = listed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    spelled = (needles.filter(F.length(needle) > 0).select(needle).distinct()
-               .select(needle, F.explode(F.when(short, F.array(needle)).otherwise(grams(needle, q))).alias("_gram")))
-    keyed = spelled.join(counts, "_gram", "left").groupBy(needle).agg(
-        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    spelled = hold(needles.filter(F.length(needle) > 0).select(needle).distinct()
+                   .select(needle, F.explode(F.when(short, F.array(needle)).otherwise(grams(needle, q))).alias("_gram")), "spelled")
+    counts = listed.join(spelled.select("_gram"), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = hold(spelled.join(counts, "_gram", "left").groupBy(needle).agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")), "keyed")
     candidates = listed.join(keyed, "_gram").select("_name", needle)
     found = hay.withColumn("_name", name).join(candidates, "_name").filter(F.contains(F.col(text), F.col(needle)))
     return found.drop("_name").join(needles, needle)

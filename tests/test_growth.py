@@ -45,3 +45,11 @@ def test_parse_date_tries_formats_by_their_mark(spark):
 def test_settled_keeps_filters_above(spark):
     df = settled(spark.range(4), x=F.regexp_replace(F.col("id").cast("string"), "1", "z")).filter("x <> 'z'")
     assert plan(df).count("regexp_replace") == 1 and df.count() == 3 and df.columns == ["id", "x"]
+
+
+def test_contained_does_not_shuffle_substrings_for_few_needles(spark):
+    hay = spark.range(2000).select(F.concat(F.lit("a-C"), (F.col("id") % 9).cast("string"), F.lit("X-"), F.col("id").cast("string")).alias("text"))
+    log = spark.range(2000).select(F.concat(F.lit("C"), (F.col("id") % 7).cast("string"), F.lit("X")).alias("needle"), F.repeat(F.lit("pad"), 50).alias("pad"))
+    out = facts.contained(hay, log.select("needle").distinct(), "text", "needle")
+    assert out.count() == sum(1 for i in range(2000) if i % 9 < 7)
+    assert "needle" in out.columns and plan(out).count("Aggregate") <= 2  # distinct texts, none over substrings
