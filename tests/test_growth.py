@@ -53,3 +53,11 @@ def test_contained_does_not_shuffle_substrings_for_few_needles(spark):
     out = facts.contained(hay, log.select("needle").distinct(), "text", "needle")
     assert out.count() == sum(1 for i in range(2000) if i % 9 < 7)
     assert "needle" in out.columns and plan(out).count("Aggregate") <= 2  # distinct texts, none over substrings
+
+
+def test_thirds_move_only_what_they_rank(spark, tmp_path, monkeypatch):
+    seen = []
+    real = pace.pace.thirds
+    monkeypatch.setattr(pace.pace, "thirds", lambda df, *a: (seen.append(df.columns), real(df, *a))[1])
+    pace.thirds(spark, "/root/testdata/sf0.001")
+    assert sorted(seen[0]) == ["lap_no", "run", "session", "t"]
