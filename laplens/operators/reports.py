@@ -6,6 +6,8 @@ last three carry a ``reason``. A sheet that cannot be read is a row, not a gap.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -28,12 +30,15 @@ def _setup_value(name: str) -> Column:
 def sheet_frames(cells: DataFrame, default_bike: str | None = None) -> DataFrame:
     """One row per sheet: head, base setup as numbers where they are numbers, and ``grid``, the filled cells of the session
     rows, as many as the sheet is wide. All cells are grouped, so a sheet without any fixed cell is there too."""
-    spot = lambda row, col: F.max(F.when((F.col("row") == row) & (F.col("col") == col), F.nullif(F.trim("value"), F.lit(""))))
     place = {n: (r, ord(c) - ord("A") + 1) for n, (c, r) in REPORT_HEAD.items()} | {n: (r, 4) for n, r in REPORT_SETUP.items()}
-    in_grid = F.col("row").isin(list(COLUMN_ROWS.values())) & (F.trim("value") != "")
-    out = cells.groupBy("file", "sheet").agg(
-        *[spot(*at).alias(n) for n, at in place.items()],
-        F.collect_list(F.when(in_grid, F.struct("row", "col", F.trim("value").alias("value")))).alias("grid"))
+    in_grid = lambda row: row.isin(list(COLUMN_ROWS.values()))
+    fixed = reduce(lambda a, b: a | b, [(F.col("row") == r) & (F.col("col") == c) for r, c in place.values()])
+    text = F.trim("value")
+    # one list of a sheet's filled cells instead of a text aggregate for each place
+    kept = F.when((text != "") & (in_grid(F.col("row")) | fixed), F.struct("row", "col", text.alias("value")))
+    spot = lambda row, col: F.array_max(F.transform(F.filter("_kept", lambda x: (x["row"] == row) & (x["col"] == col)), lambda x: x["value"]))
+    out = cells.groupBy("file", "sheet").agg(F.collect_list(kept).alias("_kept")).select(
+        "file", "sheet", *[spot(*at).alias(n) for n, at in place.items()], F.filter("_kept", lambda x: in_grid(x["row"])).alias("grid"))
     return out.withColumns({
         "circuit": F.upper("circuit"), "round_id": F.upper("round_id"), "session_date": parse_date(F.col("session_date")),
         "bike_model": F.coalesce("bike_model", F.lit(default_bike)), "rider_num": rider_number(F.col("rider")),

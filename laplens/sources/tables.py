@@ -86,10 +86,10 @@ def lap_cells(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int])
     # a column has hi-lo+1 lap rows, so its list of filled rows is short
     rows = laps.filter(F.col("row") <= hi).groupBy("file", "sheet", "col").agg(F.collect_set("row").alias("_rows"))
     full = F.sequence(F.lit(lo), F.lit(hi + 1)).cast("array<int>")
-    stop = F.coalesce(F.array_min(F.array_except(full, "_rows")), F.lit(lo))
+    stops = rows.select("file", "sheet", "col", F.array_min(F.array_except(full, "_rows")).alias("_stop"))
     keep = sessions.select("file", "sheet", "col", *[c for c in ("rider", "rider_num", "circuit", "round_id", "session_type") if c in sessions.columns])
-    return (laps.join(rows, ["file", "sheet", "col"], "left").withColumn("_stop", stop).join(keep, ["file", "sheet", "col"])
-            .withColumns({"lap_no": (F.col("row") - (lo - 1)).cast("long"), "lap_time": lap_seconds(F.col("value"))}))
+    placed = laps.join(stops, ["file", "sheet", "col"], "left").withColumn("_stop", F.coalesce("_stop", F.lit(lo))).join(keep, ["file", "sheet", "col"])
+    return settled(placed, lap_no=(F.col("row") - (lo - 1)).cast("long"), lap_time=lap_seconds(F.col("value")))
 
 
 def report_laps(cells: DataFrame, sessions: DataFrame, lap_rows: tuple[int, int] = LAP_ROWS) -> DataFrame:

@@ -22,6 +22,16 @@ def test_pasted_laps_parse_a_time_once(spark):
     assert plan(bad).count("regexp_replace") <= 1
 
 
+def test_lap_cells_parse_a_time_once(spark):
+    cells = spark.createDataFrame([("f", "s", 38, 5, "1:01,5"), ("f", "s", 39, 5, "DNF"), ("f", "s", 41, 5, "70")], "file string, sheet string, row int, col int, value string")
+    sessions = spark.createDataFrame([("f", "s", 5, "FP")], "file string, sheet string, col int, session_type string")
+    rows = tables.lap_cells(cells, sessions, tables.LAP_ROWS)
+    assert sorted((r.lap_no, r.lap_time, r._stop) for r in rows.collect()) == [(1, 61.5, 40), (2, None, 40), (4, 70.0, 40)]
+    refused = tables.rejected_laps(cells, sessions)
+    assert sorted((r.lap_no, r.reason) for r in refused.collect()) == [(2, "unreadable time"), (4, "below an empty cell")]
+    assert plan(refused).count("regexp_replace") == 1
+
+
 @pytest.mark.parametrize(("text", "seconds"), [
     ("1:37.455", 97.455), ("1'38,7", 98.7), ("1:2:3.4", None), (" 1:05.25 ", 65.25), ("1:37.455 pit", 97.455), ("97.1", 97.1), ("1:37", None),
     ("DNF", None), ("", None), ("x:1.5", None), ("1:37.455\n", 97.455), (None, None), ("٣:37.455", None)])
@@ -55,6 +65,16 @@ def test_contained_does_not_shuffle_substrings_for_few_needles(spark):
     assert "needle" in out.columns and plan(out).count("Aggregate") <= 2  # distinct texts, none over substrings
 
 
+def test_sheet_frames_hold_no_text_aggregate_for_each_place(spark):
+    cells = spark.createDataFrame([("f", "s", 1, 2, " 77 "), ("f", "s", 1, 2, "12"), ("f", "s", 2, 8, "x"), ("f", "s", 7, 5, "FP"), ("f", "t", 99, 1, "z"), (None, None, 99, 1, None)],
+                                  "file string, sheet string, row int, col int, value string")
+    frames = reports.sheet_frames(cells)
+    rows = {r.sheet: r for r in frames.collect()}
+    assert set(rows) == {"s", "t", None} and rows["s"].rider == "77" and rows["s"].circuit == "X" and rows["t"].rider is None
+    assert [(g.row, g.col, g.value) for g in rows["s"].grid] == [(7, 5, "FP")] and rows["t"].grid == []
+    assert "max(CASE" not in plan(frames)
+
+
 def test_thirds_move_only_what_they_rank(spark, tmp_path, monkeypatch):
     seen = []
     real = pace.pace.thirds
