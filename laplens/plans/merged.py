@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from laplens.operators import merge
 from laplens.plans.registry import LAPS, laps, query, r6, raw_laps, runs, table
-from laplens.session import fresh_path
+from laplens.session import fresh_path, hold, release
 from laplens.sources import keyed
 
 FAR = 2_000_000_000
@@ -32,8 +32,9 @@ def fact_sources(spark, d):
 def committed(spark, d):
     """All four tables, committed together and read again."""
     root = fresh_path(spark, "facts")
-    named = merge.named_runs(merge.merge_columns(fact_sources(spark, d), ["run"]), "run")
-    keyed.commit_tables(spark, root, {"runs": named})
+    merged = hold(merge.merge_columns(fact_sources(spark, d), ["run"]), "merged")  # named_runs reads it twice
+    keyed.commit_tables(spark, root, {"runs": merge.named_runs(merged, "run")})
+    release(merged)
     keyed.commit_tables(spark, root, merge.fact_tables(keyed.read_committed(spark, root)["runs"], laps(spark, d).select("run", "lap_no", F.col("t").alias("lap_s"), "l_linenumber"), "run"))
     return keyed.read_committed(spark, root)
 

@@ -81,3 +81,11 @@ def test_thirds_move_only_what_they_rank(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pace.pace, "thirds", lambda df, *a: (seen.append(df.columns), real(df, *a))[1])
     pace.thirds(spark, "/root/testdata/sf0.001")
     assert sorted(seen[0]) == ["lap_no", "run", "session", "t"]
+
+
+def test_merged_columns_are_written_before_they_are_read_twice(spark, monkeypatch):
+    seen = []
+    real = merge.named_runs
+    monkeypatch.setattr(merge, "named_runs", lambda df, order: (seen.append(df), real(df, order))[1])
+    merged.committed(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in plan(seen[0])
