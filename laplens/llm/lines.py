@@ -3,13 +3,15 @@
 Distinct lines are found first, equal ones merged before the shuffle. Each is cut into ``max_edits + 1``
 segments; two lines within the threshold agree in one segment of the shorter, up to a shift that the lengths
 bound. A line is indexed under its segments and probes the indexes of its own and of smaller lengths with the few
-substrings that the shift bound leaves. Crowded segments are refined by a second exact condition. Pairs that share a key are verified with the banded edit distance of
-Spark, which stops beyond the threshold.
+substrings that the shift bound leaves. Lines of crowded segments meet under a second exact condition instead. Pairs that share a key are verified with the banded edit
+distance of Spark, which stops beyond the threshold.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +32,12 @@ def split_lines(rows: DataFrame, row_col: str, id_col: str, text_col: str, min_c
     """(row, id, mark, pos, line, hi, lo): non-blank lines of ``min_chars`` or more characters, outer blanks off, with a 128-bit
     name. ``mark`` is a hash of the row's text."""
     text = text_of(text_col)
-    lines = (rows.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"),
-                         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-             .withColumn("line", F.btrim("line", F.lit(" \t\r")))
-             .filter((F.length("line") >= min_chars) & (F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0)))
+    # Trimming walks the whole line, so it is done once, and only where there is something to take off.
+    blank_end = lambda x: reduce(or_, [f(x, F.lit(c)) for f in (F.startswith, F.endswith) for c in " \t\r"])
+    bare = F.transform(F.split(text, "\n"), lambda x: F.when(blank_end(x), F.btrim(x, F.lit(" \t\r"))).otherwise(x))
+    begun = F.startswith("line", F.lit("\x0b")) | F.startswith("line", F.lit("\x0c"))
+    lines = (rows.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(bare).alias("pos", "line"))
+             .filter((F.length("line") >= min_chars) & (F.col("line") != "") & (~begun | (F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0))))
     return lines.withColumns({"hi": F.xxhash64("line"), "lo": F.xxhash64(F.lit(1), "line")})
 
 
@@ -41,7 +45,8 @@ def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column,
     """Index keys of a line, and the keys it probes. A key names the indexed length, the segment and its text.
 
     For a probed length smaller by d, segment i (of k + 1, counted from 0) may lie i or less off its place and, seen
-    from the end, k - i or less off. Among equal lengths a shift to the left is another line's shift to the right."""
+    from the end, k - i or less off. Among equal lengths a shift to the left is another line's shift to the right, and
+    lines that agree without a shift share an index key."""
     k = max_edits
     start = lambda n, i: F.floor(n * i / (k + 1)).cast("int") + 1
     key = lambda n, i, at: F.xxhash64(n, F.lit(i), F.substring(line, at, start(n, i + 1) - start(n, i)))
@@ -50,9 +55,10 @@ def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column,
     for d in range(k + 1):
         for i in range(k + 1):
             for shift in range(max(-i, d - (k - i)), min(i, d + k - i) + 1):
-                if d or shift >= 0:
+                if d or shift > 0:
                     probes.append(key(length - d, i, start(length - d, i) + shift))
-    return F.array(*index), F.array(*probes)
+    none = F.expr("CAST(array() AS ARRAY<BIGINT>)")  # without edits
+    return F.array(*index), F.array(*probes) if probes else none
 
 
 def bigram_bits(line: Column, max_edits: int) -> Column:
@@ -68,44 +74,56 @@ def bigram_bits(line: Column, max_edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(line) - 1, F.lit(1))), zero, flip)
 
 
-def bit_blocks(max_edits: int) -> Column:
-    """Keys from the bits, cut into ``4 * max_edits + 1`` blocks: those of lines within the threshold agree in one at least."""
+def bit_blocks(length: Column, max_edits: int) -> Column:
+    """Keys from a length and the bits, cut into ``4 * max_edits + 1`` blocks: those of lines within the threshold agree in one at least."""
     blocks = 4 * max_edits + 1
     width = 63 // blocks
     cut = lambda word, j: F.shiftright(word, j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    return F.array(*[F.xxhash64(F.lit(j), cut(F.col("a"), j), cut(F.col("b"), j)) for j in range(blocks)])
+    return F.array(*[F.xxhash64(length, F.lit(j), cut(F.col("a"), j), cut(F.col("b"), j)) for j in range(blocks)])
+
+
+def crowd_pairs(names: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """Pairs among ``names`` that agree in a block of bigram bits and differ in few of the bits, which all pairs within the threshold
+    do; the second is the longer by up to ``max_edits``. A line makes one row a block, and one a block and length that it probes."""
+    bits = hold(names.join(lines.select("hi", "lo", "line"), ["hi", "lo"])
+                .select("hi", "lo", F.length("line").alias("n"), bigram_bits(F.col("line"), max_edits).alias("bits")).select("hi", "lo", "n", "bits.*"), "bits")
+    left = bits.select("hi", "lo", "a", "b", F.posexplode(bit_blocks(F.col("n"), max_edits)).alias("block", "key"))
+    right = bits.withColumn("d", F.explode(F.array(*[F.lit(d) for d in range(max_edits + 1)])))
+    right = right.select(*[F.col(c).alias(c + "2") for c in ("hi", "lo", "a", "b")], "d", F.posexplode(bit_blocks(F.col("n") - F.col("d"), max_edits)).alias("block2", "key"))
+    x, y = F.col("a").bitwiseXOR(F.col("a2")), F.col("b").bitwiseXOR(F.col("b2"))
+    close = ((F.col("d") > 0) | smaller("hi", "lo", "hi2", "lo2")) & (F.bit_count(x) + F.bit_count(y) <= 4 * max_edits)
+    blocks = 4 * max_edits + 1
+    for i in range(blocks - 1):  # a pair meets in the first block in which it agrees, not in every one
+        own = F.shiftright(x.bitwiseOR(y), i * (63 // blocks)).bitwiseAND(F.lit((1 << 63 // blocks) - 1).cast("long"))
+        close = close & ((F.col("block") <= i) | (own != 0))
+    return left.join(right, "key").filter(close).select("hi", "lo", "hi2", "lo2")
+
+
+def smaller(hi: str, lo: str, hi2: str, lo2: str) -> Column:
+    return (F.col(hi) < F.col(hi2)) | (F.col(hi) == F.col(hi2)) & (F.col(lo) < F.col(lo2))
 
 
 def near_pairs(lines: DataFrame, max_edits: int, crowd: int = 10) -> DataFrame:
-    """Pairs of names of distinct lines (hi, lo, line) that share a key; the second is the longer or, at equal length,
-    either. Where more than ``crowd`` lines are indexed under one segment, as variants of one text are, a pair must also
-    agree in a block of bigram bits and differ in few of the bits, which all pairs within the threshold do."""
-    index, probes = segment_keys(F.col("line"), F.length("line"), max_edits)
+    """Pairs of names of distinct lines (hi, lo, hi2, lo2) that share a key. Where more than ``crowd`` lines are indexed under one
+    segment, as variants of one text are, the lines that have or probe it meet by :func:`crowd_pairs` instead."""
+    lines = lines.select("hi", "lo", "line", F.length("line").alias("n"))
+    index, probes = segment_keys(F.col("line"), F.col("n"), max_edits)
     left = lines.select("hi", "lo", F.explode(index).alias("key"))
     right = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode(probes).alias("key"))
-    crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
+    crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("hi").alias("one")).filter(F.col("n") > crowd).select("key", "one"), "crowded")
+    # Of a crowded key only rows without a name stay, so the probes of all keys are computed and moved once.
+    kept = left.join(crowded, "key", "left").filter(F.col("one").isNull() | (F.col("hi") == F.col("one")))
+    kept = kept.select("key", F.when(F.col("one").isNull(), F.col("hi")).alias("hi"), F.when(F.col("one").isNull(), F.col("lo")).alias("lo"))
+    x, y = kept.alias("x"), kept.alias("y")
+    equal = (x.join(y, F.col("x.key") == F.col("y.key")).filter(smaller("x.hi", "x.lo", "y.hi", "y.lo"))
+             .select("x.hi", "x.lo", F.col("y.hi").alias("hi2"), F.col("y.lo").alias("lo2")))
     differ = (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
-    pairs = left.join(crowded, "key", "left_anti").join(right, "key").filter(differ).select("hi", "lo", "hi2", "lo2")
+    met = hold(kept.join(right, "key").filter(F.col("hi").isNull() | differ).select("hi", "lo", "hi2", "lo2").unionByName(equal).distinct(), "met")
+    pairs = met.filter("hi IS NOT NULL")
     if not crowded.isEmpty():
-        some = hold(left.join(crowded, "key", "left_semi"), "crowded-index")
-        more = hold(right.join(crowded, "key", "left_semi"), "crowded-probes")
-        names = some.select("hi", "lo").union(more.select("hi2", "lo2")).distinct()
-        bits = hold(names.join(lines.select("hi", "lo", "line"), ["hi", "lo"])
-                    .select("hi", "lo", bigram_bits(F.col("line"), max_edits).alias("bits")).select("hi", "lo", "bits.*"), "bits")
-
-        def finer(rows: DataFrame, end: str) -> DataFrame:
-            listed = F.posexplode(F.transform(bit_blocks(max_edits), lambda x: F.xxhash64("key", x))).alias("block" + end, "key")
-            return (rows.withColumnsRenamed({"hi" + end: "hi", "lo" + end: "lo"}).join(bits, ["hi", "lo"])
-                    .select(*[F.col(c).alias(c + end) for c in ("hi", "lo", "a", "b")], listed))
-
-        x, y = F.col("a").bitwiseXOR(F.col("a2")), F.col("b").bitwiseXOR(F.col("b2"))
-        close = differ & (F.bit_count(x) + F.bit_count(y) <= 4 * max_edits)
-        blocks = 4 * max_edits + 1
-        for i in range(blocks - 1):  # a pair meets in the first block in which it agrees, not in every one
-            own = F.shiftright(x.bitwiseOR(y), i * (63 // blocks)).bitwiseAND(F.lit((1 << 63 // blocks) - 1).cast("long"))
-            close = close & ((F.col("block") <= i) | (own != 0))
-        pairs = pairs.unionByName(finer(some, "").join(finer(more, "2"), "key").filter(close).select("hi", "lo", "hi2", "lo2"))
-    return pairs.distinct()
+        names = left.join(crowded, "key", "left_semi").select("hi", "lo").union(met.filter("hi IS NULL").select("hi2", "lo2")).distinct()
+        pairs = pairs.unionByName(crowd_pairs(names, lines, max_edits)).distinct()
+    return pairs
 
 
 def row_verdicts(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,

@@ -235,6 +235,19 @@ def test_line_dedup_with_production_parameters(spark):
     assert staged[100] is not None and staged[101] == "\n \t\n\x0c" and staged[None] == "" and staged[200] is None
 
 
+def test_lines_of_a_crowd_meet_by_bits_once_each(spark):
+    """Equal lines need no probe, and lines that crowd under several segments are listed by length and block alone."""
+    index, probes = lines.segment_keys(F.lit("a line of more than twenty characters"), F.lit(37), 2)
+    assert spark.range(1).select(F.size(index), F.size(probes)).first() == (3, 8)
+    rng = random.Random(5)
+    texts = sorted({f"{rng.choice('ab')}the very common line {rng.randrange(300):03d}{rng.choice(('', 'x', 'xy'))}" for _ in range(150)})
+    named = spark.createDataFrame([(t,) for t in texts], "line string").withColumns({"hi": F.xxhash64("line"), "lo": F.xxhash64(F.lit(1), "line")})
+    of = {(r.hi, r.lo): r.line for r in named.collect()}
+    got = [frozenset((of[r.hi, r.lo], of[r.hi2, r.lo2])) for r in lines.crowd_pairs(named.select("hi", "lo"), named, 2).collect()]
+    want = {frozenset((x, y)) for x in texts for y in texts if x < y and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 50
+
+
 def test_dedup_lines_edits_texts_only(spark):
     line = "this line stands in many documents of the corpus"
     rows = [(1, f"{line}\nshort", "s"), (2, f"short\n{line}", "s"), (2, f"short\n{line}", "s"), (3, line[:-1], None), (4, None, "s"), (5, "x" * 70_000, "s"),
