@@ -1,5 +1,6 @@
 """Sessions imported from logger bundles: orders as recordings with a header, a log and a lap file."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from laplens.operators import facts, sessions
@@ -16,19 +17,23 @@ def recordings(spark, d):
     k = F.col("run")
     name = F.concat(F.element_at(F.array(*[F.lit(n) for n in NAMES]), (k % 4 + 1).cast("int")), k.cast("string"))
     folder = F.concat(F.when(k % 5 == 0, "/data/Elsewhere/").otherwise(F.concat(F.lit("/data/R0"), (k % 3 + 1).cast("string"), F.lit("_PLACE.26/"))), name, F.lit(".MES/"))
-    o = runs(spark, d).withColumns({"folder": folder, "name": name})
+    o = runs(spark, d).repartition("run").withColumns({"folder": folder, "name": name})
     head = F.concat_ws("\r\n", F.lit("[GENERAL]"), F.concat(F.lit("Date="), F.date_format(F.to_date("date"), "dd/MM/yyyy")), F.concat(F.lit("Circuit="), F.when(k % 2 == 0, F.lit("template ")).otherwise("")),
                        F.lit("Event=gp"), F.concat(F.lit("Session="), "session"), F.concat(F.lit("Rider Number="), F.col("rider").cast("string")), F.lit("Condition=dry"),
                        F.concat(F.lit("Front Tyre=T"), (k % 6).cast("string")), F.lit("Spec=s1"), F.lit("[Laptimes]"), F.lit("Fastest lap=9:59.999"))
     log = F.concat(F.lit("x\r\nPath for measurement: C:\\d\\R03_GRAND_HILL.26\\"), "name", F.lit(".MES\r\n"))
-    part = lambda df, path, content: df.select(path.alias("path"), content.alias("content"))
     latin = lambda c: F.encode(c, "ISO-8859-1")
-    times = laps(spark, d).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("lap_no", F.floor("t").alias("ms")))).alias("a"))
-    ends = F.transform("a", lambda x, i: F.aggregate(F.slice("a", F.lit(1), i + 1), F.lit(START_MS).cast("long"), lambda s, y: s + y["ms"]))
-    words = F.concat(F.array(F.size("a").cast("long"), F.lit(0).cast("long"), F.lit(START_MS).cast("long")), ends)
-    files = (part(o.filter("run % 7 <> 0"), F.concat("folder", "name", F.lit(".HED")), latin(head))
-             .unionByName(part(o.filter("run % 3 = 0"), F.concat("folder", F.lit(sessions.LOG_FILE)), latin(log)))
-             .unionByName(part(times.join(o, "run"), F.concat("folder", "name", F.lit(".LAP")), _bytes(words, 4))))
+    upto = Window.partitionBy("run").orderBy("lap_no")
+    ms = F.floor("t")
+    end = F.when(F.count_if(ms.isNull()).over(upto) == 0, START_MS + F.sum(ms).over(upto))
+    times = laps(spark, d).select("run", "lap_no", end.alias("end")).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("lap_no", "end"))).alias("a"))
+    words = F.concat(F.array(F.size("a").cast("long"), F.lit(0).cast("long"), F.lit(START_MS).cast("long")), F.transform("a", lambda x: x["end"]))
+    # All files of an order are made in its row, and orders are dealt out, so every task writes, and later reads, as many headers as the others.
+    file = lambda when, path, content: F.when(when, F.struct(path.alias("path"), content.alias("content")))
+    made = F.array(file(k % 7 != 0, F.concat("folder", "name", F.lit(".HED")), latin(head)),
+                   file(k % 3 == 0, F.concat("folder", F.lit(sessions.LOG_FILE)), latin(log)),
+                   file(F.col("a").isNotNull(), F.concat("folder", "name", F.lit(".LAP")), _bytes(words, 4)))
+    files = o.join(times, "run", "left").select(F.explode(made).alias("f")).filter("f IS NOT NULL").select("f.*")
     return bundle.with_parts(hold(files, "recordings"))
 
 
@@ -55,6 +60,7 @@ _WHO = ", ".join(sessions.WHO)
 def job_header_import(spark, d):
     """Sessions by header, log and name. Importing them again, and what an earlier import left, adds nothing twice."""
     found = hold(sessions.session_table(recordings(spark, d)), "sessions")
+    found = found.select("run", "name", *dict.fromkeys([*sessions.WHO, *sessions.SESSION_SHEET]))
     stored = found.filter(F.crc32("name") % 3 == 0)
     every = facts.insert_new(stored, found.unionByName(found), ["run"], "total_laps")
     return sessions.session_sheet(every).select(*sessions.WHO, "total_laps", "best_s", "avg_s", "condition", "fork_spec", "shock_spec", "best_lap")

@@ -80,6 +80,32 @@ def header_columns(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
     return rows.filter(F.col("key").isin(sorted(wanted))).groupBy("run").agg(*[pick(k).alias(o) for o, k in keys.items()])
 
 
+def header_picks(files: DataFrame, text: Column, keys: dict[str, str]) -> DataFrame:
+    """``files`` with a column (place, value) for each of ``keys``, as in :func:`header_columns`, from the header in ``text``; of several files
+    the greatest place counts. The lines stay in their row, so only what was asked for moves on."""
+    start, own = F.lit(1 << 62), sorted({k for k in keys.values() if "." not in k})
+    tails = sorted({k.split(".", 1)[1] for k in keys.values() if "." in k})
+    blocks = F.transform(F.split(F.concat(F.lit("\n"), text), SECTION_START), lambda b, i: F.struct(
+        F.when(F.startswith(b, F.lit("[")), F.regexp_extract(b, r"^\[([^\r\n]*)\][ \t]*(?:\r?\n|$)", 1)).otherwise(F.lit("GENERAL")).alias("section"),
+        (i.cast("long") * F.lit(1 << 32)).alias("at"), F.split(b, "\r?\n").alias("lines")))
+    part = lambda x, a, n: F.trim(F.substring(x, a, n))
+    lines = F.flatten(F.transform(F.col("_blocks"), lambda b: F.filter(F.transform(b["lines"], lambda x, i: F.struct(
+        b["section"].alias("section"), (b["at"] + i).alias("pos"), part(x, F.lit(1), F.instr(x, "=") - 1).alias("key"), x.alias("line"))),
+        lambda x: F.contains(x["line"], F.lit("=")) & ~F.startswith(x["line"], F.lit("=")) & x["key"].isin(sorted({k.split(".", 1)[-1] for k in keys.values()})))))
+    value = lambda x: part(x["line"], F.instr(x["line"], "=") + 1, F.length(x["line"])).alias("value")
+    general = lambda x: F.when(x["section"] == "GENERAL", start + x["pos"]).otherwise(-x["pos"])
+    flat = F.transform(F.filter("_lines", lambda x: x["key"].isin(own)), lambda x: F.struct(
+        x["key"].alias("name"), F.struct(general(x).alias("place"), value(x)).alias("of")))
+    named = F.transform(F.filter("_lines", lambda x: x["key"].isin(tails)), lambda x: F.struct(F.concat(x["section"], F.lit("."), x["key"]).alias("name"), F.struct(x["pos"].alias("place"), value(x)).alias("of")))
+
+    def last(c: str) -> Column:  # of each name in a sorted list
+        return F.map_from_entries(F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1)["name"] != x["name"], F.lit(True))))
+
+    out = files.withColumn("_blocks", blocks).withColumn("_lines", lines).withColumns({"_flat": F.sort_array(flat), "_named": F.sort_array(named)})
+    out = out.withColumns({"_flat": last("_flat"), "_named": last("_named")})
+    return out.withColumns({o: F.try_element_at(F.col("_named" if "." in k else "_flat"), F.lit(k)) for o, k in keys.items()}).drop("_blocks", "_lines", "_flat", "_named")
+
+
 def hex_float(c: Column) -> Column:
     """Big-endian IEEE-754 single from hex text; 1.0 where it cannot be read."""
     text = F.lpad(F.trim(c), 8, "0")

@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from laplens.operators import sessions
 from laplens.sources import bundle
@@ -44,3 +45,30 @@ def test_sheets(found):
         ("GRAND HILL", 2, "1:30.500", False, True)]
     assert sessions.session_sheet(found).columns == sessions.WHO + sessions.SESSION_SHEET
     assert {r.tyre_f for r in sessions.tyre_sheet(found).collect()} == {"SC1", None}
+
+
+def test_header_picks_equal_header_columns(spark):
+    """Odd headers, a key in several sections, keys of a section, and a folder with two headers."""
+    texts = ["[GENERAL]\r\nDate = a=b \r\nNote=1\r\n[X]\r\nNote=2\r\nBike=5\r\n[GENERAL]\r\nNote=3\r\n", "Note=first\n [MASS] \nBike=7\nDate=m\n[ MASS]\nBike=8\n=x\nNote\n", "",
+             "[X]\nNote=1\n[Y]\nNote=2\n[MASS]\nBike=\nBike= 9\n[not a section] z\nDate=d", "[MASS\nBike=1\r\n\r\n[]\nDate=\u00e9"]
+    rows = [(f"/d/{i}.MES/h.HED", t.encode("latin-1")) for i, t in enumerate(texts)]
+    rows += [("/d/two.MES/a.HED", b"Date=1\nNote=x"), ("/d/two.MES/b.HED", b"[X]\n\nBike=2")]
+    files = bundle.with_parts(spark.createDataFrame(rows, "path string, content binary"))
+    keys = {"date": "Date", "note": "Note", "bike": "MASS.Bike", "any_bike": "Bike", "x_note": "X.Note"}
+    want = {r.run: r[1:] for r in bundle.header_columns(bundle.read_header(files), keys).collect()}
+    picks = bundle.header_picks(files, F.decode("content", "ISO-8859-1"), keys).groupBy("run").agg(*[F.max(c)["value"].alias(c) for c in keys])
+    got = {r.run: tuple(r[1:]) for r in picks.collect()}
+    assert got == {r: tuple(want.get(r, (None,) * 5)) for r in ("0", "1", "2", "3", "4", "two")} and want["0"][1] == "3"
+
+
+def test_recorded_files_are_dealt_out(spark, tmp_path):
+    """Every task writes files of all kinds, so none has all the headers."""
+    from laplens.plans.sessions import recordings
+
+    spark.range(400).selectExpr("id AS o_orderkey", "id % 60 AS o_custkey", "'2-HIGH' AS o_orderpriority", "'O' AS o_orderstatus", "1D AS o_totalprice",
+                                "DATE'2020-01-01' AS o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1200).selectExpr("id % 400 AS l_orderkey", "CAST(id div 400 AS INT) AS l_linenumber", "DATE'2020-01-01' AS l_shipdate", "id AS l_partkey", "id AS l_suppkey",
+                                 "id + 0.5D AS l_extendedprice", "1D AS l_quantity", "0D AS l_discount", "'N' AS l_returnflag", "'O' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = recordings(spark, str(tmp_path)).withColumn("part", F.input_file_name())
+    kinds = files.groupBy("part").agg(F.countDistinct("ext").alias("n")).collect()
+    assert kinds and all(r.n == 3 for r in kinds) and files.count() == 342 + 134 + 400
