@@ -111,17 +111,21 @@ def near_pairs(lines: DataFrame, max_edits: int, crowd: int = 10) -> DataFrame:
     left = lines.select("hi", "lo", F.explode(index).alias("key"))
     right = lines.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.explode(probes).alias("key"))
     crowded = hold(left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("hi").alias("one")).filter(F.col("n") > crowd).select("key", "one"), "crowded")
-    # Of a crowded key only rows without a name stay, so the probes of all keys are computed and moved once.
-    kept = left.join(crowded, "key", "left").filter(F.col("one").isNull() | (F.col("hi") == F.col("one")))
-    kept = kept.select("key", F.when(F.col("one").isNull(), F.col("hi")).alias("hi"), F.when(F.col("one").isNull(), F.col("lo")).alias("lo"))
+    # Of a crowded key one line stays, to tell which lines probe it; the others leave their key and only name themselves. So the
+    # keys of all lines are computed and moved once.
+    kind = F.when(F.col("one").isNull(), 0).when(F.col("hi") == F.col("one"), 1).otherwise(2)
+    kept = left.join(crowded, "key", "left").select("hi", "lo", kind.alias("kind"), "key")
+    kept = kept.withColumn("key", F.when(F.col("kind") == 2, F.xxhash64("key", "hi", "lo")).otherwise(F.col("key")))
     x, y = kept.alias("x"), kept.alias("y")
-    equal = (x.join(y, F.col("x.key") == F.col("y.key")).filter(smaller("x.hi", "x.lo", "y.hi", "y.lo"))
-             .select("x.hi", "x.lo", F.col("y.hi").alias("hi2"), F.col("y.lo").alias("lo2")))
+    itself = (F.col("x.kind") > 0) & (F.col("y.kind") > 0) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
+    equal = (x.join(y, F.col("x.key") == F.col("y.key")).filter(smaller("x.hi", "x.lo", "y.hi", "y.lo") | itself)
+             .select(*[F.when(~itself, F.col("x." + c)).alias(c) for c in ("hi", "lo")], F.col("y.hi").alias("hi2"), F.col("y.lo").alias("lo2")))
+    own = F.col("kind") == 1
     differ = (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
-    met = hold(kept.join(right, "key").filter(F.col("hi").isNull() | differ).select("hi", "lo", "hi2", "lo2").unionByName(equal).distinct(), "met")
-    pairs = met.filter("hi IS NOT NULL")
+    other = kept.join(right, "key").filter(own | differ).select(*[F.when(~own, F.col(c)).alias(c) for c in ("hi", "lo")], "hi2", "lo2")
+    met = hold(other.unionByName(equal).distinct(), "met")
+    pairs, names = met.filter("hi IS NOT NULL"), met.filter("hi IS NULL").select(F.col("hi2").alias("hi"), F.col("lo2").alias("lo"))
     if not crowded.isEmpty():
-        names = left.join(crowded, "key", "left_semi").select("hi", "lo").union(met.filter("hi IS NULL").select("hi2", "lo2")).distinct()
         pairs = pairs.unionByName(crowd_pairs(names, lines, max_edits)).distinct()
     return pairs
 
