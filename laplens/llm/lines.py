@@ -151,12 +151,13 @@ def row_verdicts(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col
     after = F.col("first") > F.col("first2")
     near = hold(near.select(F.when(after, F.col("hi")).otherwise(F.col("hi2")).alias("hi"),
                             F.when(after, F.col("lo")).otherwise(F.col("lo2")).alias("lo")).distinct().withColumn("near", F.lit(True)), "near-lines")
-    firsts = hold(lines.select("hi", "lo", "first").join(near, ["hi", "lo"], "left"), "firsts")
+    firsts = lines.select("hi", "lo", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
+    firsts = hold(firsts.join(near, ["hi", "lo"], "left"), "firsts", compression="zstd")
     spark.sql(f"DROP TABLE {name}")
     lines.held_path = path
     release(lines, near)
     places = found.select("row", "id", "pos", "hi", "lo").join(firsts, ["hi", "lo"])
-    is_first = (F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))
+    is_first = (F.col("first_row") == F.col("row")) & (F.col("first_pos") == F.col("pos"))
     return places.filter(F.col("near").isNotNull() | ~is_first).select(
         "row", "id", "pos", F.when(~is_first, F.lit("exact")).otherwise(F.lit("near")).alias("why"))
 
