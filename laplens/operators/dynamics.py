@@ -99,12 +99,13 @@ def _mean(c: str | Column, digits: int = 1) -> Column:
     return F.round(F.avg(F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, digits)) + 1e-9, 2)
 
 
-def tyre_levels(samples: DataFrame, roles: DataFrame, role: str, p: Limits) -> DataFrame:
-    """(run, start, end, avg, delta) of a tyre's pressure in bar."""
-    rows = samples.join(roles.filter(F.col("role") == role).select("run", "channel"), ["run", "channel"]).select("run", "ts_us", "idx", "value")
-    level = edge_stats(Track.open(unit_scaled(rows, ["run"], "value"), ["run"], "ts_us", ("idx",)), "scaled", p.tyre_lo, p.tyre_hi)
-    r1 = lambda c: F.round(F.col(c) + 1e-9, 1)
-    return level.select("run", *[r1(c + "_val").alias(f"{role}_{c}") for c in ("start", "end", "avg", "delta")])
+def tyre_levels(samples: DataFrame, roles: DataFrame, tyres: list[str], p: Limits) -> DataFrame:
+    """(run, start, end, avg, delta of each role) of the tyres' pressures in bar, all roles in one pass."""
+    keys = ["run", "role"]
+    rows = samples.join(roles.filter(F.col("role").isin(*tyres)), ["run", "channel"]).select(*keys, "ts_us", "idx", "value")
+    level = edge_stats(Track.open(hold(unit_scaled(rows, keys, "value"), "pressures"), keys, "ts_us", ("idx",)), "scaled", p.tyre_lo, p.tyre_hi)
+    r1 = lambda role, c: F.max(F.when(F.col("role") == role, F.round(F.col(c + "_val") + 1e-9, 1))).alias(f"{role}_{c}")
+    return level.groupBy("run").agg(*[r1(role, c) for role in tyres for c in ("start", "end", "avg", "delta")])
 
 
 def run_dynamics(samples: DataFrame, roles: DataFrame, laps: DataFrame, runs: DataFrame, p: Limits = Limits()) -> DataFrame:
@@ -148,6 +149,4 @@ def run_dynamics(samples: DataFrame, roles: DataFrame, laps: DataFrame, runs: Da
             ("brake", entry, [_mean("speed").alias("brake_speed_avg"), *susp("brake")]),
             ("full_brake", full, susp("full_brake"))):
         out = out.join(events.groupBy("run").agg(count.alias(f"{name}_count"), *aggs), "run", "left").na.fill(0, [f"{name}_count"])
-    for role in ("tyre_f", "tyre_r"):
-        out = out.join(tyre_levels(samples, roles, role, p), "run", "left")
-    return out
+    return out.join(tyre_levels(samples, roles, ["tyre_f", "tyre_r"], p), "run", "left")

@@ -14,6 +14,7 @@ from laplens.operators.ordered import Track, before, join_on, quantiles, with_gr
 from laplens.operators.signal import (SECOND, asof, asof_next, derivative, interval_join, islands, label_islands,
                                       long_enough, merge_islands, min_gap, min_gap_keep_larger, smooth_time,
                                       turning_points)
+from laplens.session import hold
 
 
 def all_bands(bands: dict[str, tuple[float, float]]) -> Column:
@@ -81,13 +82,14 @@ def unit_scaled(rows: DataFrame, keys: list[str], value: str, limit_median: floa
 def edge_stats(t: Track, value: str, lo: float, hi: float, share: float = 0.05, min_edge: int = 10,
                min_valid: int = 4) -> DataFrame:
     """Start and end level (medians of the first and last rows), mean and change of a run's valid values."""
-    placed = t.number("_rn", "_n").df
     edge = F.greatest(F.lit(min_edge), F.floor(F.col("_n") * share))
-    valid = (F.col(value) > lo) & (F.col(value) < hi)
-    base = placed.filter(valid).groupBy(*t.keys).agg(F.avg(value).alias("avg_val"), F.count(F.lit(1)).alias("n_valid"))
-    head = quantiles(placed.filter(valid & (F.col("_rn") <= edge)), t.keys, value, {"start_val": 0.5})
-    tail = quantiles(placed.filter(valid & (F.col("_rn") > F.col("_n") - edge)), t.keys, value, {"end_val": 0.5})
-    return (base.filter(F.col("n_valid") >= min_valid).join(head, t.keys, "left").join(tail, t.keys, "left")
+    ends = F.array(F.when(F.col("_rn") <= edge, "start"), F.when(F.col("_rn") > F.col("_n") - edge, "end"))
+    placed = t.number("_rn", "_n").df.filter((F.col(value) > lo) & (F.col(value) < hi))
+    placed = hold(placed.select(*t.keys, value, F.array_compact(ends).alias("_ends")), "placed")  # read for the means and for the medians
+    base = placed.groupBy(*t.keys).agg(F.avg(value).alias("avg_val"), F.count(F.lit(1)).alias("n_valid"))
+    mid = quantiles(placed.select(*t.keys, value, F.explode("_ends").alias("_end")), [*t.keys, "_end"], value, {"_mid": 0.5})
+    mid = mid.groupBy(*t.keys).agg(*[F.max(F.when(F.col("_end") == e, F.col("_mid"))).alias(f"{e}_val") for e in ("start", "end")])
+    return (base.filter(F.col("n_valid") >= min_valid).join(mid, t.keys, "left")
             .withColumn("delta_val", F.col("end_val") - F.col("start_val")))
 
 
@@ -118,7 +120,7 @@ def brake_corners(t: Track, brake: str, speed: str, threshold: float = 0.5, min_
 
 def apex_minima(t: Track, col: str, gap: int, window: int, min_depth: float, **turning) -> DataFrame:
     """Apexes as prominent minima of ``col``, at least ``gap`` after the one accepted before."""
-    found = turning_points(t, col, "min", window, min_depth, **turning)
+    found = hold(turning_points(t, col, "min", window, min_depth, **turning), "turns")  # read twice, and few next to the rows behind them
     return join_on(found, min_gap(found, t.keys, t.ts, gap, like=t), [*t.keys, t.ts], "inner")
 
 
@@ -130,7 +132,7 @@ def apex_maxima(t: Track, col: str, gap: int, window: int, min_depth: float, min
     if min_signal is not None:
         strong = t.df.groupBy(*t.keys).agg(F.max(col).alias("_top")).filter(F.col("_top") >= min_signal).drop("_top")
         found = join_on(found, strong, t.keys, "inner")
-    return min_gap_keep_larger(found, t.keys, t.ts, "level", gap, like=t)
+    return min_gap_keep_larger(hold(found, "turns"), t.keys, t.ts, "level", gap, like=t)
 
 
 def apexes(by_load: DataFrame, by_speed: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:

@@ -13,7 +13,7 @@ from laplens.operators.ordered import number
 from laplens.plans.files import _bytes
 from laplens.plans.registry import island_cte, query, samples
 from laplens.plans.telemetry import slope_cte
-from laplens.session import fresh_path
+from laplens.session import fresh_path, hold
 from laplens.sources import bundle
 from laplens.sources.bundle_format import read_bundles, register_bundles
 
@@ -38,13 +38,17 @@ def recordings(spark, d):
     return rows.select("run", "unit", "idx", "k.ext", F.greatest(F.lit(-32768), F.least(F.lit(32767), F.round((F.col("value") * F.col("k.a") + F.col("k.b")) * 32 + 1e-6))).cast("long").alias("raw"), "day")
 
 
-def recorded(spark, d):
-    """Folder with the written bundles."""
+def recorded_files(spark, d):
+    """Files of all bundles (path, content); the samples are numbered and packed once, and the other files told from what was packed."""
     rows = recordings(spark, d)
     path = lambda ext: F.concat(F.lit("/R03_SOME_PLACE/"), "run", F.lit(".MES/"), "run", F.lit("."), F.lit(ext) if isinstance(ext, str) else ext)
-    data = rows.groupBy("run", "ext").agg(F.sort_array(F.collect_list(F.struct("idx", "raw"))).alias("a"))  # PART rows at most
-    data = data.select(path(F.col("ext")).alias("path"), _bytes(F.transform("a", lambda x: x["raw"].bitwiseAND(F.lit(0xFFFF))), 2).alias("content"))
-    runs = rows.groupBy("run", "unit").agg(F.count_if(F.col("ext") == "C01").alias("n"), F.min("day").alias("day"))
+    word = F.lpad(F.hex(F.col("raw").bitwiseAND(F.lit(0xFFFF))), 4, "0")  # spelt row by row, since an expression over arrays is interpreted
+    rows = rows.withColumn("word", F.concat(F.substring(word, 3, 2), F.substring(word, 1, 2)))
+    files = rows.groupBy("run", "unit", "ext").agg(  # PART rows at most
+        F.sort_array(F.collect_list(F.struct("idx", "word"))).alias("a"), F.count(F.lit(1)).alias("n"), F.min("day").alias("day"))
+    files = hold(files.select("run", "unit", "ext", "n", "day", F.unhex(F.array_join(F.col("a.word"), "")).alias("content")), "recordings")
+    data = files.select(path(F.col("ext")).alias("path"), "content")
+    runs = files.groupBy("run", "unit").agg(F.sum(F.when(F.col("ext") == "C01", F.col("n")).otherwise(0)).alias("n"), F.min("day").alias("day"))
     text = "\r\n".join(f"[{i:04X}]\r\n3=0,0,0,3D000000,0,0,3F800000\r\n4={c},x\r\n6=0,I,0,{e}" for i, (c, e, *_) in enumerate(CHANNELS))
     catalog = runs.select(path("DDD").alias("path"), F.encode(F.lit(text), "ISO-8859-1").alias("content"))
     head = F.concat(F.lit("Rider="), F.when(F.col("unit") % 2 == 0, "DA77").otherwise("JA52"), F.lit("\r\n[MASS]\r\nBike="), (165 + F.col("unit")).cast("string"),
@@ -52,11 +56,16 @@ def recorded(spark, d):
     header = runs.select(path("HED").alias("path"), F.encode(head, "ISO-8859-1").alias("content"))
     # 20 samples a second, or 1000, which is more than a logger has; every fifth has no lap file
     last = F.when(F.col("unit") % 5 == 1, F.col("n")).otherwise(F.col("n") * 50 + 7)
-    words = F.array(F.lit(3).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.floor(last / 3), F.floor(2 * last / 3), last)
-    laps = runs.filter("unit % 5 <> 2 AND n > 2").select(path("LAP").alias("path"), _bytes(words, 4).alias("content"))
+    ends = F.array(F.lit(3).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.floor(last / 3), F.floor(2 * last / 3), last)
+    laps = runs.filter("unit % 5 <> 2 AND n > 2").select(path("LAP").alias("path"), _bytes(ends, 4).alias("content"))
+    return data.unionByName(catalog).unionByName(header).unionByName(laps)
+
+
+def recorded(spark, d):
+    """Folder with the written bundles."""
     register_bundles(spark)
     root = fresh_path(spark, "bundles")
-    data.unionByName(catalog).unionByName(header).unionByName(laps).write.format("bundle").mode("append").save(root)
+    recorded_files(spark, d).write.format("bundle").mode("append").save(root)
     return root
 
 
@@ -109,13 +118,24 @@ def channel_roles(spark, d):
     return resolve_channels(read_bundles(spark, recorded(spark, d), "channels"), ["run"])
 
 
-def described_runs(spark, root):
+def _decoded(spark, root, table="samples"):
+    """A table of the bundles, for several readers: each scan of the format lists the folder anew and opens every file in it."""
+    return hold(read_bundles(spark, root, table), table)
+
+
+def _recorded_tables(spark, root, channels, ends):
+    """Samples, roles and laps of the bundles, each found once."""
+    laps = dynamics.recorded_laps(ends, channels.filter("channel = 'SPEED_FRONT'").select("run", "clock_us"))
+    return _decoded(spark, root), hold(resolve_channels(channels, ["run"]), "roles"), hold(laps, "laps")
+
+
+def described_runs(spark, header, channels, ends):
     """What headers, folders and catalogs say of each run, with the rider's geometry."""
     keys = {"date": "Date", "circuit": "Circuit", "session_type": "Session", "rider": "Rider", "mass": "MASS.Bike"}
-    head = bundle.header_columns(read_bundles(spark, root, "header"), keys)
+    head = bundle.header_columns(header, keys)
     params = spark.createDataFrame([(r, *v) for r, v in RIDER.items()], "rider string, wheelbase double, cog_h double, f_ratio double")
-    base = read_bundles(spark, root, "channels").filter("channel = 'SPEED_FRONT'").select("run", "folder", F.round(F.col("rate_hz") + 1e-9, 1).alias("sample_rate_hz"))
-    n = read_bundles(spark, root, "laps").groupBy("run").agg(F.count(F.lit(1)).alias("n_laps"))
+    base = channels.filter("channel = 'SPEED_FRONT'").select("run", "folder", F.round(F.col("rate_hz") + 1e-9, 1).alias("sample_rate_hz"))
+    n = ends.groupBy("run").agg(F.count(F.lit(1)).alias("n_laps"))
     out = base.join(head, "run").join(n, "run", "left").join(params, "rider")
     where = F.concat(F.lit("/"), "folder", F.lit("/x/y"))
     return out.select("run", normal_round(path_event_key(where)).alias("round"), parse_date(F.col("date")).alias("date"), normal_circuit(F.col("circuit")).alias("circuit"),
@@ -211,9 +231,9 @@ DYNAMICS = f"""{LAP_TRACK},
 def bundle_dynamics(spark, d):
     """From the files to the 34 columns of a run's dynamics."""
     root = recorded(spark, d)
-    channels = read_bundles(spark, root, "channels")
-    laps = dynamics.recorded_laps(read_bundles(spark, root, "laps"), channels.filter("channel = 'SPEED_FRONT'").select("run", "clock_us"))
-    return dynamics.run_dynamics(read_bundles(spark, root), resolve_channels(channels, ["run"]), laps, described_runs(spark, root), LIMITS)
+    channels, ends = _decoded(spark, root, "channels"), _decoded(spark, root, "laps")
+    runs = hold(described_runs(spark, read_bundles(spark, root, "header"), channels, ends), "runs")
+    return dynamics.run_dynamics(*_recorded_tables(spark, root, channels, ends), runs, LIMITS)
 
 
 # --- per lap: corners in phases, suspension ---------------------------------------------------------
@@ -279,14 +299,8 @@ def _ms(c):
     round(g4 + 1e-9, 2) AS ph45_gas_avg, round(s4 + 1e-9, 2) AS ph45_susf_avg, {_ms('to_us - from_us')} AS total_ms FROM ph JOIN len USING (run)""")
 def bundle_corner_phases(spark, d):
     """Corners of each lap in three phases, the detector chosen per lap."""
-    return ph.corner_phases(*_recorded_tables(spark, d), CORNERS)
-
-
-def _recorded_tables(spark, d):
     root = recorded(spark, d)
-    channels = read_bundles(spark, root, "channels")
-    laps = dynamics.recorded_laps(read_bundles(spark, root, "laps"), channels.filter("channel = 'SPEED_FRONT'").select("run", "clock_us"))
-    return read_bundles(spark, root), resolve_channels(channels, ["run"]), laps
+    return ph.corner_phases(*_recorded_tables(spark, root, _decoded(spark, root, "channels"), _decoded(spark, root, "laps")), CORNERS)
 
 
 def _m2(c):
@@ -334,4 +348,5 @@ LAP_SUSPENSION = f"""{MARKS}, {_track("t2", "speed", ["brake", "gas", "dtps", "a
     FROM lap LEFT JOIN x1 USING (run) LEFT JOIN x2 USING (run) LEFT JOIN x3 USING (run) LEFT JOIN x4 USING (run) LEFT JOIN x5 USING (run)""")
 def bundle_lap_suspension(spark, d):
     """Suspension per lap, from the files: apexes, brake entries, full braking and the whole lap."""
-    return ph.lap_suspension(*_recorded_tables(spark, d), CORNERS, LIMITS)
+    root = recorded(spark, d)
+    return ph.lap_suspension(*_recorded_tables(spark, root, _decoded(spark, root, "channels"), _decoded(spark, root, "laps")), CORNERS, LIMITS)

@@ -191,7 +191,7 @@ class Reading:
                 if not work or work[-1][0] is not bundle:
                     work.append((bundle, []))
                 work[-1][1].append(r)
-                held += r[2] - r[1] + 4096  # opening a file has its price
+                held += r[2] - r[1] + 65536  # opening a file has its price, in bytes read meanwhile
         return [*out, Piece(work)] if work else out
 
     def rows(self, piece: Piece) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 """Steps whose cost once grew faster than their input."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from laplens.functions.text import lap_seconds, lap_text, parse_date, settled
-from laplens.operators import facts, merge, reports
-from laplens.plans import merged, pace
-from laplens.sources import tables
+from laplens.operators import dynamics, facts, merge, reports
+from laplens.plans import bundles, merged, pace
+from laplens.sources import bundle_format, tables
 
 
 def plan(df):
@@ -89,3 +91,53 @@ def test_merged_columns_are_written_before_they_are_read_twice(spark, monkeypatc
     monkeypatch.setattr(merge, "named_runs", lambda df, order: (seen.append(df), real(df, order))[1])
     merged.committed(spark, "/root/testdata/sf0.001")
     assert "Aggregate" not in plan(seen[0])
+
+
+@pytest.mark.parametrize("name", ["bundle_dynamics", "bundle_lap_suspension", "bundle_corner_phases"])
+def test_bundle_files_are_read_once(spark, tmp_path, monkeypatch, name):
+    """What goes to the detectors is read from files that are opened once per table, however often it is used."""
+    folder = tmp_path / "R03_PLACE" / "P-1-0.MES"
+    folder.mkdir(parents=True)
+    (folder / "P-1-0.DDD").write_bytes(b"[00A1]\r\n3=0,0,0,3F800000,0,0,3F800000\r\n4=SPEED_FRONT,x\r\n6=0,I,0,C01\r\n")
+    (folder / "P-1-0.C01").write_bytes(b"\x01\x00" * 30)
+    (folder / "P-1-0.HED").write_bytes(b"Rider=DA77\r\n[MASS]\r\nBike=166\r\n[GENERAL]\r\nCircuit=PLACE\r\nSession=fp\r\nDate=01/02/2024")
+    monkeypatch.setattr(bundles, "recorded", lambda spark, d: str(tmp_path))
+    for owner, f in ((bundles.dynamics, "run_dynamics"), (bundles.ph, "lap_suspension"), (bundles.ph, "corner_phases")):
+        monkeypatch.setattr(owner, f, lambda *given: given)
+    given = [x for x in getattr(bundles, name)(spark, "") if hasattr(x, "schema")]
+    assert len(given) == (4 if name == "bundle_dynamics" else 3)
+    assert [x.count() for x in given] == [30, 1, 1, 1][:len(given)]
+    assert not [x for x in given if "RelationV2" in plan(x) or "bundle" in plan(x)]
+
+
+def test_recordings_are_numbered_once(spark, tmp_path):
+    """Channel files, catalogs, headers and lap files come from one pass over the events."""
+    kinds = ["view", "click", "error", "signup", "purchase"]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, i % 3, kinds[i // 3 % 5], at + datetime.timedelta(seconds=i), float(i)) for i in range(90)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    files = bundles.recorded_files(spark, str(tmp_path))
+    assert "Window" not in plan(files)
+    names = sorted(r.path.rsplit("/", 1)[1] for r in files.select("path").collect())
+    assert len(names) == 3 * 9 + 2 * 3 + 2 and names[:3] == ["P-0-0.C01", "P-0-0.C02", "P-0-0.C03"] and "P-2-0.LAP" not in names
+
+
+def test_tyres_are_levelled_in_one_pass(spark):
+    """Both tyres together, a run with one of them, one in kPa, and a run with too few values."""
+    levels = {("a", "F"): [1.5] * 10 + [1.8] * 20 + [2.1] * 10, ("a", "R"): [100 * x for x in [1.2] * 10 + [9.0] * 5 + [1.4] * 10], ("b", "F"): [2.0] * 3, ("c", "R"): [0.9] * 4}
+    rows = [(run, c, i, i * 10, x) for (run, c), xs in levels.items() for i, x in enumerate(xs)]
+    samples = spark.createDataFrame(rows, "run string, channel string, idx long, ts_us long, value double")
+    roles = spark.createDataFrame([(run, "tyre_" + c.lower(), c) for run, c in levels], "run string, role string, channel string")
+    out = dynamics.tyre_levels(samples, roles, ["tyre_f", "tyre_r"], dynamics.Limits())
+    assert out.columns == ["run", *[f"{t}_{c}" for t in ("tyre_f", "tyre_r") for c in ("start", "end", "avg", "delta")]]
+    assert sorted(map(tuple, out.collect())) == [("a", 1.5, 2.1, 1.8, 0.6, 1.2, 1.4, 1.3, 0.2), ("c", None, None, None, None, 0.9, 0.9, 0.9, 0.0)]
+    assert plan(out).count("row_number") == 0 and plan(out).count("Window") <= 1  # of the medians
+
+
+def test_small_bundle_files_are_spread_over_tasks(monkeypatch):
+    """Opening costs more than reading a small file, so not thousands of them go to one task."""
+    found = {f"/x/{i}": (bundle_format.Bundle(str(i), "x", {"DDD": (f"/x/{i}.DDD", 500), "C01": (f"/x/{i}.C01", 2000)}), {}) for i in range(2000)}
+    monkeypatch.setattr(bundle_format.Reading, "listing", lambda self: found)
+    for table in ("samples", "channels"):
+        pieces = bundle_format.Reading({"path": "/x"}, table).pieces(lambda *_: True)
+        assert len(pieces) >= 4 and sorted(b.run for p in pieces for b, _ in p.work) == sorted(str(i) for i in range(2000))
